@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens import config
 from marketlens.functions import between_days, present
-from marketlens.operators import revenue
+from marketlens.operators import customers, identity, revenue
 from marketlens.plans import marts
 from marketlens.plans.staging import STAGING
 from marketlens.plans.warehouse import Warehouse
@@ -87,8 +88,58 @@ def _revenue() -> dict[str, Query]:
     }
 
 
+def _identity() -> dict[str, Query]:
+    i, at = identity, config.SNAPSHOT
+    return {
+        "identity_measures": lambda wh: i.identity_measures(wh, at, *Y2000),
+        "identity_ordered_customers": lambda wh: i.identity(
+            wh, "ordered_canonical_customer_count", at, *Y2000, [],
+            ["ordered_customer_count_including_test_internal", "observed_source_id_count",
+             "distinct_resolved_canonical_id_count"],
+        ),
+        "identity_premigration_missing": lambda wh: i.identity(
+            wh, "pre_migration_shopify_missing_count", at, *Y2000,
+            ["pre_migration_shopify_observed_count", "pre_migration_shopify_resolved_count"],
+            ["unresolved_source_id_count"],
+        ),
+        "identity_multi_source_gmv": lambda wh: i.identity(
+            wh, "correct_multi_source_gmv", at, *Y2000,
+            ["correct_multi_source_order_count", "unsafe_fanout_order_row_count"],
+            ["unsafe_fanout_gmv", "multi_source_gmv_including_test_internal"],
+        ),
+        "identity_safe_vs_fanout_gmv": lambda wh: i.identity_safe_vs_fanout_gmv(wh, *Y2000),
+        "identity_quality": lambda wh: i.identity_quality(wh, at),
+        "identity_quality_by_system": lambda wh: i.identity_quality_by_system(wh, at),
+        "naive_vs_canonical": lambda wh: i.naive_vs_canonical(wh, at),
+        "identity_health": i.identity_health,
+        "identity_by_system": i.identity_by_system,
+        "identity_null_rate_overall": i.identity_null_rate_overall,
+        "canonical_customer_count": i.canonical_customer_count,
+        "crosswalk_unmatched_by_signup_year": lambda wh: i.crosswalk_unmatched_by_signup_year(wh, at),
+        "multi_stripe_id_customers": lambda wh: i.multi_stripe_id_customers(wh, at, *Y1999, *Y2000),
+        "zendesk_tickets_unlinked": lambda wh: i.zendesk_tickets_unlinked(wh, at),
+        "zendesk_tickets_unlinked_by_source": lambda wh: i.zendesk_tickets_unlinked_by_source(wh, at),
+        "zendesk_tickets_unlinked_by_month": lambda wh: i.zendesk_tickets_unlinked_by_month(wh, at),
+    }
+
+
+def _customers() -> dict[str, Query]:
+    c = customers
+    half = ("2001-01-01", "2001-06-30")
+    return {
+        "current_customers": lambda wh: c.current_customers(wh, *LTM),
+        "new_customers": lambda wh: c.new_customers(wh, *Y2000),
+        "multi_channel_customers": lambda wh: c.multi_channel_customers(wh, "1998-01-01", "1998-12-31"),
+        "current_sets": lambda wh: c.current_sets(wh, "2001-06-01"),
+        "monthly_customer_metrics": c.monthly_customer_metrics,
+        "customer_kpis": lambda wh: c.customer_kpis(wh, *half),
+        "customer_kpis_by_channel": lambda wh: c.customer_kpis_by_channel(wh, *half),
+        "consumer_cohort_repeat_rate": lambda wh: c.consumer_cohort_repeat_rate(wh, "1998-01-01", "1999-12-31"),
+    }
+
+
 def catalog() -> dict[str, Query]:
-    return {**_staging(), **_marts(), **_revenue()}
+    return {**_staging(), **_marts(), **_revenue(), **_identity(), **_customers()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

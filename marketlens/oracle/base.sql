@@ -269,3 +269,14 @@ SELECT CAST(m AS DATE) AS month FROM range(DATE '1995-01-01', (SELECT MAX(order_
 SELECT activity_date, SUM(amount) FILTER (measure_name = 'gmv') AS gmv, SUM(amount) FILTER (measure_name = 'net_revenue') AS net,
        SUM(amount) FILTER (measure_name = 'recognized_revenue') AS rec, SUM(amount) FILTER (measure_name = 'billed_revenue') AS bil,
        SUM(amount) FILTER (measure_name = 'collected_cash') AS cash FROM fct_revenue GROUP BY 1
+-- cte: unlinked
+WITH c AS (SELECT app_db_customer_id FROM stg_app_customers WHERE created_date <= DATE '2001-06-30'),
+res AS (SELECT source_system, source_customer_id FROM int_customer_identity i
+        WHERE source_created_date <= DATE '2001-06-30' AND linked_date <= DATE '2001-06-30'
+          AND app_db_customer_id IN (SELECT app_db_customer_id FROM c))
+SELECT t.*, COALESCE(related_order_id IN (SELECT order_id FROM stg_orders WHERE order_date <= DATE '2001-06-30'
+                AND customer_id IN (SELECT app_db_customer_id FROM c)), false) AS vo,
+       COALESCE(related_subscription_id IN (SELECT subscription_id FROM stg_subscriptions WHERE term_start_date <= DATE '2001-06-30'
+                AND customer_id IN (SELECT app_db_customer_id FROM c)), false) AS vs
+FROM stg_tickets t WHERE created_date <= DATE '2001-06-30'
+ AND NOT EXISTS (SELECT 1 FROM res WHERE source_system = requester_source_system AND source_customer_id = requester_source_id)
