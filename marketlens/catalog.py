@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import config
 from marketlens.functions import between_days, present
-from marketlens.operators import customers, identity, revenue
+from marketlens.operators import customers, identity, marketing, operations, revenue, subscriptions
 from marketlens.plans import marts
 from marketlens.plans.staging import STAGING
 from marketlens.plans.warehouse import Warehouse
@@ -138,8 +138,70 @@ def _customers() -> dict[str, Query]:
     }
 
 
+def _subscriptions() -> dict[str, Query]:
+    s, at = subscriptions, "2000-12-31"
+    # a scenario with gaps on purpose: two unmapped plans, one destination that is not sold
+    partial = {"starter_v1": "essentials", "team_v2": "office_v2", "office_v2": "growth"}
+    return {
+        "active_subscribers": lambda wh: s.active_subscribers(wh, at),
+        "active_subscribers_by_generation": lambda wh: s.active_subscribers_by_generation(wh, at),
+        "active_by_quarter_end_generation": lambda wh: s.active_by_quarter_end_generation(wh, "1997-03-31", at),
+        "subscriptions_by_plan": lambda wh: s.subscriptions_by_plan(wh, at),
+        "avg_price_per_seat_active": lambda wh: s.avg_price_per_seat_active(wh, at, "growth"),
+        "renewal_rate": lambda wh: s.renewal_rate(wh, *Y2000),
+        "new_subscriptions": lambda wh: s.new_subscriptions(wh, *Y2000),
+        "churn_by_segment_quarter": lambda wh: s.churn_by_segment_quarter(wh, "1998-01-01", "1999-12-31"),
+        "churned_acv_recovery": lambda wh: s.churned_acv_recovery(wh, "smb", *Y1999, config.SNAPSHOT),
+        "first_renewal_nrr": lambda wh: s.first_renewal_nrr(wh, "1998-01-01", "1998-12-31", config.SNAPSHOT),
+        "first_renewal_violations": lambda wh: s.first_renewal_violations(wh, *Y2000, config.SNAPSHOT),
+        "legacy_migration_violations": lambda wh: s.legacy_migration_violations(wh, at, 3, partial),
+        "legacy_subscribers_migration": lambda wh: s.legacy_subscribers_migration(wh, at, 3, config.MIGRATION_MAP),
+        "legacy_subscribers_by_generation": lambda wh: s.legacy_subscribers_by_generation(wh, at),
+        "monthly_subscriptions": s.monthly_subscriptions,
+        "subscription_kpis": lambda wh: s.subscription_kpis(wh, *LTM),
+    }
+
+
+def _marketing() -> dict[str, Query]:
+    m, january = marketing, ("2000-01-01", "2000-01-31")
+    promo = ("2000-07-01", "2000-11-30")
+    return {
+        "new_d2c_customers": lambda wh: m.new_d2c_customers(wh, *january),
+        "d2c_cac": lambda wh: m.d2c_cac(wh, *january),
+        "cac_reported_vs_attributed": lambda wh: m.cac_reported_vs_attributed(wh, *Y2000),
+        "ad_spend_by_platform": lambda wh: m.ad_spend_by_platform(wh, *Y2000),
+        "promo_usage": lambda wh: m.promo_usage(wh, "BTB15", "2000-09-01", "2000-09-30"),
+        "promo_lift": lambda wh: m.promo_lift(wh, "BTB15", *promo),
+        "campaigns": lambda wh: m.campaigns(wh, "1998-01-01", "2000-12-31"),
+        "category_margin": lambda wh: m.category_margin(wh, *Y2000),
+        "category_mix": lambda wh: m.category_mix(wh, "1999-03-10", "1999-03-20"),
+        "category_gross_margin_by_year": lambda wh: m.category_gross_margin_by_year(wh, "1999-01-01", config.SNAPSHOT),
+        "supplier_product_sales_distribution": lambda wh: m.supplier_product_sales_distribution(wh, *LTM),
+        "gmv_of_orders_with_category": lambda wh: m.gmv_of_orders_with_category(wh, "paper", *Y2000),
+        "monthly_marketing": m.monthly_marketing,
+        "marketing_kpis": lambda wh: m.marketing_kpis(wh, "1999-07-01", "2000-06-30"),
+    }
+
+
+def _operations() -> dict[str, Query]:
+    o = operations
+    return {
+        "open_tickets_at": lambda wh: o.open_tickets_at(wh, "2000-06-30"),
+        "shipments_in_transit_at": lambda wh: o.shipments_in_transit_at(wh, "1999-03-31"),
+        "tickets_by_category": lambda wh: o.tickets_by_category(wh, *Y2000),
+        "tickets_vs_orders_monthly": lambda wh: o.tickets_vs_orders_monthly(wh, "1999-03", config.SNAPSHOT),
+        "tickets_vs_orders_flags": lambda wh: o.tickets_vs_orders_flags(wh, "1999-03", config.SNAPSHOT),
+        "billing_tickets_vs_enterprise_churn": lambda wh: o.billing_tickets_vs_enterprise_churn(
+            wh, "1998-06-01", "1999-01-31"
+        ),
+    }
+
+
 def catalog() -> dict[str, Query]:
-    return {**_staging(), **_marts(), **_revenue(), **_identity(), **_customers()}
+    groups = (
+        _staging, _marts, _revenue, _identity, _customers, _subscriptions, _marketing, _operations,
+    )
+    return {name: query for group in groups for name, query in group().items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,8 +37,9 @@ def with_base(query: str) -> str:
     if not needed:
         return query
     ctes = [f"{name} AS (\n{body}\n)" for name, body in base.items() if name in needed]
-    if query.lstrip().upper().startswith("WITH "):
-        return "WITH " + ",\n".join(ctes) + ",\n" + query.lstrip()[5:]
+    own = re.match(r"\s*WITH (RECURSIVE )?", query)
+    if own:
+        return f"WITH {own.group(1) or ''}" + ",\n".join(ctes) + ",\n" + query[own.end():]
     return "WITH " + ",\n".join(ctes) + "\n" + query
 
 
