@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import config
 from marketlens.functions import between_days, present
-from marketlens.operators import customers, identity, marketing, operations, revenue, subscriptions
+from marketlens.operators import customers, dashboards, diagnostics, identity, marketing, operations, revenue, subscriptions
 from marketlens.plans import marts
 from marketlens.plans.staging import STAGING
 from marketlens.plans.warehouse import Warehouse
@@ -197,9 +197,31 @@ def _operations() -> dict[str, Query]:
     }
 
 
+def _dashboards() -> dict[str, Query]:
+    d, e = dashboards, diagnostics
+    ad_keys = ["ad_spend_by_month", "new_d2c_customers_by_month", "new_customer_share_of_d2c_orders_by_month"]
+    return {
+        "data_end_month": d.data_end,
+        "last_elapsed_month": d.elapsed,
+        "period_bounds": d.period_bounds,
+        "prior_bounds": d.prior_bounds,
+        "business_kpis": lambda wh: d.business_kpis(wh, "2001-06"),
+        "business_monthly": d.business_monthly,
+        "business_monthly_by_period": d.business_monthly_by_period,
+        "event_supplier_outage": e.EVENTS["supplier_outage"],
+        "event_promo": e.EVENTS["promo_back_to_business"],
+        "event_price_increase": e.EVENTS["sub_price_increase"],
+        "event_enterprise_churn": e.EVENTS["enterprise_churn"],
+        "event_ad_spend_cut": e.EVENTS["ad_spend_cut"],
+        "event_category_margin": e.EVENTS["category_margin"],
+        "event_evidence": lambda wh: e.event_evidence(wh, "ad_spend_cut", ad_keys),
+        "event_detectability": e.event_detectability,
+    }
+
+
 def catalog() -> dict[str, Query]:
     groups = (
-        _staging, _marts, _revenue, _identity, _customers, _subscriptions, _marketing, _operations,
+        _staging, _marts, _revenue, _identity, _customers, _subscriptions, _marketing, _operations, _dashboards,
     )
     return {name: query for group in groups for name, query in group().items()}
 

@@ -280,3 +280,28 @@ SELECT t.*, COALESCE(related_order_id IN (SELECT order_id FROM stg_orders WHERE
                 AND customer_id IN (SELECT app_db_customer_id FROM c)), false) AS vs
 FROM stg_tickets t WHERE created_date <= DATE '2001-06-30'
  AND NOT EXISTS (SELECT 1 FROM res WHERE source_system = requester_source_system AND source_customer_id = requester_source_id)
+-- cte: bounds
+SELECT period, CAST(months AS BIGINT) AS months, COALESCE(CAST(em - (months - 1) * INTERVAL 1 MONTH AS DATE), DATE '1995-01-01') AS start_date,
+       last_day(em) AS end_date
+FROM (VALUES ('Last 6 Months', 6), ('Last 12 Months', 12), ('Last 24 Months', 24), ('All Time', NULL)) p(period, months),
+     (SELECT CAST(CASE WHEN d = last_day(d) THEN date_trunc('month', d) ELSE date_trunc('month', d) - INTERVAL 1 MONTH END AS DATE) AS em
+      FROM (SELECT MAX(order_date) AS d FROM stg_orders))
+-- cte: biz_month
+WITH r AS (SELECT CAST(date_trunc('month', activity_date) AS DATE) AS m, SUM(gmv) AS gmv, SUM(net) AS net, SUM(rec) AS rec, SUM(bil) AS bil, SUM(cash) AS cash FROM rev_day GROUP BY 1),
+o AS (SELECT CAST(date_trunc('month', order_date) AS DATE) AS m, COUNT(*) AS n, COUNT(DISTINCT customer_id) AS a FROM fct_orders GROUP BY 1),
+f AS (SELECT m, COUNT(*) AS n FROM (SELECT CAST(date_trunc('month', MIN(order_date)) AS DATE) AS m FROM fct_orders GROUP BY customer_id) GROUP BY 1),
+b AS (SELECT CAST(date_trunc('month', refund_date) AS DATE) AS m, SUM(refund_amount) AS v, COUNT(*) AS n FROM stg_refunds SEMI JOIN fct_orders USING (order_id) GROUP BY 1)
+SELECT month, CAST(COALESCE(gmv, 0) AS DOUBLE) AS gmv, CAST(COALESCE(net, 0) AS DOUBLE) AS net_revenue, CAST(COALESCE(rec, 0) AS DOUBLE) AS recognized_revenue,
+       CAST(COALESCE(bil, 0) AS DOUBLE) AS billed_revenue, CAST(COALESCE(cash, 0) AS DOUBLE) AS collected_cash, COALESCE(o.n, 0) AS orders,
+       COALESCE(o.a, 0) AS active_customers, COALESCE(f.n, 0) AS new_customers, CAST(SUM(COALESCE(f.n, 0)) OVER (ORDER BY month) AS BIGINT) AS cumulative_customers,
+       CAST(COALESCE(b.v, 0) AS DOUBLE) AS refund_amount, COALESCE(b.n, 0) AS refund_count,
+       COALESCE(ROUND(CAST(gmv AS DOUBLE) / NULLIF(o.n, 0), 4), 0) AS aov, COALESCE(ROUND(CAST(b.v AS DOUBLE) / NULLIF(CAST(gmv AS DOUBLE), 0), 6), 0) AS refund_rate
+FROM month_spine LEFT JOIN r ON r.m = month LEFT JOIN o ON o.m = month LEFT JOIN f ON f.m = month LEFT JOIN b ON b.m = month
+-- cte: ad_cut
+WITH m AS (SELECT strftime(d, '%Y-%m') AS m FROM range(DATE '1999-11-01', DATE '2000-07-01', INTERVAL 1 MONTH) r(d)),
+s AS (SELECT strftime(spend_date, '%Y-%m') AS m, CAST(SUM(spend_usd) AS DOUBLE) AS v FROM stg_ad_spend GROUP BY 1),
+o AS (SELECT strftime(order_date, '%Y-%m') AS m, COUNT(*) AS n, COUNT(*) FILTER (is_first_order) AS f FROM fct_orders WHERE channel = 'd2c' GROUP BY 1),
+j AS (SELECT * FROM m LEFT JOIN s USING (m) LEFT JOIN o USING (m))
+SELECT 'ad_spend_by_month' AS evidence, m AS item, COALESCE(v, 0) AS value FROM j UNION ALL SELECT 'd2c_orders_by_month', m, CAST(COALESCE(n, 0) AS DOUBLE) FROM j
+UNION ALL SELECT 'new_d2c_customers_by_month', m, CAST(COALESCE(f, 0) AS DOUBLE) FROM j
+UNION ALL SELECT 'new_customer_share_of_d2c_orders_by_month', m, ROUND(CAST(f AS DOUBLE) / n, 4) FROM j
