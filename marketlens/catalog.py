@@ -9,10 +9,27 @@ from pyspark.sql import functions as F
 
 from marketlens import config
 from marketlens.functions import between_days, present
-from marketlens.operators import customers, dashboards, diagnostics, identity, marketing, operations, revenue, subscriptions
+from marketlens.operators import (
+    customers,
+    dashboards,
+    derivations,
+    diagnostics,
+    identity,
+    marketing,
+    operations,
+    quality,
+    reconcile,
+    revenue,
+    subscriptions,
+    temporal,
+    textscan,
+)
 from marketlens.plans import marts
 from marketlens.plans.staging import STAGING
 from marketlens.plans.warehouse import Warehouse
+from marketlens.sources import files
+from marketlens.sources.store import scratch_folder
+from marketlens.streaming import drip
 
 Query = Callable[[Warehouse], DataFrame]
 
@@ -219,9 +236,104 @@ def _dashboards() -> dict[str, Query]:
     }
 
 
+def _temporal() -> dict[str, Query]:
+    t, d, at = temporal, derivations, "1999-06-30"
+    masked = {
+        "mask_invoices": "invoices", "mask_stripe": "stripe_customers", "mask_subscriptions": "subscriptions",
+        "mask_shipments": "supplier_shipments", "mask_tickets": "tickets",
+    }
+    return {
+        "visible_as_of": lambda wh: t.visible_as_of(wh, at),
+        **{q: (lambda wh, name=name: present(wh.as_of(at).stg(name))) for q, name in masked.items()},
+        "mask_plans": lambda wh: present(wh.as_of("1998-12-31").stg("plans")),
+        "price_as_of": t.price_as_of,
+        "alias_as_of": t.alias_as_of,
+        "plan_generation_at": t.plan_generation_at,
+        "promo_match": t.promo_match,
+        "skus_available_at": lambda wh: t.skus_available_at(wh, "1995-01", "1995-12"),
+        "snapshot_stability": lambda wh: t.snapshot_stability(
+            wh, lambda w: subscriptions.churn_by_segment_quarter(w, *Y1999), ["quarter", "segment"], at
+        ),
+        "snapshot_parity": lambda wh: t.snapshot_parity(wh, "1997-01-01", at),
+        "order_rollup_from_lines": d.order_rollup_from_lines,
+        "line_amount": d.line_amount,
+        "ratable_recognition": d.ratable_recognition,
+        "invoice_schedule": d.invoice_schedule,
+        "term_chain": d.term_chain,
+        "term_bounds_acv": d.term_bounds_acv,
+        "customer_profile_from_orders": d.customer_profile_from_orders,
+        "source_first_seen": d.source_first_seen,
+        "crosswalk_link_rules": d.crosswalk_link_rules,
+        "ticket_requester_resolution": d.ticket_requester_resolution,
+        "chronological_ids": d.chronological_ids,
+    }
+
+
+def _written_raw(wh: Warehouse) -> dict[str, DataFrame]:
+    folder = scratch_folder(wh.spark, "raw")
+    files.write_raw_tables(wh, folder)
+    return files.scan_raw_tables(wh.spark, folder)
+
+
+def _raw_counts(wh: Warehouse) -> DataFrame:
+    staged = {raw: name for name, (raw, _) in STAGING.items()}
+    return files.table_counts({staged[raw]: df for raw, df in _written_raw(wh).items()})
+
+
+def _scanned_orders(wh: Warehouse) -> DataFrame:
+    return (
+        _written_raw(wh)["app_db__orders"]
+        .groupBy("channel")
+        .agg(
+            F.count(F.lit(1)).alias("orders"),
+            F.sum(F.col("gross_amount").cast("decimal(18,2)")).cast("double").alias("gross_amount"),
+        )
+    )
+
+
+def _snapshot_counts(wh: Warehouse) -> DataFrame:
+    folder, at = scratch_folder(wh.spark, "snapshots"), "1999-06-30"
+    for as_of in ("1998-06-30", at, at):  # the repeated load must change nothing
+        files.snapshot_overwrite(wh, folder, as_of)
+    return files.table_counts({n: files.read_snapshot(wh.spark, folder, n, at) for n in STAGING})
+
+
+def _layer_sql(wh: Warehouse) -> DataFrame:
+    files.materialize_layer(wh)
+    return wh.spark.sql(
+        "SELECT channel, segment, count(*) AS orders, cast(sum(gross_amount) AS double) AS gmv "
+        "FROM fct_orders GROUP BY channel, segment"
+    )
+
+
+def _stream(wh: Warehouse) -> DataFrame:
+    folder = scratch_folder(wh.spark, "drip")
+    drip.write_change_files(wh, "invoices", f"{folder}/log")
+    return present(
+        drip.run_drip(wh, "invoices", f"{folder}/log", f"{folder}/table", f"{folder}/checkpoint", "2000-12-31")
+    )
+
+
+def _files() -> dict[str, Query]:
+    increment = ("1999-12-31", "2000-12-31")
+    return {
+        "write_raw_tables": _raw_counts,
+        "scan_raw_tables": _scanned_orders,
+        "snapshot_overwrite": _snapshot_counts,
+        "materialize_layer": _layer_sql,
+        "export_mart": lambda wh: present(
+            files.export_mart(wh, "fct_subscriptions", scratch_folder(wh.spark, "export"))
+        ),
+        "drip_feed_increment": lambda wh: present(drip.drip_feed_increment(wh, "subscriptions", *increment)),
+        "drip_feed_tickets": lambda wh: present(drip.drip_feed_increment(wh, "tickets", *increment)),
+        "drip_feed_stream": _stream,
+    }
+
+
 def catalog() -> dict[str, Query]:
     groups = (
         _staging, _marts, _revenue, _identity, _customers, _subscriptions, _marketing, _operations, _dashboards,
+        _temporal, _files,
     )
     return {name: query for group in groups for name, query in group().items()}
 

@@ -305,3 +305,14 @@ j AS (SELECT * FROM m LEFT JOIN s USING (m) LEFT JOIN o USING (m))
 SELECT 'ad_spend_by_month' AS evidence, m AS item, COALESCE(v, 0) AS value FROM j UNION ALL SELECT 'd2c_orders_by_month', m, CAST(COALESCE(n, 0) AS DOUBLE) FROM j
 UNION ALL SELECT 'new_d2c_customers_by_month', m, CAST(COALESCE(f, 0) AS DOUBLE) FROM j
 UNION ALL SELECT 'new_customer_share_of_d2c_orders_by_month', m, ROUND(CAST(f AS DOUBLE) / n, 4) FROM j
+-- cte: all_rows
+SELECT 'app_customers' AS table_name, created_date AS d FROM stg_app_customers UNION ALL SELECT 'products', introduced_date FROM stg_products
+UNION ALL SELECT 'orders', order_date FROM stg_orders UNION ALL SELECT 'order_lines', order_date FROM stg_order_lines
+UNION ALL SELECT 'plans', launched_date FROM stg_plans UNION ALL SELECT 'plan_prices', effective_date FROM stg_plan_prices
+UNION ALL SELECT 'subscriptions', term_start_date FROM stg_subscriptions UNION ALL SELECT 'invoices', billed_date FROM stg_invoices
+UNION ALL SELECT 'revenue_recognition', recognition_date FROM stg_revenue_recognition UNION ALL SELECT 'promotions', start_date FROM stg_promotions
+UNION ALL SELECT 'refunds', refund_date FROM stg_refunds UNION ALL SELECT 'suppliers', onboarded_date FROM stg_suppliers
+UNION ALL SELECT 'supplier_shipments', expected_date FROM stg_supplier_shipments UNION ALL SELECT 'ad_spend', spend_date FROM stg_ad_spend
+UNION ALL SELECT 'stripe_customers', created_date FROM stg_stripe_customers UNION ALL SELECT 'shopify_customers', created_date FROM stg_shopify_customers
+UNION ALL SELECT 'salesforce_customers', created_date FROM stg_salesforce_customers UNION ALL SELECT 'customer_id_crosswalk', linked_date FROM stg_customer_id_crosswalk
+UNION ALL SELECT 'tickets', created_date FROM stg_tickets

@@ -17,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from marketlens import config
 from marketlens.functions import MONEY, RATE, day, literal_table, money
+from marketlens.plans import derivations as dv
 from marketlens.plans.temporal import as_of_lookup
 from marketlens.sources.registry import RAW_TABLES
 
@@ -251,20 +251,13 @@ class MappedSource:
                 quantity.alias("quantity"),
                 "unit_price",
                 "discount_pct",
-                F.round(
-                    quantity.cast("decimal(10,0)") * F.col("unit_price") * (F.lit(1).cast(RATE) - F.col("discount_pct")),
-                    2,
-                ).cast(MONEY).alias("line_amount"),
+                dv.line_amount(quantity, F.col("unit_price"), F.col("discount_pct")).alias("line_amount"),
                 F.col("order_date").alias("created_at"),
             )
         )
 
     def _app_db_orders(self) -> DataFrame:
-        rollup = (
-            self.staged("order_lines")
-            .groupBy("order_id")
-            .agg(F.sum("line_amount").cast(MONEY).alias("gross_amount"))
-        )
+        rollup = dv.gross_from_lines(self.staged("order_lines"))
         marketplace = F.col("channel") == "marketplace"
         take = (F.lit("0.15").cast(RATE) + (F.col("ok") % 11).cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(RATE)
         legacy = (F.col("channel") == "d2c") & (F.col("order_date") < day(config.CHANNEL_RENAME))
@@ -280,9 +273,7 @@ class MappedSource:
                 "order_date",
                 "gross_amount",
                 "take_rate",
-                F.when(marketplace, F.round(F.col("gross_amount") * F.col("take_rate"), 2).cast(MONEY))
-                .otherwise(F.col("gross_amount"))
-                .alias("net_amount"),
+                dv.net_amount(F.col("gross_amount"), F.col("take_rate")).alias("net_amount"),
                 "promo_code",
                 F.lit(None).cast("string").alias("subscription_id"),
             )
@@ -305,26 +296,7 @@ class MappedSource:
         business = (
             self.base_orders().filter(F.col("channel") == "business_subscription").select("k", "ok", "order_date")
         )
-        # One row per customer and day, so the window below stays within the number of
-        # calendar days however many orders a customer has.
-        days = business.groupBy("k", "order_date").agg(F.min("ok").alias("first_ok"), F.max("ok").alias("last_ok"))
-        by_day = Window.partitionBy("k").orderBy("order_date")
-        days = days.select(
-            "k",
-            "order_date",
-            "last_ok",
-            F.lag("last_ok").over(by_day).alias("earlier_ok"),
-            F.lead("order_date").over(by_day).isNull().alias("last_day"),
-            F.first("order_date").over(by_day).alias("started"),
-            F.first("first_ok").over(by_day).alias("start_ok"),
-        )
-        in_day = Window.partitionBy("k", "order_date").orderBy("ok")
-        chain = (
-            business.withColumn("same_day_ok", F.lag("ok").over(in_day))
-            .join(days, ["k", "order_date"])
-            .withColumn("previous_ok", F.coalesce("same_day_ok", "earlier_ok"))
-            .withColumn("is_last", F.col("last_day") & (F.col("ok") == F.col("last_ok")))
-        )
+        chain = dv.term_chain(business, "k", "order_date", "ok")
         tiers = self.read("customer").select(
             F.col("c_custkey").alias("k"),
             F.when(F.col("c_mktsegment").isin("MACHINERY", "BUILDING"), F.lit("enterprise"))
@@ -341,8 +313,8 @@ class MappedSource:
             .join(
                 F.broadcast(offers),
                 (F.col("segment") == F.col("tier"))
-                & F.col("started").between(F.col("launched"), F.col("retired"))
-                & (F.col("slot").isNull() | (F.col("slot") == F.col("start_ok") % 2)),
+                & F.col("chain_start").between(F.col("launched"), F.col("retired"))
+                & (F.col("slot").isNull() | (F.col("slot") == F.col("chain_start_seq") % 2)),
             )
             .withColumn(
                 "seats",
@@ -355,13 +327,8 @@ class MappedSource:
             sold, self._app_db_plan_prices(), key="plan_id", date="order_date",
             since="effective_from", take=["annual_price_per_seat"], fixed=True,
         )
-        next_start = F.add_months("order_date", config.TERM_MONTHS)
-        term_end = F.date_sub(next_start, 1)
-        status = (
-            F.when(~F.col("is_last"), F.lit("renewed"))
-            .when(next_start <= day(config.TIMELINE_END), F.lit("churned"))
-            .otherwise(F.lit("active"))
-        )
+        term_end = dv.term_end(F.col("order_date"))
+        status = dv.term_status(F.col("order_date"), F.col("is_last"))
         return priced.withColumn("status", status).select(
             _id(TERM, "ok").alias("subscription_id"),
             _id(CUSTOMER, "k").alias("customer_id"),
@@ -370,9 +337,9 @@ class MappedSource:
             F.col("order_date").alias("term_start"),
             term_end.alias("term_end"),
             F.col("annual_price_per_seat").alias("price_per_seat"),
-            (F.col("seats").cast("decimal(10,0)") * F.col("annual_price_per_seat")).cast(MONEY).alias("acv"),
+            dv.term_acv(F.col("seats"), F.col("annual_price_per_seat")).alias("acv"),
             _id(ORDER, "ok").alias("order_id"),
-            F.when(F.col("previous_ok").isNotNull(), _id(TERM, "previous_ok")).alias("renewed_from_subscription_id"),
+            F.when(F.col("previous_seq").isNotNull(), _id(TERM, "previous_seq")).alias("renewed_from_subscription_id"),
             "status",
             F.when(F.col("status") == "churned", term_end).alias("cancelled_at"),
         )
@@ -381,30 +348,21 @@ class MappedSource:
         key = _key(ORDER, "order_id")
         bad = key % 25 == 0
         return (
-            self.staged("orders")
-            .filter(F.col("channel") == "business_subscription")
+            dv.invoice_schedule(self.staged("orders"))
             .select(
                 _id("inv_", key).alias("invoice_id"),
                 "order_id",
-                F.col("order_date").alias("billed_date"),
-                F.date_add("order_date", config.NET_TERMS_DAYS).alias("due_date"),
+                "billed_date",
+                "due_date",
                 F.when(~bad, F.date_add(F.col("order_date"), (27 + key % 15).cast("int"))).alias("collected_date"),
-                F.col("net_amount").alias("amount"),
+                "amount",
                 bad.alias("is_bad_debt"),
                 _id("sfc_", _key(CUSTOMER, "customer_id")).alias("salesforce_customer_id"),
             )
         )
 
     def _app_db_revenue_recognition(self) -> DataFrame:
-        orders = self.staged("orders")
-        ratable = F.col("channel") == "business_subscription"
-        months = F.when(ratable, F.sequence(F.lit(0), F.lit(config.TERM_MONTHS - 1))).otherwise(F.array(F.lit(0)))
-        share = F.when(
-            ratable, F.round(F.col("net_amount") / F.lit(config.TERM_MONTHS), 2).cast(MONEY)
-        ).otherwise(F.col("net_amount"))
-        return orders.select(
-            "order_id", "order_date", share.alias("amount"), F.explode(months).alias("m")
-        ).select("order_id", F.expr("add_months(order_date, m)").alias("recognition_date"), "amount")
+        return dv.recognition_schedule(self.staged("orders"))
 
     def _stripe_refunds(self) -> DataFrame:
         key = _key(ORDER, "order_id")
@@ -429,16 +387,7 @@ class MappedSource:
 
     # -- customers and their aliases ------------------------------------------------------
     def _app_db_customers(self) -> DataFrame:
-        canonical = F.when(F.col("channel") == config.LEGACY_D2C_LABEL, "d2c").otherwise(F.col("channel"))
-        rollup = (
-            self.staged("orders")
-            .groupBy("customer_id")
-            .agg(
-                F.min("order_date").alias("first_date"),
-                F.max(F.col("channel") == "business_subscription").alias("is_business"),
-                F.min_by(canonical, F.struct("order_date", _key(ORDER, "order_id"))).alias("first_channel"),
-            )
-        )
+        rollup = dv.customer_rollup(self.staged("orders"))
         k = F.col("c_custkey")
         account = (
             F.when(k % 67 == 3, F.lit("test")).when(k % 101 == 7, F.lit("internal")).otherwise(F.lit("customer"))
@@ -466,18 +415,13 @@ class MappedSource:
             )
         )
 
-    def _first_seen(self, *raw_channels: str) -> DataFrame:
-        return (
-            self.staged("orders")
-            .filter(F.col("channel").isin(*raw_channels))
-            .groupBy("customer_id")
-            .agg(F.min("order_date").alias("created_at"))
-            .withColumn("k", _key(CUSTOMER, "customer_id"))
-        )
+    def _first_seen(self, *channels: str) -> DataFrame:
+        seen = dv.source_first_seen(self.staged("orders"), *channels)
+        return seen.withColumn("k", _key(CUSTOMER, "customer_id"))
 
     def _stripe_aliases(self) -> DataFrame:
         """Initial Stripe id per customer plus the id of a re-created account."""
-        first = self._first_seen("direct", "d2c", "marketplace")
+        first = self._first_seen(*config.CONSUMER_CHANNELS)
         moved = F.when(F.col("k") % 16 == 5, F.expr("date_add(created_at, cast(200 + k % 300 as int))"))
         first = first.withColumn("moved_at", moved)
         old = F.struct(
@@ -499,7 +443,7 @@ class MappedSource:
         return self._stripe_aliases()
 
     def _shopify_customers(self) -> DataFrame:
-        return self._first_seen("direct", "d2c").select(
+        return self._first_seen("d2c").select(
             _id("shp_", "k").alias("shopify_customer_id"), "created_at", F.lit(True).alias("is_active")
         )
 
@@ -508,7 +452,8 @@ class MappedSource:
             _id("sfc_", "k").alias("salesforce_customer_id"), "created_at", F.lit(True).alias("is_active")
         )
 
-    def _app_db_customer_id_crosswalk(self) -> DataFrame:
+    def complete_crosswalk(self) -> DataFrame:
+        """Every alias with its customer, before any link is lost in the migration."""
         customers = self.staged("app_customers").select("app_db_customer_id", F.col("created_date").alias("app_created"))
 
         def alias(system: str, table: str, col: str, prefix: str) -> DataFrame:
@@ -519,36 +464,21 @@ class MappedSource:
                 F.col("created_date").alias("source_created"),
             )
 
-        aliases = (
-            alias("app_db", "app_customers", "app_db_customer_id", CUSTOMER)
-            .unionByName(alias("stripe", "stripe_customers", "stripe_customer_id", "cus_"))
-            .unionByName(alias("shopify", "shopify_customers", "shopify_customer_id", "shp_"))
-            .unionByName(alias("salesforce", "salesforce_customers", "salesforce_customer_id", "sfc_"))
-            .withColumn("app_db_customer_id", _id(CUSTOMER, "k"))
-        )
-        migrated = F.col("source_system").isin("shopify", "salesforce") & (
-            F.col("source_created") < day(config.IDENTITY_MIGRATION)
-        )
-        earliest = F.greatest("source_created", "app_created")
-        linked = (
-            F.when(F.col("source_system") == "app_db", F.col("source_created"))
-            .when(migrated, F.greatest(earliest, day(config.IDENTITY_MIGRATION)))
-            .otherwise(F.date_add(earliest, (F.col("k") % 31).cast("int")))
-        )
-        method = (
-            F.when(F.col("source_system") == "app_db", F.lit(config.LINK_PRIMARY))
-            .when(migrated, F.lit(config.LINK_MIGRATION))
-            .otherwise(F.lit(config.LINK_SYNC))
-        )
+        aliases = alias("app_db", "app_customers", "app_db_customer_id", CUSTOMER)
+        for system, prefix in (("stripe", "cus_"), ("shopify", "shp_"), ("salesforce", "sfc_")):
+            aliases = aliases.unionByName(alias(system, f"{system}_customers", f"{system}_customer_id", prefix))
+        system, created = F.col("source_system"), F.col("source_created")
         return (
-            aliases.filter(~(migrated & (F.col("k") % 8 == 2)))
+            aliases.withColumn("app_db_customer_id", _id(CUSTOMER, "k"))
             .join(customers, "app_db_customer_id")
-            .select(
-                "source_system", "source_customer_id", "app_db_customer_id",
-                linked.alias("linked_at"), method.alias("link_method"),
-            )
+            .withColumn("linked_at", dv.linked_date(system, created, F.col("app_created"), F.col("k") % 31))
+            .withColumn("link_method", dv.link_method(system, created))
         )
 
+    def _app_db_customer_id_crosswalk(self) -> DataFrame:
+        lost = dv.is_migrated(F.col("source_system"), F.col("source_created")) & (F.col("k") % 8 == 2)
+        return self.complete_crosswalk().filter(~lost)
+
     # -- media and support ------------------------------------------------------------------
     def _ads_daily_spend(self) -> DataFrame:
         platform = F.element_at(
@@ -611,12 +541,7 @@ class MappedSource:
         )
         for side in (segments, salesforce, firsts, terms):
             who = who.join(side, "customer_id", "left")
-        business = F.col("segment").isin("smb", "enterprise")
-        system = (
-            F.when(business & F.col("sf_id").isNotNull(), F.lit("salesforce"))
-            .when(~business & F.col("stripe_customer_id").isNotNull(), F.lit("stripe"))
-            .otherwise(F.lit("app_db"))
-        )
+        system = dv.requester_system(F.col("segment"), F.col("sf_id"), F.col("stripe_customer_id"))
         resolved = F.expr("date_add(created_at, cast(event_id % 15 as int))")
         resolved = F.when(resolved <= day(config.TIMELINE_END), resolved)
         slot = F.col("event_id") % 20

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _LOCAL_FOLDERS[app].name
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared one, for tables a query writes and reads back."""
+    root = shared_folder(spark)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{root}/marketlens/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
 class TableStore:
     """Write-once tables of one application over one input folder."""
 
