@@ -269,10 +269,15 @@ def _temporal() -> dict[str, Query]:
     }
 
 
+_RAW_FOLDERS: dict[int, str] = {}
+
+
 def _written_raw(wh: Warehouse) -> dict[str, DataFrame]:
-    folder = scratch_folder(wh.spark, "raw")
-    files.write_raw_tables(wh, folder)
-    return files.scan_raw_tables(wh.spark, folder)
+    """The raw tables of a warehouse, written once and scanned back."""
+    if id(wh) not in _RAW_FOLDERS:
+        _RAW_FOLDERS[id(wh)] = scratch_folder(wh.spark, "raw")
+        files.write_raw_tables(wh, _RAW_FOLDERS[id(wh)])
+    return files.scan_raw_tables(wh.spark, _RAW_FOLDERS[id(wh)])
 
 
 def _raw_counts(wh: Warehouse) -> DataFrame:
@@ -293,9 +298,9 @@ def _scanned_orders(wh: Warehouse) -> DataFrame:
 
 def _snapshot_counts(wh: Warehouse) -> DataFrame:
     folder, at = scratch_folder(wh.spark, "snapshots"), "1999-06-30"
-    for as_of in ("1998-06-30", at, at):  # the repeated load must change nothing
+    for as_of in ("1998-06-30", at):  # the second load leaves the first one in place
         files.snapshot_overwrite(wh, folder, as_of)
-    return files.table_counts({n: files.read_snapshot(wh.spark, folder, n, at) for n in STAGING})
+    return files.table_counts({n: files.read_snapshot(wh, folder, n, at) for n in STAGING})
 
 
 def _layer_sql(wh: Warehouse) -> DataFrame:
@@ -330,10 +335,82 @@ def _files() -> dict[str, Query]:
     }
 
 
+def _traps(wh: Warehouse) -> DataFrame:
+    """The wrong paths of ten metrics and whether each differs from the right value."""
+    c, ratio = reconcile.trap_rows, config.RATIO_TOLERANCE
+    get = catalog()
+    parts = [
+        c(name, get[name](wh), wrong, tolerance)
+        for name, wrong, tolerance in (
+            ("revenue_measure", [f"wrong_{m}" for m in config.MEASURES if m != "recognized_revenue"], config.USD_TOLERANCE),
+            ("orders_count", ["staging_including_test_and_internal"], 0),
+            ("current_customers", CURRENT_WRONG, 0),
+            ("new_customers", ["profiles_created", "first_order_per_channel"], 0),
+            ("multi_channel_customers", ["raw_channel_labels"], 0),
+            ("active_subscribers", ["status_active", "current_generation_only", "seats"], 0),
+            ("renewal_rate", ["acv_weighted", "renewal_share_of_terms_started"], ratio),
+            ("new_subscriptions", ["all_terms_started"], 0),
+            ("gmv_of_orders_with_category", ["summed_per_matching_line", "category_line_amount_only"], config.USD_TOLERANCE),
+            ("open_tickets_at", ["status_open_at_snapshot", "created_in_month"], 0),
+        )
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+CURRENT_WRONG = ["including_test_and_internal", "sum_of_channel_counts", "all_profiles_created"]
+
+
+def _quality() -> dict[str, Query]:
+    q, at = quality, config.SNAPSHOT
+    return {
+        "dq_unique": q.dq_unique,
+        "dq_not_null": q.dq_not_null,
+        "dq_accepted_values": q.dq_accepted_values,
+        "dq_relationships": q.dq_relationships,
+        **{test: (lambda wh, test=test: q.summary(wh, test)) for test in q.SINGULAR},
+        "dq_revenue_exclusion": lambda wh: q.dq_revenue_exclusion(wh, *Q1),
+        "dq_join_preserves_metrics": lambda wh: q.dq_join_preserves_metrics(wh, *Q1),
+        "dq_no_future_rows": lambda wh: q.dq_no_future_rows(wh, "1999-06-30"),
+        "dq_identity_contract": q.dq_identity_contract,
+        "table_fingerprint": q.table_fingerprint,
+        "fingerprint_diff": lambda wh: q.fingerprint_diff(q.table_fingerprint(wh), q.table_fingerprint(wh.as_of(at))),
+        "metric_reconcile": lambda wh: reconcile.reconcile(
+            revenue.five_revenues_by_quarter(wh, "1998-01-01", at).drop("recognized_minus_gmv"),
+            revenue.five_revenues_from_tables(wh, "1998-01-01", at),
+            ["quarter"],
+        ),
+        "trap_bites": _traps,
+        "accepted_alternative_check": lambda wh: reconcile.accepted_alternative(
+            "current_customers", customers.current_customers(wh, *LTM), "window_ending_prior_month", CURRENT_WRONG
+        ),
+    }
+
+
+def _gold(wh: Warehouse) -> DataFrame:
+    """Distinctive numbers of four metric results."""
+    get = catalog()
+    results = ("five_revenues_by_quarter", "category_gross_margin_by_year", "monthly_marketing", "monthly_subscriptions")
+    return textscan.gold_numbers([get[name](wh).drop("year") for name in results])
+
+
+def _text() -> dict[str, Query]:
+    t = textscan
+    rules = (*config.FORBIDDEN_PATHS, "*.html", "fr/*")
+    return {
+        "gold_number_collect": _gold,
+        "gold_number_leak_scan": lambda wh: t.scan_numbers(wh.source.read("documents"), "doc_id", "text", _gold(wh)),
+        "path_pattern_scan": lambda wh: t.path_pattern_scan(wh.source.read("pages"), rules),
+        "word_overlap_topk": lambda wh: t.word_overlap_topk(wh.source.read("documents"), wh.source.read("benchmark")),
+    }
+
+
 def catalog() -> dict[str, Query]:
     groups = (
         _staging, _marts, _revenue, _identity, _customers, _subscriptions, _marketing, _operations, _dashboards,
-        _temporal, _files,
+        _temporal, _files, _quality, _text,
     )
     return {name: query for group in groups for name, query in group().items()}
 

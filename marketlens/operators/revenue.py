@@ -31,6 +31,7 @@ from marketlens.functions import (
     usd,
 )
 from marketlens.functions.spines import side_by_side, spine
+from marketlens.plans.marts import revenue_tables
 from marketlens.plans.warehouse import Warehouse
 
 
@@ -155,6 +156,45 @@ def five_revenues_by_quarter(wh: Warehouse, start: str, end: str) -> DataFrame:
     )
 
 
+def five_revenues_from_tables(wh: Warehouse, start: str, end: str) -> DataFrame:
+    """The five revenues per quarter straight from the four revenue tables.
+
+    A second derivation next to ``fct_revenue``, for reconciling the two.
+    """
+    t = revenue_tables(wh)
+    consumer = F.col("channel") != "business_subscription"
+
+    def per_quarter(df: DataFrame, date_column: str, **sums: Column) -> DataFrame:
+        return (
+            df.filter(between_days(date_column, start, end))
+            .groupBy(quarter_key(date_column).alias("quarter"))
+            .agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+        )
+
+    parts = (
+        per_quarter(
+            t["orders"], "order_date", gross=F.col("gross_amount"), net=F.col("net_amount"),
+            paid=F.when(consumer, F.col("net_amount")),
+        ),
+        per_quarter(t["refunds"], "refund_date", refunds=F.col("refund_amount")),
+        per_quarter(t["invoices"], "billed_date", billed=F.col("amount")),
+        per_quarter(t["invoices"], "collected_date", collected=F.col("amount")),
+        per_quarter(t["revenue_recognition"], "recognition_date", recognized=F.col("amount")),
+    )
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.join(part, "quarter", "full_outer")
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select(
+        "quarter",
+        usd(z("gross")).alias("gmv"),
+        usd(z("net") - z("refunds")).alias("net_revenue"),
+        usd(z("recognized")).alias("recognized_revenue"),
+        usd(z("paid") + z("billed")).alias("billed_revenue"),
+        usd(z("paid") + z("collected") - z("refunds")).alias("collected_cash"),
+    )
+
+
 # -- orders and channels -----------------------------------------------------------------------
 def orders_count(wh: Warehouse, start: str, end: str) -> DataFrame:
     o = orders_with_account(wh).filter(between_days("order_date", start, end))

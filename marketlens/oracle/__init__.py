@@ -49,5 +49,7 @@ def queries() -> dict[str, str]:
     for path in sorted(_HERE.glob("*.sql")):
         if path.name != "base.sql":
             out.update(_blocks(path.read_text(), "query"))
-    return {name: with_base(sql) for name, sql in out.items()}
+    # @name stands for another query of this folder, as a subquery
+    expand = lambda sql: re.sub(r"@(\w+)", lambda m: f"({expand(out[m.group(1)])})", sql)
+    return {name: with_base(expand(sql)) for name, sql in out.items()}
 

@@ -1,5 +1,5 @@
 -- query: visible_as_of
-SELECT table_name, COUNT(*) AS rows, MIN(d) AS first_arrival, MAX(d) AS last_arrival FROM (
+SELECT table_name, COUNT(*) FILTER (v) AS rows, MIN(d) FILTER (v) AS first_arrival, MAX(d) FILTER (v) AS last_arrival FROM (SELECT *, d <= DATE '1999-06-30' AS v FROM (
 SELECT 'app_db__customers' AS table_name, created_date AS d FROM stg_app_customers UNION ALL SELECT 'app_db__products', introduced_date FROM stg_products
 UNION ALL SELECT 'app_db__orders', order_date FROM stg_orders UNION ALL SELECT 'app_db__order_lines', order_date FROM stg_order_lines
 UNION ALL SELECT 'app_db__plans', launched_date FROM stg_plans UNION ALL SELECT 'app_db__plan_prices', effective_date FROM stg_plan_prices
@@ -9,7 +9,7 @@ UNION ALL SELECT 'stripe__refunds', refund_date FROM stg_refunds UNION ALL SELEC
 UNION ALL SELECT 'erp__supplier_shipments', expected_date FROM stg_supplier_shipments UNION ALL SELECT 'ads__daily_spend', spend_date FROM stg_ad_spend
 UNION ALL SELECT 'stripe__customers', created_date FROM stg_stripe_customers UNION ALL SELECT 'shopify__customers', created_date FROM stg_shopify_customers
 UNION ALL SELECT 'salesforce__customers', created_date FROM stg_salesforce_customers UNION ALL SELECT 'app_db__customer_id_crosswalk', linked_date FROM stg_customer_id_crosswalk
-UNION ALL SELECT 'zendesk__tickets', created_date FROM stg_tickets) WHERE d <= DATE '1999-06-30' GROUP BY 1
+UNION ALL SELECT 'zendesk__tickets', created_date FROM stg_tickets)) GROUP BY 1
 -- query: mask_invoices
 SELECT * REPLACE (CASE WHEN collected_date <= DATE '1999-06-30' THEN collected_date END AS collected_date, CAST(amount AS DOUBLE) AS amount)
 FROM stg_invoices WHERE billed_date <= DATE '1999-06-30'
@@ -118,7 +118,7 @@ SELECT table_name, COUNT(*) AS rows FROM all_rows GROUP BY 1
 -- query: scan_raw_tables
 SELECT CASE channel WHEN 'direct' THEN 'd2c' ELSE channel END AS channel, COUNT(*) AS orders, CAST(SUM(gross_amount) AS DOUBLE) AS gross_amount FROM stg_orders GROUP BY 1
 -- query: snapshot_overwrite
-SELECT table_name, COUNT(*) AS rows FROM all_rows WHERE d <= DATE '1999-06-30' GROUP BY 1
+SELECT table_name, COUNT(*) FILTER (d <= DATE '1999-06-30') AS rows FROM all_rows GROUP BY 1
 -- query: materialize_layer
 SELECT channel, segment, COUNT(*) AS orders, CAST(SUM(gross_amount) AS DOUBLE) AS gmv FROM fct_orders GROUP BY 1, 2
 -- query: export_mart

@@ -51,8 +51,10 @@ def snapshot_overwrite(wh: Warehouse, folder: str, as_of: str) -> None:
         )
 
 
-def read_snapshot(spark: SparkSession, folder: str, name: str, as_of: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}")
+def read_snapshot(wh: Warehouse, folder: str, name: str, as_of: str) -> DataFrame:
+    """One loaded snapshot of a staged table (empty when nothing was visible by then)."""
+    schema = T.StructType([*wh.stg(name).schema.fields, T.StructField("as_of", T.DateType())])
+    df = wh.spark.read.schema(schema).parquet(f"{folder}/{name}")
     return df.filter(F.col("as_of") == F.lit(as_of).cast("date")).drop("as_of")
 
 
