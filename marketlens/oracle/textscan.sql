@@ -6,7 +6,6 @@ UNION ALL SELECT v FROM (UNPIVOT (SELECT CAST(COLUMNS(* EXCLUDE (month)) AS DOUB
 SELECT DISTINCT CASE WHEN v = floor(v) THEN CAST(CAST(v AS HUGEINT) AS VARCHAR) ELSE CAST(CAST(v AS DECIMAL(38,2)) AS VARCHAR) END AS number
 FROM v WHERE (v = floor(v) AND ABS(v) >= 1000) OR (v <> floor(v) AND ABS(v) >= 100)
 -- query: gold_number_leak_scan
--- A number starts a run of word characters, dots and commas, and ends before a non-word one.
 WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')) AS run FROM documents),
 n AS (SELECT doc_id, replace(regexp_extract(run, '^(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(?:$|[^\p{L}\p{N}_])', 1), ',', '') AS w,
              regexp_extract(run, '^(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(?:$|[^\p{L}\p{N}_])', 2) AS f FROM r),
@@ -25,9 +24,8 @@ WHERE split_part(path, '/', -1) IN ('CLAUDE.md', 'CLAUDE.local.md', 'AGENTS.md',
 UNION ALL SELECT page_id, path, 'instruction-file', 'agent configuration directory' FROM s
 WHERE list_has_any(string_split(path, '/')[:-2], ['.claude', '.codex', '.gemini', '.cursor', '.github'])
 -- query: word_overlap_topk
-WITH stop AS (SELECT string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' ') AS s),
-dw AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains((SELECT s FROM stop), t)) AS w FROM documents),
-iw AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains((SELECT s FROM stop), t)) AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains(string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' '), t)) AS w FROM documents),
+iw AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains(string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' '), t)) AS w FROM benchmark),
 sc AS (SELECT doc_id, item_id, CAST(len(list_intersect(dw.w, iw.w)) AS BIGINT) AS shared, len(dw.w) AS a, len(iw.w) AS b FROM dw, iw),
 rk AS (SELECT *, COALESCE(CAST(shared AS DOUBLE) / NULLIF(a + b - shared, 0), 0) AS o FROM sc),
 tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY o DESC, item_id) AS rank FROM rk)
