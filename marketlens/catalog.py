@@ -109,6 +109,10 @@ def _identity() -> dict[str, Query]:
     i, at = identity, config.SNAPSHOT
     return {
         "identity_measures": lambda wh: i.identity_measures(wh, at, *Y2000),
+        "identity": lambda wh: i.identity(
+            wh, "resolution_null_rate", at, *Y2000, ["unresolved_source_id_count"],
+            ["inner_join_retained_source_id_count", "naive_distinct_source_id_count"],
+        ),
         "identity_ordered_customers": lambda wh: i.identity(
             wh, "ordered_canonical_customer_count", at, *Y2000, [],
             ["ordered_customer_count_including_test_internal", "observed_source_id_count",

@@ -136,3 +136,7 @@ SELECT requester_source_system AS source_system, COUNT(*) AS tickets, MIN(create
        MAX(created_date) AS last_created_date FROM unlinked GROUP BY 1
 -- query: zendesk_tickets_unlinked_by_month
 SELECT strftime(created_date, '%Y-%m') AS month, COUNT(*) AS tickets FROM unlinked GROUP BY 1
+-- query: identity
+WITH i AS (SELECT source_customer_id AS id, COALESCE(linked_date <= DATE '2001-06-30', false) AS ok FROM int_customer_identity WHERE source_created_date <= DATE '2001-06-30')
+SELECT ROUND(CAST(COUNT(*) FILTER (NOT ok) AS DOUBLE) / COUNT(*), 6) AS value, COUNT(*) FILTER (NOT ok) AS unresolved_source_id_count,
+       COUNT(*) FILTER (ok) AS wrong_inner_join_retained_source_id_count, COUNT(DISTINCT id) AS wrong_naive_distinct_source_id_count FROM i
