@@ -93,28 +93,21 @@ def path_pattern_scan(pages: DataFrame, forbidden: Sequence[str] = config.FORBID
 def word_overlap_topk(docs: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """For every document the ``k`` items with the highest word overlap (Jaccard).
 
-    Tokens meet through an inverted index, and the pair counts combine map-side before the
-    shuffle. Documents with fewer than ``k`` overlapping items are filled up with the first
-    items in id order at overlap zero, as a full ranking would; the first ``2k - 1`` items
-    are always enough for that.
+    Tokens meet through an inverted index of the items. Documents are first placed by id, so
+    the pair counts and the ranking of a document happen where its tokens are: one shuffle
+    of the token lists, none of the pairs. Documents with fewer than ``k`` overlapping items are
+    filled up with the first items in id order at overlap zero, as a full ranking would; the
+    first ``2k - 1`` items are always enough, and join through an empty token.
     """
-    d = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("doc_words", F.size("w"))
     i = items.select("item_id", words(F.col("text")).alias("iw")).withColumn("item_words", F.size("iw"))
-    index = i.select("item_id", "item_words", F.explode("iw").alias("token"))
-    hits = (
-        d.select("doc_id", "doc_words", F.explode("w").alias("token"))
-        .join(index, "token")
-        .select("doc_id", "doc_words", "item_id", "item_words", F.lit(1).alias("hit"))
-    )
-    first_items = (
-        i.select("item_id", "item_words")
-        .orderBy("item_id")
-        .limit(2 * k - 1)
-        .agg(F.sort_array(F.collect_list(F.struct("item_id", "item_words"))).alias("first_items"))
+    first = i.select("item_id", "item_words").orderBy("item_id").limit(2 * k - 1)
+    index = i.select("item_id", "item_words", F.explode("iw").alias("token"), F.lit(1).alias("hit")).unionByName(
+        first.select("item_id", "item_words", F.lit("").alias("token"), F.lit(0).alias("hit"))
     )
-    fill = d.select("doc_id", "doc_words", F.inline(first_items.scalar())).withColumn("hit", F.lit(0))
+    d = docs.select("doc_id", words(F.col("text")).alias("w")).repartition("doc_id")
     pairs = (
-        hits.unionByName(fill)
+        d.select("doc_id", F.size("w").alias("doc_words"), F.explode(F.array_append("w", F.lit(""))).alias("token"))
+        .join(index, "token")
         .groupBy("doc_id", "doc_words", "item_id", "item_words")
         .agg(F.sum("hit").alias("shared"))
     )
