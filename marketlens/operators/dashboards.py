@@ -210,4 +210,4 @@ def business_monthly_by_period(wh: Warehouse) -> DataFrame:
     """The monthly series once per dashboard period that shows it."""
     periods = period_bounds(wh).select("period", "start_date", "end_date")
     shown = F.col("month").between(F.col("start_date"), F.col("end_date"))
-    return business_monthly(wh).join(F.broadcast(periods), shown).drop("start_date", "end_date")
+    return business_monthly(wh).join(periods, shown).drop("start_date", "end_date")

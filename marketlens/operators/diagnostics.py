@@ -132,7 +132,7 @@ def event_price_increase(
     Terms are not filtered by account type here, as in the event reports.
     """
     current = wh.stg("plans").filter(F.col("plan_generation") == config.CURRENT_GENERATION).select("plan_id")
-    prices = wh.stg("plan_prices").join(F.broadcast(current), "plan_id", "left_semi")
+    prices = wh.stg("plan_prices").join(current, "plan_id", "left_semi")
     new = wh.stg("subscriptions").filter(
         F.col("renewed_from_subscription_id").isNull() & _month_window("term_start_date", first, last)
     )

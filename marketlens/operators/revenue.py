@@ -16,7 +16,6 @@ from pyspark.sql.window import Window
 from marketlens import config
 from marketlens.functions import (
     between_days,
-    canonical_channel,
     count_when,
     day,
     labelled,
@@ -49,15 +48,9 @@ def measure_sums(wh: Warehouse, **windows: tuple[str, str]) -> DataFrame:
 
 
 def orders_with_account(wh: Warehouse) -> DataFrame:
-    """Every order, filtered or not, with its account type and both channel labels."""
-    accounts = wh.stg("app_customers").select(F.col("app_db_customer_id").alias("customer_id"), "account_type")
-    return (
-        wh.stg("orders")
-        .join(accounts, "customer_id")
-        .withColumn("channel_raw", F.col("channel"))
-        .withColumn("channel", canonical_channel("channel"))
-        .withColumn("is_real", F.col("account_type") == "customer")
-    )
+    """Every order, filtered or not, with its account type and whether it is eligible."""
+    real = F.coalesce(F.col("account_type") == "customer", F.lit(False))
+    return wh.mart("int_orders").withColumn("is_real", real)
 
 
 def _months_back(d: date, months: int) -> date:
@@ -267,7 +260,7 @@ def d2c_gmv_by_year(wh: Warehouse, first_year: int, last_year: int) -> DataFrame
     )
     zero = lambda c: usd(F.coalesce(c, F.lit(0)))
     return (
-        years.join(F.broadcast(sums), "year", "left")
+        years.join(sums, "year", "left")
         .select(
             "year",
             zero("canonical").alias("d2c_gmv"),
@@ -398,7 +391,7 @@ def orders_channel_comparison(wh: Warehouse, start: str, end: str, before: str,
 def account_type_dollars(wh: Warehouse, start: str, end: str) -> DataFrame:
     by_type = (
         orders_with_account(wh)
-        .filter(between_days("order_date", start, end))
+        .filter(between_days("order_date", start, end) & F.col("account_type").isNotNull())
         .groupBy("account_type")
         .agg(F.count(F.lit(1)).alias("orders"), F.sum("gross_amount").alias("gross"))
     )

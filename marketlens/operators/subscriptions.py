@@ -16,6 +16,7 @@ from marketlens.operators.customers import month_spine
 from marketlens.operators.revenue import _months_back
 from marketlens.plans.marts import real_customers
 from marketlens.plans.warehouse import Warehouse
+from marketlens.sources.store import cut_lineage
 
 DECIDED = ("renewed", "churned")
 _churned = lambda: F.col("status") == "churned"
@@ -243,7 +244,7 @@ def chain_roots(terms: DataFrame, longest: int) -> DataFrame:
         nxt = hops.select(F.col("subscription_id").alias("root_id"), F.col("root_id").alias("further"))
         hops = hops.join(nxt, "root_id").select("subscription_id", F.col("further").alias("root_id"))
         if round_no % 4 == 3:  # long chains only: keep the plan short
-            hops = hops.checkpoint()
+            hops = cut_lineage(hops)
     return hops
 
 
@@ -389,7 +390,7 @@ def legacy_subscribers_migration(wh: Warehouse, at: str, generation: int, mappin
     offers = _migration(wh, mapping).join(_prices_at(wh, at), "destination", "left")
     moved = F.col("seats").cast("decimal(10,0)") * F.col("destination_price")
     people = (
-        active.join(F.broadcast(offers), "plan_id", "left")
+        active.join(offers, "plan_id", "left")
         .groupBy("customer_id")
         .agg(
             F.max(legacy).alias("is_legacy"),

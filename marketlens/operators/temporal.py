@@ -36,7 +36,7 @@ def visible_as_of(wh: Warehouse, as_of: str) -> DataFrame:
 def price_as_of(wh: Warehouse) -> DataFrame:
     """The list price of each term's plan on its first and on its last day."""
     prices = wh.stg("plan_prices")
-    look = dict(key="plan_id", since="effective_date", take=["annual_price_per_seat"], fixed=True)
+    look = dict(key="plan_id", since="effective_date", take=["annual_price_per_seat"])
     terms = wh.stg("subscriptions").select("subscription_id", "plan_id", "term_start_date", "term_end_date")
     out = as_of_lookup(terms, prices, date="term_start_date", **look).withColumnRenamed(
         "annual_price_per_seat", "start_price"
@@ -82,7 +82,7 @@ def plan_generation_at(wh: Warehouse) -> DataFrame:
     )
     return (
         wh.stg("subscriptions")
-        .join(F.broadcast(windows), F.col("term_start_date").between(F.col("launched"), F.col("retired")), "left")
+        .join(windows, F.col("term_start_date").between(F.col("launched"), F.col("retired")), "left")
         .select("subscription_id", "term_start_date", n("generation_on_sale").alias("generation_on_sale"))
     )
 

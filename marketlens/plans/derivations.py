@@ -58,34 +58,37 @@ def invoice_schedule(orders: DataFrame) -> DataFrame:
 
 
 # -- subscriptions --------------------------------------------------------------------------------------
-def term_chain(terms: DataFrame, customer: str, start: str, seq: str) -> DataFrame:
+def term_chain(terms: DataFrame, customer: str, start: str, seq: str, width: int = 1_000_000) -> DataFrame:
     """Link every term to the customer's previous one and mark the last.
 
-    Adds ``previous_seq``, ``is_last``, ``chain_start`` and ``chain_start_seq``. Terms are first
-    reduced to one row per customer and day, so the window over a customer is bounded by
-    the calendar however many terms it holds; a second window orders the terms of one day.
+    Adds ``previous_seq``, ``is_last``, ``chain_start`` and ``chain_start_seq``. Terms fall into cells
+    of one customer, one day and ``width`` consecutive numbers. A window links the terms of a
+    cell and another one links the cells of a customer, so neither holds all the terms of a
+    customer, however many there are.
     """
-    by_day = Window.partitionBy(customer).orderBy(start)
-    days = (
-        terms.groupBy(customer, start)
+    terms = terms.withColumn("_cell", F.floor(F.col(seq) / F.lit(width)))
+    by_cell = Window.partitionBy(customer).orderBy(start, "_cell")
+    cells = (
+        terms.groupBy(customer, start, "_cell")
         .agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
         .select(
             customer,
             start,
+            "_cell",
             "_last",
-            F.lag("_last").over(by_day).alias("_earlier"),
-            F.lead(start).over(by_day).isNull().alias("_last_day"),
-            F.first(start).over(by_day).alias("chain_start"),
-            F.first("_first").over(by_day).alias("chain_start_seq"),
+            F.lag("_last").over(by_cell).alias("_earlier"),
+            F.lead("_last").over(by_cell).isNull().alias("_last_cell"),
+            F.first(start).over(by_cell).alias("chain_start"),
+            F.first("_first").over(by_cell).alias("chain_start_seq"),
         )
     )
-    same_day = Window.partitionBy(customer, start).orderBy(seq)
+    in_cell = Window.partitionBy(customer, start, "_cell").orderBy(seq)
     return (
-        terms.withColumn("_same_day", F.lag(seq).over(same_day))
-        .join(days, [customer, start])
-        .withColumn("previous_seq", F.coalesce("_same_day", "_earlier"))
-        .withColumn("is_last", F.col("_last_day") & (F.col(seq) == F.col("_last")))
-        .drop("_same_day", "_earlier", "_last", "_last_day")
+        terms.withColumn("_before", F.lag(seq).over(in_cell))
+        .join(cells, [customer, start, "_cell"])
+        .withColumn("previous_seq", F.coalesce("_before", "_earlier"))
+        .withColumn("is_last", F.col("_last_cell") & (F.col(seq) == F.col("_last")))
+        .drop("_cell", "_before", "_earlier", "_last", "_last_cell")
     )
 
 

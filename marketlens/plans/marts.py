@@ -181,21 +181,20 @@ def dim_date(wh: Warehouse) -> DataFrame:
 
 
 # -- facts ----------------------------------------------------------------------------------
-def fct_orders(wh: Warehouse) -> DataFrame:
-    """Eligible orders at canonical channel grain with the day-grained first-order flag.
+def int_orders(wh: Warehouse) -> DataFrame:
+    """Every order with its account type, both channel labels and the first-order flag.
 
-    The first date comes from a pre-aggregated rollup joined to the customers, not from a
-    window over the customer, so one very large customer cannot fill a task.
+    One stored table serves the eligible orders and the unfiltered readings. The first date
+    comes from a pre-aggregated rollup joined to the customers, not from a window over the
+    customer, so one very large customer cannot fill a task.
     """
     first = wh.stg("orders").groupBy("customer_id").agg(F.min("order_date").alias("first_order_date"))
-    customers = (
-        real_customers(wh)
-        .select(F.col("app_db_customer_id").alias("customer_id"), "segment")
-        .join(first, "customer_id")
+    profiles = wh.stg("app_customers").select(
+        F.col("app_db_customer_id").alias("customer_id"), "segment", "account_type"
     )
     return (
         wh.stg("orders")
-        .join(customers, "customer_id")
+        .join(first.join(profiles, "customer_id", "left"), "customer_id")
         .select(
             "order_id",
             "customer_id",
@@ -209,10 +208,16 @@ def fct_orders(wh: Warehouse) -> DataFrame:
             "promo_code",
             "subscription_id",
             (F.col("order_date") == F.col("first_order_date")).alias("is_first_order"),
+            "account_type",
         )
     )
 
 
+def fct_orders(wh: Warehouse) -> DataFrame:
+    """Eligible orders at canonical channel grain with the day-grained first-order flag."""
+    return wh.mart("int_orders").filter(F.col("account_type") == "customer").drop("account_type")
+
+
 def fct_order_lines(wh: Warehouse) -> DataFrame:
     orders = wh.mart("fct_orders").select("order_id", "customer_id", "channel")
     products = wh.stg("products").select("sku", "category", "supplier_id", "unit_cost")
@@ -324,10 +329,10 @@ MARTS = {
     f.__name__: f
     for f in (
         int_customer_identity, fct_identity_resolution_quality, dim_customers, dim_products, dim_plans, dim_date,
-        fct_orders, fct_order_lines, fct_revenue, revenue_daily, fct_subscriptions, fct_marketing_spend,
+        int_orders, fct_orders, fct_order_lines, fct_revenue, revenue_daily, fct_subscriptions, fct_marketing_spend,
     )
 }
 # Marts that many metrics read and that need a shuffle to build.
 STORED_MARTS = frozenset(
-    {"int_customer_identity", "dim_customers", "fct_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions"}
+    {"int_customer_identity", "dim_customers", "int_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions"}
 )

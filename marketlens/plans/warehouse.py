@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +18,14 @@ from marketlens.sources.store import TableStore
 
 # Tables of fixed values: cheaper to keep as literals than to store.
 _FIXED = frozenset({"plans", "plan_prices", "promotions"})
+# Large fact tables and the date their metrics select on.
+_CLUSTERED = {
+    "stg_orders": "order_date",
+    "stg_order_lines": "order_date",
+    "stg_revenue_recognition": "recognition_date",
+    "int_orders": "order_date",
+    "fct_order_lines": "order_date",
+}
 _OPEN: dict[tuple[str, str], Warehouse] = {}
 
 
@@ -38,6 +49,7 @@ class Warehouse:
         self._staged = staged
         self.store = store
         self._memo: dict[str, DataFrame] = {}
+        self._locks: defaultdict[str, RLock] = defaultdict(RLock)
 
     # -- ways in -----------------------------------------------------------------------
     @classmethod
@@ -57,11 +69,21 @@ class Warehouse:
         """A lazy warehouse over raw tables given by name."""
         return cls(spark, tables.__getitem__)
 
+    @classmethod
+    def open_raw(cls, spark: SparkSession, folder: str) -> Warehouse:
+        """The warehouse over 19 raw tables already written as Parquet folders."""
+        from marketlens.sources.files import scan_raw_tables
+
+        tables = scan_raw_tables(spark, folder, canonical=False)
+        return cls(spark, tables.__getitem__, store=TableStore(spark, f"raw:{folder}"))
+
     # -- tables ------------------------------------------------------------------------
     def _get(self, name: str, build: Callable[[], DataFrame], stored: bool) -> DataFrame:
-        if name not in self._memo:
+        with self._locks[name]:
+            if name in self._memo:
+                return self._memo[name]
             keep = stored and self.store is not None
-            self._memo[name] = self.store.table(name, build) if keep else build()
+            self._memo[name] = self.store.table(name, build, _CLUSTERED.get(name)) if keep else build()
         return self._memo[name]
 
     def raw(self, name: str) -> DataFrame:
@@ -78,6 +100,18 @@ class Warehouse:
     def raw_tables(self) -> dict[str, DataFrame]:
         return {name: self.raw(name) for name in RAW_TABLES}
 
+    def build(self, workers: int = 6) -> None:
+        """Derive and store every staged table and heavy mart, independent ones side by side.
+
+        A table waits for the tables it needs; concurrent jobs keep executors busy while small
+        tables finish.
+        """
+        with ThreadPoolExecutor(workers) as pool:
+            jobs = [pool.submit(self.stg, name) for name in STAGING]
+            jobs += [pool.submit(self.mart, name) for name in sorted(STORED_MARTS)]
+            for job in jobs:
+                job.result()
+
     # -- snapshots ---------------------------------------------------------------------
     def as_of(self, date: str) -> Warehouse:
         """The warehouse as it looked at the end of ``date``."""

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -41,6 +42,17 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root}/marketlens/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder; a cluster without one keeps the lineage."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if folder is None:
+        return df
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 class TableStore:
     """Write-once tables of one application over one input folder."""
 
@@ -52,12 +64,22 @@ class TableStore:
         self.root = f"{root}/marketlens/{app}/{digest}" if root else None
         self._ready: dict[str, DataFrame] = {}
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(self, name: str, build: Callable[[], DataFrame], cluster: str | None = None) -> DataFrame:
+        """Build and store a table on first use; ``cluster`` names its date column.
+
+        Clustered tables are rebalanced by month and sorted by date within each file, so a date
+        window skips files and row groups by their statistics. Rebalancing evens out file
+        sizes at run time: a month with a third of all rows is split over many tasks.
+        """
         if name not in self._ready:
             df = build()
             if self.root:
                 path = f"{self.root}/{name}"
-                df.write.mode("overwrite").parquet(path)
+                out = df
+                if cluster:
+                    month = df.withColumn("_month", F.trunc(cluster, "MM"))
+                    out = month.hint("rebalance", "_month").sortWithinPartitions(cluster).drop("_month")
+                out.write.mode("overwrite").parquet(path)
                 df = self.spark.read.schema(df.schema).parquet(path)
             self._ready[name] = df
         return self._ready[name]

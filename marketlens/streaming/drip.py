@@ -80,8 +80,12 @@ def drip_feed_increment(wh: Warehouse, name: str, after: str, upto: str) -> Data
 
 
 # -- as a stream ---------------------------------------------------------------------------------------
-def write_change_files(wh: Warehouse, name: str, folder: str) -> None:
-    change_log(wh, name).write.mode("overwrite").parquet(folder)
+def append_change_files(wh: Warehouse, name: str, folder: str, after: str | None, upto: str) -> None:
+    """Add the changes that became known in ``(after, upto]`` as new files of the log."""
+    known = F.col(KNOWN) <= day(upto)
+    if after:
+        known = known & (F.col(KNOWN) > day(after))
+    change_log(wh, name).filter(known).write.mode("append").parquet(folder)
 
 
 def apply_changes(spark: SparkSession, target: str, key: list[str], batch: DataFrame) -> None:
@@ -109,20 +113,19 @@ def apply_changes(spark: SparkSession, target: str, key: list[str], batch: DataF
     )
 
 
-def run_drip(wh: Warehouse, name: str, log: str, target: str, checkpoint: str, upto: str) -> DataFrame:
-    """Feed the change files known by ``upto`` into the target and return the table."""
+def run_drip(
+    wh: Warehouse, name: str, log: str, target: str, checkpoint: str, files_per_batch: int = 1000
+) -> DataFrame:
+    """Feed the change files not seen yet into the target and return the table."""
     key, _, _ = _columns(name)
     spark = wh.spark
     schema = change_log(wh, name).schema
-    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(log)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log)
     query = (
-        feed.filter(F.col(KNOWN) <= day(upto))
-        .writeStream.foreachBatch(lambda batch, _: apply_changes(spark, target, key, batch))
+        feed.writeStream.foreachBatch(lambda batch, _: apply_changes(spark, target, key, batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     return spark.read.schema(schema).parquet(target).select(*wh.stg(name).columns)
-
-

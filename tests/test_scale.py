@@ -24,12 +24,13 @@ def _rows(n, hot_share=0.4, seed=7):
     return rows
 
 
-def test_term_chain_with_a_hot_customer(spark):
+@pytest.mark.parametrize("width", [1, 50, 1_000_000])
+def test_term_chain_with_a_hot_customer(spark, width):
     rows = _rows(3000)
     got = {
         r["seq"]: (r["previous_seq"], r["is_last"], r["chain_start"], r["chain_start_seq"])
         for r in dv.term_chain(
-            spark.createDataFrame(rows, "who string, start date, seq long"), "who", "start", "seq"
+            spark.createDataFrame(rows, "who string, start date, seq long"), "who", "start", "seq", width
         ).collect()
     }
     by_customer = {}
