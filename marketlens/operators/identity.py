@@ -61,9 +61,6 @@ def identity_measures(wh: Warehouse, as_of: str, start: str, end: str) -> DataFr
     real = real_customers(snap).select(F.col("app_db_customer_id").alias("customer_id"), F.lit(True).alias("real"))
     rollup = rollup.join(real, "customer_id", "left").withColumn("real", F.coalesce("real", F.lit(False)))
     multi = F.col("systems") >= 2
-    customers = rollup.agg(
-        F.count(F.lit(1)).alias("canonical"), count_when(multi & F.col("real")).alias("multi_source")
-    )
     placed = (
         orders_with_account(snap)
         .groupBy("customer_id", "is_real")
@@ -72,21 +69,24 @@ def identity_measures(wh: Warehouse, as_of: str, start: str, end: str) -> DataFr
             sum_when(between_days("order_date", start, end), "gross_amount").alias("gross"),
         )
     )
-    ordered = placed.agg(count_when(F.col("is_real")).alias("ordered"), F.count(F.lit(1)).alias("ordered_all"))
-    joined = placed.join(rollup.filter(multi), "customer_id")
-    real_rows = F.col("real")
-    dollars = joined.agg(
-        F.sum(F.when(real_rows, F.col("orders"))).alias("safe_orders"),
-        sum_when(real_rows, "gross").alias("safe_gmv"),
-        F.sum(F.when(real_rows, F.col("orders") * F.col("aliases"))).alias("fan_rows"),
-        F.sum(F.when(real_rows, F.col("gross") * F.col("aliases").cast("decimal(10,0)"))).alias("fan_gmv"),
-        F.sum("gross").alias("all_gmv"),
+    # One full outer join of two per-customer tables serves every customer and order figure.
+    good = multi & F.col("real")
+    people = rollup.join(placed, "customer_id", "full_outer").agg(
+        F.count("aliases").alias("canonical"),
+        count_when(good).alias("multi_source"),
+        count_when(F.col("is_real")).alias("ordered"),
+        F.count("is_real").alias("ordered_all"),
+        F.sum(F.when(good, F.col("orders"))).alias("safe_orders"),
+        sum_when(good, "gross").alias("safe_gmv"),
+        F.sum(F.when(good, F.col("orders") * F.col("aliases"))).alias("fan_rows"),
+        F.sum(F.when(good, F.col("gross") * F.col("aliases").cast("decimal(10,0)"))).alias("fan_gmv"),
+        F.sum(F.when(multi, F.col("gross"))).alias("all_gmv"),
     )
     zero = lambda c: n(F.coalesce(c, F.lit(0)))
     observed = F.when(
         F.col("observed") == 0, F.raise_error(F.lit("no observed source ids at the snapshot")).cast("long")
     ).otherwise(F.col("observed"))
-    return side_by_side(alias_counts, customers, ordered, dollars).select(
+    return side_by_side(alias_counts, people).select(
         observed.alias("observed_source_id_count"),
         F.col("naive").alias("naive_distinct_source_id_count"),
         F.col("resolved").alias("inner_join_retained_source_id_count"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketlens.functions import day
 from marketlens.plans.staging import staged_column
@@ -16,7 +17,7 @@ from marketlens.plans.visibility import LATE_UPDATES, RAW_OF
 from marketlens.plans.warehouse import Warehouse
 from marketlens.sources.registry import RAW_TABLES
 
-KNOWN, PERIOD = "known_on", "arrival_month"
+KNOWN = "known_on"
 
 
 def _columns(name: str) -> tuple[list[str], str, str | None]:
@@ -37,7 +38,7 @@ def change_log(wh: Warehouse, name: str) -> DataFrame:
     key, arrival, update = _columns(name)
     df = wh.stg(name)
     if update is None:
-        return df.withColumn(KNOWN, F.col(arrival)).withColumn(PERIOD, F.trunc(arrival, "MM"))
+        return df.withColumn(KNOWN, F.col(arrival))
     raw = RAW_OF[name]
     undo = {staged_column(name, c): v for c, v in LATE_UPDATES[raw][1].items()}
     known = _update_known_on(name, update)
@@ -59,7 +60,7 @@ def change_log(wh: Warehouse, name: str) -> DataFrame:
         F.struct(F.col(arrival).alias(KNOWN), *[F.col(f.name).alias(f.name) for f in df.schema])
     )
     rows = F.when(F.col(update).isNull(), unchanged).when(later, first_then_final).otherwise(only_final)
-    return df.select(F.inline(rows)).withColumn(PERIOD, F.trunc(arrival, "MM"))
+    return df.select(F.inline(rows))
 
 
 def latest(changes: DataFrame, key: list[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def latest(changes: DataFrame, key: list[str]) -> DataFrame:
 def drip_feed_increment(wh: Warehouse, name: str, after: str, upto: str) -> DataFrame:
     """The snapshot at ``upto``, made from the one at ``after`` and the changes in between."""
     key, arrival, _ = _columns(name)
-    base = wh.as_of(after).stg(name).withColumn(KNOWN, F.col(arrival)).withColumn(PERIOD, F.trunc(arrival, "MM"))
+    base = wh.as_of(after).stg(name).withColumn(KNOWN, F.col(arrival))
     changes = change_log(wh, name).filter((F.col(KNOWN) > day(after)) & (F.col(KNOWN) <= day(upto)))
     merged = latest(base.unionByName(changes), key)
     return merged.select(*wh.stg(name).columns)
@@ -88,29 +89,19 @@ def append_change_files(wh: Warehouse, name: str, folder: str, after: str | None
     change_log(wh, name).filter(known).write.mode("append").parquet(folder)
 
 
-def apply_changes(spark: SparkSession, target: str, key: list[str], batch: DataFrame) -> None:
-    """Merge a micro-batch into the target, rewriting only the arrival months it touches.
+def apply_changes(target: str, key: list[str], batch: DataFrame, batch_id: int) -> None:
+    """Store a micro-batch's newest versions as its own slice of the target.
 
-    Keys never move between arrival months, so a month is a closed unit. Versions are picked
-    by the day they became known, so replaying a batch after a failure changes nothing.
+    Slices are only ever added or rewritten whole under the batch's number, never merged in
+    place: a batch repeated after a failure gives the same slice, and no earlier row is at
+    risk while it is written.
     """
-    months = [r[0] for r in batch.select(PERIOD).distinct().collect()]  # at most one per calendar month
-    if not months:
-        return
-    changes = batch
-    try:
-        current = spark.read.schema(batch.schema).parquet(target).filter(F.col(PERIOD).isin(months))
-        changes = current.unionByName(changes)
-    except Exception as e:  # the first batch has no target yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    (
-        latest(changes, key)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PERIOD)
-        .parquet(target)
-    )
+    latest(batch, key).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+
+def current(spark: SparkSession, target: str, schema: StructType, key: list[str]) -> DataFrame:
+    """The table as of the last batch: the newest stored version of every key."""
+    return latest(spark.read.schema(schema).parquet(target), key)
 
 
 def run_drip(
@@ -122,10 +113,10 @@ def run_drip(
     schema = change_log(wh, name).schema
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log)
     query = (
-        feed.writeStream.foreachBatch(lambda batch, _: apply_changes(spark, target, key, batch))
+        feed.writeStream.foreachBatch(lambda batch, number: apply_changes(target, key, batch, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(target).select(*wh.stg(name).columns)
+    return current(spark, target, schema, key).select(*wh.stg(name).columns)

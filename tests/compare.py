@@ -1,6 +1,6 @@
 """Compare a Spark result with its SQL twin; also a command-line check.
 
-    python tests/compare.py [--sf 0.01] [name ...]
+    python tests/compare.py [--sf 0.01 | --dir folder] [name ...]
 """
 
 from __future__ import annotations
@@ -68,9 +68,10 @@ def main() -> int:
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--dir", help="an input folder instead of a test scale")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
-    folder = f"/root/testdata/sf{args.sf}"
+    folder = args.dir or f"/root/testdata/sf{args.sf}"
     spark = build_session(
         "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     )
@@ -100,7 +101,7 @@ def main() -> int:
         elif args.names:
             print(f"{kind} {name} ({took:.2f}s)")
     missing = sorted(set(oracle) - set(queries))
-    print(f"{len(picked) - len(bad)}/{len(picked)} agree at sf{args.sf}; unregistered SQL: {missing}")
+    print(f"{len(picked) - len(bad)}/{len(picked)} agree on {folder}; unregistered SQL: {missing}")
     print("slowest:", [(n, round(t, 1)) for t, n in sorted(slow, reverse=True)[:8]])
     return 1 if bad else 0
 
