@@ -56,12 +56,16 @@ def _revenue_tables(wh: Warehouse) -> DataFrame:
     return out
 
 
+# Tables of fixed values are no query of their own; the table-wide checks cover them.
+FIXED = ("plans", "plan_prices", "promotions")
+
+
 def _staging() -> dict[str, Query]:
-    return {f"stg_{name}": (lambda wh, name=name: present(wh.stg(name))) for name in STAGING}
+    return {f"stg_{name}": (lambda wh, name=name: present(wh.stg(name))) for name in STAGING if name not in FIXED}
 
 
 def _marts() -> dict[str, Query]:
-    names = [m for m in marts.MARTS if m not in ("revenue_daily", "int_orders")]
+    names = [m for m in marts.MARTS if m not in ("revenue_daily", "int_orders", "dim_plans")]
     return {
         **{name: (lambda wh, name=name: present(wh.mart(name))) for name in names},
         "observed_aliases": marts.observed_aliases,
@@ -249,7 +253,6 @@ def _temporal() -> dict[str, Query]:
     return {
         "visible_as_of": lambda wh: t.visible_as_of(wh, at),
         **{q: (lambda wh, name=name: present(wh.as_of(at).stg(name))) for q, name in masked.items()},
-        "mask_plans": lambda wh: present(wh.as_of("1998-12-31").stg("plans")),
         "price_as_of": t.price_as_of,
         "alias_as_of": t.alias_as_of,
         "plan_generation_at": t.plan_generation_at,

@@ -435,40 +435,42 @@ def dq_identity_contract(wh: Warehouse) -> DataFrame:
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------
-def _text(c: str, kind: T.DataType) -> Column:
+def _text(c: str) -> Column:
     return F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null")))
 
 
-def _hash_sum(columns: Sequence[str], df: DataFrame) -> Column:
+def _hash_sum(columns: Sequence[str]) -> Column:
     """Order-free combination of per-row hashes: the exact sum of 60-bit prefixes."""
     if not columns:
         return F.lit(None).cast("string")
-    kinds = {f.name: f.dataType for f in df.schema}
-    text = F.concat_ws("|", *[_text(c, kinds[c]) for c in columns])
+    text = F.concat_ws("|", *[_text(c) for c in columns])
     value = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return F.sum(value).cast("decimal(38,0)").cast("string")
 
 
 def table_fingerprint(wh: Warehouse) -> DataFrame:
-    """Per table: columns, rows, key uniqueness and hashes of key, money, date and all columns."""
+    """Per table: columns, rows, key uniqueness and hashes of key, money, date and all columns.
+
+    The hashes add up map-side, one row per task. Uniqueness is a scan of its own over the
+    key columns, so that only they are shuffled.
+    """
     parts = []
     for name in STAGING:
         df = wh.stg(name)
         key = unique_keys()[name]
         money = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
         dates = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
-        parts.append(
-            df.agg(
-                F.lit(name).alias("table_name"),
-                F.lit(",".join(df.columns)).alias("columns"),
-                F.count(F.lit(1)).alias("row_count"),
-                (F.count(F.lit(1)) == F.countDistinct(*key)).alias("key_is_unique"),
-                _hash_sum(key, df).alias("key_hash"),
-                _hash_sum(money, df).alias("money_hash"),
-                _hash_sum(dates, df).alias("date_hash"),
-                _hash_sum(df.columns, df).alias("content_hash"),
-            )
+        repeated = duplicates(df, key).agg(F.count(F.lit(1)).alias("n")).scalar()
+        sums = df.agg(
+            F.lit(name).alias("table_name"),
+            F.lit(",".join(df.columns)).alias("columns"),
+            F.count(F.lit(1)).alias("row_count"),
+            _hash_sum(key).alias("key_hash"),
+            _hash_sum(money).alias("money_hash"),
+            _hash_sum(dates).alias("date_hash"),
+            _hash_sum(df.columns).alias("content_hash"),
         )
+        parts.append(sums.withColumn("key_is_unique", repeated == 0))
     return _union(parts)
 
 

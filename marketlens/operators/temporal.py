@@ -71,36 +71,40 @@ def alias_as_of(wh: Warehouse) -> DataFrame:
 
 
 def plan_generation_at(wh: Warehouse) -> DataFrame:
-    """The plan generation on sale on each term's first day."""
-    windows = (
+    """The plan generation on sale on each term's first day.
+
+    Sale windows are unfolded to days (bounded by the calendar), which makes this an
+    equi-join.
+    """
+    window = F.sequence(F.min("launched_date"), F.max(F.coalesce("retired_date", day(config.CALENDAR_END))))
+    days = (
         wh.stg("plans")
         .groupBy(F.col("plan_generation").alias("generation_on_sale"))
-        .agg(
-            F.min("launched_date").alias("launched"),
-            F.max(F.coalesce("retired_date", day(config.CALENDAR_END))).alias("retired"),
-        )
+        .agg(window.alias("days"))
+        .select("generation_on_sale", F.explode("days").alias("term_start_date"))
     )
     return (
         wh.stg("subscriptions")
-        .join(windows, F.col("term_start_date").between(F.col("launched"), F.col("retired")), "left")
+        .join(days, "term_start_date", "left")
         .select("subscription_id", "term_start_date", n("generation_on_sale").alias("generation_on_sale"))
     )
 
 
 def promo_match(wh: Warehouse) -> DataFrame:
-    """The first promotion whose days and channels cover each order."""
-    promos = wh.stg("promotions").select(
-        F.col("promo_code").alias("code"), "start_date", "end_date", F.split("eligible_channels", ",").alias("channels")
+    """The first promotion whose days and channels cover each order.
+
+    Promotions are unfolded to their days and channels, keeping the first one per cell, so
+    each order meets at most one row in an equi-join.
+    """
+    cells = (
+        wh.stg("promotions")
+        .withColumn("channel", F.explode(F.split("eligible_channels", ",")))
+        .withColumn("order_date", F.explode(F.sequence("start_date", "end_date")))
+        .groupBy("order_date", "channel")
+        .agg(F.min_by("promo_code", F.struct("start_date", "promo_code")).alias("promo_code"))
     )
     orders = wh.stg("orders").select("order_id", "order_date", canonical_channel("channel").alias("channel"))
-    covered = F.col("order_date").between(F.col("start_date"), F.col("end_date")) & F.array_contains(
-        F.col("channels"), F.col("channel")
-    )
-    return (
-        orders.join(promos, covered)
-        .groupBy("order_id")
-        .agg(F.min_by("code", F.struct("start_date", "code")).alias("promo_code"))
-    )
+    return orders.join(cells, ["order_date", "channel"]).select("order_id", "promo_code")
 
 
 def skus_available_at(wh: Warehouse, first_month: str, last_month: str) -> DataFrame:

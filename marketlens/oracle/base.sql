@@ -23,10 +23,10 @@ SELECT 'sku_' || p_partkey AS sku, p_name AS product_name,
 FROM part
 -- cte: stg_suppliers
 SELECT 'sup_' || s_suppkey AS supplier_id, s_name AS supplier_name,
-       CASE s_suppkey WHEN 0 THEN 'paper' WHEN 1 THEN 'writing' WHEN 2 THEN 'office_tech'
+       CASE s_suppkey % 6 WHEN 0 THEN 'paper' WHEN 1 THEN 'writing' WHEN 2 THEN 'office_tech'
                       WHEN 3 THEN 'furniture' WHEN 4 THEN 'breakroom' ELSE 'storage' END AS category,
        DATE '1995-01-01' AS onboarded_date
-FROM supplier WHERE s_suppkey < 6
+FROM supplier
 -- cte: stg_supplier_shipments
 SELECT 'shp_' || category || '_' || strftime(w, '%Y%m%d') AS shipment_id, supplier_id, category, w AS expected_date,
        CASE WHEN NOT stopped THEN w + CAST(CAST(substr(supplier_id, 5) AS INTEGER) % 4 AS INTEGER) END AS received_date,

@@ -23,7 +23,7 @@ UNION ALL SELECT 'fct_orders' AS table_name, 'order_id' AS columns, COUNT(*) AS
 UNION ALL SELECT 'fct_order_lines' AS table_name, 'order_line_id' AS columns, COUNT(*) AS violations FROM (SELECT order_line_id FROM fct_order_lines GROUP BY order_line_id HAVING COUNT(*) <> 1)
 UNION ALL SELECT 'fct_subscriptions' AS table_name, 'subscription_id' AS columns, COUNT(*) AS violations FROM (SELECT subscription_id FROM fct_subscriptions GROUP BY subscription_id HAVING COUNT(*) <> 1)
 UNION ALL SELECT 'dim_products' AS table_name, 'sku' AS columns, COUNT(*) AS violations FROM (SELECT sku FROM @dim_products GROUP BY sku HAVING COUNT(*) <> 1)
-UNION ALL SELECT 'dim_plans' AS table_name, 'plan_id' AS columns, COUNT(*) AS violations FROM (SELECT plan_id FROM @dim_plans GROUP BY plan_id HAVING COUNT(*) <> 1)
+UNION ALL SELECT 'dim_plans' AS table_name, 'plan_id' AS columns, COUNT(*) AS violations FROM (SELECT plan_id FROM stg_plans LEFT JOIN (SELECT plan_id, MAX(effective_date) FROM stg_plan_prices GROUP BY 1) USING (plan_id) GROUP BY plan_id HAVING COUNT(*) <> 1)
 -- query: dq_not_null
 SELECT 'app_customers' AS table_name, COUNT(*) AS checked, 'app_db_customer_id' AS column_name, COUNT(*) - COUNT(app_db_customer_id) AS violations FROM stg_app_customers
 UNION ALL SELECT 'app_customers' AS table_name, COUNT(*) AS checked, 'created_date' AS column_name, COUNT(*) - COUNT(created_date) AS violations FROM stg_app_customers

@@ -3,16 +3,13 @@ SELECT activity_date, measure_name, CAST(amount AS DOUBLE) AS amount FROM fct_re
 -- query: dim_products
 SELECT sku, product_name, p.category, supplier_id, supplier_name, CAST(unit_cost AS DOUBLE) AS unit_cost, CAST(list_price AS DOUBLE) AS list_price,
        introduced_date FROM stg_products p LEFT JOIN stg_suppliers USING (supplier_id)
--- query: dim_plans
-SELECT p.*, CAST((SELECT arg_max(annual_price_per_seat, effective_date) FROM stg_plan_prices x WHERE x.plan_id = p.plan_id) AS DOUBLE)
-       AS current_annual_price_per_seat FROM stg_plans p
 -- query: dim_date
 SELECT CAST(d AS DATE) AS date_day, CAST(year(d) AS BIGINT) AS year_number, CAST(quarter(d) AS BIGINT) AS quarter_number,
        CAST(month(d) AS BIGINT) AS month_number, CAST(date_trunc('month', d) AS DATE) AS month_start,
        CAST(date_trunc('quarter', d) AS DATE) AS quarter_start, CAST(date_trunc('year', d) AS DATE) AS year_start,
        CAST(year(d) AS VARCHAR) || 'Q' || quarter(d) AS year_quarter, strftime(d, '%Y-%m') AS year_month,
        CAST(isodow(d) AS BIGINT) AS day_of_week, isodow(d) >= 6 AS is_weekend
-FROM range(DATE '1995-01-01', DATE '2004-01-01', INTERVAL 1 DAY) r(d)
+FROM range((SELECT date_trunc('year', MIN(order_date)) FROM stg_orders), (SELECT date_trunc('year', MAX(recognition_date)) + INTERVAL 12 MONTH FROM stg_revenue_recognition), INTERVAL 1 DAY) r(d)
 -- query: fct_identity_resolution_quality
 SELECT * FROM quality_mart
 -- query: observed_aliases
@@ -45,10 +42,6 @@ SELECT * REPLACE (CAST(gross_amount AS DOUBLE) AS gross_amount, CAST(take_rate A
 SELECT * REPLACE (CAST(unit_price AS DOUBLE) AS unit_price, CAST(discount_pct AS DOUBLE) AS discount_pct, CAST(line_amount AS DOUBLE) AS line_amount) FROM stg_order_lines
 -- query: stg_products
 SELECT * REPLACE (CAST(unit_cost AS DOUBLE) AS unit_cost, CAST(list_price AS DOUBLE) AS list_price) FROM stg_products
--- query: stg_plans
-SELECT * FROM stg_plans
--- query: stg_plan_prices
-SELECT * REPLACE (CAST(annual_price_per_seat AS DOUBLE) AS annual_price_per_seat) FROM stg_plan_prices
 -- query: stg_subscriptions
 SELECT * REPLACE (CAST(price_per_seat AS DOUBLE) AS price_per_seat, CAST(acv AS DOUBLE) AS acv) FROM stg_subscriptions
 -- query: stg_invoices
@@ -57,8 +50,6 @@ SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM stg_invoices
 SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM stg_revenue_recognition
 -- query: stg_refunds
 SELECT * REPLACE (CAST(refund_amount AS DOUBLE) AS refund_amount) FROM stg_refunds
--- query: stg_promotions
-SELECT * REPLACE (CAST(discount_pct AS DOUBLE) AS discount_pct) FROM stg_promotions
 -- query: stg_suppliers
 SELECT * FROM stg_suppliers
 -- query: stg_supplier_shipments

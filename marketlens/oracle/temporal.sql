@@ -20,9 +20,6 @@ SELECT * REPLACE (CASE WHEN deactivated_date <= DATE '1999-06-30' THEN deactivat
 SELECT * REPLACE (CASE WHEN term_end_date >= DATE '1999-06-30' THEN 'active' ELSE status END AS status,
                   CASE WHEN term_end_date < DATE '1999-06-30' THEN cancelled_date END AS cancelled_date,
                   CAST(price_per_seat AS DOUBLE) AS price_per_seat, CAST(acv AS DOUBLE) AS acv) FROM stg_subscriptions WHERE term_start_date <= DATE '1999-06-30'
--- query: mask_plans
-SELECT * REPLACE (CASE WHEN retired_date <= DATE '1998-12-31' THEN retired_date END AS retired_date,
-                  is_current OR COALESCE(retired_date > DATE '1998-12-31', false) AS is_current) FROM stg_plans WHERE launched_date <= DATE '1998-12-31'
 -- query: mask_shipments
 SELECT * REPLACE (CASE WHEN received_date <= DATE '1999-06-30' THEN received_date END AS received_date,
                   CASE WHEN received_date > DATE '1999-06-30' THEN 'in_transit' ELSE status END AS status)

@@ -158,12 +158,17 @@ def dim_plans(wh: Warehouse) -> DataFrame:
 
 
 def dim_date(wh: Warehouse) -> DataFrame:
-    """One row per calendar day; weekdays are ISO (Monday = 1)."""
-    spine = F.sequence(day(config.TIMELINE_START), day(config.CALENDAR_END))
+    """One row per calendar day, over the full years the data spans; ISO weekdays (Monday = 1)."""
+    first = wh.stg("orders").agg(F.trunc(F.min("order_date"), "YEAR").alias("d")).scalar()
+    last = (
+        wh.stg("revenue_recognition")
+        .agg(F.date_sub(F.add_months(F.trunc(F.max("recognition_date"), "YEAR"), 12), 1).alias("d"))
+        .scalar()
+    )
     d = F.col("date_day")
     return (
         wh.spark.range(1)
-        .select(F.explode(spine).alias("date_day"))
+        .select(F.explode(F.sequence(first, last)).alias("date_day"))
         .select(
             "date_day",
             F.year(d).alias("year_number"),

@@ -131,17 +131,13 @@ class MappedSource:
         )
 
     def _erp_suppliers(self) -> DataFrame:
-        return (
-            self.read("supplier")
-            .filter(F.col("s_suppkey") < len(config.CATEGORIES))
-            .select(
-                _id("sup_", "s_suppkey").alias("supplier_id"),
-                F.col("s_name").alias("supplier_name"),
-                F.element_at(
-                    F.array(*[F.lit(c) for c in config.CATEGORIES]), (F.col("s_suppkey") + 1).cast("int")
-                ).alias("category"),
-                day(config.TIMELINE_START).alias("onboarded_at"),
-            )
+        """Every supplier; categories go round by key, the first of each is the one bought from."""
+        slot = (F.col("s_suppkey") % len(config.CATEGORIES) + 1).cast("int")
+        return self.read("supplier").select(
+            _id("sup_", "s_suppkey").alias("supplier_id"),
+            F.col("s_name").alias("supplier_name"),
+            F.element_at(F.array(*[F.lit(c) for c in config.CATEGORIES]), slot).alias("category"),
+            day(config.TIMELINE_START).alias("onboarded_at"),
         )
 
     def _erp_supplier_shipments(self) -> DataFrame:

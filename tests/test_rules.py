@@ -3,6 +3,7 @@
 import pytest
 from fixtures import PLAN, customer, one, order, term, warehouse
 
+from marketlens.plans.warehouse import Warehouse
 from marketlens.operators import customers, identity, marketing, quality, revenue, subscriptions
 
 
@@ -169,3 +170,19 @@ def test_quality_tests_find_bad_rows(spark):
     assert quality.crosswalk_integrity(wh).select("source_customer_id").distinct().count() == 2
     accepted = {(r["table_name"], r["column_name"]): r["violations"] for r in quality.dq_accepted_values(wh).collect()}
     assert accepted[("app_customers", "account_type")] == 0
+
+
+def test_plan_tables(spark):
+    """Tables of fixed values: staging, price history, latest price, retirement mask."""
+    wh = Warehouse.open(spark, "/root/testdata/sf0.001")
+    plans = {r["plan_id"]: r for r in wh.stg("plans").collect()}
+    assert len(plans) == 8 and plans["growth"]["is_current"] and not plans["team_v2"]["is_current"]
+    prices = {(r["plan_id"], str(r["effective_date"])): float(r["annual_price_per_seat"]) for r in wh.stg("plan_prices").collect()}
+    assert len(prices) == 11 and prices[("growth", "2001-05-01")] == 228.48
+    latest = {r["plan_id"]: float(r["current_annual_price_per_seat"]) for r in wh.mart("dim_plans").collect()}
+    assert latest["growth"] == 228.48 and latest["pro_v1"] == 156.0 and len(latest) == 8
+    then = {r["plan_id"]: r for r in wh.as_of("1998-12-31").stg("plans").collect()}
+    assert len(then) == 5 and then["team_v2"]["is_current"] and then["team_v2"]["retired_date"] is None
+    assert str(then["pro_v1"]["retired_date"]) == "1997-06-30"
+    promos = [r["promo_code"] for r in wh.stg("promotions").orderBy("start_date").collect()]
+    assert promos == ["WELCOME10", "SPRING5", "BTB15"]
