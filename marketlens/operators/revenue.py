@@ -22,7 +22,6 @@ from marketlens.functions import (
     literal_table,
     month_key,
     month_start,
-    n,
     quarter_key,
     quarter_start,
     ratio,

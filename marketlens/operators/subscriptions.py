@@ -14,7 +14,6 @@ from marketlens.functions import between_days, count_when, day, literal_table, m
 from marketlens.functions.spines import side_by_side
 from marketlens.operators.customers import month_spine
 from marketlens.operators.revenue import _months_back
-from marketlens.plans.marts import real_customers
 from marketlens.plans.warehouse import Warehouse
 from marketlens.sources.store import cut_lineage
 
@@ -179,12 +178,17 @@ def churn_by_segment_quarter(wh: Warehouse, start: str, end: str) -> DataFrame:
     )
 
 
+def _earlier(d: date, months: int) -> date:
+    """The same day some months earlier, clamped to the end of that month."""
+    month_end = _months_back(d, months - 1) - timedelta(days=1)
+    return month_end.replace(day=min(d.day, month_end.day))
+
+
 def churned_acv_recovery(wh: Warehouse, segment: str, start: str, end: str, as_of: str) -> DataFrame:
     """Churned ACV of a segment and the first quarter end that earned it back, in one scan."""
     first = date.fromisoformat(start)
     before = str(first - timedelta(days=1))
-    year_start = str(first.replace(year=first.year - 1))
-    month_early = str(_months_back(first, 1).replace(day=first.day))
+    year_start, month_early = str(_earlier(first, 12)), str(_earlier(first, 1))
     ends, q = [], date.fromisoformat(end)
     q = _months_back(q, (q.month - 1) % 3)
     while (quarter_end := _months_back(q, -3) - timedelta(days=1)) <= date.fromisoformat(as_of):

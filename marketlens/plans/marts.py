@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import config
 from marketlens.functions import canonical_channel, day, quarter_key
+from marketlens.plans.temporal import fresh_key
 
 if TYPE_CHECKING:
     from marketlens.plans.warehouse import Warehouse
@@ -197,9 +198,10 @@ def int_orders(wh: Warehouse) -> DataFrame:
     profiles = wh.stg("app_customers").select(
         F.col("app_db_customer_id").alias("customer_id"), "segment", "account_type"
     )
+    customers = first.join(profiles, "customer_id", "left").withColumn("_customer", fresh_key("customer_id"))
+    orders = wh.stg("orders")
     return (
-        wh.stg("orders")
-        .join(first.join(profiles, "customer_id", "left"), "customer_id")
+        orders.join(customers.drop("customer_id"), orders["customer_id"] == F.col("_customer"))
         .select(
             "order_id",
             "customer_id",

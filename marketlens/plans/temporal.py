@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,17 @@ def effective_intervals(history: DataFrame, key: str, since: str) -> DataFrame:
     )
 
 
+def fresh_key(key: str) -> Column:
+    """A string key the planner takes for a new value.
+
+    A table that was just aggregated or windowed by a key is not shuffled again for a join
+    on it, and then the adaptive skew join (which needs a fresh shuffle on both sides) cannot
+    split a hot key of the fact side. Hiding the key costs one more shuffle of the small side
+    and keeps a key with a third of all facts from filling one task.
+    """
+    return F.concat(F.col(key), F.lit(""))
+
+
 def as_of_lookup(
     facts: DataFrame,
     history: DataFrame,
@@ -34,15 +45,19 @@ def as_of_lookup(
 ) -> DataFrame:
     """Left join each fact to the history row in force on its ``date``.
 
-    Intervals of a key do not overlap, so a fact meets at most one row and needs no
+    ``key`` is a string column. Intervals of a key do not overlap, so a fact meets at most one row and needs no
     aggregation afterwards: the join is an equi-join on ``key`` with a range residue.
     ``fixed`` marks a history of fixed values, whose size is known to be small.
     """
-    spans = effective_intervals(history, key, since).select(
-        F.col(key).alias("_key"), "valid_from", "valid_to", *take
-    )
+    spans = effective_intervals(history, key, since)
     if fixed:
         spans = F.broadcast(spans)
+    return within(facts, spans, key=key, date=date, take=take)
+
+
+def within(facts: DataFrame, spans: DataFrame, *, key: str, date: str, take: Sequence[str]) -> DataFrame:
+    """Left join each fact to the span of its key that contains its ``date``."""
+    spans = spans.select(fresh_key(key).alias("_key"), "valid_from", "valid_to", *take)
     hit = (
         (F.col(key) == F.col("_key"))
         & (F.col("valid_from").isNull() | (F.col(date) >= F.col("valid_from")))

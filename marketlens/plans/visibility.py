@@ -12,7 +12,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens.plans.staging import STAGING, staged_column
 from marketlens.sources.registry import RAW_TABLES

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from marketlens import config
 from marketlens.functions import MONEY, RATE, day, literal_table, money
 from marketlens.plans import derivations as dv
-from marketlens.plans.temporal import as_of_lookup
+from marketlens.plans.temporal import as_of_lookup, effective_intervals, within
 from marketlens.sources.registry import RAW_TABLES
 
 CUSTOMER, ORDER, TERM = "cust_", "ord_", "sub_"
@@ -532,11 +532,15 @@ class MappedSource:
             .select(F.col("app_db_customer_id").alias("customer_id"), "stripe_customer_id", "created_date")
         )
         segments = self.staged("app_customers").select(F.col("app_db_customer_id").alias("customer_id"), "segment")
-        who = as_of_lookup(
-            errors, stripe, key="customer_id", date="created_at", since="created_date", take=["stripe_customer_id"]
+        # Everything about a customer comes together first, one row per Stripe id in force, so
+        # that the tickets (of which one customer may have very many) are joined only once.
+        contacts = segments
+        for side in (salesforce, firsts, terms, effective_intervals(stripe, "customer_id", "created_date")):
+            contacts = contacts.join(side, "customer_id", "left")
+        who = within(
+            errors, contacts, key="customer_id", date="created_at",
+            take=["stripe_customer_id", "segment", "sf_id", "related_order_id", "related_subscription_id"],
         )
-        for side in (segments, salesforce, firsts, terms):
-            who = who.join(side, "customer_id", "left")
         system = dv.requester_system(F.col("segment"), F.col("sf_id"), F.col("stripe_customer_id"))
         resolved = F.expr("date_add(created_at, cast(event_id % 15 as int))")
         resolved = F.when(resolved <= day(config.TIMELINE_END), resolved)

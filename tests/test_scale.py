@@ -98,3 +98,38 @@ def test_results_do_not_depend_on_partitioning(spark):
     from marketlens.operators.quality import table_fingerprint
 
     assert {tuple(r) for r in table_fingerprint(shuffled).collect()} == first
+
+
+def test_hot_key_of_a_lookup_is_split(spark):
+    """One key holds most facts; the lookup join must split it and stay exact."""
+    from marketlens.plans.temporal import as_of_lookup
+
+    n = 40_000
+    facts = spark.range(0, n, 1, 12).select(
+        F.col("id"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("c"), F.col("id") % 500)).alias("who"),
+        F.expr("date_add(date'1998-01-01', cast(id % 400 as int))").alias("on"),
+    )
+    history = spark.range(500).select(
+        F.explode(F.array(F.concat(F.lit("c"), "id"), F.lit("hot"))).alias("who")
+    ).distinct().select("who", F.explode(F.expr("array(date'1998-01-01', date'1998-09-01')")).alias("since"))
+    history = history.withColumn("name", F.concat_ws("/", "who", F.month("since")))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = as_of_lookup(facts, history, key="who", date="on", since="since", take=["name"])
+        execution = out._jdf.queryExecution()
+        assert execution.toRdd().count() == n
+        assert "skew=true" in execution.executedPlan().toString()
+        right = F.concat_ws("/", "who", F.when(F.col("on") < "1998-09-01", 1).otherwise(9))
+        assert out.filter(F.col("name") != right).count() == 0 and out.filter("name is null").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
