@@ -45,11 +45,9 @@ def test_identity(wh):
     snap = wh.as_of("2001-06-30").mart("int_customer_identity").groupBy("resolution_status").count()
     got = {r["resolution_status"]: r["count"] for r in snap.collect()}
     assert got["unresolved_migration_gap"] == 58 and got["unresolved_sync_lag"] == 11
-    paths = {
-        r["path"].split()[0]: r["order_rows"]
-        for r in identity.identity_safe_vs_fanout_gmv(wh, "2000-01-01", "2000-12-31").collect()
-    }
-    assert paths["safe"] <= 1981 and paths["fanout"] > 3 * paths["safe"]
+    measures = one(identity.identity_measures(wh, "2001-06-30", "2000-01-01", "2000-12-31"))
+    assert measures["correct_multi_source_order_count"] == 1981
+    assert measures["unsafe_fanout_order_row_count"] == 6456
 
 
 def test_new_d2c(wh):
