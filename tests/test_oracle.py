@@ -4,9 +4,10 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry
+from marketlens import catalog, oracle
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), oracle.queries()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,7 @@ def test_agrees_with_sql(spark, con, name):
 
 def test_every_sql_is_registered():
     assert set(ORACLE) == set(QUERIES)
+    assert set(ORACLE) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
