@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, secret_scan
+from marketlens.llm import decontamination, ngram_join, secret_scan
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(_read(spark, folder, "documents")).drop("row")
+
+
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(_read(spark, folder, "documents"))
 
