@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontamination, secret_scan
+from marketlens.llm import decontamination, ngram_join, secret_scan
 from marketlens.llm.common import stored
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.deduplicate(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
@@ -18,7 +23,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs)
 
 
-STAGES = [("benchmark_decontamination", decontaminate), ("secret_scans", mask_secrets)]
+STAGES = [("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", decontaminate), ("secret_scans", mask_secrets)]
 
 #: Tokens and learned models are beyond SQL; a brute-force version in the tests stands in.
 ORACLE_SQL = None
