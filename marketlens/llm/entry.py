@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, ngram_join, secret_scan
+from marketlens.llm import decontamination, ngram_join, packing, secret_scan, token_counts
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -30,6 +33,14 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(_read(spark, folder, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
