@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import decontamination, ngram_join, secret_scan
+from marketlens.llm import decontamination, ngram_join, packing, secret_scan
 from marketlens.llm.common import stored
 
 
@@ -23,7 +24,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secret_scan.redact(docs)
 
 
-STAGES = [("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", decontaminate), ("secret_scans", mask_secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rest as token sequences: one row per piece of a document."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", decontaminate), ("secret_scans", mask_secrets), ("best_fit_packing", pack)]
 
 #: Tokens and learned models are beyond SQL; a brute-force version in the tests stands in.
 ORACLE_SQL = None
