@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, ngram_join, packing, secret_scan, token_counts
+from marketlens.llm import decontamination, embedding_join, ngram_join, packing, secret_scan, token_counts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_read(spark, folder, "documents")).drop("row")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_join.join(_read(spark, folder, "embeddings"))
+
+
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(_read(spark, folder, "documents"))
 
