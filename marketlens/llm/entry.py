@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, embedding_join, ngram_join, packing, secret_scan, token_counts
+from marketlens.llm import (
+    decontamination, embedding_join, language_id, ngram_join, packing, quality, secret_scan, token_counts,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +43,17 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    found = language_id.predict(docs, language_id.learn(docs), keep=("doc_id",)).select("kept.doc_id", "lang_pred", "score")
+    held = language_id.held_out("doc_id", language_id.FOLDS, language_id.HELD_OUT)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
