@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import decontamination, ngram_join, packing, secret_scan
+from marketlens.llm import decontamination, language_id, ngram_join, packing, secret_scan
 from marketlens.llm.common import stored
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told, for want of any letter, go."""
+    found = language_id.predict(docs, language_id.learn(docs), keep=tuple(docs.columns))
+    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select("kept.*")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return ngram_join.deduplicate(docs)
@@ -29,7 +36,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("ngram_jaccard_join", drop_near_copies), ("benchmark_decontamination", decontaminate), ("secret_scans", mask_secrets), ("best_fit_packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", decontaminate),
+    ("secret_scans", mask_secrets),
+    ("best_fit_packing", pack),
+]
 
 #: Tokens and learned models are beyond SQL; a brute-force version in the tests stands in.
 ORACLE_SQL = None
