@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import (
-    decontamination, embedding_join, language_id, ngram_join, packing, quality, secret_scan, token_counts,
+    decontamination, embedding_join, language_id, ngram_join, packing, quality, secret_scan, token_counts, url_rules,
+    warc,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,10 +36,26 @@ def op3_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_join.join(_read(spark, folder, "embeddings"))
 
 
+#: Host, path and verdict of the rules that op4 applies.
+RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return url_rules.judge(_read(spark, folder, "pages"), rules)
+
+
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(_read(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(_read(spark, folder, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
