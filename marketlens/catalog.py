@@ -384,6 +384,7 @@ def _quality() -> dict[str, Query]:
         "dq_join_preserves_metrics": lambda wh: q.dq_join_preserves_metrics(wh, *Q1),
         "dq_no_future_rows": lambda wh: q.dq_no_future_rows(wh, "1999-06-30"),
         "dq_identity_contract": q.dq_identity_contract,
+        "mapping_row_conservation": lambda wh: q.row_conservation(wh, wh.source.read("orders"), wh.source.read("lineitem")),
         "table_fingerprint": q.table_fingerprint,
         "fingerprint_diff": lambda wh: q.fingerprint_diff(q.table_fingerprint(wh), q.table_fingerprint(wh.as_of(at))),
         "metric_reconcile": lambda wh: reconcile.reconcile(

@@ -10,7 +10,6 @@ from __future__ import annotations
 # -- calendar -------------------------------------------------------------------------
 TIMELINE_START = "1995-01-01"
 TIMELINE_END = "2001-08-01"
-CALENDAR_END = "2003-12-31"
 SNAPSHOT = "2001-06-30"
 CHANNEL_RENAME = "1998-06-01"
 IDENTITY_MIGRATION = "1997-07-01"

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions import n
+from marketlens.functions import MONEY, n
 from marketlens.plans import derivations as dv
 from marketlens.plans.temporal import as_of_lookup
 from marketlens.plans.warehouse import Warehouse
 
 
 def order_rollup_from_lines(wh: Warehouse) -> DataFrame:
-    takes = wh.stg("orders").select("order_id", "take_rate")
-    gross = F.col("gross_amount")
+    """Gross and net of every order that is sold by lines; one without any line has a gross of zero."""
+    takes = wh.stg("orders").filter(F.col("subscription_id").isNull()).select("order_id", "take_rate")
+    gross = F.coalesce(F.col("gross_amount"), F.lit(0).cast(MONEY))
     return (
-        dv.gross_from_lines(wh.stg("order_lines"))
-        .join(takes, "order_id")
+        takes.join(dv.gross_from_lines(wh.stg("order_lines")), "order_id", "left")
         .select(
             "order_id",
             gross.cast("double").alias("gross_amount"),

@@ -17,7 +17,7 @@ from marketlens import config
 from marketlens.functions import between_days, canonical_channel, count_when, day
 from marketlens.functions.spines import side_by_side
 from marketlens.operators.revenue import orders_with_account
-from marketlens.plans.derivations import link_method
+from marketlens.plans.derivations import id_number, link_method
 from marketlens.plans.marts import fct_identity_resolution_quality, observed_aliases
 from marketlens.plans.staging import STAGING, staged_column
 from marketlens.plans.visibility import LATE_UPDATES
@@ -434,9 +434,57 @@ def dq_identity_contract(wh: Warehouse) -> DataFrame:
     )
 
 
+# -- nothing left out --------------------------------------------------------------------------------------------
+def row_conservation(wh: Warehouse, orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """What became of every given order and order line, counted by outcome.
+
+    Lines are counted per order on both sides before they meet, so a hot order key is one row.
+    """
+    key = id_number("order_id").alias("key")
+    kept = wh.stg("orders").select(key, F.col("subscription_id").isNotNull().alias("subscription"))
+    fate = (
+        orders.select(F.col("o_orderkey").alias("key"))
+        .join(kept, "key", "left")
+        .select(
+            F.lit("orders").alias("source_table"),
+            F.when(F.col("subscription").isNull(), F.lit("missing"))
+            .when(F.col("subscription"), F.lit("subscription order"))
+            .otherwise(F.lit("consumer order"))
+            .alias("outcome"),
+            F.lit(1).cast("long").alias("n"),
+        )
+    )
+    given = lines.groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("given"))
+    staged = wh.stg("order_lines").groupBy(key).agg(F.count(F.lit(1)).alias("staged"))
+    found = F.coalesce("staged", F.lit(0).cast("long"))
+
+    def counted(what: str, how_many: Column) -> Column:
+        return F.struct(F.lit(what).alias("outcome"), how_many.alias("n"))
+
+    kept_lines = F.least("given", found)
+    outcomes = (
+        F.when(F.col("subscription").isNull(), F.array(counted("without an order", F.col("given"))))
+        .when(F.col("subscription"), F.array(counted("of a subscription order", F.col("given"))))
+        .otherwise(F.array(counted("order line", kept_lines), counted("missing", F.col("given") - kept_lines)))
+    )
+    line_fate = (
+        given.join(kept, "key", "left")
+        .join(staged, "key", "left")
+        .select(F.lit("lineitem").alias("source_table"), F.inline(outcomes))
+    )
+    return (
+        fate.unionByName(line_fate)
+        .groupBy("source_table", "outcome")
+        .agg(F.sum("n").alias("row_count"))
+        .filter("row_count > 0")
+    )
+
+
 # -- fingerprints ----------------------------------------------------------------------------------------------
 def _text(c: str) -> Column:
-    return F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+    """A value with its length in front; a null is the bare name. No two rows share a text."""
+    value = F.col(c).cast("string")
+    return F.coalesce(F.concat(F.lit(f"{c}="), F.char_length(value).cast("string"), F.lit(":"), value), F.lit(c))
 
 
 def _hash_sum(columns: Sequence[str]) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from datetime import date, timedelta
 
@@ -15,7 +14,6 @@ from marketlens.functions.spines import side_by_side
 from marketlens.operators.customers import month_spine
 from marketlens.operators.revenue import _months_back
 from marketlens.plans.warehouse import Warehouse
-from marketlens.sources.store import cut_lineage
 
 DECIDED = ("renewed", "churned")
 _churned = lambda: F.col("status") == "churned"
@@ -232,26 +230,6 @@ def churned_acv_recovery(wh: Warehouse, segment: str, start: str, end: str, as_o
 
 
 # -- first-renewal retention --------------------------------------------------------------------------
-def chain_roots(terms: DataFrame, longest: int) -> DataFrame:
-    """``(subscription_id, root_id)``: the first term of every renewal chain.
-
-    Pointer doubling: each round replaces a term's pointer by the pointer of the term it
-    points at, so chains of ``longest`` terms need only log2(longest) equi-joins. The
-    pointed-at side has unique keys; a long chain makes the other side skewed, which the
-    adaptive skew join splits.
-    """
-    known = terms.select("subscription_id").withColumnRenamed("subscription_id", "parent")
-    hops = terms.join(
-        known, terms["renewed_from_subscription_id"] == known["parent"], "left"
-    ).select("subscription_id", F.coalesce("parent", "subscription_id").alias("root_id"))
-    for round_no in range(max(1, math.ceil(math.log2(max(longest, 2))))):
-        nxt = hops.select(F.col("subscription_id").alias("root_id"), F.col("root_id").alias("further"))
-        hops = hops.join(nxt, "root_id").select("subscription_id", F.col("further").alias("root_id"))
-        if round_no % 4 == 3:  # long chains only: keep the plan short
-            hops = cut_lineage(hops)
-    return hops
-
-
 def _cohort(terms: DataFrame, start: str, end: str) -> DataFrame:
     return terms.filter(
         between_days("term_start_date", start, end) & F.col("renewed_from_subscription_id").isNull()
@@ -307,8 +285,7 @@ def first_renewal_nrr(wh: Warehouse, start: str, end: str, as_of: str) -> DataFr
         F.count(F.lit(1)).alias("customers"),
         count_when(F.col("did_renew")).alias("renewers"),
     )
-    per_customer = visible.groupBy("customer_id").count().agg(F.max("count")).first()[0] or 1
-    roots = chain_roots(visible, per_customer)
+    roots = wh.mart("term_roots")
     chain = (
         renewals.select("subscription_id", "acv")
         .join(roots, "subscription_id")

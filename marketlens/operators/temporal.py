@@ -74,11 +74,13 @@ def plan_generation_at(wh: Warehouse) -> DataFrame:
     """The plan generation on sale on each term's first day.
 
     Sale windows are unfolded to days (bounded by the calendar), which makes this an
-    equi-join.
+    equi-join. A plan not retired is on sale until the last term begins.
     """
-    window = F.sequence(F.min("launched_date"), F.max(F.coalesce("retired_date", day(config.CALENDAR_END))))
+    last = wh.stg("subscriptions").agg(F.max("term_start_date")).scalar()
+    window = F.sequence(F.min("launched_date"), F.max("until"))
     days = (
         wh.stg("plans")
+        .withColumn("until", F.coalesce("retired_date", F.greatest(last, "launched_date")))
         .groupBy(F.col("plan_generation").alias("generation_on_sale"))
         .agg(window.alias("days"))
         .select("generation_on_sale", F.explode("days").alias("term_start_date"))

@@ -1,10 +1,11 @@
 -- cte: base_orders
-SELECT o_custkey AS k, o_orderkey AS ok, CAST(o_orderdate AS DATE) AS d,
+SELECT k, ok, ch, CASE WHEN since BETWEEN 0 AND 2404 THEN DATE '1995-01-01' + CAST(late + since * (2404 - late) // 2404 AS INTEGER)
+                       ELSE given END AS d
+FROM (SELECT o_custkey AS k, o_orderkey AS ok, CAST(o_orderdate AS DATE) AS given,
+       CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS since, COALESCE((o_custkey * 37 % 2000 + 2000) % 2000, 0) AS late,
        CASE WHEN o_orderpriority = '1-URGENT' AND o_custkey % 3 = 1 THEN 'business_subscription'
             WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'marketplace' ELSE 'd2c' END AS ch
-FROM orders
-WHERE o_custkey % 9 <> 0
-  AND CAST(o_orderdate AS DATE) >= DATE '1995-01-01' + CAST((o_custkey * 37) % 2000 AS INTEGER)
+      FROM orders)
 -- cte: consumer_base
 SELECT b.*,
        CASE WHEN d BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND ch = 'd2c' AND ok % 100 < 35 THEN 'WELCOME10'
@@ -67,15 +68,14 @@ FROM (VALUES
 -- cte: stg_order_lines
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
                  CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT), strftime(l_shipdate, '%Y%m%d')) AS order_line_id,
-       'ord_' || ok AS order_id, p.sku, CAST(l_quantity AS BIGINT) AS quantity, p.list_price AS unit_price,
+       'ord_' || ok AS order_id, 'sku_' || l_partkey AS sku, CAST(l_quantity AS BIGINT) AS quantity, p.list_price AS unit_price,
        disc AS discount_pct,
        CAST(ROUND(CAST(l_quantity AS BIGINT) * p.list_price * (1 - disc), 2) AS DECIMAL(18,2)) AS line_amount,
        d AS order_date
 FROM lineitem
 JOIN (SELECT *, CAST(CASE promo WHEN 'WELCOME10' THEN 0.10 WHEN 'SPRING5' THEN 0.05 WHEN 'BTB15' THEN 0.15 ELSE 0 END
              AS DECIMAL(5,4)) AS disc FROM consumer_base) c ON c.ok = l_orderkey
-JOIN stg_products p ON p.sku = 'sku_' || l_partkey
-WHERE NOT (p.category = 'paper' AND d BETWEEN DATE '1999-03-06' AND DATE '1999-04-09' AND ok % 20 <> 0)
+LEFT JOIN stg_products p ON p.sku = 'sku_' || l_partkey
 -- cte: term_rows
 SELECT b.k, b.ok, b.d, LAG(ok) OVER w AS prev_ok, LEAD(ok) OVER w AS next_ok,
        FIRST_VALUE(d) OVER w AS d0, FIRST_VALUE(ok) OVER w AS ok0
@@ -87,25 +87,26 @@ SELECT 'sub_' || ok AS subscription_id, 'cust_' || t.k AS customer_id, t.plan_id
        'sub_' || prev_ok AS renewed_from_subscription_id, status,
        CASE WHEN status = 'churned' THEN CAST(d + INTERVAL 12 MONTH AS DATE) - 1 END AS cancelled_date
 FROM (SELECT r.*, p.plan_id,
-             CAST(CASE WHEN p.tier = 'enterprise' THEN 50 * (40 + r.k % 160) ELSE 50 * (3 + r.k % 58) END AS BIGINT) AS seats,
+             CAST(CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 50 * (40 + r.k % 160) ELSE 50 * (3 + r.k % 58) END AS BIGINT) AS seats,
              (SELECT arg_max(annual_price_per_seat, effective_date) FROM stg_plan_prices x
                WHERE x.plan_id = p.plan_id AND x.effective_date <= GREATEST(r.d, p.launched_date)) AS price,
              CASE WHEN next_ok IS NOT NULL THEN 'renewed'
                   WHEN CAST(d + INTERVAL 12 MONTH AS DATE) <= DATE '2001-08-01' THEN 'churned' ELSE 'active' END AS status
-      FROM term_rows r JOIN customer c ON c.c_custkey = r.k
-      JOIN stg_plans p ON p.tier = CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'enterprise' ELSE 'smb' END
-       AND r.d0 >= p.launched_date AND r.d0 <= COALESCE(p.retired_date, DATE '2003-12-31')
+      FROM term_rows r LEFT JOIN customer c ON c.c_custkey = r.k
+      LEFT JOIN stg_plans p ON p.tier = CASE WHEN c_mktsegment IN ('MACHINERY', 'BUILDING') THEN 'enterprise' ELSE 'smb' END
+       AND r.d0 >= p.launched_date AND (p.retired_date IS NULL OR r.d0 <= p.retired_date)
        AND (p.plan_id NOT IN ('team_v2', 'office_v2', 'essentials', 'growth')
             OR (r.ok0 % 2 = 0) = (p.plan_id IN ('team_v2', 'essentials')))) t
 -- cte: stg_orders
 SELECT order_id, 'cust_' || k AS customer_id, ch AS channel, d AS order_date, gross AS gross_amount, take AS take_rate,
        CASE WHEN take IS NULL THEN gross ELSE CAST(ROUND(gross * take, 2) AS DECIMAL(18,2)) END AS net_amount,
        promo AS promo_code, CAST(NULL AS VARCHAR) AS subscription_id
-FROM (SELECT 'ord_' || ok AS order_id, k, d, promo,
+FROM (SELECT c.*, CAST(COALESCE(total, 0) AS DECIMAL(18,2)) AS gross FROM
+     (SELECT 'ord_' || ok AS order_id, k, d, promo,
              CASE WHEN ch = 'd2c' AND d < DATE '1998-06-01' THEN 'direct' ELSE ch END AS ch,
              CASE WHEN ch = 'marketplace' THEN CAST(0.15 + (ok % 11) * 0.01 AS DECIMAL(5,4)) END AS take
       FROM consumer_base) c
-JOIN (SELECT order_id, CAST(SUM(line_amount) AS DECIMAL(18,2)) AS gross FROM stg_order_lines GROUP BY order_id) l USING (order_id)
+LEFT JOIN (SELECT order_id AS lines_of, SUM(line_amount) AS total FROM stg_order_lines GROUP BY order_id) l ON lines_of = order_id)
 UNION ALL
 SELECT order_id, customer_id, 'business_subscription', term_start_date, acv, NULL, acv, NULL, subscription_id FROM stg_subscriptions
 -- cte: stg_app_customers

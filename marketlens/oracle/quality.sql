@@ -130,25 +130,25 @@ UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'category' AS col
 UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'priority' AS column_name, COUNT(*) - COUNT(priority) AS violations FROM stg_tickets
 UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'status' AS column_name, COUNT(*) - COUNT(status) AS violations FROM stg_tickets
 -- query: table_fingerprint
-SELECT 'app_customers' AS table_name, 'app_db_customer_id,created_date,segment,account_type,acquisition_channel' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT app_db_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('app_db_customer_id=' || COALESCE(CAST(app_db_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('app_db_customer_id=' || COALESCE(CAST(app_db_customer_id AS VARCHAR), 'null') || '|' || 'created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'segment=' || COALESCE(CAST(segment AS VARCHAR), 'null') || '|' || 'account_type=' || COALESCE(CAST(account_type AS VARCHAR), 'null') || '|' || 'acquisition_channel=' || COALESCE(CAST(acquisition_channel AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_app_customers
-UNION ALL SELECT 'stripe_customers' AS table_name, 'stripe_customer_id,created_date,is_active,deactivated_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT stripe_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('stripe_customer_id=' || COALESCE(CAST(stripe_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'deactivated_date=' || COALESCE(CAST(deactivated_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('stripe_customer_id=' || COALESCE(CAST(stripe_customer_id AS VARCHAR), 'null') || '|' || 'created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'is_active=' || COALESCE(CAST(is_active AS VARCHAR), 'null') || '|' || 'deactivated_date=' || COALESCE(CAST(deactivated_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_stripe_customers
-UNION ALL SELECT 'shopify_customers' AS table_name, 'shopify_customer_id,created_date,is_active' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT shopify_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('shopify_customer_id=' || COALESCE(CAST(shopify_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('shopify_customer_id=' || COALESCE(CAST(shopify_customer_id AS VARCHAR), 'null') || '|' || 'created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'is_active=' || COALESCE(CAST(is_active AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_shopify_customers
-UNION ALL SELECT 'salesforce_customers' AS table_name, 'salesforce_customer_id,created_date,is_active' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT salesforce_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('salesforce_customer_id=' || COALESCE(CAST(salesforce_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('salesforce_customer_id=' || COALESCE(CAST(salesforce_customer_id AS VARCHAR), 'null') || '|' || 'created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'is_active=' || COALESCE(CAST(is_active AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_salesforce_customers
-UNION ALL SELECT 'customer_id_crosswalk' AS table_name, 'source_system,source_customer_id,app_db_customer_id,linked_date,link_method' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(source_system AS VARCHAR) || '/' || CAST(source_customer_id AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('source_system=' || COALESCE(CAST(source_system AS VARCHAR), 'null') || '|' || 'source_customer_id=' || COALESCE(CAST(source_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('linked_date=' || COALESCE(CAST(linked_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('source_system=' || COALESCE(CAST(source_system AS VARCHAR), 'null') || '|' || 'source_customer_id=' || COALESCE(CAST(source_customer_id AS VARCHAR), 'null') || '|' || 'app_db_customer_id=' || COALESCE(CAST(app_db_customer_id AS VARCHAR), 'null') || '|' || 'linked_date=' || COALESCE(CAST(linked_date AS VARCHAR), 'null') || '|' || 'link_method=' || COALESCE(CAST(link_method AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_customer_id_crosswalk
-UNION ALL SELECT 'orders' AS table_name, 'order_id,customer_id,channel,order_date,gross_amount,take_rate,net_amount,promo_code,subscription_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT order_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('gross_amount=' || COALESCE(CAST(gross_amount AS VARCHAR), 'null') || '|' || 'take_rate=' || COALESCE(CAST(take_rate AS VARCHAR), 'null') || '|' || 'net_amount=' || COALESCE(CAST(net_amount AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_date=' || COALESCE(CAST(order_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'customer_id=' || COALESCE(CAST(customer_id AS VARCHAR), 'null') || '|' || 'channel=' || COALESCE(CAST(channel AS VARCHAR), 'null') || '|' || 'order_date=' || COALESCE(CAST(order_date AS VARCHAR), 'null') || '|' || 'gross_amount=' || COALESCE(CAST(gross_amount AS VARCHAR), 'null') || '|' || 'take_rate=' || COALESCE(CAST(take_rate AS VARCHAR), 'null') || '|' || 'net_amount=' || COALESCE(CAST(net_amount AS VARCHAR), 'null') || '|' || 'promo_code=' || COALESCE(CAST(promo_code AS VARCHAR), 'null') || '|' || 'subscription_id=' || COALESCE(CAST(subscription_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_orders
-UNION ALL SELECT 'order_lines' AS table_name, 'order_line_id,order_id,sku,quantity,unit_price,discount_pct,line_amount,order_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT order_line_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_line_id=' || COALESCE(CAST(order_line_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('unit_price=' || COALESCE(CAST(unit_price AS VARCHAR), 'null') || '|' || 'discount_pct=' || COALESCE(CAST(discount_pct AS VARCHAR), 'null') || '|' || 'line_amount=' || COALESCE(CAST(line_amount AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_date=' || COALESCE(CAST(order_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_line_id=' || COALESCE(CAST(order_line_id AS VARCHAR), 'null') || '|' || 'order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'sku=' || COALESCE(CAST(sku AS VARCHAR), 'null') || '|' || 'quantity=' || COALESCE(CAST(quantity AS VARCHAR), 'null') || '|' || 'unit_price=' || COALESCE(CAST(unit_price AS VARCHAR), 'null') || '|' || 'discount_pct=' || COALESCE(CAST(discount_pct AS VARCHAR), 'null') || '|' || 'line_amount=' || COALESCE(CAST(line_amount AS VARCHAR), 'null') || '|' || 'order_date=' || COALESCE(CAST(order_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_order_lines
-UNION ALL SELECT 'products' AS table_name, 'sku,product_name,category,supplier_id,unit_cost,list_price,introduced_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT sku) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('sku=' || COALESCE(CAST(sku AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('unit_cost=' || COALESCE(CAST(unit_cost AS VARCHAR), 'null') || '|' || 'list_price=' || COALESCE(CAST(list_price AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('introduced_date=' || COALESCE(CAST(introduced_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('sku=' || COALESCE(CAST(sku AS VARCHAR), 'null') || '|' || 'product_name=' || COALESCE(CAST(product_name AS VARCHAR), 'null') || '|' || 'category=' || COALESCE(CAST(category AS VARCHAR), 'null') || '|' || 'supplier_id=' || COALESCE(CAST(supplier_id AS VARCHAR), 'null') || '|' || 'unit_cost=' || COALESCE(CAST(unit_cost AS VARCHAR), 'null') || '|' || 'list_price=' || COALESCE(CAST(list_price AS VARCHAR), 'null') || '|' || 'introduced_date=' || COALESCE(CAST(introduced_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_products
-UNION ALL SELECT 'plans' AS table_name, 'plan_id,plan_name,plan_generation,tier,launched_date,retired_date,is_current' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT plan_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('plan_id=' || COALESCE(CAST(plan_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('launched_date=' || COALESCE(CAST(launched_date AS VARCHAR), 'null') || '|' || 'retired_date=' || COALESCE(CAST(retired_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('plan_id=' || COALESCE(CAST(plan_id AS VARCHAR), 'null') || '|' || 'plan_name=' || COALESCE(CAST(plan_name AS VARCHAR), 'null') || '|' || 'plan_generation=' || COALESCE(CAST(plan_generation AS VARCHAR), 'null') || '|' || 'tier=' || COALESCE(CAST(tier AS VARCHAR), 'null') || '|' || 'launched_date=' || COALESCE(CAST(launched_date AS VARCHAR), 'null') || '|' || 'retired_date=' || COALESCE(CAST(retired_date AS VARCHAR), 'null') || '|' || 'is_current=' || COALESCE(CAST(is_current AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_plans
-UNION ALL SELECT 'plan_prices' AS table_name, 'plan_id,effective_date,annual_price_per_seat' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(plan_id AS VARCHAR) || '/' || CAST(effective_date AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('plan_id=' || COALESCE(CAST(plan_id AS VARCHAR), 'null') || '|' || 'effective_date=' || COALESCE(CAST(effective_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('annual_price_per_seat=' || COALESCE(CAST(annual_price_per_seat AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('effective_date=' || COALESCE(CAST(effective_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('plan_id=' || COALESCE(CAST(plan_id AS VARCHAR), 'null') || '|' || 'effective_date=' || COALESCE(CAST(effective_date AS VARCHAR), 'null') || '|' || 'annual_price_per_seat=' || COALESCE(CAST(annual_price_per_seat AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_plan_prices
-UNION ALL SELECT 'subscriptions' AS table_name, 'subscription_id,customer_id,plan_id,seats,term_start_date,term_end_date,price_per_seat,acv,order_id,renewed_from_subscription_id,status,cancelled_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT subscription_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('subscription_id=' || COALESCE(CAST(subscription_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('price_per_seat=' || COALESCE(CAST(price_per_seat AS VARCHAR), 'null') || '|' || 'acv=' || COALESCE(CAST(acv AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('term_start_date=' || COALESCE(CAST(term_start_date AS VARCHAR), 'null') || '|' || 'term_end_date=' || COALESCE(CAST(term_end_date AS VARCHAR), 'null') || '|' || 'cancelled_date=' || COALESCE(CAST(cancelled_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('subscription_id=' || COALESCE(CAST(subscription_id AS VARCHAR), 'null') || '|' || 'customer_id=' || COALESCE(CAST(customer_id AS VARCHAR), 'null') || '|' || 'plan_id=' || COALESCE(CAST(plan_id AS VARCHAR), 'null') || '|' || 'seats=' || COALESCE(CAST(seats AS VARCHAR), 'null') || '|' || 'term_start_date=' || COALESCE(CAST(term_start_date AS VARCHAR), 'null') || '|' || 'term_end_date=' || COALESCE(CAST(term_end_date AS VARCHAR), 'null') || '|' || 'price_per_seat=' || COALESCE(CAST(price_per_seat AS VARCHAR), 'null') || '|' || 'acv=' || COALESCE(CAST(acv AS VARCHAR), 'null') || '|' || 'order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'renewed_from_subscription_id=' || COALESCE(CAST(renewed_from_subscription_id AS VARCHAR), 'null') || '|' || 'status=' || COALESCE(CAST(status AS VARCHAR), 'null') || '|' || 'cancelled_date=' || COALESCE(CAST(cancelled_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_subscriptions
-UNION ALL SELECT 'invoices' AS table_name, 'invoice_id,order_id,billed_date,due_date,collected_date,amount,is_bad_debt,salesforce_customer_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT invoice_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('invoice_id=' || COALESCE(CAST(invoice_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('amount=' || COALESCE(CAST(amount AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('billed_date=' || COALESCE(CAST(billed_date AS VARCHAR), 'null') || '|' || 'due_date=' || COALESCE(CAST(due_date AS VARCHAR), 'null') || '|' || 'collected_date=' || COALESCE(CAST(collected_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('invoice_id=' || COALESCE(CAST(invoice_id AS VARCHAR), 'null') || '|' || 'order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'billed_date=' || COALESCE(CAST(billed_date AS VARCHAR), 'null') || '|' || 'due_date=' || COALESCE(CAST(due_date AS VARCHAR), 'null') || '|' || 'collected_date=' || COALESCE(CAST(collected_date AS VARCHAR), 'null') || '|' || 'amount=' || COALESCE(CAST(amount AS VARCHAR), 'null') || '|' || 'is_bad_debt=' || COALESCE(CAST(is_bad_debt AS VARCHAR), 'null') || '|' || 'salesforce_customer_id=' || COALESCE(CAST(salesforce_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_invoices
-UNION ALL SELECT 'revenue_recognition' AS table_name, 'order_id,recognition_date,amount' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(order_id AS VARCHAR) || '/' || CAST(recognition_date AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'recognition_date=' || COALESCE(CAST(recognition_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('amount=' || COALESCE(CAST(amount AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('recognition_date=' || COALESCE(CAST(recognition_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'recognition_date=' || COALESCE(CAST(recognition_date AS VARCHAR), 'null') || '|' || 'amount=' || COALESCE(CAST(amount AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_revenue_recognition
-UNION ALL SELECT 'refunds' AS table_name, 'refund_id,order_id,refund_date,refund_amount,stripe_customer_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT refund_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('refund_id=' || COALESCE(CAST(refund_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('refund_amount=' || COALESCE(CAST(refund_amount AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('refund_date=' || COALESCE(CAST(refund_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('refund_id=' || COALESCE(CAST(refund_id AS VARCHAR), 'null') || '|' || 'order_id=' || COALESCE(CAST(order_id AS VARCHAR), 'null') || '|' || 'refund_date=' || COALESCE(CAST(refund_date AS VARCHAR), 'null') || '|' || 'refund_amount=' || COALESCE(CAST(refund_amount AS VARCHAR), 'null') || '|' || 'stripe_customer_id=' || COALESCE(CAST(stripe_customer_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_refunds
-UNION ALL SELECT 'promotions' AS table_name, 'promo_code,promo_name,start_date,end_date,discount_pct,eligible_channels' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT promo_code) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('promo_code=' || COALESCE(CAST(promo_code AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('discount_pct=' || COALESCE(CAST(discount_pct AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('start_date=' || COALESCE(CAST(start_date AS VARCHAR), 'null') || '|' || 'end_date=' || COALESCE(CAST(end_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('promo_code=' || COALESCE(CAST(promo_code AS VARCHAR), 'null') || '|' || 'promo_name=' || COALESCE(CAST(promo_name AS VARCHAR), 'null') || '|' || 'start_date=' || COALESCE(CAST(start_date AS VARCHAR), 'null') || '|' || 'end_date=' || COALESCE(CAST(end_date AS VARCHAR), 'null') || '|' || 'discount_pct=' || COALESCE(CAST(discount_pct AS VARCHAR), 'null') || '|' || 'eligible_channels=' || COALESCE(CAST(eligible_channels AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_promotions
-UNION ALL SELECT 'suppliers' AS table_name, 'supplier_id,supplier_name,category,onboarded_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT supplier_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('supplier_id=' || COALESCE(CAST(supplier_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('onboarded_date=' || COALESCE(CAST(onboarded_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('supplier_id=' || COALESCE(CAST(supplier_id AS VARCHAR), 'null') || '|' || 'supplier_name=' || COALESCE(CAST(supplier_name AS VARCHAR), 'null') || '|' || 'category=' || COALESCE(CAST(category AS VARCHAR), 'null') || '|' || 'onboarded_date=' || COALESCE(CAST(onboarded_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_suppliers
-UNION ALL SELECT 'supplier_shipments' AS table_name, 'shipment_id,supplier_id,category,expected_date,received_date,units_expected,units_received,status' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT shipment_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('shipment_id=' || COALESCE(CAST(shipment_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('expected_date=' || COALESCE(CAST(expected_date AS VARCHAR), 'null') || '|' || 'received_date=' || COALESCE(CAST(received_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('shipment_id=' || COALESCE(CAST(shipment_id AS VARCHAR), 'null') || '|' || 'supplier_id=' || COALESCE(CAST(supplier_id AS VARCHAR), 'null') || '|' || 'category=' || COALESCE(CAST(category AS VARCHAR), 'null') || '|' || 'expected_date=' || COALESCE(CAST(expected_date AS VARCHAR), 'null') || '|' || 'received_date=' || COALESCE(CAST(received_date AS VARCHAR), 'null') || '|' || 'units_expected=' || COALESCE(CAST(units_expected AS VARCHAR), 'null') || '|' || 'units_received=' || COALESCE(CAST(units_received AS VARCHAR), 'null') || '|' || 'status=' || COALESCE(CAST(status AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_supplier_shipments
-UNION ALL SELECT 'ad_spend' AS table_name, 'spend_date,platform,spend_usd,impressions,clicks,reported_conversions' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(spend_date AS VARCHAR) || '/' || CAST(platform AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('spend_date=' || COALESCE(CAST(spend_date AS VARCHAR), 'null') || '|' || 'platform=' || COALESCE(CAST(platform AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('spend_usd=' || COALESCE(CAST(spend_usd AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('spend_date=' || COALESCE(CAST(spend_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('spend_date=' || COALESCE(CAST(spend_date AS VARCHAR), 'null') || '|' || 'platform=' || COALESCE(CAST(platform AS VARCHAR), 'null') || '|' || 'spend_usd=' || COALESCE(CAST(spend_usd AS VARCHAR), 'null') || '|' || 'impressions=' || COALESCE(CAST(impressions AS VARCHAR), 'null') || '|' || 'clicks=' || COALESCE(CAST(clicks AS VARCHAR), 'null') || '|' || 'reported_conversions=' || COALESCE(CAST(reported_conversions AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_ad_spend
-UNION ALL SELECT 'tickets' AS table_name, 'ticket_id,requester_source_system,requester_source_id,created_date,category,priority,status,resolved_date,related_order_id,related_subscription_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT ticket_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256('ticket_id=' || COALESCE(CAST(ticket_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'resolved_date=' || COALESCE(CAST(resolved_date AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256('ticket_id=' || COALESCE(CAST(ticket_id AS VARCHAR), 'null') || '|' || 'requester_source_system=' || COALESCE(CAST(requester_source_system AS VARCHAR), 'null') || '|' || 'requester_source_id=' || COALESCE(CAST(requester_source_id AS VARCHAR), 'null') || '|' || 'created_date=' || COALESCE(CAST(created_date AS VARCHAR), 'null') || '|' || 'category=' || COALESCE(CAST(category AS VARCHAR), 'null') || '|' || 'priority=' || COALESCE(CAST(priority AS VARCHAR), 'null') || '|' || 'status=' || COALESCE(CAST(status AS VARCHAR), 'null') || '|' || 'resolved_date=' || COALESCE(CAST(resolved_date AS VARCHAR), 'null') || '|' || 'related_order_id=' || COALESCE(CAST(related_order_id AS VARCHAR), 'null') || '|' || 'related_subscription_id=' || COALESCE(CAST(related_subscription_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_tickets
+SELECT 'app_customers' AS table_name, 'app_db_customer_id,created_date,segment,account_type,acquisition_channel' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT app_db_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('app_db_customer_id=' || length(CAST(app_db_customer_id AS VARCHAR)) || ':' || CAST(app_db_customer_id AS VARCHAR), 'app_db_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('app_db_customer_id=' || length(CAST(app_db_customer_id AS VARCHAR)) || ':' || CAST(app_db_customer_id AS VARCHAR), 'app_db_customer_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('segment=' || length(CAST(segment AS VARCHAR)) || ':' || CAST(segment AS VARCHAR), 'segment') || '|' || COALESCE('account_type=' || length(CAST(account_type AS VARCHAR)) || ':' || CAST(account_type AS VARCHAR), 'account_type') || '|' || COALESCE('acquisition_channel=' || length(CAST(acquisition_channel AS VARCHAR)) || ':' || CAST(acquisition_channel AS VARCHAR), 'acquisition_channel')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_app_customers
+UNION ALL SELECT 'stripe_customers' AS table_name, 'stripe_customer_id,created_date,is_active,deactivated_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT stripe_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('stripe_customer_id=' || length(CAST(stripe_customer_id AS VARCHAR)) || ':' || CAST(stripe_customer_id AS VARCHAR), 'stripe_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('deactivated_date=' || length(CAST(deactivated_date AS VARCHAR)) || ':' || CAST(deactivated_date AS VARCHAR), 'deactivated_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('stripe_customer_id=' || length(CAST(stripe_customer_id AS VARCHAR)) || ':' || CAST(stripe_customer_id AS VARCHAR), 'stripe_customer_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('is_active=' || length(CAST(is_active AS VARCHAR)) || ':' || CAST(is_active AS VARCHAR), 'is_active') || '|' || COALESCE('deactivated_date=' || length(CAST(deactivated_date AS VARCHAR)) || ':' || CAST(deactivated_date AS VARCHAR), 'deactivated_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_stripe_customers
+UNION ALL SELECT 'shopify_customers' AS table_name, 'shopify_customer_id,created_date,is_active' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT shopify_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('shopify_customer_id=' || length(CAST(shopify_customer_id AS VARCHAR)) || ':' || CAST(shopify_customer_id AS VARCHAR), 'shopify_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('shopify_customer_id=' || length(CAST(shopify_customer_id AS VARCHAR)) || ':' || CAST(shopify_customer_id AS VARCHAR), 'shopify_customer_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('is_active=' || length(CAST(is_active AS VARCHAR)) || ':' || CAST(is_active AS VARCHAR), 'is_active')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_shopify_customers
+UNION ALL SELECT 'salesforce_customers' AS table_name, 'salesforce_customer_id,created_date,is_active' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT salesforce_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('salesforce_customer_id=' || length(CAST(salesforce_customer_id AS VARCHAR)) || ':' || CAST(salesforce_customer_id AS VARCHAR), 'salesforce_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('salesforce_customer_id=' || length(CAST(salesforce_customer_id AS VARCHAR)) || ':' || CAST(salesforce_customer_id AS VARCHAR), 'salesforce_customer_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('is_active=' || length(CAST(is_active AS VARCHAR)) || ':' || CAST(is_active AS VARCHAR), 'is_active')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_salesforce_customers
+UNION ALL SELECT 'customer_id_crosswalk' AS table_name, 'source_system,source_customer_id,app_db_customer_id,linked_date,link_method' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(source_system AS VARCHAR) || '/' || CAST(source_customer_id AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('source_system=' || length(CAST(source_system AS VARCHAR)) || ':' || CAST(source_system AS VARCHAR), 'source_system') || '|' || COALESCE('source_customer_id=' || length(CAST(source_customer_id AS VARCHAR)) || ':' || CAST(source_customer_id AS VARCHAR), 'source_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('linked_date=' || length(CAST(linked_date AS VARCHAR)) || ':' || CAST(linked_date AS VARCHAR), 'linked_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('source_system=' || length(CAST(source_system AS VARCHAR)) || ':' || CAST(source_system AS VARCHAR), 'source_system') || '|' || COALESCE('source_customer_id=' || length(CAST(source_customer_id AS VARCHAR)) || ':' || CAST(source_customer_id AS VARCHAR), 'source_customer_id') || '|' || COALESCE('app_db_customer_id=' || length(CAST(app_db_customer_id AS VARCHAR)) || ':' || CAST(app_db_customer_id AS VARCHAR), 'app_db_customer_id') || '|' || COALESCE('linked_date=' || length(CAST(linked_date AS VARCHAR)) || ':' || CAST(linked_date AS VARCHAR), 'linked_date') || '|' || COALESCE('link_method=' || length(CAST(link_method AS VARCHAR)) || ':' || CAST(link_method AS VARCHAR), 'link_method')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_customer_id_crosswalk
+UNION ALL SELECT 'orders' AS table_name, 'order_id,customer_id,channel,order_date,gross_amount,take_rate,net_amount,promo_code,subscription_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT order_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('gross_amount=' || length(CAST(gross_amount AS VARCHAR)) || ':' || CAST(gross_amount AS VARCHAR), 'gross_amount') || '|' || COALESCE('take_rate=' || length(CAST(take_rate AS VARCHAR)) || ':' || CAST(take_rate AS VARCHAR), 'take_rate') || '|' || COALESCE('net_amount=' || length(CAST(net_amount AS VARCHAR)) || ':' || CAST(net_amount AS VARCHAR), 'net_amount')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_date=' || length(CAST(order_date AS VARCHAR)) || ':' || CAST(order_date AS VARCHAR), 'order_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('customer_id=' || length(CAST(customer_id AS VARCHAR)) || ':' || CAST(customer_id AS VARCHAR), 'customer_id') || '|' || COALESCE('channel=' || length(CAST(channel AS VARCHAR)) || ':' || CAST(channel AS VARCHAR), 'channel') || '|' || COALESCE('order_date=' || length(CAST(order_date AS VARCHAR)) || ':' || CAST(order_date AS VARCHAR), 'order_date') || '|' || COALESCE('gross_amount=' || length(CAST(gross_amount AS VARCHAR)) || ':' || CAST(gross_amount AS VARCHAR), 'gross_amount') || '|' || COALESCE('take_rate=' || length(CAST(take_rate AS VARCHAR)) || ':' || CAST(take_rate AS VARCHAR), 'take_rate') || '|' || COALESCE('net_amount=' || length(CAST(net_amount AS VARCHAR)) || ':' || CAST(net_amount AS VARCHAR), 'net_amount') || '|' || COALESCE('promo_code=' || length(CAST(promo_code AS VARCHAR)) || ':' || CAST(promo_code AS VARCHAR), 'promo_code') || '|' || COALESCE('subscription_id=' || length(CAST(subscription_id AS VARCHAR)) || ':' || CAST(subscription_id AS VARCHAR), 'subscription_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_orders
+UNION ALL SELECT 'order_lines' AS table_name, 'order_line_id,order_id,sku,quantity,unit_price,discount_pct,line_amount,order_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT order_line_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_line_id=' || length(CAST(order_line_id AS VARCHAR)) || ':' || CAST(order_line_id AS VARCHAR), 'order_line_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('unit_price=' || length(CAST(unit_price AS VARCHAR)) || ':' || CAST(unit_price AS VARCHAR), 'unit_price') || '|' || COALESCE('discount_pct=' || length(CAST(discount_pct AS VARCHAR)) || ':' || CAST(discount_pct AS VARCHAR), 'discount_pct') || '|' || COALESCE('line_amount=' || length(CAST(line_amount AS VARCHAR)) || ':' || CAST(line_amount AS VARCHAR), 'line_amount')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_date=' || length(CAST(order_date AS VARCHAR)) || ':' || CAST(order_date AS VARCHAR), 'order_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_line_id=' || length(CAST(order_line_id AS VARCHAR)) || ':' || CAST(order_line_id AS VARCHAR), 'order_line_id') || '|' || COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('sku=' || length(CAST(sku AS VARCHAR)) || ':' || CAST(sku AS VARCHAR), 'sku') || '|' || COALESCE('quantity=' || length(CAST(quantity AS VARCHAR)) || ':' || CAST(quantity AS VARCHAR), 'quantity') || '|' || COALESCE('unit_price=' || length(CAST(unit_price AS VARCHAR)) || ':' || CAST(unit_price AS VARCHAR), 'unit_price') || '|' || COALESCE('discount_pct=' || length(CAST(discount_pct AS VARCHAR)) || ':' || CAST(discount_pct AS VARCHAR), 'discount_pct') || '|' || COALESCE('line_amount=' || length(CAST(line_amount AS VARCHAR)) || ':' || CAST(line_amount AS VARCHAR), 'line_amount') || '|' || COALESCE('order_date=' || length(CAST(order_date AS VARCHAR)) || ':' || CAST(order_date AS VARCHAR), 'order_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_order_lines
+UNION ALL SELECT 'products' AS table_name, 'sku,product_name,category,supplier_id,unit_cost,list_price,introduced_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT sku) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('sku=' || length(CAST(sku AS VARCHAR)) || ':' || CAST(sku AS VARCHAR), 'sku')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('unit_cost=' || length(CAST(unit_cost AS VARCHAR)) || ':' || CAST(unit_cost AS VARCHAR), 'unit_cost') || '|' || COALESCE('list_price=' || length(CAST(list_price AS VARCHAR)) || ':' || CAST(list_price AS VARCHAR), 'list_price')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('introduced_date=' || length(CAST(introduced_date AS VARCHAR)) || ':' || CAST(introduced_date AS VARCHAR), 'introduced_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('sku=' || length(CAST(sku AS VARCHAR)) || ':' || CAST(sku AS VARCHAR), 'sku') || '|' || COALESCE('product_name=' || length(CAST(product_name AS VARCHAR)) || ':' || CAST(product_name AS VARCHAR), 'product_name') || '|' || COALESCE('category=' || length(CAST(category AS VARCHAR)) || ':' || CAST(category AS VARCHAR), 'category') || '|' || COALESCE('supplier_id=' || length(CAST(supplier_id AS VARCHAR)) || ':' || CAST(supplier_id AS VARCHAR), 'supplier_id') || '|' || COALESCE('unit_cost=' || length(CAST(unit_cost AS VARCHAR)) || ':' || CAST(unit_cost AS VARCHAR), 'unit_cost') || '|' || COALESCE('list_price=' || length(CAST(list_price AS VARCHAR)) || ':' || CAST(list_price AS VARCHAR), 'list_price') || '|' || COALESCE('introduced_date=' || length(CAST(introduced_date AS VARCHAR)) || ':' || CAST(introduced_date AS VARCHAR), 'introduced_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_products
+UNION ALL SELECT 'plans' AS table_name, 'plan_id,plan_name,plan_generation,tier,launched_date,retired_date,is_current' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT plan_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('plan_id=' || length(CAST(plan_id AS VARCHAR)) || ':' || CAST(plan_id AS VARCHAR), 'plan_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('launched_date=' || length(CAST(launched_date AS VARCHAR)) || ':' || CAST(launched_date AS VARCHAR), 'launched_date') || '|' || COALESCE('retired_date=' || length(CAST(retired_date AS VARCHAR)) || ':' || CAST(retired_date AS VARCHAR), 'retired_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('plan_id=' || length(CAST(plan_id AS VARCHAR)) || ':' || CAST(plan_id AS VARCHAR), 'plan_id') || '|' || COALESCE('plan_name=' || length(CAST(plan_name AS VARCHAR)) || ':' || CAST(plan_name AS VARCHAR), 'plan_name') || '|' || COALESCE('plan_generation=' || length(CAST(plan_generation AS VARCHAR)) || ':' || CAST(plan_generation AS VARCHAR), 'plan_generation') || '|' || COALESCE('tier=' || length(CAST(tier AS VARCHAR)) || ':' || CAST(tier AS VARCHAR), 'tier') || '|' || COALESCE('launched_date=' || length(CAST(launched_date AS VARCHAR)) || ':' || CAST(launched_date AS VARCHAR), 'launched_date') || '|' || COALESCE('retired_date=' || length(CAST(retired_date AS VARCHAR)) || ':' || CAST(retired_date AS VARCHAR), 'retired_date') || '|' || COALESCE('is_current=' || length(CAST(is_current AS VARCHAR)) || ':' || CAST(is_current AS VARCHAR), 'is_current')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_plans
+UNION ALL SELECT 'plan_prices' AS table_name, 'plan_id,effective_date,annual_price_per_seat' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(plan_id AS VARCHAR) || '/' || CAST(effective_date AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('plan_id=' || length(CAST(plan_id AS VARCHAR)) || ':' || CAST(plan_id AS VARCHAR), 'plan_id') || '|' || COALESCE('effective_date=' || length(CAST(effective_date AS VARCHAR)) || ':' || CAST(effective_date AS VARCHAR), 'effective_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('annual_price_per_seat=' || length(CAST(annual_price_per_seat AS VARCHAR)) || ':' || CAST(annual_price_per_seat AS VARCHAR), 'annual_price_per_seat')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('effective_date=' || length(CAST(effective_date AS VARCHAR)) || ':' || CAST(effective_date AS VARCHAR), 'effective_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('plan_id=' || length(CAST(plan_id AS VARCHAR)) || ':' || CAST(plan_id AS VARCHAR), 'plan_id') || '|' || COALESCE('effective_date=' || length(CAST(effective_date AS VARCHAR)) || ':' || CAST(effective_date AS VARCHAR), 'effective_date') || '|' || COALESCE('annual_price_per_seat=' || length(CAST(annual_price_per_seat AS VARCHAR)) || ':' || CAST(annual_price_per_seat AS VARCHAR), 'annual_price_per_seat')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_plan_prices
+UNION ALL SELECT 'subscriptions' AS table_name, 'subscription_id,customer_id,plan_id,seats,term_start_date,term_end_date,price_per_seat,acv,order_id,renewed_from_subscription_id,status,cancelled_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT subscription_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('subscription_id=' || length(CAST(subscription_id AS VARCHAR)) || ':' || CAST(subscription_id AS VARCHAR), 'subscription_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('price_per_seat=' || length(CAST(price_per_seat AS VARCHAR)) || ':' || CAST(price_per_seat AS VARCHAR), 'price_per_seat') || '|' || COALESCE('acv=' || length(CAST(acv AS VARCHAR)) || ':' || CAST(acv AS VARCHAR), 'acv')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('term_start_date=' || length(CAST(term_start_date AS VARCHAR)) || ':' || CAST(term_start_date AS VARCHAR), 'term_start_date') || '|' || COALESCE('term_end_date=' || length(CAST(term_end_date AS VARCHAR)) || ':' || CAST(term_end_date AS VARCHAR), 'term_end_date') || '|' || COALESCE('cancelled_date=' || length(CAST(cancelled_date AS VARCHAR)) || ':' || CAST(cancelled_date AS VARCHAR), 'cancelled_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('subscription_id=' || length(CAST(subscription_id AS VARCHAR)) || ':' || CAST(subscription_id AS VARCHAR), 'subscription_id') || '|' || COALESCE('customer_id=' || length(CAST(customer_id AS VARCHAR)) || ':' || CAST(customer_id AS VARCHAR), 'customer_id') || '|' || COALESCE('plan_id=' || length(CAST(plan_id AS VARCHAR)) || ':' || CAST(plan_id AS VARCHAR), 'plan_id') || '|' || COALESCE('seats=' || length(CAST(seats AS VARCHAR)) || ':' || CAST(seats AS VARCHAR), 'seats') || '|' || COALESCE('term_start_date=' || length(CAST(term_start_date AS VARCHAR)) || ':' || CAST(term_start_date AS VARCHAR), 'term_start_date') || '|' || COALESCE('term_end_date=' || length(CAST(term_end_date AS VARCHAR)) || ':' || CAST(term_end_date AS VARCHAR), 'term_end_date') || '|' || COALESCE('price_per_seat=' || length(CAST(price_per_seat AS VARCHAR)) || ':' || CAST(price_per_seat AS VARCHAR), 'price_per_seat') || '|' || COALESCE('acv=' || length(CAST(acv AS VARCHAR)) || ':' || CAST(acv AS VARCHAR), 'acv') || '|' || COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('renewed_from_subscription_id=' || length(CAST(renewed_from_subscription_id AS VARCHAR)) || ':' || CAST(renewed_from_subscription_id AS VARCHAR), 'renewed_from_subscription_id') || '|' || COALESCE('status=' || length(CAST(status AS VARCHAR)) || ':' || CAST(status AS VARCHAR), 'status') || '|' || COALESCE('cancelled_date=' || length(CAST(cancelled_date AS VARCHAR)) || ':' || CAST(cancelled_date AS VARCHAR), 'cancelled_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_subscriptions
+UNION ALL SELECT 'invoices' AS table_name, 'invoice_id,order_id,billed_date,due_date,collected_date,amount,is_bad_debt,salesforce_customer_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT invoice_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('invoice_id=' || length(CAST(invoice_id AS VARCHAR)) || ':' || CAST(invoice_id AS VARCHAR), 'invoice_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('amount=' || length(CAST(amount AS VARCHAR)) || ':' || CAST(amount AS VARCHAR), 'amount')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('billed_date=' || length(CAST(billed_date AS VARCHAR)) || ':' || CAST(billed_date AS VARCHAR), 'billed_date') || '|' || COALESCE('due_date=' || length(CAST(due_date AS VARCHAR)) || ':' || CAST(due_date AS VARCHAR), 'due_date') || '|' || COALESCE('collected_date=' || length(CAST(collected_date AS VARCHAR)) || ':' || CAST(collected_date AS VARCHAR), 'collected_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('invoice_id=' || length(CAST(invoice_id AS VARCHAR)) || ':' || CAST(invoice_id AS VARCHAR), 'invoice_id') || '|' || COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('billed_date=' || length(CAST(billed_date AS VARCHAR)) || ':' || CAST(billed_date AS VARCHAR), 'billed_date') || '|' || COALESCE('due_date=' || length(CAST(due_date AS VARCHAR)) || ':' || CAST(due_date AS VARCHAR), 'due_date') || '|' || COALESCE('collected_date=' || length(CAST(collected_date AS VARCHAR)) || ':' || CAST(collected_date AS VARCHAR), 'collected_date') || '|' || COALESCE('amount=' || length(CAST(amount AS VARCHAR)) || ':' || CAST(amount AS VARCHAR), 'amount') || '|' || COALESCE('is_bad_debt=' || length(CAST(is_bad_debt AS VARCHAR)) || ':' || CAST(is_bad_debt AS VARCHAR), 'is_bad_debt') || '|' || COALESCE('salesforce_customer_id=' || length(CAST(salesforce_customer_id AS VARCHAR)) || ':' || CAST(salesforce_customer_id AS VARCHAR), 'salesforce_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_invoices
+UNION ALL SELECT 'revenue_recognition' AS table_name, 'order_id,recognition_date,amount' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(order_id AS VARCHAR) || '/' || CAST(recognition_date AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('recognition_date=' || length(CAST(recognition_date AS VARCHAR)) || ':' || CAST(recognition_date AS VARCHAR), 'recognition_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('amount=' || length(CAST(amount AS VARCHAR)) || ':' || CAST(amount AS VARCHAR), 'amount')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('recognition_date=' || length(CAST(recognition_date AS VARCHAR)) || ':' || CAST(recognition_date AS VARCHAR), 'recognition_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('recognition_date=' || length(CAST(recognition_date AS VARCHAR)) || ':' || CAST(recognition_date AS VARCHAR), 'recognition_date') || '|' || COALESCE('amount=' || length(CAST(amount AS VARCHAR)) || ':' || CAST(amount AS VARCHAR), 'amount')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_revenue_recognition
+UNION ALL SELECT 'refunds' AS table_name, 'refund_id,order_id,refund_date,refund_amount,stripe_customer_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT refund_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('refund_id=' || length(CAST(refund_id AS VARCHAR)) || ':' || CAST(refund_id AS VARCHAR), 'refund_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('refund_amount=' || length(CAST(refund_amount AS VARCHAR)) || ':' || CAST(refund_amount AS VARCHAR), 'refund_amount')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('refund_date=' || length(CAST(refund_date AS VARCHAR)) || ':' || CAST(refund_date AS VARCHAR), 'refund_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('refund_id=' || length(CAST(refund_id AS VARCHAR)) || ':' || CAST(refund_id AS VARCHAR), 'refund_id') || '|' || COALESCE('order_id=' || length(CAST(order_id AS VARCHAR)) || ':' || CAST(order_id AS VARCHAR), 'order_id') || '|' || COALESCE('refund_date=' || length(CAST(refund_date AS VARCHAR)) || ':' || CAST(refund_date AS VARCHAR), 'refund_date') || '|' || COALESCE('refund_amount=' || length(CAST(refund_amount AS VARCHAR)) || ':' || CAST(refund_amount AS VARCHAR), 'refund_amount') || '|' || COALESCE('stripe_customer_id=' || length(CAST(stripe_customer_id AS VARCHAR)) || ':' || CAST(stripe_customer_id AS VARCHAR), 'stripe_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_refunds
+UNION ALL SELECT 'promotions' AS table_name, 'promo_code,promo_name,start_date,end_date,discount_pct,eligible_channels' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT promo_code) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('promo_code=' || length(CAST(promo_code AS VARCHAR)) || ':' || CAST(promo_code AS VARCHAR), 'promo_code')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('discount_pct=' || length(CAST(discount_pct AS VARCHAR)) || ':' || CAST(discount_pct AS VARCHAR), 'discount_pct')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('start_date=' || length(CAST(start_date AS VARCHAR)) || ':' || CAST(start_date AS VARCHAR), 'start_date') || '|' || COALESCE('end_date=' || length(CAST(end_date AS VARCHAR)) || ':' || CAST(end_date AS VARCHAR), 'end_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('promo_code=' || length(CAST(promo_code AS VARCHAR)) || ':' || CAST(promo_code AS VARCHAR), 'promo_code') || '|' || COALESCE('promo_name=' || length(CAST(promo_name AS VARCHAR)) || ':' || CAST(promo_name AS VARCHAR), 'promo_name') || '|' || COALESCE('start_date=' || length(CAST(start_date AS VARCHAR)) || ':' || CAST(start_date AS VARCHAR), 'start_date') || '|' || COALESCE('end_date=' || length(CAST(end_date AS VARCHAR)) || ':' || CAST(end_date AS VARCHAR), 'end_date') || '|' || COALESCE('discount_pct=' || length(CAST(discount_pct AS VARCHAR)) || ':' || CAST(discount_pct AS VARCHAR), 'discount_pct') || '|' || COALESCE('eligible_channels=' || length(CAST(eligible_channels AS VARCHAR)) || ':' || CAST(eligible_channels AS VARCHAR), 'eligible_channels')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_promotions
+UNION ALL SELECT 'suppliers' AS table_name, 'supplier_id,supplier_name,category,onboarded_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT supplier_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('supplier_id=' || length(CAST(supplier_id AS VARCHAR)) || ':' || CAST(supplier_id AS VARCHAR), 'supplier_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('onboarded_date=' || length(CAST(onboarded_date AS VARCHAR)) || ':' || CAST(onboarded_date AS VARCHAR), 'onboarded_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('supplier_id=' || length(CAST(supplier_id AS VARCHAR)) || ':' || CAST(supplier_id AS VARCHAR), 'supplier_id') || '|' || COALESCE('supplier_name=' || length(CAST(supplier_name AS VARCHAR)) || ':' || CAST(supplier_name AS VARCHAR), 'supplier_name') || '|' || COALESCE('category=' || length(CAST(category AS VARCHAR)) || ':' || CAST(category AS VARCHAR), 'category') || '|' || COALESCE('onboarded_date=' || length(CAST(onboarded_date AS VARCHAR)) || ':' || CAST(onboarded_date AS VARCHAR), 'onboarded_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_suppliers
+UNION ALL SELECT 'supplier_shipments' AS table_name, 'shipment_id,supplier_id,category,expected_date,received_date,units_expected,units_received,status' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT shipment_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('shipment_id=' || length(CAST(shipment_id AS VARCHAR)) || ':' || CAST(shipment_id AS VARCHAR), 'shipment_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('expected_date=' || length(CAST(expected_date AS VARCHAR)) || ':' || CAST(expected_date AS VARCHAR), 'expected_date') || '|' || COALESCE('received_date=' || length(CAST(received_date AS VARCHAR)) || ':' || CAST(received_date AS VARCHAR), 'received_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('shipment_id=' || length(CAST(shipment_id AS VARCHAR)) || ':' || CAST(shipment_id AS VARCHAR), 'shipment_id') || '|' || COALESCE('supplier_id=' || length(CAST(supplier_id AS VARCHAR)) || ':' || CAST(supplier_id AS VARCHAR), 'supplier_id') || '|' || COALESCE('category=' || length(CAST(category AS VARCHAR)) || ':' || CAST(category AS VARCHAR), 'category') || '|' || COALESCE('expected_date=' || length(CAST(expected_date AS VARCHAR)) || ':' || CAST(expected_date AS VARCHAR), 'expected_date') || '|' || COALESCE('received_date=' || length(CAST(received_date AS VARCHAR)) || ':' || CAST(received_date AS VARCHAR), 'received_date') || '|' || COALESCE('units_expected=' || length(CAST(units_expected AS VARCHAR)) || ':' || CAST(units_expected AS VARCHAR), 'units_expected') || '|' || COALESCE('units_received=' || length(CAST(units_received AS VARCHAR)) || ':' || CAST(units_received AS VARCHAR), 'units_received') || '|' || COALESCE('status=' || length(CAST(status AS VARCHAR)) || ':' || CAST(status AS VARCHAR), 'status')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_supplier_shipments
+UNION ALL SELECT 'ad_spend' AS table_name, 'spend_date,platform,spend_usd,impressions,clicks,reported_conversions' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT CAST(spend_date AS VARCHAR) || '/' || CAST(platform AS VARCHAR)) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('spend_date=' || length(CAST(spend_date AS VARCHAR)) || ':' || CAST(spend_date AS VARCHAR), 'spend_date') || '|' || COALESCE('platform=' || length(CAST(platform AS VARCHAR)) || ':' || CAST(platform AS VARCHAR), 'platform')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('spend_usd=' || length(CAST(spend_usd AS VARCHAR)) || ':' || CAST(spend_usd AS VARCHAR), 'spend_usd')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('spend_date=' || length(CAST(spend_date AS VARCHAR)) || ':' || CAST(spend_date AS VARCHAR), 'spend_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('spend_date=' || length(CAST(spend_date AS VARCHAR)) || ':' || CAST(spend_date AS VARCHAR), 'spend_date') || '|' || COALESCE('platform=' || length(CAST(platform AS VARCHAR)) || ':' || CAST(platform AS VARCHAR), 'platform') || '|' || COALESCE('spend_usd=' || length(CAST(spend_usd AS VARCHAR)) || ':' || CAST(spend_usd AS VARCHAR), 'spend_usd') || '|' || COALESCE('impressions=' || length(CAST(impressions AS VARCHAR)) || ':' || CAST(impressions AS VARCHAR), 'impressions') || '|' || COALESCE('clicks=' || length(CAST(clicks AS VARCHAR)) || ':' || CAST(clicks AS VARCHAR), 'clicks') || '|' || COALESCE('reported_conversions=' || length(CAST(reported_conversions AS VARCHAR)) || ':' || CAST(reported_conversions AS VARCHAR), 'reported_conversions')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_ad_spend
+UNION ALL SELECT 'tickets' AS table_name, 'ticket_id,requester_source_system,requester_source_id,created_date,category,priority,status,resolved_date,related_order_id,related_subscription_id' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT ticket_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('ticket_id=' || length(CAST(ticket_id AS VARCHAR)) || ':' || CAST(ticket_id AS VARCHAR), 'ticket_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('resolved_date=' || length(CAST(resolved_date AS VARCHAR)) || ':' || CAST(resolved_date AS VARCHAR), 'resolved_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('ticket_id=' || length(CAST(ticket_id AS VARCHAR)) || ':' || CAST(ticket_id AS VARCHAR), 'ticket_id') || '|' || COALESCE('requester_source_system=' || length(CAST(requester_source_system AS VARCHAR)) || ':' || CAST(requester_source_system AS VARCHAR), 'requester_source_system') || '|' || COALESCE('requester_source_id=' || length(CAST(requester_source_id AS VARCHAR)) || ':' || CAST(requester_source_id AS VARCHAR), 'requester_source_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('category=' || length(CAST(category AS VARCHAR)) || ':' || CAST(category AS VARCHAR), 'category') || '|' || COALESCE('priority=' || length(CAST(priority AS VARCHAR)) || ':' || CAST(priority AS VARCHAR), 'priority') || '|' || COALESCE('status=' || length(CAST(status AS VARCHAR)) || ':' || CAST(status AS VARCHAR), 'status') || '|' || COALESCE('resolved_date=' || length(CAST(resolved_date AS VARCHAR)) || ':' || CAST(resolved_date AS VARCHAR), 'resolved_date') || '|' || COALESCE('related_order_id=' || length(CAST(related_order_id AS VARCHAR)) || ':' || CAST(related_order_id AS VARCHAR), 'related_order_id') || '|' || COALESCE('related_subscription_id=' || length(CAST(related_subscription_id AS VARCHAR)) || ':' || CAST(related_subscription_id AS VARCHAR), 'related_subscription_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_tickets
 -- query: fingerprint_diff
 SELECT 'app_customers' AS table_name, true AS same_columns, COUNT(*) FILTER (created_date > DATE '2001-06-30') = 0 AS same_row_count, COUNT(*) FILTER (created_date > DATE '2001-06-30') = 0 AS same_key_hash, true AS same_money_hash, COUNT(*) FILTER (created_date > DATE '2001-06-30' OR false) = 0 AS same_date_hash, COUNT(*) FILTER (created_date > DATE '2001-06-30' OR false) = 0 AS same_content_hash FROM stg_app_customers
 UNION ALL SELECT 'stripe_customers' AS table_name, true AS same_columns, COUNT(*) FILTER (created_date > DATE '2001-06-30') = 0 AS same_row_count, COUNT(*) FILTER (created_date > DATE '2001-06-30') = 0 AS same_key_hash, true AS same_money_hash, COUNT(*) FILTER (created_date > DATE '2001-06-30' OR deactivated_date > DATE '2001-06-30') = 0 AS same_date_hash, COUNT(*) FILTER (created_date > DATE '2001-06-30' OR deactivated_date > DATE '2001-06-30') = 0 AS same_content_hash FROM stg_stripe_customers
@@ -312,3 +312,12 @@ SELECT 'current_customers' AS metric, 'window_ending_prior_month' AS alternative
   window_ending_prior_month <> o AS differs
 FROM (SELECT window_ending_prior_month, unnest(['value', 'including_test_and_internal', 'sum_of_channel_counts', 'all_profiles_created']) AS a,
              unnest([value, including_test_and_internal, sum_of_channel_counts, all_profiles_created]) AS o FROM @current_customers)
+-- query: mapping_row_conservation
+WITH kinds AS (SELECT o_orderkey, COALESCE(o_orderpriority = '1-URGENT' AND o_custkey % 3 = 1, false) AS subscription FROM orders)
+SELECT 'orders' AS source_table, CASE WHEN subscription THEN 'subscription order' ELSE 'consumer order' END AS outcome,
+       COUNT(*) AS row_count
+FROM kinds GROUP BY ALL
+UNION ALL
+SELECT 'lineitem', CASE WHEN subscription IS NULL THEN 'without an order' WHEN subscription THEN 'of a subscription order'
+                        ELSE 'order line' END, COUNT(*)
+FROM lineitem LEFT JOIN kinds ON o_orderkey = l_orderkey GROUP BY ALL

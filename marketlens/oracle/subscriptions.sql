@@ -108,3 +108,10 @@ e AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (status = 'churned') AS c, CAST(COAL
 SELECT a.n AS active_subscribers, a.v AS acv_under_contract, w.n AS new_subscriptions, w.v AS new_acv,
        COALESCE(ROUND(CAST(e.n - e.c AS DOUBLE) / NULLIF(e.n, 0), 4), 0) AS renewal_rate, e.c AS churned_terms, e.v AS acv_churned,
        COALESCE(ROUND(w.v / w.s, 2), 0) AS acv_per_seat_new, COALESCE(ROUND(CAST(a.g AS DOUBLE) / NULLIF(a.n, 0), 4), 0) AS grandfathered_share FROM a, w, e
+-- query: term_roots
+WITH RECURSIVE chain AS (
+  SELECT subscription_id, subscription_id AS root_id FROM fct_subscriptions
+  WHERE renewed_from_subscription_id IS NULL OR renewed_from_subscription_id NOT IN (SELECT subscription_id FROM fct_subscriptions)
+  UNION ALL
+  SELECT t.subscription_id, chain.root_id FROM fct_subscriptions t JOIN chain ON t.renewed_from_subscription_id = chain.subscription_id)
+SELECT subscription_id, root_id FROM chain

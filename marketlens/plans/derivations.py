@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from marketlens import config
 from marketlens.functions import MONEY, RATE, canonical_channel, day
+from marketlens.sources.store import cut_lineage
 
 
 def id_number(col: str) -> Column:
@@ -61,37 +62,62 @@ def invoice_schedule(orders: DataFrame) -> DataFrame:
 def term_chain(terms: DataFrame, customer: str, start: str, seq: str, width: int = 1_000_000) -> DataFrame:
     """Link every term to the customer's previous one and mark the last.
 
-    Adds ``previous_seq``, ``is_last``, ``chain_start`` and ``chain_start_seq``. Terms fall into cells
-    of one customer, one day and ``width`` consecutive numbers. A window links the terms of a
-    cell and another one links the cells of a customer, so neither holds all the terms of a
-    customer, however many there are.
+    Adds ``previous_seq``, ``is_last``, ``chain_start`` and ``chain_start_seq``. Windows run over the
+    days of a customer, over the cells of a customer's day (``width`` consecutive numbers each) and over the terms of
+    a cell: the calendar, the range of numbers and ``width`` bound them, however many terms a customer has.
     """
     terms = terms.withColumn("_cell", F.floor(F.col(seq) / F.lit(width)))
-    by_cell = Window.partitionBy(customer).orderBy(start, "_cell")
-    cells = (
-        terms.groupBy(customer, start, "_cell")
-        .agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
-        .select(
-            customer,
-            start,
-            "_cell",
-            "_last",
-            F.lag("_last").over(by_cell).alias("_earlier"),
-            F.lead("_last").over(by_cell).isNull().alias("_last_cell"),
-            F.first(start).over(by_cell).alias("chain_start"),
-            F.first("_first").over(by_cell).alias("chain_start_seq"),
-        )
+    cells = terms.groupBy(customer, start, "_cell").agg(F.min(seq).alias("_low"), F.max(seq).alias("_high"))
+    days = cells.groupBy(customer, start).agg(F.min("_low").alias("_day_low"), F.max("_high").alias("_day_high"))
+    by_day = Window.partitionBy(customer).orderBy(start)
+    whole = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = days.select(
+        customer,
+        start,
+        F.lag("_day_high").over(by_day).alias("_day_before"),
+        F.when(F.lead(start).over(by_day).isNull(), F.col("_day_high")).alias("_last"),
+        F.first(start).over(whole).alias("chain_start"),
+        F.first("_day_low").over(whole).alias("chain_start_seq"),
     )
+    by_cell = Window.partitionBy(customer, start).orderBy("_cell")
+    cells = cells.select(customer, start, "_cell", F.lag("_high").over(by_cell).alias("_cell_before"))
     in_cell = Window.partitionBy(customer, start, "_cell").orderBy(seq)
     return (
         terms.withColumn("_before", F.lag(seq).over(in_cell))
         .join(cells, [customer, start, "_cell"])
-        .withColumn("previous_seq", F.coalesce("_before", "_earlier"))
-        .withColumn("is_last", F.col("_last_cell") & (F.col(seq) == F.col("_last")))
-        .drop("_cell", "_before", "_earlier", "_last", "_last_cell")
+        .join(days, [customer, start])
+        .withColumn("previous_seq", F.coalesce("_before", "_cell_before", "_day_before"))
+        .withColumn("is_last", F.coalesce(F.col(seq) == F.col("_last"), F.lit(False)))
+        .drop("_cell", "_before", "_cell_before", "_day_before", "_last")
     )
 
 
+def chain_roots(terms: DataFrame) -> DataFrame:
+    """``(subscription_id, root_id)``: the first term of every renewal chain, whoever the customers are.
+
+    Pointer doubling: each round replaces a term's pointer by that of the term it points at, until
+    none moves, so the rounds grow with the logarithm of the longest chain. The pointed-at side
+    has unique keys; a long chain makes the other side skewed, which the adaptive skew join
+    splits. Terms that renew each other in a circle raise an error.
+    """
+    terms = terms.select("subscription_id", "renewed_from_subscription_id")
+    known = terms.select(F.col("subscription_id").alias("parent"))
+    linked = terms.join(known, F.col("renewed_from_subscription_id") == F.col("parent"), "left")
+    hops = linked.select("subscription_id", F.coalesce("parent", "subscription_id").alias("root_id"))
+    hops = cut_lineage(hops.withColumn("moved", F.col("root_id") != F.col("subscription_id")))
+    while moved := hops.filter("moved").count():
+        nxt = hops.select(F.col("subscription_id").alias("root_id"), F.col("root_id").alias("further"))
+        step = hops.join(nxt, "root_id").select(
+            "subscription_id", F.col("further").alias("root_id"), (F.col("further") != F.col("root_id")).alias("moved"))
+        last, hops = moved, cut_lineage(step)
+        if hops.filter("moved").count() == last:  # each round brings the terms next to the roots home
+            break
+    heads = linked.filter(F.col("parent").isNull()).select(F.col("subscription_id").alias("head"))
+    astray = hops.join(heads, F.col("root_id") == F.col("head"), "left")
+    checked = F.when(F.col("head").isNotNull(), F.col("root_id")).otherwise(F.raise_error(F.lit("terms renew each other in a circle")))
+    return astray.select("subscription_id", checked.cast("string").alias("root_id"))
+
+
 def term_end(start: Column) -> Column:
     return F.date_sub(F.add_months(start, config.TERM_MONTHS), 1)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import config
 from marketlens.functions import canonical_channel, day, quarter_key
+from marketlens.plans.derivations import chain_roots
 from marketlens.plans.temporal import fresh_key
 
 if TYPE_CHECKING:
@@ -332,14 +333,20 @@ def fct_marketing_spend(wh: Warehouse) -> DataFrame:
     )
 
 
+def term_roots(wh: Warehouse) -> DataFrame:
+    """``(subscription_id, root_id)``: the first term of every renewal chain."""
+    return chain_roots(wh.mart("fct_subscriptions"))
+
+
 MARTS = {
     f.__name__: f
     for f in (
         int_customer_identity, fct_identity_resolution_quality, dim_customers, dim_products, dim_plans, dim_date,
-        int_orders, fct_orders, fct_order_lines, fct_revenue, revenue_daily, fct_subscriptions, fct_marketing_spend,
+        int_orders, fct_orders, fct_order_lines, fct_revenue, revenue_daily, fct_subscriptions, term_roots,
+        fct_marketing_spend,
     )
 }
 # Marts that many metrics read and that need a shuffle to build.
 STORED_MARTS = frozenset(
-    {"int_customer_identity", "dim_customers", "int_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions"}
+    {"int_customer_identity", "dim_customers", "int_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions", "term_roots"}
 )

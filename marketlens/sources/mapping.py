@@ -1,8 +1,8 @@
 """The 19 raw commerce tables, derived from the order, part and event tables.
 
-Every table is an expression over the whole input. Two rules shape the population on
-purpose: one customer in nine never orders, and each customer's history starts at a
-staggered date, so that acquisition spreads over the timeline.
+Every table is an expression over the whole input, and no order or order line is left out. One rule
+shapes the population on purpose: each customer's history is pressed into the part of the
+timeline after a staggered first date, order by order, so that acquisition spreads over it.
 
 All joins are left to the planner (it broadcasts a side only when its measured size allows
 it, and splits skewed partitions); only tables of fixed values are hinted. Nothing groups
@@ -13,6 +13,7 @@ the customer's distinct calendar days.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,21 +77,18 @@ class MappedSource:
 
     # -- shared pieces --------------------------------------------------------------
     def base_orders(self) -> DataFrame:
-        staggered = F.date_add(
-            day(config.TIMELINE_START), ((F.col("o_custkey") * 37) % 2000).cast("int")
-        )
-        return (
-            self.read("orders")
-            .filter(F.col("o_custkey") % 9 != 0)
-            .select(
-                F.col("o_custkey").alias("k"),
-                F.col("o_orderkey").alias("ok"),
-                day(F.col("o_orderdate")).alias("order_date"),
-                order_channel().alias("channel"),
-                staggered.alias("starts"),
-            )
-            .filter(F.col("order_date") >= F.col("starts"))
-            .drop("starts")
+        """Every order. Days within the timeline move into what is left of it after the customer's
+        first date, in their old sequence; other days stay."""
+        length = (date.fromisoformat(config.TIMELINE_END) - date.fromisoformat(config.TIMELINE_START)).days
+        start, given = day(config.TIMELINE_START), day(F.col("o_orderdate"))
+        late = F.coalesce(F.pmod(F.col("o_custkey") * 37, F.lit(2000)), F.lit(0)).cast("int")
+        since = F.date_diff(given, start)
+        moved = F.date_add(start, (late + F.floor(since * (length - late) / length)).cast("int"))
+        return self.read("orders").select(
+            F.col("o_custkey").alias("k"),
+            F.col("o_orderkey").alias("ok"),
+            F.when(since.between(0, length), moved).otherwise(given).alias("order_date"),
+            order_channel().alias("channel"),
         )
 
     def _consumer(self) -> DataFrame:
@@ -224,17 +222,11 @@ class MappedSource:
                 "l_extendedprice", "l_shipdate",
             )
             .join(self._consumer(), F.col("l_orderkey") == F.col("ok"))
-            .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        )
-        out_of_stock = (
-            (F.col("category") == "paper")
-            & F.col("order_date").between(day(config.STOCKOUT[0]), day(config.STOCKOUT[1]))
-            & (F.col("ok") % 20 != 0)
+            .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
         )
         quantity = F.col("l_quantity").cast("long")
         return (
-            lines.filter(~out_of_stock)
-            .withColumn("discount_pct", discount)
+            lines.withColumn("discount_pct", discount)
             .select(
                 F.concat_ws(
                     "-",
@@ -260,7 +252,8 @@ class MappedSource:
         consumer = (
             self._consumer()
             .withColumn("order_id", _id(ORDER, "ok"))
-            .join(rollup, "order_id")
+            .join(rollup, "order_id", "left")
+            .withColumn("gross_amount", F.coalesce("gross_amount", F.lit(0).cast(MONEY)))
             .withColumn("take_rate", F.when(marketplace, take))
             .select(
                 "order_id",
@@ -302,15 +295,17 @@ class MappedSource:
         offers = literal_table(
             self.spark,
             "plan_id string, tier string, launched date, retired date, slot int",
-            [(p[0], p[3], p[4], p[5] or config.CALENDAR_END, p[7]) for p in config.PLANS],
+            [(p[0], p[3], p[4], p[5], p[7]) for p in config.PLANS],
         )
         sold = (
-            chain.join(tiers, "k")
+            chain.join(tiers, "k", "left")
             .join(
                 F.broadcast(offers),
                 (F.col("segment") == F.col("tier"))
-                & F.col("chain_start").between(F.col("launched"), F.col("retired"))
+                & (F.col("chain_start") >= F.col("launched"))
+                & (F.col("retired").isNull() | (F.col("chain_start") <= F.col("retired")))
                 & (F.col("slot").isNull() | (F.col("slot") == F.col("chain_start_seq") % 2)),
+                "left",
             )
             .withColumn(
                 "seats",

@@ -3,54 +3,42 @@
 Staged tables and marts are used by many metrics, so each is written once per application
 to columnar files and read back. That cuts the lineage (a lost executor only re-reads
 files), and lets date windows and column pruning reach a Parquet scan. The folder is the
-one the session names in ``spark.checkpoint.dir``. Without it, a local session uses a
-temporary folder and a cluster session keeps the plans lazy.
+one the session names in ``spark.checkpoint.dir``, or, where that is unset, its warehouse
+folder; what kind of master runs makes no difference.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for finished tables: ``spark.checkpoint.dir``, else the session's warehouse folder."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(
-            prefix="marketlens-", ignore_cleanup_errors=True
-        )
-    return _LOCAL_FOLDERS[app].name
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/marketlens/{spark.sparkContext.applicationId}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared one, for tables a query writes and reads back."""
-    root = shared_folder(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{root}/marketlens/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
+    return f"{application_folder(spark)}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder; a cluster without one keeps the lineage."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Write a table to the shared folder and read it back."""
+    path = scratch_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class TableStore:
@@ -58,10 +46,8 @@ class TableStore:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        root = shared_folder(spark)
         digest = hashlib.sha256(label.encode()).hexdigest()[:16]
-        app = spark.sparkContext.applicationId
-        self.root = f"{root}/marketlens/{app}/{digest}" if root else None
+        self.root = f"{application_folder(spark)}/{digest}"
         self._ready: dict[str, DataFrame] = {}
 
     def table(self, name: str, build: Callable[[], DataFrame], cluster: str | None = None) -> DataFrame:
@@ -72,14 +58,11 @@ class TableStore:
         sizes at run time: a month with a third of all rows is split over many tasks.
         """
         if name not in self._ready:
-            df = build()
-            if self.root:
-                path = f"{self.root}/{name}"
-                out = df
-                if cluster:
-                    month = df.withColumn("_month", F.trunc(cluster, "MM"))
-                    out = month.hint("rebalance", "_month").sortWithinPartitions(cluster).drop("_month")
-                out.write.mode("overwrite").parquet(path)
-                df = self.spark.read.schema(df.schema).parquet(path)
-            self._ready[name] = df
+            out = df = build()
+            path = f"{self.root}/{name}"
+            if cluster:
+                month = df.withColumn("_month", F.trunc(cluster, "MM"))
+                out = month.hint("rebalance", "_month").sortWithinPartitions(cluster).drop("_month")
+            out.write.mode("overwrite").parquet(path)
+            self._ready[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._ready[name]

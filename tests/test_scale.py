@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.catalog import catalog
-from marketlens.operators.subscriptions import chain_roots
 from marketlens.plans import derivations as dv
 from marketlens.plans.warehouse import Warehouse
 
@@ -57,10 +56,30 @@ def test_chain_roots_walk_long_chains(spark):
     lengths = {"x": 37, "y": 1, "z": 5}
     rows = [(f"{c}{i}", f"{c}{i - 1}" if i else None) for c, n in lengths.items() for i in range(n)]
     df = spark.createDataFrame(rows, "subscription_id string, renewed_from_subscription_id string")
-    got = {r["subscription_id"]: r["root_id"] for r in chain_roots(df, max(lengths.values())).collect()}
+    got = {r["subscription_id"]: r["root_id"] for r in dv.chain_roots(df).collect()}
     assert got == {s: s[0] + "0" for s, _ in rows}
 
 
+def test_chain_roots_across_customers_and_in_circles(spark):
+    schema = "subscription_id string, renewed_from_subscription_id string, customer_id string"
+    chain = [("a0", None, "a"), ("b1", "a0", "b"), ("c2", "b1", "c"), ("d3", "c2", "d"), ("e4", "d3", "e"), ("f5", "gone", "f")]
+    got = {r["subscription_id"]: r["root_id"] for r in dv.chain_roots(spark.createDataFrame(chain, schema)).collect()}
+    assert got == {**dict.fromkeys(("a0", "b1", "c2", "d3", "e4"), "a0"), "f5": "f5"}
+    for n in (1, 2, 3, 4):
+        circle = [(f"x{i}", f"x{(i + 1) % n}", "x") for i in range(n)]
+        with pytest.raises(Exception, match="in a circle"):
+            dv.chain_roots(spark.createDataFrame(chain + circle, schema)).collect()
+
+
+def test_term_chain_with_sparse_keys_holds_only_days(spark):
+    """Numbers unrelated to dates: no window partition is larger than the calendar or a cell."""
+    rng = random.Random(9)
+    rows = [("hot", date(1998, 1, 1) + timedelta(days=rng.randrange(60)), rng.randrange(10**12)) for _ in range(3000)]
+    df = dv.term_chain(spark.createDataFrame(rows, "who string, start date, seq long"), "who", "start", "seq")
+    got = sorted((r["start"], r["seq"], r["previous_seq"]) for r in df.collect())
+    assert [p for _, _, p in got] == [None, *(seq for _, seq, _ in got[:-1])]
+
+
 # Windows against the per-day revenue or the monthly series: both sides bounded by the calendar.
 NESTED_OK = {"metric_replay", "drift_check", "business_monthly_by_period"}
 
