@@ -9,6 +9,7 @@ strings are found before anything else, as the tokenizer itself does.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterable
 from functools import cache
 from unicodedata import category
@@ -34,6 +35,7 @@ class Units:
         self.special = tuple(special)
         self.learn, self.special_values = learn, special_values
         self.rest: dict = {}
+        self.old: dict = {}
         self.first: dict = {}
         if self.special:
             self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -44,53 +46,52 @@ class Units:
         return [text]
 
     def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its units in order."""
-        cut, new_rest, new_first = [], set(), set()
+        """For each text the values of its units in order. What is not known yet is learned together."""
+        if len(self.rest) > MOST_UNITS // 2:  # what is used again moves back from the older half
+            self.old, self.rest = self.rest, {}
+        if len(self.first) > MOST_UNITS // 4:
+            self.first = {}
+        out, holes, first_holes = [], [], []
+        known, first = self.rest.get, self.first.get
         for text in texts:
-            parts = []
+            own: list = []
             for part in self._parts(text):
+                if not part:
+                    continue
                 if part in self.special_values:
-                    parts.append(part)
-                elif part:
-                    units = _CUT.split(part) if _ODD_SPACE.search(part) else part.split(" ")
-                    parts.append(units)
-                    if units[0] not in self.first:
-                        new_first.add(units[0])
-                    new_rest.update(units[1:])
-            cut.append(parts)
-        new_rest.difference_update(self.rest)
-        new_first.discard("")
-        if len(self.rest) + len(new_rest) > MOST_UNITS:
-            self.rest = {}
-            new_rest = {u for parts in cut for units in parts if not isinstance(units, str) for u in units[1:]}
-        if len(self.first) > MOST_UNITS // 4:
-            self.first = {}
-            new_first = {units[0] for parts in cut for units in parts if not isinstance(units, str)} - {""}
-        a, b = list(new_first), list(new_rest)
-        if a or b:
-            learned = self.learn(a + [" " + u for u in b])
-            self.first.update(zip(a, learned, strict=False))
-            self.rest.update(zip(b, learned[len(a) :], strict=True))
-        first, rest, out = self.first, self.rest, []
-        for parts in cut:
-            own = []
-            for units in parts:
-                if isinstance(units, str):
-                    own.append(self.special_values[units])
+                    own.append(self.special_values[part])
                     continue
+                units = _CUT.split(part) if _ODD_SPACE.search(part) else part.split(" ")
                 if units[0]:
-                    own.append(first[units[0]])
-                own.extend(map(rest.__getitem__, units[1:]))
+                    if (value := first(units[0])) is None:
+                        first_holes.append((own, len(own), units[0]))
+                    own.append(value)
+                del units[0]
+                base, values = len(own), list(map(known, units))
+                own += values
+                at = -1
+                while True:
+                    try:
+                        at = values.index(None, at + 1)
+                    except ValueError:
+                        break
+                    holes.append((own, base + at, units[at]))
             out.append(own)
-        for u in [u for u in b if len(u) > LONGEST_UNIT]:
-            del rest[u]
-        for u in [u for u in a if len(u) > LONGEST_UNIT]:
-            del first[u]
+        for into, gaps, space in ((self.first, first_holes, ""), (self.rest, holes, " ")):
+            wanted = {key for _, _, key in gaps}
+            values = {key: self.old[key] for key in wanted.intersection(self.old)} if space else {}
+            new = list(wanted.difference(values))
+            if new:
+                values.update(zip(new, self.learn([space + key for key in new]), strict=True))
+            for own, at, key in gaps:
+                own[at] = values[key]
+            into.update((key, value) for key, value in values.items() if len(key) <= LONGEST_UNIT)
         return out
 
 
 @cache
 def library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -107,13 +108,18 @@ def pretokens(text: str, path: str) -> list[str]:
     return PATTERN.findall(text)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The sign that stands for each byte in the vocabulary."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @cache
 def _ranks(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first symbol of each byte, sorted pair keys, their ranks, the symbols they make)."""
     model = json.loads(open(path, encoding="utf-8").read())["model"]
     vocab, merges = model["vocab"], model["merges"]
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    letters = _byte_letters()
     symbols = np.array([vocab[letters[b]] for b in range(256)], np.int64)
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
     keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
@@ -190,12 +196,22 @@ def count_units(path: str) -> Units:
 
 
 @cache
-def id_units(path: str) -> Units:
-    """Ids by the tokenizers library, as little-endian 32-bit bytes."""
-    own = library(path)
-
-    def learn(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(units, add_special_tokens=False)]
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text as the tokenizers library gives them without added special tokens.
 
+    A byte-level file like byte_bpe_50k.json is read into tiktoken, whose merges are the same (tests compare the two
+    over awkward texts and every code point) at a third of the time; any other file goes to the library itself.
+    """
+    file = json.loads(open(path, encoding="utf-8").read())
+    before = file["pre_tokenizer"] or {}
+    if file["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        own = library(path)
+        return lambda text: np.array(own.encode(text, add_special_tokens=False).ids, "<u4")
+    import tiktoken
+
+    letters = {letter: b for b, letter in _byte_letters().items()}
     special = special_ids(path)
-    return Units(special, learn, {s: np.array([i], "<u4").tobytes() for s, i in special.items()})
+    ranks = {bytes(map(letters.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
+    own = tiktoken.Encoding("file", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=special)
+    allowed = set(special)
+    return lambda text: np.asarray(own.encode_to_numpy(text, allowed_special=allowed), "<u4")

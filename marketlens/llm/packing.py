@@ -43,15 +43,14 @@ def _tokenised(path: str, limit: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, task = bpe.id_units(path), TaskContext.get().partitionId()
+        encode, task = bpe.encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
                 rows = {k: [] for k in ("at", "piece", "start", "length", "ids_crc32", "nth")}
-                for at, parts in enumerate(units.values(texts)):
-                    parts.append(end)
-                    ids = b"".join(parts)
+                for at, text in enumerate(texts):
+                    ids = encode(text).tobytes() + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % limit or limit, n + 1, limit)]
                     for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):

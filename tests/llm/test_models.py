@@ -27,7 +27,15 @@ def test_counts_and_ids_equal_the_library():
     texts = awkward_texts()
     want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
     assert [sum(v) for v in bpe.count_units(PATH).values(texts)] == [len(w) for w in want]
-    assert [np.frombuffer(b"".join(v), "<u4").tolist() for v in bpe.id_units(PATH).values(texts)] == want
+    encode = bpe.encoder(PATH)
+    assert [encode(t).tolist() for t in texts] == want
+
+
+def test_ids_agree_on_every_code_point():
+    encode, points = bpe.encoder(PATH), [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}\n" for c in points[i : i + 2048]) for i in range(0, len(points), 2048)]
+    for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids
 
 
 def test_units_are_forgotten_and_learned_again(monkeypatch):
