@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import (
-    decontamination, embedding_join, language_id, ngram_join, packing, quality, secret_scan, token_counts, url_rules,
+    decontamination, embedding_join, language_id, ngram_join, packing, quality, secret_scan, sql, token_counts, url_rules,
     warc,
 )
 
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.QUERIES)
