@@ -276,15 +276,13 @@ def _temporal() -> dict[str, Query]:
     }
 
 
-_RAW_FOLDERS: dict[int, str] = {}
-
-
 def _written_raw(wh: Warehouse) -> dict[str, DataFrame]:
     """The raw tables of a warehouse, written once and scanned back."""
-    if id(wh) not in _RAW_FOLDERS:
-        _RAW_FOLDERS[id(wh)] = scratch_folder(wh.spark, "raw")
-        files.write_raw_tables(wh, _RAW_FOLDERS[id(wh)])
-    return files.scan_raw_tables(wh.spark, _RAW_FOLDERS[id(wh)])
+    if wh.raw_folder is None:
+        folder = scratch_folder(wh.spark, "raw")
+        files.write_raw_tables(wh, folder)
+        wh.raw_folder = folder
+    return files.scan_raw_tables(wh.spark, wh.raw_folder)
 
 
 def _raw_counts(wh: Warehouse) -> DataFrame:

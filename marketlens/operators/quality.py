@@ -31,6 +31,27 @@ MART_KEYS = {
     "fct_orders": ("order_id",),
     "fct_order_lines": ("order_line_id",),
     "fct_subscriptions": ("subscription_id",),
+    "dim_date": ("date_day",),
+    "fct_identity_resolution_quality": ("source_system",),
+}
+# Columns of marts and of the identity bridge that are never null (fixed values).
+MART_NOT_NULL = {
+    "int_customer_identity": ("source_system", "source_customer_id", "source_created_date", "is_active", "resolution_status"),
+    "fct_revenue": ("activity_date", "measure_name", "amount"),
+    "dim_customers": (
+        "app_db_customer_id", "first_seen_date", "segment", "account_type", "acquisition_channel", "has_order",
+        "resolved_source_id_count", "resolved_source_system_count", "has_app_db", "has_stripe", "has_shopify", "has_salesforce",
+    ),
+    "fct_identity_resolution_quality": (
+        "source_system", "observed_id_count", "resolved_id_count", "unresolved_id_count", "resolution_null_rate",
+    ),
+    "dim_products": ("sku", "category", "unit_cost"),
+    "dim_plans": ("plan_id", "plan_generation", "current_annual_price_per_seat"),
+    "dim_date": ("date_day", "year_month"),
+    "fct_orders": ("order_id", "customer_id", "channel", "channel_raw", "is_first_order"),
+    "fct_order_lines": ("order_line_id", "order_id", "gross_margin"),
+    "fct_subscriptions": ("subscription_id", "customer_id", "plan_generation", "status"),
+    "fct_marketing_spend": ("spend_date", "platform", "attributed_new_d2c_customers_day_total"),
 }
 NULLABLE = {
     "app_customers": (),
@@ -80,6 +101,9 @@ RELATIONSHIPS = (
     ("refunds", "order_id", "orders", "order_id"),
     ("refunds", "stripe_customer_id", "stripe_customers", "stripe_customer_id"),
     ("supplier_shipments", "supplier_id", "suppliers", "supplier_id"),
+    ("fct_orders", "customer_id", "dim_customers", "app_db_customer_id"),
+    ("fct_order_lines", "order_id", "fct_orders", "order_id"),
+    ("fct_subscriptions", "customer_id", "dim_customers", "app_db_customer_id"),
 )
 
 
@@ -123,9 +147,9 @@ def dq_unique(wh: Warehouse) -> DataFrame:
 def dq_not_null(wh: Warehouse) -> DataFrame:
     """Nulls per mandatory column; one pass per table covers all its columns."""
     parts = []
-    for name in STAGING:
-        df = wh.stg(name)
-        checked = [c for c in df.columns if c not in NULLABLE.get(name, ())]
+    for name in (*STAGING, *MART_NOT_NULL):
+        df = _table(wh, name)
+        checked = MART_NOT_NULL.get(name) or [c for c in df.columns if c not in NULLABLE.get(name, ())]
         counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"_{c}") for c in checked])
         pairs = F.array(
             *[F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}").alias("violations")) for c in checked]

@@ -508,7 +508,12 @@ def refund_key_violations(wh: Warehouse) -> DataFrame:
 
 
 def refund_rate_by_quarter(wh: Warehouse, as_of: str) -> DataFrame:
-    """Refund-date dollars over order-date GMV per quarter, with four other readings."""
+    """Refund-date dollars over order-date GMV per quarter, with four other readings.
+
+    The result raises when it is computed over keys that ``refund_key_violations`` lists.
+    """
+    broken = refund_key_violations(wh).agg(F.count(F.lit(1))).scalar()
+    stop = F.raise_error(F.lit("order or refund ids are null or repeated")).cast("double")
     orders = orders_with_account(wh).filter(F.col("order_date") <= day(as_of))
     real = F.col("is_real")
     sold = orders.groupBy(quarter_start("order_date").alias("quarter_start")).agg(
@@ -541,7 +546,7 @@ def refund_rate_by_quarter(wh: Warehouse, as_of: str) -> DataFrame:
             "quarter_start",
             usd(amount).alias("refund_amount"),
             usd("gross").alias("gmv"),
-            rate(amount, F.col("gross")).alias("refund_rate"),
+            F.when(broken > 0, stop).otherwise(rate(amount, F.col("gross"))).alias("refund_rate"),
             (day(as_of) < F.date_sub(F.add_months("quarter_start", 3), 1)).alias("is_partial_quarter"),
             rate(amount, F.col("net") - amount).alias("net_revenue_denominator"),
             rate(amount, F.col("net")).alias("pre_refund_net_denominator"),

@@ -365,7 +365,12 @@ def legacy_migration_violations(wh: Warehouse, at: str, generation: int, mapping
 
 
 def legacy_subscribers_migration(wh: Warehouse, at: str, generation: int, mapping: Mapping[str, str]) -> DataFrame:
-    """Active legacy subscribers and what the same seats would cost on current plans."""
+    """Active legacy subscribers and what the same seats would cost on current plans.
+
+    The result raises when it is computed over a scenario that ``legacy_migration_violations`` finds undefined.
+    """
+    broken = legacy_migration_violations(wh, at, generation, mapping).agg(F.count(F.lit(1))).scalar()
+    stop = F.raise_error(F.lit(f"the migration scenario at {at} is undefined")).cast("bigint")
     active = _terms(wh).filter(active_at(at))
     legacy = F.col("plan_generation") < generation
     offers = _migration(wh, mapping).join(_prices_at(wh, at), "destination", "left")
@@ -389,7 +394,7 @@ def legacy_subscribers_migration(wh: Warehouse, at: str, generation: int, mappin
         zero("moved").alias("moved"),
     )
     return s.select(
-        F.col("legacy").alias("value"),
+        F.when(broken > 0, stop).otherwise(F.col("legacy")).alias("value"),
         F.col("total").alias("total_active_subscribers"),
         ratio("legacy", "total").alias("legacy_subscriber_share"),
         n("seats").alias("legacy_seats"),

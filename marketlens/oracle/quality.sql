@@ -24,6 +24,8 @@ UNION ALL SELECT 'fct_order_lines' AS table_name, 'order_line_id' AS columns, CO
 UNION ALL SELECT 'fct_subscriptions' AS table_name, 'subscription_id' AS columns, COUNT(*) AS violations FROM (SELECT subscription_id FROM fct_subscriptions GROUP BY subscription_id HAVING COUNT(*) <> 1)
 UNION ALL SELECT 'dim_products' AS table_name, 'sku' AS columns, COUNT(*) AS violations FROM (SELECT sku FROM @dim_products GROUP BY sku HAVING COUNT(*) <> 1)
 UNION ALL SELECT 'dim_plans' AS table_name, 'plan_id' AS columns, COUNT(*) AS violations FROM (SELECT plan_id FROM stg_plans LEFT JOIN (SELECT plan_id, MAX(effective_date) FROM stg_plan_prices GROUP BY 1) USING (plan_id) GROUP BY plan_id HAVING COUNT(*) <> 1)
+UNION ALL SELECT 'dim_date', 'date_day', COUNT(*) FROM (SELECT date_day FROM @dim_date GROUP BY date_day HAVING COUNT(*) <> 1)
+UNION ALL SELECT 'fct_identity_resolution_quality', 'source_system', COUNT(*) FROM (SELECT source_system FROM quality_mart GROUP BY source_system HAVING COUNT(*) <> 1)
 -- query: dq_not_null
 SELECT 'app_customers' AS table_name, COUNT(*) AS checked, 'app_db_customer_id' AS column_name, COUNT(*) - COUNT(app_db_customer_id) AS violations FROM stg_app_customers
 UNION ALL SELECT 'app_customers' AS table_name, COUNT(*) AS checked, 'created_date' AS column_name, COUNT(*) - COUNT(created_date) AS violations FROM stg_app_customers
@@ -129,6 +131,54 @@ UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'created_date' AS
 UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'category' AS column_name, COUNT(*) - COUNT(category) AS violations FROM stg_tickets
 UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'priority' AS column_name, COUNT(*) - COUNT(priority) AS violations FROM stg_tickets
 UNION ALL SELECT 'tickets' AS table_name, COUNT(*) AS checked, 'status' AS column_name, COUNT(*) - COUNT(status) AS violations FROM stg_tickets
+UNION ALL SELECT 'int_customer_identity', COUNT(*), 'source_system', COUNT(*) - COUNT(source_system) FROM int_customer_identity
+UNION ALL SELECT 'int_customer_identity', COUNT(*), 'source_customer_id', COUNT(*) - COUNT(source_customer_id) FROM int_customer_identity
+UNION ALL SELECT 'int_customer_identity', COUNT(*), 'source_created_date', COUNT(*) - COUNT(source_created_date) FROM int_customer_identity
+UNION ALL SELECT 'int_customer_identity', COUNT(*), 'is_active', COUNT(*) - COUNT(is_active) FROM int_customer_identity
+UNION ALL SELECT 'int_customer_identity', COUNT(*), 'resolution_status', COUNT(*) - COUNT(resolution_status) FROM int_customer_identity
+UNION ALL SELECT 'fct_revenue', COUNT(*), 'activity_date', COUNT(*) - COUNT(activity_date) FROM fct_revenue
+UNION ALL SELECT 'fct_revenue', COUNT(*), 'measure_name', COUNT(*) - COUNT(measure_name) FROM fct_revenue
+UNION ALL SELECT 'fct_revenue', COUNT(*), 'amount', COUNT(*) - COUNT(amount) FROM fct_revenue
+UNION ALL SELECT 'dim_customers', COUNT(*), 'app_db_customer_id', COUNT(*) - COUNT(app_db_customer_id) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'first_seen_date', COUNT(*) - COUNT(first_seen_date) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'segment', COUNT(*) - COUNT(segment) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'account_type', COUNT(*) - COUNT(account_type) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'acquisition_channel', COUNT(*) - COUNT(acquisition_channel) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'has_order', COUNT(*) - COUNT(has_order) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'resolved_source_id_count', COUNT(*) - COUNT(resolved_source_id_count) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'resolved_source_system_count', COUNT(*) - COUNT(resolved_source_system_count) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'has_app_db', COUNT(*) - COUNT(has_app_db) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'has_stripe', COUNT(*) - COUNT(has_stripe) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'has_shopify', COUNT(*) - COUNT(has_shopify) FROM dim_customers
+UNION ALL SELECT 'dim_customers', COUNT(*), 'has_salesforce', COUNT(*) - COUNT(has_salesforce) FROM dim_customers
+UNION ALL SELECT 'fct_identity_resolution_quality', COUNT(*), 'source_system', COUNT(*) - COUNT(source_system) FROM quality_mart
+UNION ALL SELECT 'fct_identity_resolution_quality', COUNT(*), 'observed_id_count', COUNT(*) - COUNT(observed_id_count) FROM quality_mart
+UNION ALL SELECT 'fct_identity_resolution_quality', COUNT(*), 'resolved_id_count', COUNT(*) - COUNT(resolved_id_count) FROM quality_mart
+UNION ALL SELECT 'fct_identity_resolution_quality', COUNT(*), 'unresolved_id_count', COUNT(*) - COUNT(unresolved_id_count) FROM quality_mart
+UNION ALL SELECT 'fct_identity_resolution_quality', COUNT(*), 'resolution_null_rate', COUNT(*) - COUNT(resolution_null_rate) FROM quality_mart
+UNION ALL SELECT 'dim_products', COUNT(*), 'sku', COUNT(*) - COUNT(sku) FROM @dim_products
+UNION ALL SELECT 'dim_products', COUNT(*), 'category', COUNT(*) - COUNT(category) FROM @dim_products
+UNION ALL SELECT 'dim_products', COUNT(*), 'unit_cost', COUNT(*) - COUNT(unit_cost) FROM @dim_products
+UNION ALL SELECT 'dim_plans', COUNT(*), 'plan_id', COUNT(*) - COUNT(plan_id) FROM (SELECT plan_id, plan_generation, current_annual_price_per_seat FROM stg_plans LEFT JOIN (SELECT plan_id, arg_max(annual_price_per_seat, effective_date) AS current_annual_price_per_seat FROM stg_plan_prices GROUP BY plan_id) USING (plan_id))
+UNION ALL SELECT 'dim_plans', COUNT(*), 'plan_generation', COUNT(*) - COUNT(plan_generation) FROM (SELECT plan_id, plan_generation, current_annual_price_per_seat FROM stg_plans LEFT JOIN (SELECT plan_id, arg_max(annual_price_per_seat, effective_date) AS current_annual_price_per_seat FROM stg_plan_prices GROUP BY plan_id) USING (plan_id))
+UNION ALL SELECT 'dim_plans', COUNT(*), 'current_annual_price_per_seat', COUNT(*) - COUNT(current_annual_price_per_seat) FROM (SELECT plan_id, plan_generation, current_annual_price_per_seat FROM stg_plans LEFT JOIN (SELECT plan_id, arg_max(annual_price_per_seat, effective_date) AS current_annual_price_per_seat FROM stg_plan_prices GROUP BY plan_id) USING (plan_id))
+UNION ALL SELECT 'dim_date', COUNT(*), 'date_day', COUNT(*) - COUNT(date_day) FROM @dim_date
+UNION ALL SELECT 'dim_date', COUNT(*), 'year_month', COUNT(*) - COUNT(year_month) FROM @dim_date
+UNION ALL SELECT 'fct_orders', COUNT(*), 'order_id', COUNT(*) - COUNT(order_id) FROM fct_orders
+UNION ALL SELECT 'fct_orders', COUNT(*), 'customer_id', COUNT(*) - COUNT(customer_id) FROM fct_orders
+UNION ALL SELECT 'fct_orders', COUNT(*), 'channel', COUNT(*) - COUNT(channel) FROM fct_orders
+UNION ALL SELECT 'fct_orders', COUNT(*), 'channel_raw', COUNT(*) - COUNT(channel_raw) FROM fct_orders
+UNION ALL SELECT 'fct_orders', COUNT(*), 'is_first_order', COUNT(*) - COUNT(is_first_order) FROM fct_orders
+UNION ALL SELECT 'fct_order_lines', COUNT(*), 'order_line_id', COUNT(*) - COUNT(order_line_id) FROM fct_order_lines
+UNION ALL SELECT 'fct_order_lines', COUNT(*), 'order_id', COUNT(*) - COUNT(order_id) FROM fct_order_lines
+UNION ALL SELECT 'fct_order_lines', COUNT(*), 'gross_margin', COUNT(*) - COUNT(gross_margin) FROM fct_order_lines
+UNION ALL SELECT 'fct_subscriptions', COUNT(*), 'subscription_id', COUNT(*) - COUNT(subscription_id) FROM fct_subscriptions
+UNION ALL SELECT 'fct_subscriptions', COUNT(*), 'customer_id', COUNT(*) - COUNT(customer_id) FROM fct_subscriptions
+UNION ALL SELECT 'fct_subscriptions', COUNT(*), 'plan_generation', COUNT(*) - COUNT(plan_generation) FROM fct_subscriptions
+UNION ALL SELECT 'fct_subscriptions', COUNT(*), 'status', COUNT(*) - COUNT(status) FROM fct_subscriptions
+UNION ALL SELECT 'fct_marketing_spend', COUNT(*), 'spend_date', COUNT(*) - COUNT(spend_date) FROM fct_marketing_spend
+UNION ALL SELECT 'fct_marketing_spend', COUNT(*), 'platform', COUNT(*) - COUNT(platform) FROM fct_marketing_spend
+UNION ALL SELECT 'fct_marketing_spend', COUNT(*), 'attributed_new_d2c_customers_day_total', COUNT(*) - COUNT(attributed_new_d2c_customers_day_total) FROM fct_marketing_spend
 -- query: table_fingerprint
 SELECT 'app_customers' AS table_name, 'app_db_customer_id,created_date,segment,account_type,acquisition_channel' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT app_db_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('app_db_customer_id=' || length(CAST(app_db_customer_id AS VARCHAR)) || ':' || CAST(app_db_customer_id AS VARCHAR), 'app_db_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('app_db_customer_id=' || length(CAST(app_db_customer_id AS VARCHAR)) || ':' || CAST(app_db_customer_id AS VARCHAR), 'app_db_customer_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('segment=' || length(CAST(segment AS VARCHAR)) || ':' || CAST(segment AS VARCHAR), 'segment') || '|' || COALESCE('account_type=' || length(CAST(account_type AS VARCHAR)) || ':' || CAST(account_type AS VARCHAR), 'account_type') || '|' || COALESCE('acquisition_channel=' || length(CAST(acquisition_channel AS VARCHAR)) || ':' || CAST(acquisition_channel AS VARCHAR), 'acquisition_channel')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_app_customers
 UNION ALL SELECT 'stripe_customers' AS table_name, 'stripe_customer_id,created_date,is_active,deactivated_date' AS columns, COUNT(*) AS row_count, COUNT(*) = COUNT(DISTINCT stripe_customer_id) AS key_is_unique, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('stripe_customer_id=' || length(CAST(stripe_customer_id AS VARCHAR)) || ':' || CAST(stripe_customer_id AS VARCHAR), 'stripe_customer_id')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS key_hash, CAST(NULL AS VARCHAR) AS money_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('deactivated_date=' || length(CAST(deactivated_date AS VARCHAR)) || ':' || CAST(deactivated_date AS VARCHAR), 'deactivated_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS date_hash, CAST(CAST(SUM(CAST('0x' || substr(sha256(COALESCE('stripe_customer_id=' || length(CAST(stripe_customer_id AS VARCHAR)) || ':' || CAST(stripe_customer_id AS VARCHAR), 'stripe_customer_id') || '|' || COALESCE('created_date=' || length(CAST(created_date AS VARCHAR)) || ':' || CAST(created_date AS VARCHAR), 'created_date') || '|' || COALESCE('is_active=' || length(CAST(is_active AS VARCHAR)) || ':' || CAST(is_active AS VARCHAR), 'is_active') || '|' || COALESCE('deactivated_date=' || length(CAST(deactivated_date AS VARCHAR)) || ':' || CAST(deactivated_date AS VARCHAR), 'deactivated_date')), 1, 15) AS BIGINT)) AS DECIMAL(38,0)) AS VARCHAR) AS content_hash FROM stg_stripe_customers
@@ -234,6 +284,9 @@ UNION ALL SELECT 'revenue_recognition.order_id -> orders.order_id', COUNT(*) FRO
 UNION ALL SELECT 'refunds.order_id -> orders.order_id', COUNT(*) FROM stg_refunds ANTI JOIN stg_orders USING (order_id)
 UNION ALL SELECT 'refunds.stripe_customer_id -> stripe_customers.stripe_customer_id', COUNT(*) FROM stg_refunds ANTI JOIN stg_stripe_customers USING (stripe_customer_id)
 UNION ALL SELECT 'supplier_shipments.supplier_id -> suppliers.supplier_id', COUNT(*) FROM stg_supplier_shipments ANTI JOIN stg_suppliers USING (supplier_id)
+UNION ALL SELECT 'fct_orders.customer_id -> dim_customers.app_db_customer_id', COUNT(*) FROM fct_orders WHERE customer_id NOT IN (SELECT app_db_customer_id FROM dim_customers)
+UNION ALL SELECT 'fct_order_lines.order_id -> fct_orders.order_id', COUNT(*) FROM fct_order_lines ANTI JOIN fct_orders USING (order_id)
+UNION ALL SELECT 'fct_subscriptions.customer_id -> dim_customers.app_db_customer_id', COUNT(*) FROM fct_subscriptions WHERE customer_id NOT IN (SELECT app_db_customer_id FROM dim_customers)
 -- query: dq_crosswalk_integrity
 SELECT 'dq_crosswalk_integrity' AS test, COUNT(*) AS checked, COUNT(*) FILTER (i.source_customer_id IS NULL OR c.app_db_customer_id IS NULL
   OR x.linked_date < i.source_created_date OR x.linked_date < c.created_date) AS violations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ _CLUSTERED = {
     "fct_order_lines": "order_date",
 }
 _OPEN: dict[tuple[str, str], Warehouse] = {}
+_OPENED = count()  # each opening stores its tables in a folder of its own
 
 
 class Warehouse:
@@ -48,6 +50,7 @@ class Warehouse:
         self._raw = raw
         self._staged = staged
         self.store = store
+        self.raw_folder: str | None = None  # where a copy of the raw tables has been written
         self._memo: dict[str, DataFrame] = {}
         self._locks: defaultdict[str, RLock] = defaultdict(RLock)
 
@@ -59,11 +62,17 @@ class Warehouse:
         if key not in _OPEN:
             holder: list[Warehouse] = []
             source = MappedSource(spark, folder, lambda name: holder[0].stg(name))
-            holder.append(cls(spark, source.table, store=TableStore(spark, folder)))
+            holder.append(cls(spark, source.table, store=TableStore(spark, f"{folder}#{next(_OPENED)}")))
             holder[0].source = source
             _OPEN[key] = holder[0]
         return _OPEN[key]
 
+    @classmethod
+    def refresh(cls, spark: SparkSession, folder: str) -> Warehouse:
+        """The warehouse over a folder whose files have changed: everything is derived anew."""
+        _OPEN.pop((spark.sparkContext.applicationId, folder), None)
+        return cls.open(spark, folder)
+
     @classmethod
     def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Warehouse:
         """A lazy warehouse over raw tables given by name."""
