@@ -93,23 +93,27 @@ def path_pattern_scan(pages: DataFrame, forbidden: Sequence[str] = config.FORBID
 def word_overlap_topk(docs: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """For every document the ``k`` items with the highest word overlap (Jaccard).
 
-    Tokens meet through an inverted index of the items. Documents are first placed by id, so
-    the pair counts and the ranking of a document happen where its tokens are: one shuffle
-    of the token lists, none of the pairs. Documents with fewer than ``k`` overlapping items are
-    filled up with the first items in id order at overlap zero, as a full ranking would; the
-    first ``2k - 1`` items are always enough, and join through an empty token.
+    Tokens meet through an inverted index of the items; what does not occur in an item ends there.
+    Matches are counted per pair where they arise before they are shuffled, and of the pairs of a
+    document at most ``k`` leave a task for the ranking. Documents with fewer than ``k`` overlapping
+    items are filled up with the first items in id order at overlap zero, as a full ranking
+    would; the first ``2k - 1`` items are always enough.
     """
     i = items.select("item_id", words(F.col("text")).alias("iw")).withColumn("item_words", F.size("iw"))
+    index = i.select("item_id", "item_words", F.explode("iw").alias("token"))
     first = i.select("item_id", "item_words").orderBy("item_id").limit(2 * k - 1)
-    index = i.select("item_id", "item_words", F.explode("iw").alias("token"), F.lit(1).alias("hit")).unionByName(
-        first.select("item_id", "item_words", F.lit("").alias("token"), F.lit(0).alias("hit"))
+    spare = first.agg(F.collect_list(F.struct("item_id", "item_words"))).scalar()
+    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    hits = (
+        d.select("doc_id", F.size("w").alias("doc_words"), F.explode("w").alias("token"))
+        .join(index, "token")
+        .select("doc_id", "doc_words", "item_id", "item_words", F.lit(1).alias("hit"))
     )
-    d = docs.select("doc_id", words(F.col("text")).alias("w")).repartition("doc_id")
+    fill = docs.select("doc_id", F.lit(None).cast("int").alias("doc_words"), F.inline(spare), F.lit(0).alias("hit"))
     pairs = (
-        d.select("doc_id", F.size("w").alias("doc_words"), F.explode(F.array_append("w", F.lit(""))).alias("token"))
-        .join(index, "token")
-        .groupBy("doc_id", "doc_words", "item_id", "item_words")
-        .agg(F.sum("hit").alias("shared"))
+        hits.unionByName(fill)
+        .groupBy("doc_id", "item_id")
+        .agg(F.max("doc_words").alias("doc_words"), F.max("item_words").alias("item_words"), F.sum("hit").alias("shared"))
     )
     union = (F.col("doc_words") + F.col("item_words") - F.col("shared")).cast("double")
     overlap = F.coalesce(F.try_divide(F.col("shared").cast("double"), union), F.lit(0.0))
