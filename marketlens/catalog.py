@@ -409,6 +409,11 @@ def _text() -> dict[str, Query]:
     rules = (*config.FORBIDDEN_PATHS, "*.html", "fr/*")
     return {
         "gold_number_collect": _gold,
+        "gold_number_text_collect": lambda wh: t.gold_numbers_in_text(wh.source.read("benchmark")),
+        "conversation_number_leaks": lambda wh: t.leak_findings(
+            wh.source.read("conversations"), "conv_id", "text",
+            _gold(wh).unionByName(t.gold_numbers_in_text(wh.source.read("benchmark"))).distinct(),
+        ),
         "gold_number_leak_scan": lambda wh: t.scan_numbers(wh.source.read("documents"), "doc_id", "text", _gold(wh)),
         "path_pattern_scan": lambda wh: t.path_pattern_scan(wh.source.read("pages"), rules),
         "word_overlap_topk": lambda wh: t.word_overlap_topk(wh.source.read("documents"), wh.source.read("benchmark")),

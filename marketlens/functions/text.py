@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,25 +32,52 @@ def numbers(text: Column) -> Column:
 def distinctive(number: Column) -> Column:
     """Canonical text of a number, or NULL when it is too common to look for.
 
-    Whole numbers count from 1000 on. Others count from 100 on and are compared to the cent
-    (rounded half-even). Whole numbers of any length are compared as text.
+    Whole numbers count from 1000 on. Others count from 100 on and are compared to the cent, rounded
+    half-even. All of it works on the digits as text, so no length is too long.
     """
     plain = F.regexp_replace(number, "[,$]", "")
-    negative = plain.startswith("-")
-    whole = F.regexp_replace(F.regexp_extract(plain, r"^-?0*(\d*)", 1), "^$", "0")
-    fraction = F.regexp_extract(plain, r"\.(\d+)$", 1)
-    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
-    is_whole = F.regexp_replace(fraction, "0", "") == ""
-    value = F.concat(whole, F.lit("."), fraction).try_cast("decimal(38,12)")
-    cents = F.bround(value, 2).cast("decimal(28,2)").cast("string")
+    parts = F.struct(
+        F.when(plain.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"),
+        F.regexp_replace(F.regexp_extract(plain, r"^-?0*(\d*)", 1), "^$", "0").alias("whole"),
+        F.regexp_extract(plain, r"\.(\d+)$", 1).alias("fraction"),
+    )
+    return _with(parts, _canonical)
+
+
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _canonical(p: Column) -> Column:
+    whole, fraction = p["whole"], p["fraction"]
+    digits = F.concat(whole, F.rpad(F.substring(fraction, 1, 2), 2, "0"))
+    rest = F.regexp_replace(F.substring(fraction, 3, 2**31 - 1), "0+$", "")
+    cents = _with(F.struct(digits.alias("digits"), rest.alias("rest")), _rounded)
+    written = _with(cents, lambda c: F.concat(F.substring(c, 1, F.length(c) - 2), F.lit("."), F.substring(c, -2, 2)))
     return F.when(
-        is_whole, F.when(F.length(whole) >= len(str(config.MIN_INTEGER_GOLD)), F.concat(sign, whole))
-    ).when(value >= config.MIN_MONEY_GOLD, F.concat(sign, cents))
+        F.regexp_replace(fraction, "0", "") == "",
+        F.when(F.length(whole) >= len(str(config.MIN_INTEGER_GOLD)), F.concat(p["sign"], whole)),
+    ).when(F.length(whole) >= len(str(int(config.MIN_MONEY_GOLD))), F.concat(p["sign"], written))
+
+
+def _rounded(p: Column) -> Column:
+    odd = F.substring(p["digits"], -1, 1).isin("1", "3", "5", "7", "9")
+    return F.when((p["rest"] > "5") | ((p["rest"] == "5") & odd), _with(p["digits"], _next)).otherwise(p["digits"])
+
+
+def _next(digits: Column) -> Column:
+    """The next whole number after a string of digits."""
+    head, nines = F.regexp_extract(digits, "^(.*?)9*$", 1), F.regexp_extract(digits, "(9*)$", 1)
+    raised = _with(head, lambda h: F.when(h == "", F.lit("1")).otherwise(
+        F.concat(F.substring(h, 1, F.length(h) - 1), (F.substring(h, -1, 1).cast("int") + 1).cast("string"))))
+    return F.concat(raised, F.regexp_replace(nines, "9", "0"))
 
 
 def distinctive_value(value: Column) -> Column:
     """The canonical text of a numeric column, as ``distinctive`` writes it."""
-    return distinctive(value.cast("decimal(38,6)").cast("string"))
+    exact = F.coalesce(value.try_cast("decimal(38,6)").cast("string"), value.try_cast("decimal(38,0)").cast("string"))
+    return distinctive(exact)
 
 
 def glob_pattern(glob: str) -> str:

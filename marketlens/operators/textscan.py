@@ -37,6 +37,11 @@ def gold_numbers(results: Sequence[DataFrame]) -> DataFrame:
     )
 
 
+def gold_numbers_in_text(items: DataFrame, text: str = "text") -> DataFrame:
+    """Every distinctive number written in a set of texts."""
+    return numbers_in(items, "item_id", text).select("number").distinct()
+
+
 def scan_numbers(docs: DataFrame, doc_id: str, text: str, gold: DataFrame) -> DataFrame:
     """Every distinctive number of every document, flagged when it is a gold number.
 

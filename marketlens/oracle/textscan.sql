@@ -30,3 +30,19 @@ sc AS (SELECT doc_id, item_id, CAST(len(list_intersect(dw.w, iw.w)) AS BIGINT) A
 rk AS (SELECT *, COALESCE(CAST(shared AS DOUBLE) / NULLIF(a + b - shared, 0), 0) AS o FROM sc),
 tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY o DESC, item_id) AS rank FROM rk)
 SELECT doc_id, rank, item_id, shared, ROUND(o, 6) AS overlap FROM tp WHERE rank <= 3
+-- query: gold_number_text_collect
+WITH r AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')) AS run FROM benchmark),
+n AS (SELECT doc_id, replace(regexp_extract(run, '^(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(?:$|[^\p{L}\p{N}_])', 1), ',', '') AS w,
+             regexp_extract(run, '^(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(?:$|[^\p{L}\p{N}_])', 2) AS f FROM r),
+m AS (SELECT doc_id, ltrim(w, '0') AS w, f, replace(f, '0', '') = '' AS whole, CAST(w || '.' || CASE f WHEN '' THEN '0' ELSE f END AS DECIMAL(38,12)) * 100 AS c FROM n WHERE w <> ''),
+d AS (SELECT DISTINCT doc_id, CASE WHEN whole THEN CASE WHEN length(w) >= 4 THEN w END
+        WHEN c >= 10000 THEN CAST(CAST((floor(c) + CASE WHEN c - floor(c) > 0.5 OR (c - floor(c) = 0.5 AND floor(c) % 2 = 1) THEN 1 ELSE 0 END) / 100 AS DECIMAL(28,2)) AS VARCHAR) END AS number FROM m)
+SELECT DISTINCT number FROM d WHERE number IS NOT NULL
+-- query: conversation_number_leaks
+WITH r AS (SELECT conv_id AS doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')) AS run FROM conversations),
+n AS (SELECT doc_id, replace(regexp_extract(run, '^(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(?:$|[^\p{L}\p{N}_])', 1), ',', '') AS w,
+             regexp_extract(run, '^(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(?:$|[^\p{L}\p{N}_])', 2) AS f FROM r),
+m AS (SELECT doc_id, ltrim(w, '0') AS w, f, replace(f, '0', '') = '' AS whole, CAST(w || '.' || CASE f WHEN '' THEN '0' ELSE f END AS DECIMAL(38,12)) * 100 AS c FROM n WHERE w <> ''),
+d AS (SELECT DISTINCT doc_id, CASE WHEN whole THEN CASE WHEN length(w) >= 4 THEN w END
+        WHEN c >= 10000 THEN CAST(CAST((floor(c) + CASE WHEN c - floor(c) > 0.5 OR (c - floor(c) = 0.5 AND floor(c) % 2 = 1) THEN 1 ELSE 0 END) / 100 AS DECIMAL(28,2)) AS VARCHAR) END AS number FROM m)
+SELECT doc_id, number FROM d WHERE number IN (SELECT number FROM @gold_number_collect UNION SELECT number FROM @gold_number_text_collect)

@@ -1,14 +1,14 @@
 """Text jobs against plain Python."""
 
 import re
-from decimal import Decimal
+from decimal import Decimal, localcontext
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marketlens import config
-from marketlens.functions.text import distinctive, numbers, url_path, words
+from marketlens.functions.text import distinctive, distinctive_value, numbers, url_path, words
 from marketlens.operators import textscan
 
 STOP = set(config.STOP_WORDS)
@@ -36,6 +36,19 @@ SAMPLES = [
 ]
 
 
+def test_numbers_of_any_length(spark):
+    written = [
+        "1" * 40 + ".005", "9" * 40 + ".995", "9" * 39 + ".996", "100.015", "100.025", "100.0250001", "199.995", "99.999",
+        "0" * 30 + "123.4", "1,234.5650", "123456789012345678901234567890.12500000000000000000000000001", "-2500.255", "-0", "1000.000",
+    ]
+    frame = spark.createDataFrame([(n,) for n in written], "n string")
+    got = {r["n"]: r["d"] for r in frame.select("n", distinctive(F.col("n")).alias("d")).collect()}
+    with localcontext(prec=100):
+        assert got == {n: plain_distinctive(n) for n in written}
+    values = spark.createDataFrame([(1e33,), (1e300,), (-1234.5,), (None,)], "v double")
+    assert [r["d"] for r in values.select(distinctive_value(F.col("v")).alias("d")).collect()] == ["1" + "0" * 33, None, "-1234.50", None]
+
+
 def test_numbers_and_canonical_form(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SAMPLES)], "id int, text string")
     got = {r["id"]: r["n"] for r in df.select("id", numbers(F.col("text")).alias("n")).collect()}
