@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ship
+from marketlens.llm.common import broadcast_if_small, ship, stored
 
-PER_LANGUAGE, LONGEST, LANDMARKS, RIDGE = 300, 20_000, 400, 1e-2
+PER_LANGUAGE, LONGEST, LANDMARKS, RIDGE = 300, 20_000, 240, 1e-2
+BATCH_TEXTS, BATCH_LETTERS = 64, 1 << 19
+BROADCAST_TEXTS = 500_000
 FOLDS, HELD_OUT = 5, 0
 OWN, SHARED = 190, 64  # numbers of frequent letters, numbers that rarer ones share; 1 is the boundary
 UNKNOWN = "und"
@@ -103,19 +105,23 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     letters = points[_letters()[points]]
     seen, often = np.unique(letters, return_counts=True)
     frequent = seen[np.lexsort((seen, -often))[:OWN]]
-    codes = _numbering(frequent)[points]
-    pairs = [(t, g) for t, g in _grams(codes, lengths)]
-    text, gram = (np.concatenate(z) for z in zip(*pairs, strict=True))
+    codes = np.split(_numbering(frequent)[points], np.cumsum(lengths)[:-1])
+    own = [np.unique(np.concatenate([g for _, g in _grams(c, np.array([len(c)]))])) for c in codes]
     y = np.array([names.index(x) for x in languages])
-    order = np.lexsort((np.arange(len(y)), [int((y[:i] == y[i]).sum()) for i in range(len(y))]))
-    marks = order[:landmarks]  # in turn from each language
-    vocabulary = np.unique(gram[np.isin(text, marks)])
-    at = np.minimum(np.searchsorted(vocabulary, gram), len(vocabulary) - 1)
-    mine = vocabulary[at] == gram
-    presence = np.zeros((len(texts), len(vocabulary)), np.float32)
-    presence[text[mine], at[mine]] = 1
-    unit = presence / np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
-    kernel = (unit @ unit[marks].T).astype(np.float64)
+    turn = np.zeros(len(y), np.int64)
+    for k in range(len(names)):
+        turn[y == k] = np.arange((y == k).sum())
+    marks = np.lexsort((np.arange(len(y)), turn))[:landmarks]  # in turn from each language
+    vocabulary = np.unique(np.concatenate([own[i] for i in marks]))
+
+    def unit(rows: list[int]) -> np.ndarray:
+        out = np.zeros((len(rows), len(vocabulary)), np.float32)
+        for row, i in enumerate(rows):
+            out[row, np.flatnonzero(np.isin(vocabulary, own[i], assume_unique=True))] = 1
+        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+
+    basis = unit(list(marks))
+    kernel = np.vstack([unit(range(i, min(i + 100, len(y)))) @ basis.T for i in range(0, len(y), 100)]).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel[marks])
     use = values > 1e-6 * max(values.max(), 1e-12)
     half = vectors[:, use] / np.sqrt(values[use])
@@ -126,7 +132,7 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     share = np.sqrt(1 / np.bincount(y, minlength=len(names))[y])[:, None]  # languages count alike
     solved = np.linalg.solve((a * share).T @ (a * share) + ridge * np.eye(a.shape[1]), (a * share).T @ ((targets - mean) * share))
     dual = half @ solved
-    weights = np.vstack([unit[marks].T @ dual, mean - centre @ solved]).astype(np.float32)
+    weights = np.vstack([basis.T @ dual, mean - centre @ solved]).astype(np.float32)
     return Model(names, frequent, vocabulary, weights)
 
 
@@ -138,24 +144,27 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest:
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    rows = known.filter(spread < share * (1 << 30)).select("lang", "text", spread.alias("at")).limit(2 * per_language * max(len(counts), 1))
+    rows = known.filter(spread < share * (1 << 30)).select("lang", "text", spread.alias("at")).distinct().limit(2 * per_language * max(len(counts), 1))
     taken: dict[str, list[tuple]] = {}
-    for r in sorted(set(rows.collect()), key=lambda r: (r["at"], r["text"], r["lang"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["at"], r["text"], r["lang"])):
         if len(own := taken.setdefault(r["lang"], [])) < per_language:
             own.append((r["text"], r["lang"]))
     flat = [x for lang in sorted(taken) for x in taken[lang]]
     return [t for t, _ in flat], [lang for _, lang in flat]
 
 
-def _predicted(model: Model | None):
+def _predicted(model: Model | None, inside: int | None):
+    """``inside`` is the place of the text among the columns kept, if it is one of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer() if model else None
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            column = batch.column("text") if inside is None else batch.column("kept").field(inside)
+            texts = ["" if t is None else t for t in column.to_pylist()]
             names, values, at = [], [], 0
             while at < len(texts):
                 stop, size = at, 0
-                while stop < len(texts) and stop - at < 128 and (size + len(texts[stop]) < 1 << 20 or stop == at):
+                while stop < len(texts) and stop - at < BATCH_TEXTS and (size + len(texts[stop]) < BATCH_LETTERS or stop == at):
                     size += len(texts[stop])
                     stop += 1
                 if score:
@@ -186,6 +195,21 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """(kept, lang_pred, score): the columns ``keep`` as one, and the prediction from the text alone."""
     ship(docs.sparkSession)
-    given = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
+    inside = keep.index(text) if text in keep else None
+    given = docs.select(F.struct(*keep).alias("kept"), *([F.col(text).alias("text")] if inside is None else []))
     kind = given.schema["kept"].dataType.simpleString()
-    return given.mapInArrow(_predicted(model), f"kept {kind}, lang_pred string, score double")
+    return given.mapInArrow(_predicted(model, inside), f"kept {kind}, lang_pred string, score double")
+
+
+def drop_unknown(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The documents without those whose language is ``und``.
+
+    A language follows from the text alone: texts go to Python once and only their hashes come back;
+    the different texts found ``und`` are matched by hash.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    key = F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"), F.char_length(body).alias("n"))
+    boxed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
+    found = predict(boxed, model, keep=("key",)).filter(F.col("lang_pred") == UNKNOWN).select("kept.key").distinct()
+    found = broadcast_if_small(stored(found.withColumnRenamed("key", "unknown"), "unknown-languages"), BROADCAST_TEXTS)
+    return boxed.join(found, F.col("key") == F.col("unknown"), "left_anti").select("doc.*")
