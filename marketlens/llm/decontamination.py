@@ -21,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ascii_lower, stored
+from marketlens.llm.common import ascii_lower, broadcast_if_small, stored
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 200_000
+BROADCAST_TEXTS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -124,13 +125,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     Cutting a span takes its words and the separators between them; the rest of the text,
     separators included, stays letter for letter.
     """
-    boxed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
-    out = scan(boxed, bench, "text", item, item_text, size, keep=("doc", "text"))
-    if remove == "documents":
-        return out.filter(F.col("n_hit") == 0).select("doc.*")
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    rest = F.when(F.col("n_hit") == 0, F.col("text")).otherwise(_without(F.col("text"), F.col("hits")))
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.char_length("text").alias("n"))
+    boxed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text).alias("text")).withColumn("key", key)
+    # what is hit follows from the text alone, so texts are matched by their hashes and not shuffled themselves
+    found = scan(boxed, bench, "text", item, item_text, size, keep=("key",)).filter(F.col("n_hit") > 0)
+    found = stored(found.select(F.col("key").alias("hit_key"), "hits").dropDuplicates(["hit_key"]), "contaminated-texts")
+    if remove == "documents":
+        found = broadcast_if_small(found.select("hit_key"), BROADCAST_TEXTS)
+        return boxed.join(found, F.col("key") == F.col("hit_key"), "left_anti").select("doc.*")
+    out = boxed.join(broadcast_if_small(found, BROADCAST_TEXTS), F.col("key") == F.col("hit_key"), "left")
+    rest = F.when(F.col("hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("hits")))
     return out.select(*[rest.alias(c) if c == text else F.col(f"doc.{c}").alias(c) for c in docs.columns])
 
 
