@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marketlens.llm import decontamination, language_id, ngram_join, packing, secret_scan
 from marketlens.llm.common import stored
@@ -12,8 +11,7 @@ from marketlens.llm.common import stored
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told, for want of any letter, go."""
-    found = language_id.predict(docs, language_id.learn(docs), keep=tuple(docs.columns))
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select("kept.*")
+    return language_id.drop_unknown(docs, language_id.learn(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
