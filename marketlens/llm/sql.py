@@ -85,10 +85,65 @@ SELECT page_id, payload_bytes,
 FROM payload
 """
 
+def _spans(kind: int, pattern: str, least: int = 0, group: int = 0) -> str:
+    """Matches of a pattern with their start: what was split off before them plus the matches before them."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {kind} AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + COALESCE(list_sum(list_transform(found[1:i-1], lambda x: length(x))), 0) AS s,
+         found[i] AS m, parts[i] AS g
+  FROM (SELECT doc_id, gaps, found, parts, unnest(range(1, len(found) + 1)) AS i
+        FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS found,
+                     regexp_extract_all(t, '{pattern}', {group}) AS parts FROM texts))
+  WHERE length(found[i]) >= {least}"""
+
+
+def _either_case(word: str) -> str:
+    """ASCII letters in either case and no others, which (?i) would add."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_WORDS_OF_SECRETS = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
+_ASSIGN = rf"(?:{_WORDS_OF_SECRETS})[\x22']?\x20*[:=]\x20*[\x22']?([A-Za-z0-9+/_.=-]+)"
+SECRETS = f"""
+WITH texts AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+found AS ({_spans(0, _ASSIGN, group=1)}
+  UNION ALL {_spans(1, "AKIA[A-Z0-9]+", 20)}
+  UNION ALL {_spans(2, "[0-9a-f]+", 24)}
+  UNION ALL {_spans(3, "[A-Za-z0-9]+", 16)}
+  UNION ALL {_spans(4, "[A-Za-z0-9+/]+=?=?", 32)}
+  UNION ALL {_spans(5, "(?:https?|wss?|amqps?|postgres|mysql|redis|mongodb)://[A-Za-z0-9.-]+(?::[0-9]+)?")}),
+parts AS (
+  SELECT doc_id, kind, CAST(s AS BIGINT) AS a, CAST(s + length(m) AS BIGINT) AS b FROM found
+  WHERE CASE kind WHEN 0 THEN length(g) >= 6 WHEN 1 THEN length(m) >= 20
+        WHEN 3 THEN length(m) BETWEEN 16 AND 40 AND regexp_full_match(m, '[A-Z0-9]+') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]')
+        WHEN 4 THEN length(rtrim(m, '=')) >= 32 AND regexp_matches(rtrim(m, '=')[:100], '[0-9]') AND regexp_matches(rtrim(m, '=')[:100], '[a-z]')
+                    AND regexp_matches(rtrim(m, '=')[:100], '[A-Z]')
+        ELSE true END),
+near AS (
+  SELECT w.doc_id, w.kind, w.a, w.b, bool_or(o.kind IN (1, 3)) AS ids, bool_or(o.kind IN (0, 2, 4)) AS secrets
+  FROM parts w JOIN parts o ON o.doc_id = w.doc_id AND (o.kind, o.a, o.b) <> (w.kind, w.a, w.b) AND o.b >= w.a - 200 AND o.a <= w.b + 200
+  WHERE w.kind >= 3 GROUP BY ALL),
+spans AS (
+  SELECT doc_id, kind, a, b FROM parts WHERE kind < 3
+  UNION ALL
+  SELECT doc_id, kind, a, b FROM near n
+  WHERE CASE kind WHEN 3 THEN secrets WHEN 4 THEN ids ELSE ids AND secrets END
+    AND NOT EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = n.doc_id AND p.kind < 3 AND p.a < n.b AND p.b > n.a)),
+listed AS (
+  SELECT doc_id, COUNT(*) FILTER (kind = 0) AS n_assign, COUNT(*) FILTER (kind = 1) AS n_access, COUNT(*) FILTER (kind = 2) AS n_hex,
+         string_agg(word, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(word, ',' ORDER BY a, kind) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'id', 'secret', 'endpoint'][kind + 1] || ':' || a || ':' || b AS word FROM spans)
+  GROUP BY doc_id)
+SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_access, COALESCE(n_hex, 0) AS n_hex,
+       sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
 QUERIES = {
     "op1_benchmark_decontamination": DECONTAMINATION,
     "op2_ngram_jaccard_join": NEAR_COPIES,
     "op3_embedding_near_dedup": EMBEDDINGS,
     "op4_url_filters": URL_RULES,
+    "op5_secret_scans": SECRETS,
     "op6_warc": WARC,
 }
