@@ -180,6 +180,7 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
     near = lambda by, name: cells.select("root", (F.col("level") + by).alias("level"), F.col("blocks").alias(name))
     cells = cells.join(near(1, "below"), ["root", "level"], "left").join(near(-1, "above"), ["root", "level"], "left")
+    cells = broadcast_if_small(stored(cells, "cells"), BROADCAST_CLASSES)  # a large group is not gathered by its root
     m = members.join(cells, ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     upto = lambda n: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
 

@@ -97,10 +97,8 @@ def shingle_sets(texts: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     words, at = word_hashes(texts)
     counts = np.diff(at)
     grams = np.zeros(len(words), np.uint64)
-    factor = np.uint64(1)
     padded = np.concatenate((words, np.zeros(n, np.uint64)))
-    for j in range(n):
-        factor = factor * _STEP
+    for j, factor in enumerate(np.multiply.accumulate(np.full(n, _STEP, np.uint64))):
         grams += padded[j : j + len(words)] * factor
     grams = mixed(grams)
     sets, sizes = [], np.zeros(len(counts), np.int64)
