@@ -197,13 +197,19 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS,
          threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(row, doc_id, n_links, class_id, group_id, kept) per document.
+    """(row, doc_id, n_links, class_id, group_id, kept) per document; ``row`` is a number of its own for each."""
+    return _joined(_numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "doc_id", "text", n_words, threshold, recall)
 
-    ``row`` is the number that monotonically_increasing_id gives the row in ``docs``.
-    """
-    ship(docs.sparkSession)
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc) written down: numbers are given once, as another read of ``docs`` may deal its rows out differently."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered-documents")
+
+
+def _joined(numbered: DataFrame, doc_id: str, text: str, n_words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    ship(numbered.sparkSession)
     n_bands, n_rows = bands(threshold, recall)
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    given = numbered.select("row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     rows = stored(given.mapInArrow(
         _signatures(n_words, n_bands, n_rows), f"row bigint, doc_id {kind}, a bigint, b bigint, n int, bands array<bigint>"), "signatures")
@@ -240,11 +246,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: i
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that ``join`` keeps, one of each group, with all their columns.
-
-    ``docs`` is read more than once and must give its rows in the same order each time, as files do.
-    """
-    gone = join(docs, doc_id, text, **how).filter(~F.col("kept")).select(F.col("row").alias("gone"))
+    """The documents that ``join`` keeps, one of each group, with all their columns. ``docs`` is read once."""
+    boxed = _numbered(docs)
+    gone = _joined(boxed, doc_id, text, **how).filter(~F.col("kept")).select(F.col("row").alias("gone"))
     gone = broadcast_if_small(stored(gone, "dropped-rows"), BROADCAST_CLASSES)
-    boxed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
     return boxed.join(gone, F.col("row") == F.col("gone"), "left_anti").select("doc.*")

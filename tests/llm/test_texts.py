@@ -6,6 +6,7 @@ import brute
 import pytest
 
 from marketlens.llm import decontamination, entry, ngram_join, secret_scan
+from marketlens.llm.common import scratch
 
 BENCH = "item_id bigint, text string"
 
@@ -96,6 +97,22 @@ def test_op2_edge_cases(spark, documents):
     assert ngram_join.join(documents([])).collect() == []
 
 
+def test_deduplicate_when_files_are_dealt_out_anew(spark, documents):
+    rng = random.Random(4)
+    texts = [passage(rng, 30) for _ in range(20)]
+    folder = scratch(spark, "test-dealt")
+    documents([(i, texts[i % 20]) for i in range(40)]).repartition(8).write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        kept = ngram_join.deduplicate(docs)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as if executors had gone meanwhile
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.files.minPartitionNum", before) if before else spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 def test_bands_reach_the_recall():
     n, r = ngram_join.bands(0.8, 0.999, 160)
     assert 1 - (1 - 0.8**r) ** n >= 0.999 and n * r <= 160
