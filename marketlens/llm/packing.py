@@ -3,12 +3,15 @@
 A document is its token ids and one end id. Only one longer than a sequence is cut, into pieces of
 the full length; its first piece may be shorter. What decides a packing is how many pieces there are of each length,
 a table of at most ``limit`` rows however large the corpus, so that alone goes to the driver.
-There, bin completion takes the largest length left and looks for its undominated fillings: those
-with the highest sum that fits, of the largest pieces possible (anything smaller that sums to the same
-is dominated). A filling is used as often as the counts allow. The branch-and-bound search
-starts from best-fit decreasing as the incumbent, follows the best filling first, prunes branches whose
-waste already costs a sequence more than the incumbent may, and ends at the lower bound or
-after ``NODES`` fillings; the best plan found is used.
+There, bin completion takes the largest length left and goes through its fillings of every sum, the highest
+sum and the largest pieces first. A filling is dominated, and left out, where one or two of its pieces could be
+exchanged for one left over that is as large together or larger and fits. A filling is used as often as the counts
+allow, and in other branches fewer times; fillings of the same length follow each other in their order,
+as their sequences can be exchanged. The branch-and-bound search
+starts from best-fit decreasing as the incumbent, follows the best filling first and prunes branches whose
+waste already costs a sequence more than the incumbent may. It runs twice: with the first ``FIRST`` fillings of the
+highest sum for a better incumbent, then with all of them. It ends at the lower bound, when all is searched (the
+plan is then optimal) or after looking at ``NODES`` fillings each time; the best plan found is used.
 
 The pieces then find their places by their number among those of the same length: numbers
 within a task come from tokenising, those of the tasks before it from a sum of counts per task. No
@@ -21,7 +24,10 @@ packed each. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,7 @@ from marketlens.llm.common import ship, stored
 from marketlens.llm.shingles import text_slices
 
 LIMIT, END_ID = 2048, 0
-NODES, BRANCHES = 20_000, 3
+NODES, FIRST, OPEN = 20_000, 3, 50
 
 Pattern = list[tuple[int, int]]  # (length, how many)
 
@@ -89,8 +95,11 @@ def _use(left: dict[int, int], pattern: Pattern) -> tuple[int, Pattern]:
     return times, pattern
 
 
-def _fillings(left: dict[int, int], limit: int, most: int) -> list[Pattern]:
-    """The largest piece with its fillings: highest sum first, then larger pieces first."""
+def _fillings(left: dict[int, int], limit: int, waste: int, every: bool = False) -> Iterator[Pattern | None]:
+    """The largest piece with its fillings that waste so much at most: highest sum first, then larger pieces first.
+
+    None stands for a dominated one, unless ``every`` one is wanted.
+    """
     largest = max(left)
     room = limit - largest
     lengths = sorted((x for x in left if x <= room), reverse=True)
@@ -104,34 +113,78 @@ def _fillings(left: dict[int, int], limit: int, most: int) -> list[Pattern]:
             n, step = n - step, step * 2
         reach.append(sums)
     reach.reverse()
-    out: list[Pattern] = []
+    spare = dict(zip(lengths, have, strict=True))
+    rising = lengths[::-1]
 
-    def walk(i: int, rest: int, pattern: Pattern) -> None:
-        if len(out) >= most:
-            return
-        if not rest:
-            out.append(pattern)
-            return
-        while i < len(lengths) and (lengths[i] > rest or not reach[i] >> rest & 1):
-            if lengths[i] <= rest:
-                return
-            i += 1
-        if i >= len(lengths):
-            return
-        for c in range(min(have[i], rest // lengths[i]), -1, -1):
-            if reach[i + 1] >> (rest - c * lengths[i]) & 1:
-                walk(i + 1, rest - c * lengths[i], [*pattern, (lengths[i], c)] if c else pattern)
-                if len(out) >= most:
+    def dominated(pattern: Pattern, slack: int) -> bool:
+        own = dict(pattern)
+
+        def exchange(low: int, high: int) -> bool:
+            """Is a piece of a length from low to high left over?"""
+            for x in rising[bisect_left(rising, low):]:
+                if x > high:
+                    return False
+                if spare[x] > own.get(x, 0):
+                    return True
+            return False
+
+        if exchange(1, slack) or any(exchange(x + 1, x + slack) for x, _ in pattern):
+            return True
+        return any(exchange(x + y, x + y + slack) for i, (x, c) in enumerate(pattern) for y, _ in pattern[i + (c < 2) :])
+
+    def walk(i: int, rest: int, pattern: Pattern) -> Iterator[Pattern]:
+        stack = [(i, rest, pattern)]
+        while stack:
+            i, rest, pattern = stack.pop()
+            if not rest:
+                yield pattern
+                continue
+            while i < len(lengths) and lengths[i] > rest:
+                i += 1
+            if i < len(lengths):
+                for c in range(min(have[i], rest // lengths[i]) + 1):  # the most pieces are taken up first
+                    if reach[i + 1] >> (rest - c * lengths[i]) & 1:
+                        stack.append((i + 1, rest - c * lengths[i], [*pattern, (lengths[i], c)] if c else pattern))
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if reach[0] >> total & 1:
+            for pattern in walk(0, total, []):
+                if not every and dominated(pattern, room - total):
+                    yield None
+                    continue
+                same = dict(pattern)
+                same[largest] = same.get(largest, 0) + 1
+                yield sorted(same.items(), reverse=True)
+                if not every and total == room and sum(c for _, c in pattern) <= 1:  # full with one piece more: dominates all others
                     return
 
-    best = reach[0].bit_length() - 1
-    walk(0, best, [])
-    full = []
-    for pattern in out:
-        same = dict(pattern)
-        same[largest] = same.get(largest, 0) + 1
-        full.append(sorted(same.items(), reverse=True))
-    return full
+
+def _order(pattern: Pattern) -> tuple[int, Pattern]:
+    return sum(x * c for x, c in pattern), pattern
+
+
+def _branches(left: dict[int, int], limit: int, waste: int, last: Pattern | None) -> Iterator[tuple[int, Pattern] | None]:
+    """(times, filling) of the largest piece, each as often as it can be, and in turn with the next filling one time fewer."""
+    fillings, fewer = _fillings(left, limit, waste), deque()
+    before = _order(last) if last and last[0][0] == max(left) else None
+    while fillings or fewer:
+        pattern = next(fillings, False) if fillings else False
+        if pattern is False:
+            fillings = None
+        elif pattern is None or (before and _order(pattern) >= before):
+            yield None
+        else:
+            times = min(left[x] // c for x, c in pattern)
+            lost = limit - sum(x * c for x, c in pattern)
+            times = min(times, waste // lost) if lost else times
+            yield times, pattern
+            if times > 1:
+                fewer.append((times - 1, pattern))
+        if fewer:
+            times, pattern = fewer.popleft()
+            yield times, pattern
+            if times > 1:
+                fewer.append((times - 1, pattern))
 
 
 def lower_bound(counts: dict[int, int], limit: int) -> int:
@@ -147,38 +200,70 @@ def lower_bound(counts: dict[int, int], limit: int) -> int:
     return bound
 
 
-def bin_completion(counts: dict[int, int], limit: int, nodes: int = NODES, branches: int = BRANCHES) -> list[tuple[int, Pattern]]:
+def _highest(left: dict[int, int], limit: int, waste: int, last: Pattern | None) -> Iterator[tuple[int, Pattern] | None]:
+    """The first fillings of the highest sum, each as often as it can be."""
+    best = None
+    for pattern in islice(_fillings(left, limit, waste, every=True), FIRST):
+        total = sum(x * c for x, c in pattern)
+        best = best or total
+        if total < best:
+            return
+        times, lost = min(left[x] // c for x, c in pattern), limit - total
+        yield min(times, waste // lost) if lost else times, pattern
+
+
+def bin_completion(counts: dict[int, int], limit: int, nodes: int = NODES) -> list[tuple[int, Pattern]]:
     """The best plan found: (times, pattern) until all pieces are used."""
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit(counts, limit)
     least, fewest = lower_bound(counts, limit), sum(t for t, _ in best)
     total = sum(x * n for x, n in counts.items())
-    # a stack of (pieces left, plan so far as a linked list, sequences used, waste)
-    stack = [(counts, None, 0, 0)]
-    while stack and fewest > least and nodes > 0:
-        left, plan, used, waste = stack.pop()
-        while left and nodes > 0:
-            if total + waste > (fewest - 1) * limit:  # what is wasted already costs as many as the incumbent
-                break
-            nodes -= 1
-            options = _fillings(left, limit, branches)
-            for pattern in options[:0:-1]:
-                other = dict(left)
-                times, used_pattern = _use(other, pattern)
-                gone = waste + times * (limit - sum(x * c for x, c in pattern))
-                stack.append((other, (plan, times, used_pattern), used + times, gone))
-            left = dict(left)
-            times, pattern = _use(left, options[0])
-            plan, used = (plan, times, pattern), used + times
-            waste += times * (limit - sum(x * c for x, c in pattern))
-        if not left and used < fewest:
-            fewest, best = used, []
-            while plan:
-                plan, times, pattern = plan
-                best.append((times, pattern))
-            best.reverse()
-        if len(stack) > 2_000:  # the deepest alternatives are the cheapest to finish
-            stack = stack[-1_000:]
+    spare = lambda waste: (fewest - 1) * limit - total - waste  # noqa: E731  what may be wasted yet by a plan with fewer sequences
+    left, plan, used, waste = dict(counts), [], 0, 0
+
+    def apply(step: tuple[int, Pattern], sign: int) -> None:
+        nonlocal used, waste
+        times, pattern = step
+        for length, c in pattern:
+            left[length] = left.get(length, 0) - sign * times * c
+            if not left[length]:
+                del left[length]
+        used += sign * times
+        waste += sign * times * (limit - sum(x * c for x, c in pattern))
+
+    for some in (_highest, _branches):
+        while plan:
+            apply(plan.pop(), -1)
+        # branches that are open, what they were made from and how many were taken; all but the last ``OPEN`` are made anew
+        path = [[None, (spare(0), None), 0]]
+        looks = nodes
+        while path and fewest > least and looks > 0:
+            top = path[-1]
+            if top[0] is None:
+                top[0] = islice(some(left, limit, *top[1]), top[2], None)
+            step = next(top[0], False)
+            if step is False:
+                path.pop()
+                if plan:
+                    apply(plan.pop(), -1)
+                continue
+            looks -= 1
+            top[2] += 1
+            if step is None:
+                continue
+            apply(step, 1)
+            if spare(waste) < 0:  # the incumbent has become better since
+                apply(step, -1)
+                continue
+            plan.append(step)
+            if left:
+                path.append([None, (spare(waste), step[1]), 0])
+                if len(path) > OPEN:
+                    path[-OPEN - 1][0] = None
+                continue
+            if used < fewest:
+                fewest, best = used, list(plan)
+            apply(plan.pop(), -1)
     return best
 
 

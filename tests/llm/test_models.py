@@ -132,6 +132,13 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert sum(t for t, _ in plan) == smallest(lengths, limit)
 
 
+def test_bin_completion_tries_fillings_of_lower_sums():
+    plan = packing.bin_completion(dict.fromkeys([57, 53, 37, 36, 34, 32, 29, 13], 1), 100)
+    assert sum(t for t, _ in plan) == 3
+    plan = packing.bin_completion({57: 2, 53: 2, 37: 2, 36: 2, 34: 2, 32: 2, 29: 2, 13: 2}, 100)
+    assert sum(t for t, _ in plan) == packing.lower_bound({57: 2, 53: 2, 37: 2, 36: 2, 34: 2, 32: 2, 29: 2, 13: 2}, 100) == 6
+
+
 def test_bin_completion_beats_best_fit():
     counts = {8: 100, 5: 100, 4: 200, 3: 100}  # best fit joins 5 + 5 and 4 + 4 + 4 first
     plan = packing.bin_completion(counts, 16)
