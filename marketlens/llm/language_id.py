@@ -8,8 +8,9 @@ from their own kernel matrix, and one ridge regression per language is solved on
 A prediction is linear in the presence of n-grams, so the landmarks' matrix and the coefficients are
 multiplied once, and a batch of texts is scored by one product of its presence matrix.
 
-Learning takes a bounded sample, ``PER_LANGUAGE`` texts of 1 to ``LONGEST`` letters of each language
-(the number of languages is taken to be small), chosen by a hash; every text is predicted in whole.
+Learning takes a bounded sample, ``PER_LANGUAGE`` different texts of 1 to ``LONGEST`` letters of each language
+(the number of languages is taken to be small), chosen by a hash; a language with fewer such texts fills up
+with its shortest longer ones, in whole. Every text is predicted in whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing
 to learn from every text is; rows without a language are not learned from; a null id is
@@ -23,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import broadcast_if_small, ship, stored
@@ -137,16 +138,28 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> tuple[list[str], list[str]]:
-    """Texts and languages, at most so many of each language, by a hash of the text."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.char_length("text").between(1, longest)))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Different texts and their languages, at most so many of each language, by a hash of the text."""
+    known = docs.filter(F.col("lang").isNotNull() & (F.char_length("text") >= 1))
+    texts = known.select("lang", F.xxhash64("text").alias("hash"), F.char_length("text").alias("letters")).distinct()
+    short = F.col("letters") <= longest
+    found = texts.groupBy("lang").agg(F.count_if(short).alias("n"), F.count_if(~short).alias("longer")).collect()
+    counts = {r["lang"]: r["n"] for r in found if r["n"]}
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * per_language / n))).otherwise(share)
     spread = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    rows = known.filter(spread < share * (1 << 30)).select("lang", "text", spread.alias("at")).distinct().limit(2 * per_language * max(len(counts), 1))
+    some = known.filter((F.char_length("text") <= longest) & (spread < share * (1 << 30)))
+    rows = some.select("lang", "text", spread.alias("at")).distinct().limit(2 * per_language * max(len(counts), 1)).collect()
+    wanting = [r["lang"] for r in found if r["n"] < per_language and r["longer"]]
+    if wanting:
+        order = Window.partitionBy("lang").orderBy("letters", "hash")
+        more = texts.filter(~short & F.col("lang").isin(wanting)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).collect()
+        need = {r["lang"]: per_language - r["n"] for r in found}
+        picked = [r["hash"] for r in more if r["nth"] <= need[r["lang"]]]
+        longer = known.filter((F.char_length("text") > longest) & F.col("lang").isin(wanting) & F.xxhash64("text").isin(picked))
+        rows += longer.select("lang", "text", spread.alias("at")).distinct().collect()
     taken: dict[str, list[tuple]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["at"], r["text"], r["lang"])):
+    for r in sorted(rows, key=lambda r: (len(r["text"]) > longest, r["at"], r["text"], r["lang"])):
         if len(own := taken.setdefault(r["lang"], [])) < per_language:
             own.append((r["text"], r["lang"]))
     flat = [x for lang in sorted(taken) for x in taken[lang]]

@@ -180,6 +180,15 @@ def test_op8_edge_cases(spark, documents):
     assert language_id.predict(table.limit(0), model, keep=("doc_id",)).collect() == []
 
 
+def test_op8_learns_from_copies_and_long_texts(spark, documents):
+    docs = [(i, f"plain text {i}", "aa") for i in range(30)] + [(i, "the same text", "bb") for i in range(3000)]
+    docs += [(i, f"another text {i}", "bb") for i in range(12)] + [(i, f"{i} of a longer text than the others, " * 2, "cc") for i in range(14)]
+    docs += [(1, "few words", "dd"), (2, "a text of more letters than that " * 2, "dd"), (3, "a text of more letters than that, and " * 9, "dd")]
+    texts, languages = language_id.training_sample(documents(docs), per_language=10, longest=25)
+    assert Counter(languages) == {"aa": 10, "bb": 10, "cc": 10, "dd": 3}
+    assert len(set(texts)) == len(texts)
+
+
 def test_op9_held_out_accuracy(spark, larger):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
     got = entry.op9_quality_classifier(spark, larger).collect()
