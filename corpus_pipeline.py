@@ -10,7 +10,7 @@ from marketlens.llm.common import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told, for want of any letter, go."""
+    """Documents in which no language can be told, for want of any letter, go; so also where no row's language can be learned from."""
     return language_id.drop_unknown(docs, language_id.learn(docs))
 
 

@@ -97,6 +97,10 @@ class Model:
         return score
 
 
+#: Tells texts with a letter from texts without one, and nothing else.
+UNLEARNED = Model([""], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((1, 1), np.float32))
+
+
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """The model of labelled texts; None without any."""
     names = sorted(set(languages))
@@ -215,14 +219,15 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...], text: s
 
 
 def drop_unknown(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The documents without those whose language is ``und``.
+    """The documents without those whose language is ``und``: those whose text is null or has no letter.
 
+    Where there was nothing to learn from, no other document goes either.
     A language follows from the text alone: texts go to Python once and only their hashes come back;
     the different texts found ``und`` are matched by hash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"), F.char_length(body).alias("n"))
     boxed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
-    found = predict(boxed, model, keep=("key",)).filter(F.col("lang_pred") == UNKNOWN).select("kept.key").distinct()
+    found = predict(boxed, model or UNLEARNED, keep=("key",)).filter(F.col("lang_pred") == UNKNOWN).select("kept.key").distinct()
     found = broadcast_if_small(stored(found.withColumnRenamed("key", "unknown"), "unknown-languages"), BROADCAST_TEXTS)
     return boxed.join(found, F.col("key") == F.col("unknown"), "left_anti").select("doc.*")

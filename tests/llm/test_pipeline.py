@@ -47,3 +47,9 @@ def test_stages_survive_nulls_and_empty_tables(spark, documents, small):
     for table in (documents(rows), documents([])):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, table, small).collect()
+
+
+def test_language_stage_without_any_language(spark, documents, small):
+    rows = [(1, None, None), (2, "", None), (3, "12 34", None), (4, "some words", None), (5, "漢字", None), (None, "other words", None)]
+    kept = corpus_pipeline.identify_language(spark, documents(rows), small)
+    assert {r["doc_id"] for r in kept.collect()} == {4, 5, None}
