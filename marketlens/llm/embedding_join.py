@@ -70,7 +70,8 @@ def _cells(pivots: list[list[float]], threshold: float):
                         own = near.argmax(1)
                         apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
                         lean = near[np.arange(len(pick)), own][:, None] - near
-                        inside = (lean <= reach * apart[own]) & (np.arange(len(p))[None, :] < own[:, None])
+                        # the slack: pivots of one direction are apart by rounding only, and lean is noise between them
+                        inside = (lean <= reach * apart[own] + 1e-7) & (np.arange(len(p))[None, :] < own[:, None])
                         inside[np.arange(len(pick)), own] = True
                         row, cell = np.nonzero(inside)
                         home = cell == own[row]

@@ -7,6 +7,7 @@ import re
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marketlens.llm import components, embedding_join, entry, url_rules, warc
@@ -57,6 +58,17 @@ def test_op3_ties_nulls_and_empty(spark):
     assert embedding_join.join(df.limit(0)).collect() == []
 
 
+def test_op3_pivots_of_one_direction_share_their_vectors():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=8)
+    rows = v + rng.normal(size=(500, 8)) * 0.05
+    vectors = pa.array(rows.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(np.ones(500, np.int64)), vectors], names=["cid", "size", "vector"])
+    out = list(embedding_join._cells([(v * f).tolist() for f in (1.0, 1.1, 1.3, 1.7)], 0.9)(iter([batch])))
+    first = {c for b in out for c, cell in zip(b.column("cid").to_pylist(), b.column("cell").to_pylist(), strict=True) if cell == 0}
+    assert first == set(range(500))
+
+
 def test_op3_on_the_tables(spark, small):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     got = entry.op3_embedding_near_dedup(spark, small).collect()
