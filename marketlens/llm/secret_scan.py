@@ -21,6 +21,9 @@ columns of the documents travel in one column, so no name clashes.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,27 +37,30 @@ KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 ID = r"(?<![A-Za-z0-9])(?=[A-Z0-9]{0,39}[0-9])(?=[A-Z0-9]{0,39}[A-Z])[A-Z0-9]{16,40}(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,99}[0-9])(?=[A-Za-z0-9+/]{0,99}[a-z])(?=[A-Za-z0-9+/]{0,99}[A-Z])[A-Za-z0-9+/]{32,}={0,2}"
+SECRET, CLASSES = r"[A-Za-z0-9+/]{32,}={0,2}", ("[0-9]", "[a-z]", "[A-Z]")
 ENDPOINT = r"(?:https?|wss?|amqps?|postgres|mysql|redis|mongodb)://[A-Za-z0-9.-]+(?::[0-9]+)?"
 
 _SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
-def _found(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0, hint: str | None = None) -> Column:
+def _found(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0, hint: str | None = None, classes: tuple[str, ...] = ()) -> Column:
     """Spans of a pattern's matches, leftmost and non-overlapping; shorter ones drop out afterwards.
 
     The lengths of the matches and of the pieces between them add up to the positions.
-    ``hint`` is a cheaper pattern that any text with a long enough match has.
+    ``hint`` is a cheaper pattern that any text with a long enough match has; a match must have all of ``classes`` somewhere.
     """
     pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.transform(whole, F.char_length) if not group else F.zip_with(
         whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
         lambda a, b: F.char_length(a) * 2 + F.when(F.char_length(b) >= least, 1).otherwise(0))
+    if classes:
+        measured = F.transform(whole, lambda m: F.char_length(m) * 2 + F.when(reduce(and_, [m.rlike(c) for c in classes]), 1).otherwise(0))
+    coded = group or classes  # twice the length, and one more for a match that counts
     steps = F.zip_with(
         F.slice(pieces, 1, F.size(whole)), measured,
-        lambda p, m: F.struct(F.char_length(p).alias("gap"), (F.floor(m / 2).cast("int") if group else m).alias("len"),
-                              (F.pmod(m, F.lit(2)) == 1 if group else m >= least).alias("ok")))
+        lambda p, m: F.struct(F.char_length(p).alias("gap"), (F.floor(m / 2).cast("int") if coded else m).alias("len"),
+                              (F.pmod(m, F.lit(2)) == 1 if coded else m >= least).alias("ok")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -82,7 +88,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> tuple[DataF
         _found(body, ASSIGN, 0, 6, 1, ASSIGN[:-2] + "{6})"),
         _found(body, r"AKIA[A-Z0-9]{16,}", 1), _found(body, r"[0-9a-f]{24,}", 2),
     ).alias("base"))
-    weak = F.concat(_found(body, ID, 3, hint="[A-Z0-9]{16}"), _found(body, SECRET, 4, hint="[A-Za-z0-9+/]{32}"), _found(body, ENDPOINT, 5, hint="://"))
+    weak = F.concat(_found(body, ID, 3, hint="[A-Z0-9]{16}"), _found(body, SECRET, 4, hint="[A-Za-z0-9+/]{32}", classes=CLASSES), _found(body, ENDPOINT, 5, hint="://"))
     # a text needs a weak part, an id and a secret, weak or not, or nothing can be linked; copies are judged once
     held = base.withColumn("weak", weak).filter(F.size("weak") > 0).select("key", "base", "weak").dropDuplicates(["key"])
     kinds = F.transform(F.concat("base", "weak"), lambda s: s["kind"])

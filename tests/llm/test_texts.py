@@ -165,6 +165,13 @@ def test_op5_weak_parts_need_their_complement(spark, documents):
     }
 
 
+def test_op5_secrets_are_judged_on_the_whole_run(spark, documents):
+    padded = "A" * 150 + LOOSE
+    docs = [(1, f"id {WEAK_ID} key {padded}=="), (2, f"id {WEAK_ID} key {'A' * 150}"), (3, f"id {WEAK_ID} key {'A' * 150}b, {LOOSE}")]
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.report(documents(docs)).collect()}
+    assert spans == {1: f"id:3:23,secret:28:{28 + len(padded) + 2}", 2: "", 3: f"id:3:23,secret:181:{181 + len(LOOSE)}"}
+
+
 def test_redaction(spark, documents):
     docs = documents([(1, f"a token={HEX} b"), (2, "clean"), (3, None), (4, f"{AK}"), (5, f"id {WEAK_ID} key {LOOSE} end")], "doc base linked key")
     out = secret_scan.redact(docs)
