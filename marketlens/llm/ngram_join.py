@@ -82,13 +82,10 @@ def _sets(n_words: int):
                 some = np.flatnonzero(np.diff(at))
                 if not len(some):
                     continue
-                starts = at[:-1][some]
-                a = np.add.reduceat(mixed(flat ^ np.uint64(0x1234567)), starts).view(np.int64)
-                b = np.add.reduceat(mixed(flat * np.uint64(3)), starts).view(np.int64)
-                offsets = np.concatenate((starts, at[-1:])).astype(np.int32)
+                offsets = np.concatenate((at[:-1][some], at[-1:])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(b), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                    names=["a", "b", "n", "grams"])
+                    [batch.column("row").take(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
+                    names=["cid", "grams"])
 
     return run
 
@@ -139,12 +136,12 @@ def _compare(threshold: float):
 
     def block(table: pa.Table, side: int) -> dict | None:
         rows = table.filter(pa.compute.equal(table.column("side"), side)).combine_chunks()
-        cid, first = np.unique(rows.column("cid").to_numpy(), return_index=True)  # a repeated document may have come twice
+        cid = rows.column("cid").to_numpy()
         if not len(cid):
             return None
         grams = rows.column("grams").combine_chunks()
         flat, at = grams.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
-        return {"cid": cid, "size": rows.column("size").to_numpy()[first], "grams": [flat[at[i] : at[i + 1]] for i in first]}
+        return {"cid": cid, "size": rows.column("size").to_numpy(), "grams": [flat[at[i] : at[i + 1]] for i in range(len(cid))]}
 
     def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
         left, right = block(table, 0), block(table, 1)
@@ -192,7 +189,7 @@ def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
         F.when(j < F.col("block"), 1).otherwise(0), j == F.col("block")))
     above = F.transform(upto("above"), lambda j: pair(F.col("level"), F.col("block"), F.col("level") + 1, j, F.lit(0), F.lit(False)))
     below = F.transform(upto("below"), lambda j: pair(F.col("level") - 1, j, F.col("level"), F.col("block"), F.lit(1), F.lit(False)))
-    return m.select("a", "b", "n", "cid", "size", F.explode(F.concat(own, above, below)).alias("p")).select("a", "b", "n", "cid", "size", "p.*")
+    return m.select("cid", "size", F.explode(F.concat(own, above, below)).alias("p")).select("cid", "size", "p.*")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS,
@@ -223,11 +220,10 @@ def _joined(numbered: DataFrame, doc_id: str, text: str, n_words: int = WORDS, t
 
     members = classes.join(candidates.withColumnRenamed("node", "cid"), "cid")
     pairs = stored(_block_pairs(members, threshold), "block-pairs")
-    wanted = pairs.join(classes.select("cid", F.col("first.doc_id").alias("doc_id")), "cid").select("doc_id").distinct()
-    wanted = broadcast_if_small(stored(wanted, "candidates"), BROADCAST_CLASSES)
-    texts = given.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "id_"), F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(n_words), "a bigint, b bigint, n int, grams array<bigint>")
-    work = sets.join(broadcast_if_small(pairs, BROADCAST_CLASSES), ["a", "b", "n"]).select("pair", "side", "own", "cid", "size", "grams")
+    wanted = broadcast_if_small(stored(pairs.select(F.col("cid").alias("row")).distinct(), "candidates"), BROADCAST_CLASSES)
+    texts = given.select("row", "text").join(wanted, "row", "left_semi")  # the one row that its class has its number from
+    sets = texts.mapInArrow(_sets(n_words), "cid bigint, grams array<bigint>")
+    work = sets.join(broadcast_if_small(pairs, BROADCAST_CLASSES), "cid").select("pair", "side", "own", "cid", "size", "grams")
     found = stored(work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(threshold), "cid bigint, links bigint, root bigint"), "links")
 
     linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")

@@ -97,6 +97,35 @@ def test_op2_edge_cases(spark, documents):
     assert ngram_join.join(documents([])).collect() == []
 
 
+def test_op2_fetches_a_set_once_per_class(spark, documents, monkeypatch):
+    real = ngram_join._compare
+
+    def strict(threshold):
+        compare = real(threshold)
+
+        def run(batches):
+            seen = set()
+
+            def watched():
+                for batch in batches:
+                    for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "cid")), strict=True):
+                        if row in seen:
+                            raise ValueError("a set came twice")
+                        seen.add(row)
+                    yield batch
+
+            yield from compare(watched())
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_compare", strict)
+    rng = random.Random(5)
+    text = passage(rng, 60)
+    docs = [(7, text)] * 9 + [(None, text)] * 9 + [(8, text + " more")] * 9 + [(None, text + " and more")] * 9
+    got = sorted(tuple(r)[1:] for r in ngram_join.join(documents(docs)).select("row", "doc_id", "n_links", "group_id", "kept").collect() if r["doc_id"] == 8)
+    assert got == [(8, 35, 7, False)] * 9
+
+
 def test_deduplicate_when_files_are_dealt_out_anew(spark, documents):
     rng = random.Random(4)
     texts = [passage(rng, 30) for _ in range(20)]
