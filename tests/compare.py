@@ -21,7 +21,7 @@ TABLES = (
     "conversations"
 ).split()
 TYPES = {
-    "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
 }
 
 
