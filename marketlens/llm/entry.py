@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import (
-    decontamination, embedding_join, language_id, ngram_join, packing, quality, secret_scan, sql, token_counts, url_rules,
-    warc,
+    decontamination, divergence, embedding_join, language_id, license_scan, ngram_join, packing, quality, secret_scan, sql,
+    token_counts, url_rules, vector_codes, warc,
 )
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +75,18 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(_read(spark, folder, "documents"))
+
+
+def op12_vector_code_compression(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(_read(spark, folder, "embeddings"))
+
+
+def op13_source_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_read(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

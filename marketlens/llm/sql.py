@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marketlens.llm.license_scan import TEMPLATES
+
 _LOWER = "translate(COALESCE({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -116,8 +118,7 @@ parts AS (
   SELECT doc_id, kind, CAST(s AS BIGINT) AS a, CAST(s + length(m) AS BIGINT) AS b FROM found
   WHERE CASE kind WHEN 0 THEN length(g) >= 6 WHEN 1 THEN length(m) >= 20
         WHEN 3 THEN length(m) BETWEEN 16 AND 40 AND regexp_full_match(m, '[A-Z0-9]+') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]')
-        WHEN 4 THEN length(rtrim(m, '=')) >= 32 AND regexp_matches(rtrim(m, '=')[:100], '[0-9]') AND regexp_matches(rtrim(m, '=')[:100], '[a-z]')
-                    AND regexp_matches(rtrim(m, '=')[:100], '[A-Z]')
+        WHEN 4 THEN length(rtrim(m, '=')) >= 32 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')
         ELSE true END),
 near AS (
   SELECT w.doc_id, w.kind, w.a, w.b, bool_or(o.kind IN (1, 3)) AS ids, bool_or(o.kind IN (0, 2, 4)) AS secrets
@@ -139,6 +140,108 @@ SELECT doc_id, COALESCE(n_assign, 0) AS n_assign, COALESCE(n_access, 0) AS n_acc
 FROM documents LEFT JOIN listed USING (doc_id)
 """
 
+_TEMPLATES = ",\n  ".join(
+    f"('{label}', string_split('{sentence}', ' '), [{', '.join(f"string_split('{key}', ' ')" for key in keys)}])"
+    for label, sentence, keys in TEMPLATES)
+LICENSES = f"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS.format("text")} AS w FROM documents),
+padded AS MATERIALIZED (SELECT row, list_concat(list_resize([''], 60, ''), w, list_resize([''], 60, '')) AS w FROM doc),
+phrase(p, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'), (['cc', 'by'], 'cc-by'),
+  (['mit', 'license'], 'mit')),
+word AS MATERIALIZED (SELECT row, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM doc),
+places AS (SELECT word.row, i - 1 AS spot, label FROM word JOIN phrase ON x = p[1] JOIN doc USING (row) WHERE w[i : i + len(p) - 1] = p),
+template(label, t, keys) AS (VALUES
+  {_TEMPLATES}),
+numbered AS (SELECT row_number() OVER () AS k, * FROM template),
+keyed AS (SELECT k, key, list_filter(range(1, len(t) + 1), lambda i: t[i : i + len(key) - 1] = key)[1] AS spot
+          FROM (SELECT k, t, unnest(keys) AS key FROM numbered)),
+holders AS (SELECT x, COUNT(*) AS n FROM (SELECT DISTINCT k, unnest(t) AS x FROM numbered) GROUP BY x),
+rarest AS (SELECT k, arg_min(x, (n, i)) AS x, arg_min(i, (n, i)) AS i
+           FROM (SELECT k, unnest(key) AS x, spot + generate_subscripts(key, 1) - 1 AS i FROM keyed) JOIN holders USING (x) GROUP BY k),
+spots AS (SELECT DISTINCT word.row, r.k, 60 + word.i - r.i AS o FROM word JOIN rarest r USING (x)),
+standing AS (
+  SELECT s.row, s.k, s.o FROM spots s JOIN padded p USING (row) JOIN keyed USING (k) GROUP BY ALL
+  HAVING bool_and(len(list_filter(range(-3, 4), lambda d: p.w[s.o + keyed.spot + d : s.o + keyed.spot + d + len(keyed.key) - 1] = keyed.key)) > 0)),
+shares AS (
+  SELECT s.row, label, len(list_filter(range(1, len(t) + 1), lambda i: list_contains(p.w[s.o + i - 3 : s.o + i + 3], t[i]))) / len(t) AS share
+  FROM standing s JOIN numbered USING (k) JOIN padded p USING (row)),
+based AS (SELECT row, COUNT(*) AS n, MIN(spot) AS lo, MAX(spot) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row),
+named AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, MAX(share) AS score
+  FROM (SELECT row, label, 1.0 AS share FROM places UNION ALL SELECT * FROM shares WHERE share >= 0.75) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_base, lo AS first_word, hi AS last_word, COALESCE(based.labels, '') AS base_labels,
+       COALESCE(named.labels, '') AS labels, CAST(COALESCE(score, 0) AS DOUBLE) AS score
+FROM doc LEFT JOIN based USING (row) LEFT JOIN named USING (row)
+"""
+
+
+def _nearest(books: str) -> str:
+    return f"""
+  SELECT row, p, MIN({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), 'e': e}}) AS best
+  FROM parts JOIN {books} USING (p) GROUP BY ALL"""
+
+
+def _means(near: str, books: str) -> str:
+    mean = "((s - ((s % n) + n) % n) // n)"
+    return f"""
+  SELECT p, e, COALESCE(m, c) AS c FROM {books} LEFT JOIN (
+    SELECT p, e, list(CAST({mean} AS BIGINT) ORDER BY i) AS m FROM (
+      SELECT p, best.e AS e, i, SUM(x[i]) AS s, COUNT(*) AS n FROM {near} JOIN parts USING (row, p), unnest(range(1, len(x) + 1)) AS u(i) GROUP BY ALL)
+    GROUP BY ALL) USING (p, e)"""
+
+
+#: Vectors of one length, a multiple of the parts.
+VECTOR_CODES = f"""
+WITH fine AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x FROM fine, unnest(range(16)) AS u(p)),
+book0 AS MATERIALIZED (SELECT p, row - 1 AS e, x AS c FROM parts WHERE row <= 64),
+near0 AS MATERIALIZED ({_nearest("book0")}),
+book1 AS MATERIALIZED ({_means("near0", "book0")}),
+near1 AS MATERIALIZED ({_nearest("book1")}),
+book2 AS MATERIALIZED ({_means("near1", "book1")}),
+near2 AS MATERIALIZED ({_nearest("book2")}),
+codes AS (
+  SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(SUM(best.d) AS BIGINT) AS error FROM near2 GROUP BY row),
+digest AS (SELECT sha256(string_agg(CAST(c[i] AS VARCHAR), ',' ORDER BY p, e, i)) AS sha FROM book2, unnest(range(1, len(c) + 1)) AS u(i))
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM fine JOIN codes USING (row), digest
+"""
+
+DIVERGENCE = f"""
+WITH doc AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+each AS (SELECT row, lang, source, term, COUNT(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM doc) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, SUM(n) AS n FROM each GROUP BY lang, term HAVING COUNT(*) >= 10),
+counts AS (SELECT lang, source, term, SUM(n) AS n FROM each SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, COUNT(*) AS v, SUM(n) AS total FROM kept GROUP BY lang),
+groups AS MATERIALIZED (
+  SELECT lang, source, COALESCE(v, 0) AS v, COALESCE(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN langs USING (lang)),
+totals AS (SELECT lang, source, SUM(n) AS own FROM counts GROUP BY ALL),
+rates AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n, 1 + 1000000000 * (COALESCE(c.n, 0) + 2) // (COALESCE(t.own, 0) + 2 * v) AS p,
+         1 + 1000000000 * (k.n + 2) // (total + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, COALESCE(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, SUM((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+             FROM rates x JOIN rates y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM rates WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     "op1_benchmark_decontamination": DECONTAMINATION,
     "op2_ngram_jaccard_join": NEAR_COPIES,
@@ -146,4 +249,7 @@ QUERIES = {
     "op4_url_filters": URL_RULES,
     "op5_secret_scans": SECRETS,
     "op6_warc": WARC,
+    "op11_license_scans": LICENSES,
+    "op12_vector_code_compression": VECTOR_CODES,
+    "op13_source_divergence_audit": DIVERGENCE,
 }
