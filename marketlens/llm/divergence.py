@@ -38,7 +38,7 @@ from marketlens.llm.blocks import groups as by_key
 from marketlens.llm.common import broadcast_if_small, ship, stored
 
 LEAST_DOCUMENTS, TOP_TERMS = 10, 10
-BLOCK, LARGEST_BLOCK = 1 << 19, 1 << 22
+BLOCK, LARGEST_BLOCK = 1 << 14, 1 << 22
 HELD_TERMS, BROADCAST_GROUPS = 500_000, 50_000
 _DOCUMENT = 1 << 44  # a count of documents and one of words in one number
 
