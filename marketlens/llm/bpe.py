@@ -17,11 +17,12 @@ from unicodedata import category
 import numpy as np
 import regex
 
-MOST_UNITS, LONGEST_UNIT = 400_000, 200
+MOST_UNITS, LONGEST_UNIT, LONGEST_SPACE = 400_000, 200, 10_000
 #: The pattern of the byte-level pre-tokenizer (fixed values).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _ODD_SPACE = regex.compile(r" (?:\s|\Z)")
 _CUT = regex.compile(r" (?=\S)")
+_LONG_SPACE = regex.compile(rf"\s{{{LONGEST_SPACE},}}+")
 NONE = np.iinfo(np.int32).max
 
 
@@ -195,12 +196,26 @@ def count_units(path: str) -> Units:
     return Units(special, learn, dict.fromkeys(special, 1))
 
 
+def long_spaces(text: str, special: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Runs of much white space, up to where the next pre-token begins.
+
+    The last sign of a run belongs to what follows, unless nothing or a special string does.
+    """
+    half = LONGEST_SPACE // 2  # such a run fills a whole block of half its length
+    if not any(text[at : at + half].isspace() for at in range(0, len(text) - half + 1, half)):
+        return []
+    ends = lambda at: at == len(text) or text.startswith(special, at)
+    return [(m.start(), m.end() if ends(m.end()) else m.end() - 1) for m in _LONG_SPACE.finditer(text)]
+
+
 @cache
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a text as the tokenizers library gives them without added special tokens.
 
     A byte-level file like byte_bpe_50k.json is read into tiktoken, whose merges are the same (tests compare the two
     over awkward texts and every code point) at a third of the time; any other file goes to the library itself.
+    Its pattern keeps a place to return to for every sign of a run of white space, so long runs, which are pre-tokens of their own,
+    are left to the library.
     """
     file = json.loads(open(path, encoding="utf-8").read())
     before = file["pre_tokenizer"] or {}
@@ -214,4 +229,14 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     ranks = {bytes(map(letters.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
     own = tiktoken.Encoding("file", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens=special)
     allowed = set(special)
-    return lambda text: np.asarray(own.encode_to_numpy(text, allowed_special=allowed), "<u4")
+
+    def encode(text: str) -> np.ndarray:
+        parts, at = [], 0
+        for start, stop in long_spaces(text, tuple(special)):
+            parts += [own.encode_to_numpy(text[at:start], allowed_special=allowed),
+                      library(path).encode(text[start:stop], add_special_tokens=False).ids]
+            at = stop
+        rest = own.encode_to_numpy(text[at:], allowed_special=allowed)
+        return np.asarray(np.concatenate([*parts, rest]) if parts else rest, "<u4")
+
+    return encode

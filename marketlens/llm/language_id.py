@@ -35,6 +35,7 @@ BROADCAST_TEXTS = 500_000
 FOLDS, HELD_OUT = 5, 0
 OWN, SHARED = 190, 64  # numbers of frequent letters, numbers that rarer ones share; 1 is the boundary
 UNKNOWN = "und"
+FAMILIAR = 0.25
 
 
 @cache
@@ -82,17 +83,22 @@ class Model:
         index = np.zeros(1 << 24, np.int32 if len(self.vocabulary) > 65_000 else np.uint16)
         index[self.vocabulary] = np.arange(1, len(self.vocabulary) + 1)
 
-        def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def score(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The best language, its score, whether there is a letter, and the share of n-grams that the model knows."""
             points, lengths = _points(texts)
             codes = numbers[points]
             presence = np.zeros((len(texts), len(self.vocabulary) + 1), np.float32)
+            familiar, grams = np.zeros(len(texts)), np.zeros(len(texts))
             for text, gram in _grams(codes, lengths):
-                presence[text, index[gram]] = 1
+                at = index[gram]
+                presence[text, at] = 1
+                familiar += np.bincount(text, at > 0, len(texts))
+                grams += np.bincount(text, minlength=len(texts))
             presence = presence[:, 1:]
             norm = np.sqrt(np.maximum(presence.sum(1), 1))
             values = presence @ self.weights[:-1] / norm[:, None] + self.weights[-1]
             known = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights=codes > 1, minlength=len(texts)) > 0
-            return values.argmax(1), np.clip(values.max(1), 0, 1), known
+            return values.argmax(1), np.clip(values.max(1), 0, 1), known, familiar / np.maximum(grams, 1)
 
         return score
 
@@ -178,23 +184,25 @@ def _predicted(model: Model | None, inside: int | None):
         for batch in batches:
             column = batch.column("text") if inside is None else batch.column("kept").field(inside)
             texts = ["" if t is None else t for t in column.to_pylist()]
-            names, values, at = [], [], 0
+            names, values, shares, at = [], [], [], 0
             while at < len(texts):
                 stop, size = at, 0
                 while stop < len(texts) and stop - at < BATCH_TEXTS and (size + len(texts[stop]) < BATCH_LETTERS or stop == at):
                     size += len(texts[stop])
                     stop += 1
                 if score:
-                    best, value, known = score(texts[at:stop])
+                    best, value, known, share = score(texts[at:stop])
+                    shares.append(share)
                     names += [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                     values.append(np.where(known, value, 0))
                 else:
                     names += [UNKNOWN] * (stop - at)
                     values.append(np.zeros(stop - at))
+                    shares.append(np.zeros(stop - at))
                 at = stop
+            numbers = [pa.array(np.concatenate(x or [np.zeros(0)]).astype(np.float64)) for x in (values, shares)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("kept"), pa.array(names, pa.string()), pa.array(np.concatenate(values or [np.zeros(0)]).astype(np.float64))],
-                names=["kept", "lang_pred", "score"])
+                [batch.column("kept"), pa.array(names, pa.string()), *numbers], names=["kept", "lang_pred", "score", "familiar"])
 
     return run
 
@@ -210,24 +218,31 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """(kept, lang_pred, score): the columns ``keep`` as one, and the prediction from the text alone."""
+    """(kept, lang_pred, score, familiar): the columns ``keep`` as one, and the prediction from the text alone.
+
+    ``familiar`` is the share of the text's n-grams that the model has learned from.
+    """
     ship(docs.sparkSession)
     inside = keep.index(text) if text in keep else None
     given = docs.select(F.struct(*keep).alias("kept"), *([F.col(text).alias("text")] if inside is None else []))
     kind = given.schema["kept"].dataType.simpleString()
-    return given.mapInArrow(_predicted(model, inside), f"kept {kind}, lang_pred string, score double")
+    return given.mapInArrow(_predicted(model, inside), f"kept {kind}, lang_pred string, score double, familiar double")
 
 
 def drop_unknown(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The documents without those whose language is ``und``: those whose text is null or has no letter.
+    """The documents without those in none of the languages learned.
 
-    Where there was nothing to learn from, no other document goes either.
+    These are texts that are null or have no letter (``und``), and texts of whose n-grams the model knows a share below
+    ``FAMILIAR``: another script, or garbled characters. A short or repetitive text in a learned language is familiar
+    all the same. Where there was nothing to learn from, only texts without a letter go.
     A language follows from the text alone: texts go to Python once and only their hashes come back;
     the different texts found ``und`` are matched by hash.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.struct(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"), F.char_length(body).alias("n"))
     boxed = docs.select(key.alias("key"), F.struct(*docs.columns).alias("doc"), F.col(text).alias("text"))
-    found = predict(boxed, model or UNLEARNED, keep=("key",)).filter(F.col("lang_pred") == UNKNOWN).select("kept.key").distinct()
+    found = predict(boxed, model or UNLEARNED, keep=("key",))
+    strange = F.col("familiar") < FAMILIAR if model else F.lit(False)
+    found = found.filter((F.col("lang_pred") == UNKNOWN) | strange).select("kept.key").distinct()
     found = broadcast_if_small(stored(found.withColumnRenamed("key", "unknown"), "unknown-languages"), BROADCAST_TEXTS)
     return boxed.join(found, F.col("key") == F.col("unknown"), "left_anti").select("doc.*")

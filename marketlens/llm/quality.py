@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import ship, stored
 from marketlens.llm.language_id import held_out
+from marketlens.llm.shingles import MOST_ROWS as SLICE
 from marketlens.llm.shingles import _buffer, text_slices, word_hashes
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.7
@@ -49,7 +50,9 @@ _CLASS[128:] = len(CLASSES) + 1
 
 
 def _distinct(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: how many different values, and how often the commonest occurs. Rows number below 2^14."""
+    """Per row: how many different values, and how often the commonest occurs. ``text_slices`` hands out 2^14 rows at most."""
+    if n > SLICE:
+        raise ValueError(f"{n} rows at once, {SLICE} at most")
     if not len(value):
         return np.zeros(n), np.zeros(n)
     key = np.sort(row.astype(np.uint64) << np.uint64(50) | value >> np.uint64(14))

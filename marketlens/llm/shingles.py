@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT, MOST_ROWS = 1 << 20, 1 << 14
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -43,13 +43,14 @@ def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa:
     return cache["p"], cache["i"]
 
 
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about ``limit`` bytes at most; a longer text is alone."""
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = MOST_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows whose texts hold about ``limit`` bytes at most; a longer text is alone."""
     sizes = np.diff(_buffer(batch.column(column))[1])
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+        stop = min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -219,3 +219,121 @@ def test_statistics_by_hand():
     assert s["upper"] == pytest.approx(3 / n) and s["loud"] == pytest.approx(1 / n) and s["sign"] == pytest.approx(1 / n)
     assert s["different_words"] == pytest.approx(4 / 6) and s["word_repeats"] == pytest.approx(2 / 6) and s["commonest_word"] == pytest.approx(3 / 6)
     assert not quality.statistics(pa.array([text, None, ""]))[1:].any()
+
+
+SPACES = (" ", "\t", "\n", " ", " \n")
+
+
+def test_long_runs_of_white_space_equal_the_library():
+    encode, units = bpe.encoder(PATH), bpe.count_units(PATH)
+    forms = ("{}", "x{}y", "{}end", "\n{}<|endoftext|>", "a b{}", "x{}y{}\tz ")
+    least = bpe.LONGEST_SPACE
+    texts = [form.format(*[space * n] * 2) for space in SPACES for form in forms for n in (least // len(space) - 1, least // len(space), least + 7)]
+    texts += ["".join(f"w{i}" + " " * (least + i % 3) for i in range(5)), "x" + " \t\n　" * least + "y" * least]
+    for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == want.ids
+        assert sum(units.values([text])[0]) == len(want.ids)
+
+
+def test_op7_and_op10_with_millions_of_white_space(spark, documents):
+    texts = {i: form.format(space * (2_000_000 // len(space))) for i, (space, form) in enumerate([*zip(SPACES, ("{}", "x{}y", "{}end", "a{}", "x {}\ty"), strict=True)])}
+    table = documents(list(texts.items()))
+    rows = packing.pack(table, PATH).collect()
+    want = {i: LIBRARY.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    for i, ids in want.items():
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        whole = np.array([*ids, 0], "<u4")
+        assert [r["ids_crc32"] for r in own] == [zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes()) for r in own]
+        assert sum(r["length"] for r in own) == len(whole)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count(table, PATH).collect()} == {i: len(ids) for i, ids in want.items()}
+
+
+def test_op9_statistics_do_not_depend_on_the_batch(spark, documents):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "bb", "Cc!", "x"]) for _ in range(rng.randint(0, 6))) for _ in range(40_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    got = {}
+    for out in quality._measured(iter([batch])):
+        got.update(zip(out.column("id").to_pylist(), out.column("stats").to_pylist(), strict=True))
+    single = {t: quality.statistics(pa.array([t]))[0].tolist() for t in set(texts)}
+    assert all(got[i] == single[t] for i, t in enumerate(texts))
+    with pytest.raises(ValueError, match="at most"):
+        quality.statistics(pa.array(texts))
+
+
+def grown(x, y, trees, depth):
+    """Boosted trees one row and one cut at a time: scores of the rows."""
+    n, width = len(x), len(x[0])
+    mean = min(max(sum(y) / n, 1e-3), 1 - 1e-3)
+    total = [float(np.log(mean / (1 - mean)))] * n
+    cuts = [sorted({sorted(r[f] for r in x)[int(q * (n - 1))] for q in (np.arange(1, quality.BINS) / quality.BINS)}) for f in range(width)]
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-t)) for t in total]
+        grad, hess = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes = [list(range(n))]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                g, h, best = sum(grad[i] for i in rows), sum(hess[i] for i in rows), (1e-9, None, None)
+                for f in range(width):
+                    for cut in cuts[f]:
+                        left = [i for i in rows if x[i][f] <= cut]
+                        gl, hl = sum(grad[i] for i in left), sum(hess[i] for i in left)
+                        if min(hl, h - hl) < quality.LEAST * 0.05:
+                            continue
+                        gain = gl**2 / (hl + quality.PENALTY) + (g - gl) ** 2 / (h - hl + quality.PENALTY) - g**2 / (h + quality.PENALTY)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, f, cut)
+                _, f, cut = best
+                below += [[i for i in rows if f is None or x[i][f] <= cut], [i for i in rows if f is not None and x[i][f] > cut]]
+            nodes = below
+        for rows in nodes:
+            leaf = -quality.RATE * sum(grad[i] for i in rows) / (sum(hess[i] for i in rows) + quality.PENALTY)
+            for i in rows:
+                total[i] += leaf
+    return [1 / (1 + np.exp(-t)) for t in total]
+
+
+def test_op9_trees_equal_plain_boosting():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(size=60) * 0.3 > 0.3).astype(float)
+    got = quality.fit(x, y, trees=6, depth=2).score(x)
+    assert np.allclose(got, grown(x.tolist(), y.tolist(), 6, 2), atol=1e-9)
+
+
+def test_op8_model_equals_plain_ridge_regression():
+    rng = random.Random(11)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(2, 8)))
+    texts = [make("abcde") for _ in range(14)] + [make("cdefg") for _ in range(14)] + [make("efghé漢") for _ in range(12)]
+    langs = ["aa"] * 14 + ["bb"] * 14 + ["cc"] * 12
+    marks, ridge, names = 9, 1e-2, ["aa", "bb", "cc"]
+
+    def grams(text):  # what is no letter is one sign; fewer than 190 letters, so each has a number of its own
+        t = "".join(c if c.isalpha() else " " for c in text.lower())
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    order = sorted(range(len(texts)), key=lambda i: (sum(langs[j] == langs[i] for j in range(i)), i))[:marks]
+    vocabulary = set().union(*(grams(texts[i]) for i in order))
+
+    def kernel(a, b):
+        a, b = grams(a) & vocabulary, grams(b) & vocabulary
+        return len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+
+    k = np.array([[kernel(t, texts[i]) for i in order] for t in texts])
+    values, vectors = np.linalg.eigh(k[order])
+    half = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    y, weight = np.eye(3)[[names.index(x) for x in langs]], np.array([1 / langs.count(x) for x in langs])
+    phi = k @ half
+    a, b = phi - phi.mean(0), y - y.mean(0)
+    w = np.linalg.inv(a.T @ (a * weight[:, None]) + ridge * np.eye(a.shape[1])) @ a.T @ (b * weight[:, None])
+    tests = [*texts, make("abcd"), make("gh"), "漢 é", "zzz"]
+    want = (np.array([[kernel(t, texts[i]) for i in order] for t in tests]) @ half - phi.mean(0)) @ w + y.mean(0)
+    best, score, known, _ = language_id.fit(texts, langs, landmarks=marks, ridge=ridge).scorer()(tests)
+    assert (best == want.argmax(1)).all() and np.allclose(score, np.clip(want.max(1), 0, 1), atol=1e-4) and known.all()
+
+
+def test_op8_ties_between_languages():
+    texts = ["same text"] * 2
+    best, score, _, _ = language_id.fit(texts, ["zz", "aa"]).scorer()(["same text", "other"])
+    assert best.tolist() == [0, 0] and np.allclose(score, 0.5)  # the first name of equals

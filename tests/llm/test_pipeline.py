@@ -53,3 +53,19 @@ def test_language_stage_without_any_language(spark, documents, small):
     rows = [(1, None, None), (2, "", None), (3, "12 34", None), (4, "some words", None), (5, "漢字", None), (None, "other words", None)]
     kept = corpus_pipeline.identify_language(spark, documents(rows), small)
     assert {r["doc_id"] for r in kept.collect()} == {4, 5, None}
+
+
+def test_language_stage_drops_what_the_model_does_not_know(spark, documents, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    foreign = {1001: "漢字文章的內容與其他語言不同" * 20, 1002: "Это обычный русский текст о погоде и о книгах. " * 5, 1003: "��ÿþ þÿþ ÿÿþ" * 9}
+    more = documents([(i, t, None) for i, t in foreign.items()])
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), small).collect()}
+    assert kept == {r["doc_id"] for r in docs.filter("text rlike '\\\\p{L}'").collect()}
+
+
+def test_white_space_in_millions_passes(spark, documents, small):
+    texts = {1: "word" + " " * 2_000_000 + "end of it", 2: "\n" * 2_000_000 + "one", 3: "some other words here"}
+    docs = documents(list(texts.items()))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+    assert {r["doc_id"] for r in docs.collect()} == {1, 2, 3}
