@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import config
-from marketlens.functions import between_days, present
+from marketlens.functions import between_days, day, present
 from marketlens.operators import (
     customers,
     dashboards,
     derivations,
     diagnostics,
     identity,
+    increments,
     marketing,
     operations,
     quality,
@@ -244,6 +245,13 @@ def _dashboards() -> dict[str, Query]:
     }
 
 
+def _month_ends() -> Column:
+    return F.transform(F.sequence(day("1995-01-01"), day("2001-12-01"), F.expr("interval 1 month")), F.last_day)
+
+
+STEPS = ("1999-06-30", "1999-09-30", "1999-10-01", "2000-12-31")
+
+
 def _temporal() -> dict[str, Query]:
     t, d, at = temporal, derivations, "1999-06-30"
     masked = {
@@ -253,6 +261,7 @@ def _temporal() -> dict[str, Query]:
     return {
         "visible_as_of": lambda wh: t.visible_as_of(wh, at),
         **{q: (lambda wh, name=name: present(wh.as_of(at).stg(name))) for q, name in masked.items()},
+        "visible_as_of_series": lambda wh: increments.visible_as_of_series(wh, _month_ends()),
         "price_as_of": t.price_as_of,
         "alias_as_of": t.alias_as_of,
         "plan_generation_at": t.plan_generation_at,
@@ -336,6 +345,8 @@ def _files() -> dict[str, Query]:
         "export_mart": lambda wh: present(
             files.export_mart(wh, "fct_subscriptions", scratch_folder(wh.spark, "export"))
         ),
+        "mart_increment": lambda wh: present(increments.mart_increment(wh, *STEPS)),
+        "mart_increment_customers": lambda wh: present(increments.mart_increment_customers(wh, *STEPS)),
         "drip_feed_increment": lambda wh: present(drip.drip_feed_increment(wh, "subscriptions", *increment)),
         "drip_feed_tickets": lambda wh: present(drip.drip_feed_increment(wh, "tickets", *increment)),
         "drip_feed_stream": _stream,

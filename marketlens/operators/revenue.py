@@ -28,6 +28,7 @@ from marketlens.functions import (
     sum_when,
     usd,
 )
+from marketlens.functions.prefix import RunningTotals
 from marketlens.functions.spines import side_by_side, spine
 from marketlens.plans.marts import revenue_tables
 from marketlens.plans.warehouse import Warehouse
@@ -624,30 +625,29 @@ def _case_table(wh: Warehouse) -> DataFrame:
     )
 
 
+def window_totals(windows: DataFrame, daily: DataFrame) -> DataFrame:
+    """``windows`` (measure_name, start_date, end_date, ...) with ``value``: the measure's total from start to end.
+
+    Two equi-joins on running totals, however many windows there are or days they hold.
+    """
+    totals = RunningTotals(daily, "measure_name", "activity_date", ["amount"]).between(windows, "start_date", "end_date", "value")
+    return totals.withColumn("value", usd("value"))
+
+
 def metric_replay(wh: Warehouse) -> DataFrame:
-    cases = _case_table(wh)
-    daily = wh.mart("revenue_daily").withColumnRenamed("measure_name", "m")
-    hit = (F.col("m") == F.col("measure_name")) & F.col("activity_date").between(F.col("start_date"), F.col("end_date"))
-    return (
-        cases.join(daily, hit, "left")
-        .groupBy("case_name", "measure_name", "start_date", "end_date")
-        .agg(usd(F.coalesce(F.sum("amount"), F.lit(0))).alias("value"))
-    )
+    return window_totals(_case_table(wh), wh.mart("revenue_daily")).select(
+        "case_name", "measure_name", "start_date", "end_date", "value")
 
 
 def drift_check(wh: Warehouse, tolerance: float = config.USD_TOLERANCE) -> DataFrame:
     """Net-revenue cases whose value moves when refunds are keyed to the order date."""
     daily = net_by_order_day(wh).groupBy("activity_date").agg(F.sum("amount").alias("amount"))
     cases = _case_table(wh).filter(F.col("measure_name") == "net_revenue")
-    changed = (
-        cases.join(daily, F.col("activity_date").between(F.col("start_date"), F.col("end_date")), "left")
-        .groupBy("case_name")
-        .agg(usd(F.coalesce(F.sum("amount"), F.lit(0))).alias("changed"))
-    )
-    before = metric_replay(wh).select("case_name", F.col("value").alias("expected"))
+    changed = window_totals(cases, daily.withColumn("measure_name", F.lit("net_revenue")))
+    before = window_totals(cases, wh.mart("revenue_daily")).select("case_name", F.col("value").alias("expected"))
     delta = F.round(F.col("changed") - F.col("expected"), 2)
     return (
-        before.join(changed, "case_name")
+        before.join(changed.select("case_name", F.col("value").alias("changed")), "case_name")
         .withColumn("delta", delta)
         .filter(F.abs("delta") > tolerance)
         .select("case_name", "expected", "changed", "delta")

@@ -120,3 +120,44 @@ SELECT table_name, COUNT(*) FILTER (d <= DATE '1999-06-30') AS rows FROM all_row
 SELECT channel, segment, COUNT(*) AS orders, CAST(SUM(gross_amount) AS DOUBLE) AS gmv FROM fct_orders GROUP BY 1, 2
 -- query: export_mart
 SELECT * REPLACE (CAST(price_per_seat AS DOUBLE) AS price_per_seat, CAST(acv AS DOUBLE) AS acv) FROM fct_subscriptions
+-- query: visible_as_of_series
+WITH r AS (
+  SELECT 'app_db__customers' AS t, created_date AS d, NULL::DATE AS u, NULL::DECIMAL(18,2) AS a FROM stg_app_customers
+  UNION ALL SELECT 'app_db__products', introduced_date, NULL, list_price FROM stg_products
+  UNION ALL SELECT 'app_db__orders', order_date, NULL, gross_amount FROM stg_orders
+  UNION ALL SELECT 'app_db__order_lines', order_date, NULL, line_amount FROM stg_order_lines
+  UNION ALL SELECT 'app_db__plans', launched_date, retired_date, NULL FROM stg_plans
+  UNION ALL SELECT 'app_db__plan_prices', effective_date, NULL, annual_price_per_seat FROM stg_plan_prices
+  UNION ALL SELECT 'app_db__subscriptions', term_start_date, term_end_date + 1, acv FROM stg_subscriptions
+  UNION ALL SELECT 'app_db__invoices', billed_date, collected_date, amount FROM stg_invoices
+  UNION ALL SELECT 'app_db__revenue_recognition', recognition_date, NULL, amount FROM stg_revenue_recognition
+  UNION ALL SELECT 'app_db__promotions', start_date, NULL, NULL FROM stg_promotions
+  UNION ALL SELECT 'stripe__refunds', refund_date, NULL, refund_amount FROM stg_refunds
+  UNION ALL SELECT 'erp__suppliers', onboarded_date, NULL, NULL FROM stg_suppliers
+  UNION ALL SELECT 'erp__supplier_shipments', expected_date, received_date, NULL FROM stg_supplier_shipments
+  UNION ALL SELECT 'ads__daily_spend', spend_date, NULL, spend_usd FROM stg_ad_spend
+  UNION ALL SELECT 'stripe__customers', created_date, deactivated_date, NULL FROM stg_stripe_customers
+  UNION ALL SELECT 'shopify__customers', created_date, NULL, NULL FROM stg_shopify_customers
+  UNION ALL SELECT 'salesforce__customers', created_date, NULL, NULL FROM stg_salesforce_customers
+  UNION ALL SELECT 'app_db__customer_id_crosswalk', linked_date, NULL, NULL FROM stg_customer_id_crosswalk
+  UNION ALL SELECT 'zendesk__tickets', created_date, resolved_date, NULL FROM stg_tickets),
+g AS (SELECT t, d, u, COUNT(*) AS c, SUM(a) AS a FROM r GROUP BY ALL),
+m AS (SELECT last_day(CAST(x AS DATE)) AS as_of FROM range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 MONTH) y(x)),
+k AS (SELECT DISTINCT t, t IN ('app_db__invoices', 'stripe__customers', 'app_db__subscriptions', 'app_db__plans', 'erp__supplier_shipments', 'zendesk__tickets') AS late FROM r)
+SELECT as_of, k.t AS table_name, CAST(COALESCE(SUM(c), 0) AS BIGINT) AS rows,
+       CASE WHEN late THEN CAST(COALESCE(SUM(c) FILTER (u IS NULL OR u > as_of), 0) AS BIGINT) END AS open_rows, CAST(COALESCE(SUM(a), 0) AS DOUBLE) AS amount
+FROM m CROSS JOIN k LEFT JOIN g ON g.t = k.t AND d <= as_of GROUP BY as_of, k.t, late
+-- query: mart_increment
+SELECT activity_date, measure_name, CAST(SUM(amount) AS DOUBLE) AS amount, COUNT(*) AS rows
+FROM fct_revenue WHERE activity_date <= DATE '2000-12-31' GROUP BY 1, 2
+-- query: mart_increment_customers
+WITH a AS (
+  SELECT i.source_system, i.source_created_date, i.app_db_customer_id AS id FROM int_customer_identity i
+  WHERE i.app_db_customer_id IS NOT NULL AND i.linked_date <= DATE '2000-12-31' AND i.source_created_date <= DATE '2000-12-31'),
+i AS (SELECT id, MIN(source_created_date) AS seen, COUNT(*) AS ids, list(DISTINCT source_system) AS systems FROM a GROUP BY id),
+o AS (SELECT customer_id, MIN(order_date) AS first_order_date FROM stg_orders WHERE order_date <= DATE '2000-12-31' GROUP BY 1)
+SELECT app_db_customer_id, COALESCE(seen, created_date) AS first_seen_date, segment, account_type, acquisition_channel, first_order_date,
+       first_order_date IS NOT NULL AS has_order, COALESCE(ids, 0) AS resolved_source_id_count, CAST(COALESCE(len(systems), 0) AS BIGINT) AS resolved_source_system_count,
+       COALESCE(list_contains(systems, 'app_db'), false) AS has_app_db, COALESCE(list_contains(systems, 'stripe'), false) AS has_stripe,
+       COALESCE(list_contains(systems, 'shopify'), false) AS has_shopify, COALESCE(list_contains(systems, 'salesforce'), false) AS has_salesforce
+FROM stg_app_customers LEFT JOIN i ON i.id = app_db_customer_id LEFT JOIN o ON o.customer_id = app_db_customer_id WHERE created_date <= DATE '2000-12-31'

@@ -243,13 +243,14 @@ def fct_order_lines(wh: Warehouse) -> DataFrame:
     )
 
 
-def fct_revenue(wh: Warehouse) -> DataFrame:
-    """Signed ``(activity_date, measure_name, amount)`` rows of the five measures.
+def revenue_legs(
+    orders: DataFrame, refunds: DataFrame, invoices: DataFrame, recognized: DataFrame, *carried: str
+) -> DataFrame:
+    """Signed ``(activity_date, measure_name, amount)`` rows of eligible rows, with the columns ``carried``.
 
-    Each source table is read and joined once; the legs it feeds are unfolded from an
-    array of structs instead of being separate scans in a nine-way union.
+    Each source table is read once; the legs it feeds are unfolded from an array of structs instead of being
+    separate scans in a nine-way union.
     """
-    keep = wh.mart("fct_orders").select("order_id")
 
     def legs(df: DataFrame, *parts: tuple[str, str, Column, Column | None]) -> DataFrame:
         rows = F.array(
@@ -262,32 +263,37 @@ def fct_revenue(wh: Warehouse) -> DataFrame:
                 for date, measure, amount, cond in parts
             ]
         )
-        return df.select(F.inline(rows))
+        return df.select(*carried, F.inline(rows))
 
     consumer = F.col("channel") != "business_subscription"
     net, refund, amount = F.col("net_amount"), -F.col("refund_amount"), F.col("amount")
-    orders = legs(
-        wh.mart("fct_orders").select("order_date", "channel", "gross_amount", "net_amount"),
-        ("order_date", "gmv", F.col("gross_amount"), None),
-        ("order_date", "net_revenue", net, None),
-        ("order_date", "billed_revenue", net, consumer),
-        ("order_date", "collected_cash", net, consumer),
-    ).filter(F.col("amount").isNotNull())
-    refunds = legs(
-        wh.stg("refunds").join(keep, "order_id", "left_semi"),
-        ("refund_date", "net_revenue", refund, None),
-        ("refund_date", "collected_cash", refund, None),
-    )
-    invoices = legs(
-        wh.stg("invoices").join(keep, "order_id", "left_semi"),
-        ("billed_date", "billed_revenue", amount, None),
-        ("collected_date", "collected_cash", amount, None),
-    ).filter(F.col("activity_date").isNotNull())
-    recognized = legs(
-        wh.stg("revenue_recognition").join(keep, "order_id", "left_semi"),
-        ("recognition_date", "recognized_revenue", amount, None),
+    return (
+        legs(
+            orders,
+            ("order_date", "gmv", F.col("gross_amount"), None),
+            ("order_date", "net_revenue", net, None),
+            ("order_date", "billed_revenue", net, consumer),
+            ("order_date", "collected_cash", net, consumer),
+        )
+        .filter(F.col("amount").isNotNull())
+        .unionByName(legs(refunds, ("refund_date", "net_revenue", refund, None), ("refund_date", "collected_cash", refund, None)))
+        .unionByName(
+            legs(
+                invoices,
+                ("billed_date", "billed_revenue", amount, None),
+                ("collected_date", "collected_cash", amount, None),
+            ).filter(F.col("activity_date").isNotNull())
+        )
+        .unionByName(legs(recognized, ("recognition_date", "recognized_revenue", amount, None)))
     )
-    return orders.unionByName(refunds).unionByName(invoices).unionByName(recognized)
+
+
+def fct_revenue(wh: Warehouse) -> DataFrame:
+    """Signed ``(activity_date, measure_name, amount)`` rows of the five measures."""
+    keep = wh.mart("fct_orders").select("order_id")
+    eligible = lambda name: wh.stg(name).join(keep, "order_id", "left_semi")
+    orders = wh.mart("fct_orders").select("order_date", "channel", "gross_amount", "net_amount")
+    return revenue_legs(orders, eligible("refunds"), eligible("invoices"), eligible("revenue_recognition"))
 
 
 def revenue_daily(wh: Warehouse) -> DataFrame:

@@ -7,41 +7,28 @@ a day gives exactly the snapshot of that day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from marketlens.functions import day
 from marketlens.plans.staging import staged_column
+from marketlens.plans.versions import change_columns, update_known_on
 from marketlens.plans.visibility import LATE_UPDATES, RAW_OF
 from marketlens.plans.warehouse import Warehouse
-from marketlens.sources.registry import RAW_TABLES
 
 KNOWN = "known_on"
 
 
-def _columns(name: str) -> tuple[list[str], str, str | None]:
-    """Key columns, arrival column and late-update column of a staged table."""
-    raw = RAW_OF[name]
-    key = [staged_column(name, k) for k in RAW_TABLES[raw].key]
-    update = staged_column(name, LATE_UPDATES[raw][0]) if raw in LATE_UPDATES else None
-    return key, staged_column(name, RAW_TABLES[raw].arrival), update
-
-
-def _update_known_on(name: str, update: str) -> Column:
-    """The first day a late update shows; a term's outcome shows the day after it ends."""
-    return F.date_add(update, 1) if RAW_OF[name] == "app_db__subscriptions" else F.col(update)
-
-
 def change_log(wh: Warehouse, name: str) -> DataFrame:
     """Every change of a staged table: the row as first seen, and as updated later."""
-    key, arrival, update = _columns(name)
+    key, arrival, update = change_columns(name)
     df = wh.stg(name)
     if update is None:
         return df.withColumn(KNOWN, F.col(arrival))
     raw = RAW_OF[name]
     undo = {staged_column(name, c): v for c, v in LATE_UPDATES[raw][1].items()}
-    known = _update_known_on(name, update)
+    known = update_known_on(name, update)
     # A change dated on or before the arrival is part of the row as it arrives.
     later = known > F.col(arrival)
 
@@ -73,7 +60,7 @@ def latest(changes: DataFrame, key: list[str]) -> DataFrame:
 
 def drip_feed_increment(wh: Warehouse, name: str, after: str, upto: str) -> DataFrame:
     """The snapshot at ``upto``, made from the one at ``after`` and the changes in between."""
-    key, arrival, _ = _columns(name)
+    key, arrival, _ = change_columns(name)
     base = wh.as_of(after).stg(name).withColumn(KNOWN, F.col(arrival))
     changes = change_log(wh, name).filter((F.col(KNOWN) > day(after)) & (F.col(KNOWN) <= day(upto)))
     merged = latest(base.unionByName(changes), key)
@@ -108,7 +95,7 @@ def run_drip(
     wh: Warehouse, name: str, log: str, target: str, checkpoint: str, files_per_batch: int = 1000
 ) -> DataFrame:
     """Feed the change files not seen yet into the target and return the table."""
-    key, _, _ = _columns(name)
+    key, _, _ = change_columns(name)
     spark = wh.spark
     schema = change_log(wh, name).schema
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log)
