@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from marketlens import config
 from marketlens.functions.text import distinctive, distinctive_value, glob_pattern, numbers, url_path, words
+from marketlens.sources.store import cut_lineage
 
 
 # -- numbers ------------------------------------------------------------------------------------------
@@ -98,36 +99,35 @@ def path_pattern_scan(pages: DataFrame, forbidden: Sequence[str] = config.FORBID
 def word_overlap_topk(docs: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """For every document the ``k`` items with the highest word overlap (Jaccard).
 
-    Tokens meet through an inverted index of the items; what does not occur in an item ends there.
-    Matches are counted per pair where they arise before they are shuffled, and of the pairs of a
-    document at most ``k`` leave a task for the ranking. Documents with fewer than ``k`` overlapping
-    items are filled up with the first items in id order at overlap zero, as a full ranking
-    would; the first ``2k - 1`` items are always enough.
+    Every row is a document or an item of its own, whatever ids repeat or are null. Documents are dealt once, by their
+    number; each word meets the inverted index of the items, and what does not occur in an item ends there. As all words
+    of a document stay in its task, so do the counts per pair and the ranking: nothing that grows with
+    documents x items is shuffled. Ties go by item id, null last, then by more shared words. A document with fewer
+    than ``k`` overlapping items is filled up with the first items in that order at overlap zero, as a full
+    ranking would; the first ``2k - 1`` items are always enough.
     """
-    i = items.select("item_id", words(F.col("text")).alias("iw")).withColumn("item_words", F.size("iw"))
-    index = i.select("item_id", "item_words", F.explode("iw").alias("token"))
-    first = i.select("item_id", "item_words").orderBy("item_id").limit(2 * k - 1)
-    spare = first.agg(F.collect_list(F.struct("item_id", "item_words"))).scalar()
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    hits = (
-        d.select("doc_id", F.size("w").alias("doc_words"), F.explode("w").alias("token"))
-        .join(index, "token")
-        .select("doc_id", "doc_words", "item_id", "item_words", F.lit(1).alias("hit"))
-    )
-    fill = docs.select("doc_id", F.lit(None).cast("int").alias("doc_words"), F.inline(spare), F.lit(0).alias("hit"))
-    pairs = (
-        hits.unionByName(fill)
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("doc_words").alias("doc_words"), F.max("item_words").alias("item_words"), F.sum("hit").alias("shared"))
-    )
+    numbered = items.select("item_id", words(F.col("text")).alias("iw"), F.monotonically_increasing_id().alias("item"))
+    i = cut_lineage(numbered)  # read twice, so the numbers are written down
+    index = i.select("item", "item_id", F.size("iw").alias("item_words"), F.explode("iw").alias("token"))
+    first = i.select("item_id", "item").orderBy(F.col("item_id").asc_nulls_last(), "item").limit(2 * k - 1)
+    spare = first.agg(F.sort_array(F.collect_list(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "item")))).scalar()
+    d = docs.select("doc_id", words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row")).repartition("row")
+    each = d.select("row", "doc_id", F.size("w").alias("doc_words"), F.explode(F.concat("w", F.array(F.lit("")))).alias("token"))
+    hits = each.join(index, "token", "left").filter((F.col("token") == "") | F.col("item").isNotNull())
+    pairs = hits.groupBy("row", "doc_id", "doc_words", "item", "item_id", "item_words").agg(F.count(F.lit(1)).alias("shared"))
     union = (F.col("doc_words") + F.col("item_words") - F.col("shared")).cast("double")
-    overlap = F.coalesce(F.try_divide(F.col("shared").cast("double"), union), F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("overlap"), "item_id"))
-    return (
-        pairs.withColumn("overlap", overlap)
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= k)
-        .select(
-            "doc_id", F.col("rank").cast("long").alias("rank"), "item_id", "shared", F.round("overlap", 6).alias("overlap")
-        )
-    )
+    overlap = F.when(F.col("item").isNotNull(), F.col("shared").cast("double") / union)  # null: the document itself
+    best = Window.partitionBy("row").orderBy(F.desc("overlap"), F.col("item_id").asc_nulls_last(), F.desc("shared"), "item")
+    ranked = pairs.withColumn("overlap", overlap).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+    found = F.struct("rank", "item_id", "shared", "overlap", "item")
+    own = ranked.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("item").isNotNull() & (F.col("rank") <= k), found))).alias("found"))
+    taken = F.transform("found", lambda x: x["item"])
+    fill = F.filter(F.coalesce("spare", F.array().cast(_SPARE.format(items.schema["item_id"].dataType.simpleString()))), lambda x: ~F.array_contains(taken, x["item"]))
+    more = F.transform(fill, lambda x: F.struct(F.lit(None).cast("int").alias("rank"), x["item_id"].alias("item_id"), F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("overlap"), x["item"].alias("item")))
+    out = own.withColumn("spare", spare).select("doc_id", F.posexplode(F.slice(F.concat("found", more), 1, k)).alias("at", "x"))
+    return out.select(
+        "doc_id", (F.col("at") + 1).cast("long").alias("rank"), "x.item_id", "x.shared", F.round("x.overlap", 6).alias("overlap"))
+
+
+_SPARE = "array<struct<none:boolean,item_id:{},item:bigint>>"

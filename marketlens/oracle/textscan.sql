@@ -24,11 +24,11 @@ WHERE split_part(path, '/', -1) IN ('CLAUDE.md', 'CLAUDE.local.md', 'AGENTS.md',
 UNION ALL SELECT page_id, path, 'instruction-file', 'agent configuration directory' FROM s
 WHERE list_has_any(string_split(path, '/')[:-2], ['.claude', '.codex', '.gemini', '.cursor', '.github'])
 -- query: word_overlap_topk
-WITH dw AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains(string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' '), t)) AS w FROM documents),
-iw AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains(string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' '), t)) AS w FROM benchmark),
-sc AS (SELECT doc_id, item_id, CAST(len(list_intersect(dw.w, iw.w)) AS BIGINT) AS shared, len(dw.w) AS a, len(iw.w) AS b FROM dw, iw),
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains(string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' '), t)) AS w FROM documents),
+iw AS (SELECT row_number() OVER () AS i, item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda t: length(t) > 2 AND NOT list_contains(string_split('a an and are as at be by did do does for from how in is it its many much of on or our that the their this to was we were what when which who why with you your', ' '), t)) AS w FROM benchmark),
+sc AS (SELECT r, doc_id, i, item_id, CAST(len(list_intersect(dw.w, iw.w)) AS BIGINT) AS shared, len(dw.w) AS a, len(iw.w) AS b FROM dw, iw),
 rk AS (SELECT *, COALESCE(CAST(shared AS DOUBLE) / NULLIF(a + b - shared, 0), 0) AS o FROM sc),
-tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY o DESC, item_id) AS rank FROM rk)
+tp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY r ORDER BY o DESC, item_id NULLS LAST, shared DESC, i) AS rank FROM rk)
 SELECT doc_id, rank, item_id, shared, ROUND(o, 6) AS overlap FROM tp WHERE rank <= 3
 -- query: gold_number_text_collect
 WITH r AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_.,]+')) AS run FROM benchmark),

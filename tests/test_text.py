@@ -1,6 +1,8 @@
 """Text jobs against plain Python."""
 
+import random
 import re
+from collections import Counter
 from decimal import Decimal, localcontext
 
 from hypothesis import given, settings
@@ -118,3 +120,28 @@ def test_word_overlap_by_brute_force(spark):
         got.setdefault(r["doc_id"], []).append((r["item_id"], r["overlap"]))
     assert got == want
     assert spark.range(1).select(words(F.lit("The 3D x-ray of IT"))).first()[0] == ["ray"]
+
+
+def test_word_overlap_of_repeated_rows_and_null_ids(spark):
+    """Each row has a ranking of its own; a word in every text and a very common document change nothing."""
+    rng = random.Random(4)
+    pool = ["hotword", *(f"word{i}" for i in range(30))]
+    text = lambda n: "hotword " + " ".join(rng.choice(pool) for _ in range(n))
+    same = text(9)
+    docs = [(1, same)] * 40 + [(None, same), (None, text(4)), (2, text(40)), (2, "nothing shared"), (3, None)] + [(i, text(6)) for i in range(4, 60)]
+    items = [(10, "hotword word1 word2"), (10, "hotword word1 word2"), (10, "word3 word4 word5"), (None, "word6 hotword"), (11, None), *((i, text(5)) for i in range(12, 30))]
+    toks = lambda t: {w for w in re.findall(r"[a-z0-9]+", (t or "").lower()) if w not in STOP and len(w) > 2}
+    want = Counter()
+    for d, t in docs:
+        def key(i, t=t):
+            shared = len(toks(t) & toks(i[1]))
+            return -(shared / (len(toks(t) | toks(i[1])) or 1)), i[0] is None, i[0] or 0, -shared
+        best = sorted(items, key=key)[:4]
+        want.update((d, rank + 1, i[0], -key(i)[3], round(-key(i)[0], 6)) for rank, i in enumerate(best))
+    frame = textscan.word_overlap_topk(
+        spark.createDataFrame(docs, "doc_id int, text string").repartition(5), spark.createDataFrame(items, "item_id int, text string").repartition(3), k=4)
+    assert Counter(map(tuple, frame.collect())) == want
+    none = textscan.word_overlap_topk(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([], "item_id int, text string"))
+    assert none.collect() == []
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
