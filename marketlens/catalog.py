@@ -31,6 +31,7 @@ from marketlens.plans.warehouse import Warehouse
 from marketlens.sources import files
 from marketlens.sources.store import scratch_folder
 from marketlens.streaming import drip
+from marketlens.streaming import revenue as revenue_stream
 
 Query = Callable[[Warehouse], DataFrame]
 
@@ -335,6 +336,16 @@ def _stream(wh: Warehouse) -> DataFrame:
     return present(out)
 
 
+def _revenue_stream(wh: Warehouse) -> DataFrame:
+    """Three loads of revenue events, late and repeated ones among them, through one stream checkpoint."""
+    folder, s = scratch_folder(wh.spark, "revenue-stream"), revenue_stream
+    log, target, checkpoint = f"{folder}/log", f"{folder}/slices", f"{folder}/checkpoint"
+    for load in s.loads(s.revenue_events(wh), "1999-06-30", "1999-09-30", "2000-12-31"):
+        s.append_events(load, log)
+        s.follow(wh.spark, log, target, checkpoint)
+    return present(s.fold(wh.spark, target, f"{folder}/folded").drop("batch"))
+
+
 def _files() -> dict[str, Query]:
     increment = ("1999-12-31", "2000-12-31")
     return {
@@ -350,6 +361,7 @@ def _files() -> dict[str, Query]:
         "drip_feed_increment": lambda wh: present(drip.drip_feed_increment(wh, "subscriptions", *increment)),
         "drip_feed_tickets": lambda wh: present(drip.drip_feed_increment(wh, "tickets", *increment)),
         "drip_feed_stream": _stream,
+        "revenue_stream": _revenue_stream,
     }
 
 

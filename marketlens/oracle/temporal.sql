@@ -161,3 +161,5 @@ SELECT app_db_customer_id, COALESCE(seen, created_date) AS first_seen_date, segm
        COALESCE(list_contains(systems, 'app_db'), false) AS has_app_db, COALESCE(list_contains(systems, 'stripe'), false) AS has_stripe,
        COALESCE(list_contains(systems, 'shopify'), false) AS has_shopify, COALESCE(list_contains(systems, 'salesforce'), false) AS has_salesforce
 FROM stg_app_customers LEFT JOIN i ON i.id = app_db_customer_id LEFT JOIN o ON o.customer_id = app_db_customer_id WHERE created_date <= DATE '2000-12-31'
+-- query: revenue_stream
+SELECT activity_date, measure_name, CAST(SUM(amount) AS DOUBLE) AS amount FROM fct_revenue WHERE activity_date <= DATE '2000-12-31' GROUP BY 1, 2
