@@ -14,6 +14,7 @@ from marketlens.operators import (
     dashboards,
     derivations,
     diagnostics,
+    hashtree,
     identity,
     increments,
     marketing,
@@ -408,6 +409,7 @@ def _quality() -> dict[str, Query]:
         "mapping_row_conservation": lambda wh: q.row_conservation(wh, wh.source.read("orders"), wh.source.read("lineitem")),
         "table_fingerprint": q.table_fingerprint,
         "fingerprint_diff": lambda wh: q.fingerprint_diff(q.table_fingerprint(wh), q.table_fingerprint(wh.as_of(at))),
+        "fingerprint_locate": lambda wh: hashtree.fingerprint_locate(wh, wh.as_of("2001-03-31")),
         "metric_reconcile": lambda wh: reconcile.reconcile(
             revenue.five_revenues_by_quarter(wh, "1998-01-01", at).drop("recognized_minus_gmv"),
             revenue.five_revenues_from_tables(wh, "1998-01-01", at),

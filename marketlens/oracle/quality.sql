@@ -374,3 +374,25 @@ UNION ALL
 SELECT 'lineitem', CASE WHEN subscription IS NULL THEN 'without an order' WHEN subscription THEN 'of a subscription order'
                         ELSE 'order line' END, COUNT(*)
 FROM lineitem LEFT JOIN kinds ON o_orderkey = l_orderkey GROUP BY ALL
+-- query: fingerprint_locate
+SELECT table_name, key, COUNT(*) AS left_rows, COUNT(*) FILTER (NOT gone) AS right_rows, CASE WHEN bool_and(gone) THEN 'left only' ELSE 'changed' END AS difference FROM (
+SELECT 'app_customers' AS table_name, app_db_customer_id AS key, created_date > DATE '2001-03-31' AS gone, false AS later FROM stg_app_customers
+UNION ALL SELECT 'stripe_customers' AS table_name, stripe_customer_id AS key, created_date > DATE '2001-03-31' AS gone, deactivated_date > DATE '2001-03-31' AS later FROM stg_stripe_customers
+UNION ALL SELECT 'shopify_customers' AS table_name, shopify_customer_id AS key, created_date > DATE '2001-03-31' AS gone, false AS later FROM stg_shopify_customers
+UNION ALL SELECT 'salesforce_customers' AS table_name, salesforce_customer_id AS key, created_date > DATE '2001-03-31' AS gone, false AS later FROM stg_salesforce_customers
+UNION ALL SELECT 'customer_id_crosswalk' AS table_name, source_system || '/' || source_customer_id AS key, linked_date > DATE '2001-03-31' AS gone, false AS later FROM stg_customer_id_crosswalk
+UNION ALL SELECT 'orders' AS table_name, order_id AS key, order_date > DATE '2001-03-31' AS gone, false AS later FROM stg_orders
+UNION ALL SELECT 'order_lines' AS table_name, order_line_id AS key, order_date > DATE '2001-03-31' AS gone, false AS later FROM stg_order_lines
+UNION ALL SELECT 'products' AS table_name, sku AS key, introduced_date > DATE '2001-03-31' AS gone, false AS later FROM stg_products
+UNION ALL SELECT 'plans' AS table_name, plan_id AS key, launched_date > DATE '2001-03-31' AS gone, retired_date > DATE '2001-03-31' AS later FROM stg_plans
+UNION ALL SELECT 'plan_prices' AS table_name, plan_id || '/' || effective_date AS key, effective_date > DATE '2001-03-31' AS gone, false AS later FROM stg_plan_prices
+UNION ALL SELECT 'subscriptions' AS table_name, subscription_id AS key, term_start_date > DATE '2001-03-31' AS gone, term_end_date >= DATE '2001-03-31' AND (status <> 'active' OR cancelled_date IS NOT NULL) AS later FROM stg_subscriptions
+UNION ALL SELECT 'invoices' AS table_name, invoice_id AS key, billed_date > DATE '2001-03-31' AS gone, collected_date > DATE '2001-03-31' AS later FROM stg_invoices
+UNION ALL SELECT 'revenue_recognition' AS table_name, order_id || '/' || recognition_date AS key, recognition_date > DATE '2001-03-31' AS gone, false AS later FROM stg_revenue_recognition
+UNION ALL SELECT 'promotions' AS table_name, promo_code AS key, start_date > DATE '2001-03-31' AS gone, false AS later FROM stg_promotions
+UNION ALL SELECT 'refunds' AS table_name, refund_id AS key, refund_date > DATE '2001-03-31' AS gone, false AS later FROM stg_refunds
+UNION ALL SELECT 'suppliers' AS table_name, supplier_id AS key, onboarded_date > DATE '2001-03-31' AS gone, false AS later FROM stg_suppliers
+UNION ALL SELECT 'supplier_shipments' AS table_name, shipment_id AS key, expected_date > DATE '2001-03-31' AS gone, received_date > DATE '2001-03-31' AS later FROM stg_supplier_shipments
+UNION ALL SELECT 'ad_spend' AS table_name, spend_date || '/' || platform AS key, spend_date > DATE '2001-03-31' AS gone, false AS later FROM stg_ad_spend
+UNION ALL SELECT 'tickets' AS table_name, ticket_id AS key, created_date > DATE '2001-03-31' AS gone, resolved_date > DATE '2001-03-31' AS later FROM stg_tickets)
+GROUP BY table_name, key HAVING bool_or(gone OR COALESCE(later, false))
