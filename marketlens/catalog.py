@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens import config
-from marketlens.functions import between_days, day, present
+from marketlens.functions import between_days, day, literal_table, present
+from marketlens.functions.text import url_path
 from marketlens.operators import (
     customers,
     dashboards,
@@ -68,7 +69,7 @@ def _staging() -> dict[str, Query]:
 
 
 def _marts() -> dict[str, Query]:
-    names = [m for m in marts.MARTS if m not in ("revenue_daily", "int_orders", "dim_plans")]
+    names = [m for m in marts.MARTS if m not in ("revenue_daily", "int_orders", "dim_plans", "customer_bitmaps")]
     return {
         **{name: (lambda wh, name=name: present(wh.mart(name))) for name in names},
         "observed_aliases": marts.observed_aliases,
@@ -159,6 +160,7 @@ def _customers() -> dict[str, Query]:
         "new_customers": lambda wh: c.new_customers(wh, *Y2000),
         "multi_channel_customers": lambda wh: c.multi_channel_customers(wh, "1998-01-01", "1998-12-31"),
         "current_sets": lambda wh: c.current_sets(wh, "2001-06-01"),
+        "current_sets_any_window": lambda wh: c.current_sets_any_window(wh, c.trailing_windows(wh)),
         "monthly_customer_metrics": c.monthly_customer_metrics,
         "customer_kpis": lambda wh: c.customer_kpis(wh, *half),
         "customer_kpis_by_channel": lambda wh: c.customer_kpis_by_channel(wh, *half),
@@ -401,6 +403,7 @@ def _quality() -> dict[str, Query]:
         "dq_not_null": q.dq_not_null,
         "dq_accepted_values": q.dq_accepted_values,
         "dq_relationships": q.dq_relationships,
+        "dq_constraints": q.dq_constraints,
         **{test: (lambda wh, test=test: q.summary(wh, test)) for test in q.SINGULAR},
         "dq_revenue_exclusion": lambda wh: q.dq_revenue_exclusion(wh, *Q1),
         "dq_join_preserves_metrics": lambda wh: q.dq_join_preserves_metrics(wh, *Q1),
@@ -429,6 +432,14 @@ def _gold(wh: Warehouse) -> DataFrame:
     return textscan.gold_numbers([get[name](wh).drop("year") for name in results])
 
 
+def _path_rules(wh: Warehouse) -> DataFrame:
+    """The forbidden patterns, then one for every beginning that paths of the pages have."""
+    listed = literal_table(wh.spark, "priority int, pattern string", list(enumerate((*config.FORBIDDEN_PATHS, "*.html"))))
+    path = url_path(F.col("url"))
+    begins = wh.source.read("pages").select(F.lit(100).alias("priority"), F.concat(F.substring(path, 1, 5), F.lit("*")).alias("pattern"))
+    return listed.unionByName(begins.filter(F.char_length("pattern") == 6).distinct())
+
+
 def _text() -> dict[str, Query]:
     t = textscan
     rules = (*config.FORBIDDEN_PATHS, "*.html", "fr/*")
@@ -441,6 +452,7 @@ def _text() -> dict[str, Query]:
         ),
         "gold_number_leak_scan": lambda wh: t.scan_numbers(wh.source.read("documents"), "doc_id", "text", _gold(wh)),
         "path_pattern_scan": lambda wh: t.path_pattern_scan(wh.source.read("pages"), rules),
+        "path_rule_scan": lambda wh: t.path_rule_scan(wh.source.read("pages"), _path_rules(wh)),
         "word_overlap_topk": lambda wh: t.word_overlap_topk(wh.source.read("documents"), wh.source.read("benchmark")),
     }
 

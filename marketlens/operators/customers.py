@@ -7,6 +7,7 @@ the row expansion of several distinct counts and never gathers a customer's orde
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -124,6 +125,32 @@ def current_sets(wh: Warehouse, end_month: str) -> DataFrame:
     )
 
 
+def current_sets_any_window(wh: Warehouse, windows: DataFrame) -> DataFrame:
+    """Distinct customers, in all and per channel, of every window of whole months, from stored bitmaps alone.
+
+    ``windows`` has ``first_month`` and ``last_month`` (first days, both included). A window meets the bitmaps of its months by
+    equality; those of a bucket are joined by OR, which is exact and can be done in any order, and counted at the end.
+    No customer is looked at, and what a window costs does not depend on the number of orders.
+    """
+    asked = windows.select("first_month", "last_month").distinct().withColumn(
+        "month", F.explode(F.sequence("first_month", F.greatest("first_month", "last_month"), F.expr("interval 1 month"))))
+    window = ["first_month", "last_month"]
+    held = asked.join(wh.mart("customer_bitmaps"), "month").filter(F.col("last_month") >= F.col("first_month"))
+    merged = held.groupBy(*window, "channel", "bucket").agg(F.bitmap_or_agg("customers").alias("customers"))
+    total = merged.groupBy(*window, "bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("customers")).alias("total"),
+        *[F.sum(F.when(F.col("channel") == c, F.bitmap_count("customers"))).alias(c) for c in config.CHANNELS])
+    counts = ("total", *config.CHANNELS)
+    sums = total.groupBy(*window).agg(*[F.sum(c).alias(c) for c in counts])
+    return windows.join(sums, window, "left").select(*window, *[n(F.coalesce(c, F.lit(0))).alias(c) for c in counts])
+
+
+def trailing_windows(wh: Warehouse, lengths: Sequence[int] = (1, 3, 6, 12, 24)) -> DataFrame:
+    """The windows of so many months that end with each month of the data."""
+    return month_spine(wh).select(F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k"), F.col("month").alias("last_month")).select(
+        F.add_months("last_month", 1 - F.col("k")).alias("first_month"), "last_month")
+
+
 def monthly_customer_metrics(wh: Warehouse) -> DataFrame:
     """Active, new, returning and current customers per month.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens import config
-from marketlens.functions import between_days, canonical_channel, count_when, day
+from marketlens.functions import between_days, canonical_channel, count_when, day, literal_table
 from marketlens.functions.spines import side_by_side
 from marketlens.operators.revenue import orders_with_account
 from marketlens.plans.derivations import id_number, link_method
@@ -127,21 +127,57 @@ def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") != 1)
 
 
-def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
-    known = parent.select(F.col(key).alias(column))
-    return child.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
+def constraint_violations(
+    table: Callable[[str], DataFrame],
+    unique: Mapping[str, Sequence[str]],
+    relationships: Sequence[tuple[str, str, str, str]],
+) -> DataFrame:
+    """(constraint, violations) of all constraints in one shuffle; they are numbered in order, unique keys first.
+
+    Every table is read once. A row gives one (constraint, key, child, parent) per constraint that it takes part in; these
+    are counted per key before and after the shuffle, so a hot key is one row of each task. A unique key is violated by
+    a key that does not occur once, a relationship by every child row whose key, not null, no parent has.
+    """
+    given: dict[str, list[Column]] = {}
+
+    def side(name: str, number: int, key: Column, child: int) -> Column:
+        return F.struct(
+            F.lit(number).alias("constraint"), key.alias("key"), F.lit(child).cast("long").alias("child"), F.lit(1 - child).cast("long").alias("parent"))
+
+    for number, (name, key) in enumerate(unique.items()):
+        given.setdefault(name, []).append(side(name, number, F.concat_ws("|", *[_text(c) for c in key]), 1))
+    for number, (child, column, parent, key) in enumerate(relationships, len(unique)):
+        for name, c, is_child in ((child, column, 1), (parent, key, 0)):
+            text = F.col(c).cast("string")
+            given.setdefault(name, []).append(F.when(text.isNotNull(), side(name, number, text, is_child)))
+    rows = _union([table(name).select(F.inline(F.array_compact(F.array(*sides)))) for name, sides in given.items()])
+    keys = rows.groupBy("constraint", "key").agg(F.sum("child").alias("child"), F.sum("parent").alias("parent"))
+    once = (F.col("child") != 1).cast("long")
+    orphaned = F.when(F.col("parent") == 0, F.col("child")).otherwise(0)
+    broken = F.when(F.col("constraint") < len(unique), once).otherwise(orphaned)
+    return keys.groupBy("constraint").agg(F.sum(broken).alias("violations"))
+
+
+def _named(wh: Warehouse, violations: DataFrame, ddl: str, names: Sequence[tuple]) -> DataFrame:
+    """Every constraint by its name; one without a row has no violation."""
+    listed = literal_table(wh.spark, f"constraint int, {ddl}", [(i, *name) for i, name in enumerate(names)])
+    columns = [c for c in listed.columns if c != "constraint"]
+    return listed.join(violations, "constraint", "left").select(*columns, F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))
 
 
 def dq_unique(wh: Warehouse) -> DataFrame:
-    parts = [
-        duplicates(_table(wh, name), key).agg(
-            F.lit(name).alias("table_name"),
-            F.lit(",".join(key)).alias("columns"),
-            F.count(F.lit(1)).alias("violations"),
-        )
-        for name, key in unique_keys().items()
-    ]
-    return _union(parts)
+    keys = unique_keys()
+    found = constraint_violations(lambda name: _table(wh, name), keys, ())
+    return _named(wh, found, "table_name string, columns string", [(name, ",".join(key)) for name, key in keys.items()])
+
+
+def dq_constraints(wh: Warehouse) -> DataFrame:
+    """All unique keys and all relationships together, in the one shuffle."""
+    keys = unique_keys()
+    found = constraint_violations(lambda name: _table(wh, name), keys, RELATIONSHIPS)
+    names = [(f"unique {name}({','.join(key)})",) for name, key in keys.items()]
+    names += [(f"{child}.{column} -> {parent}.{key}",) for child, column, parent, key in RELATIONSHIPS]
+    return _named(wh, found, "name string", names)
 
 
 def dq_not_null(wh: Warehouse) -> DataFrame:
@@ -172,14 +208,9 @@ def dq_accepted_values(wh: Warehouse) -> DataFrame:
 
 
 def dq_relationships(wh: Warehouse) -> DataFrame:
-    parts = [
-        orphans(_table(wh, child), column, _table(wh, parent), key).agg(
-            F.lit(f"{child}.{column} -> {parent}.{key}").alias("relationship"),
-            F.count(F.lit(1)).alias("violations"),
-        )
-        for child, column, parent, key in RELATIONSHIPS
-    ]
-    return _union(parts)
+    found = constraint_violations(lambda name: _table(wh, name), {}, RELATIONSHIPS)
+    names = [(f"{child}.{column} -> {parent}.{key}",) for child, column, parent, key in RELATIONSHIPS]
+    return _named(wh, found, "relationship string", names)
 
 
 # -- singular tests: violating rows -----------------------------------------------------------------------

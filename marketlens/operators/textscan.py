@@ -95,6 +95,53 @@ def path_pattern_scan(pages: DataFrame, forbidden: Sequence[str] = config.FORBID
     return path_findings(pages, "page_id", url_path(F.col("url")), forbidden)
 
 
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different pieces of so many characters of a text."""
+    places = F.sequence(F.lit(1), F.char_length(text) - size + 1)
+    return F.when(F.char_length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def path_rule_scan(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+    """The first rule that fits the path of each page, of any number of rules (priority, pattern).
+
+    ``*`` matches any run of characters, all else is literal; the smallest priority wins, then the smaller pattern. A pattern is
+    filed under one piece of ``GRAM`` characters of its literal parts (fewer where they are shorter), the one that the
+    fewest pages hold. A page looks its own pieces up in that index, and only the patterns found are matched, so
+    there is no product of pages and rules. A pattern without any literal character meets every page. A null
+    URL has no path and fits no rule; null patterns fit nothing; each row of pages is judged by itself.
+    """
+    rules = rules.filter(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.min("priority").alias("priority"))
+    parts = F.split("pattern", r"\*")
+    length = F.least(F.lit(GRAM), F.array_max(F.transform(parts, F.char_length)))
+    rules = cut_lineage(rules.select("pattern", "priority", parts.alias("parts"), length.alias("size")))
+    sizes = sorted(r[0] for r in rules.select("size").distinct().collect())  # at most GRAM + 1 numbers
+    if not sizes:
+        return pages.select(key, url_path(F.col(url)).alias("path"), F.lit(None).cast("string").alias("pattern")).limit(0)
+
+    def pieces(of: Column, size: int) -> Column:
+        return _grams(of, size) if size else F.array(F.lit(""))
+
+    def of_rule(size: int) -> Column:
+        return F.array_distinct(F.flatten(F.transform("parts", lambda p: pieces(p, size))))
+
+    own = F.coalesce(*[F.when(F.col("size") == k, of_rule(k)) for k in sizes])
+    filed = rules.select("pattern", "priority", "parts", F.explode(own).alias("piece"))
+    paths = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), url_path(F.col(url)).alias("path"))
+    met = paths.filter(F.col("path").isNotNull()).withColumn("piece", F.explode(F.concat(*[pieces(F.col("path"), k) for k in sizes])))
+    often = met.join(filed.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("pages"))
+    rarest = F.min_by(F.struct("piece", "parts"), F.struct(F.coalesce("pages", F.lit(0)), "piece"))
+    index = filed.join(often, "piece", "left").groupBy("pattern", "priority").agg(rarest.alias("r")).select("pattern", "priority", "r.*")
+    quoted = F.transform("parts", lambda p: F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    index = index.withColumn("regex", F.concat(F.lit("(?s)^"), F.array_join(quoted, ".*"), F.lit(r"\z"))).drop("parts")
+    fits = met.join(index, "piece").filter(F.expr("path RLIKE regex"))
+    first = F.min(F.struct("priority", "pattern"))
+    return fits.groupBy("row").agg(F.first("key").alias(key), F.first("path").alias("path"), first.alias("rule")).select(key, "path", "rule.pattern")
+
+
 # -- word overlap ----------------------------------------------------------------------------------------
 def word_overlap_topk(docs: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     """For every document the ``k`` items with the highest word overlap (Jaccard).

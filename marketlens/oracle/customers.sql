@@ -64,3 +64,10 @@ co AS (SELECT f.customer_id, f.d, CAST(year(f.d) AS VARCHAR) || 'Q' || quarter(f
 rp AS (SELECT DISTINCT co.customer_id FROM co JOIN fct_orders o ON o.customer_id = co.customer_id AND o.order_date > co.d AND o.order_date <= co.d + 365)
 SELECT q AS cohort_quarter, COUNT(*) AS customers_acquired, COUNT(rp.customer_id) AS repeated_within_12m,
        ROUND(CAST(COUNT(rp.customer_id) AS DOUBLE) / COUNT(*), 4) AS repeat_rate_12m FROM co LEFT JOIN rp USING (customer_id) GROUP BY 1
+-- query: current_sets_any_window
+WITH w AS (SELECT CAST(month - INTERVAL 1 MONTH * (k - 1) AS DATE) AS first_month, CAST(month AS DATE) AS last_month FROM month_spine, (VALUES (1), (3), (6), (12), (24)) x(k)),
+o AS (SELECT DISTINCT customer_id, channel, CAST(date_trunc('month', order_date) AS DATE) AS m FROM fct_orders)
+SELECT first_month, last_month, COUNT(DISTINCT customer_id) AS total, COUNT(DISTINCT customer_id) FILTER (channel = 'd2c') AS d2c,
+       COUNT(DISTINCT customer_id) FILTER (channel = 'business_subscription') AS business_subscription,
+       COUNT(DISTINCT customer_id) FILTER (channel = 'marketplace') AS marketplace
+FROM w LEFT JOIN o ON m BETWEEN first_month AND last_month GROUP BY 1, 2

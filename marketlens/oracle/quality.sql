@@ -396,3 +396,6 @@ UNION ALL SELECT 'supplier_shipments' AS table_name, shipment_id AS key, expecte
 UNION ALL SELECT 'ad_spend' AS table_name, spend_date || '/' || platform AS key, spend_date > DATE '2001-03-31' AS gone, false AS later FROM stg_ad_spend
 UNION ALL SELECT 'tickets' AS table_name, ticket_id AS key, created_date > DATE '2001-03-31' AS gone, resolved_date > DATE '2001-03-31' AS later FROM stg_tickets)
 GROUP BY table_name, key HAVING bool_or(gone OR COALESCE(later, false))
+-- query: dq_constraints
+SELECT 'unique ' || table_name || '(' || columns || ')' AS name, violations FROM @dq_unique
+UNION ALL SELECT relationship, violations FROM @dq_relationships

@@ -46,3 +46,10 @@ m AS (SELECT doc_id, ltrim(w, '0') AS w, f, replace(f, '0', '') = '' AS whole, C
 d AS (SELECT DISTINCT doc_id, CASE WHEN whole THEN CASE WHEN length(w) >= 4 THEN w END
         WHEN c >= 10000 THEN CAST(CAST((floor(c) + CASE WHEN c - floor(c) > 0.5 OR (c - floor(c) = 0.5 AND floor(c) % 2 = 1) THEN 1 ELSE 0 END) / 100 AS DECIMAL(28,2)) AS VARCHAR) END AS number FROM m)
 SELECT doc_id, number FROM d WHERE number IN (SELECT number FROM @gold_number_collect UNION SELECT number FROM @gold_number_text_collect)
+-- query: path_rule_scan
+WITH s AS (SELECT row_number() OVER () AS row, page_id, rtrim(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/') AS path FROM pages),
+f AS (SELECT unnest(['*ground_truth*', 'evals/*', '*/evals/*', 'benchmarks/*', '*/benchmarks/*', 'eval_harness/*', '*/eval_harness/*', 'parity/*', '*/parity/*', '*measures.py', '*.html']) AS pattern,
+             generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11], 1) AS priority),
+b AS (SELECT DISTINCT substr(path, 1, 5) AS p FROM s WHERE length(path) >= 5),
+h AS (SELECT row, pattern, priority FROM s JOIN f ON path GLOB pattern UNION ALL SELECT row, p || '*', 100 FROM s JOIN b ON substr(path, 1, 5) = p)
+SELECT page_id, path, arg_min(pattern, (priority, pattern)) AS pattern FROM s JOIN h USING (row) GROUP BY row, page_id, path

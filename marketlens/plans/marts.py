@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens import config
 from marketlens.functions import canonical_channel, day, quarter_key
-from marketlens.plans.derivations import chain_roots
+from marketlens.plans.derivations import chain_roots, chronological_ids, id_number
 from marketlens.plans.temporal import fresh_key
 
 if TYPE_CHECKING:
@@ -305,6 +305,23 @@ def revenue_daily(wh: Warehouse) -> DataFrame:
     )
 
 
+def customer_bitmaps(wh: Warehouse) -> DataFrame:
+    """Who ordered in which month over which channel: a bitmap per bucket of 32,768 customer numbers.
+
+    Customers are numbered densely by their creation, so that bitmaps are full. They are built map-side.
+    """
+    people = wh.stg("app_customers").select(
+        "app_db_customer_id", "created_date", id_number("app_db_customer_id").alias("number"))
+    numbers = chronological_ids(people, "created_date", "number").select(F.col("app_db_customer_id").alias("customer_id"), F.col("seq").cast("long").alias("seq"))
+    return (
+        wh.mart("fct_orders")
+        .select("customer_id", F.trunc("order_date", "MM").alias("month"), "channel")
+        .join(numbers, "customer_id")
+        .groupBy("month", "channel", F.bitmap_bucket_number("seq").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("seq")).alias("customers"))
+    )
+
+
 def fct_subscriptions(wh: Warehouse) -> DataFrame:
     customers = real_customers(wh).select(F.col("app_db_customer_id").alias("customer_id"), "segment")
     plans = wh.stg("plans").select("plan_id", "plan_name", "plan_generation", "tier")
@@ -349,10 +366,10 @@ MARTS = {
     for f in (
         int_customer_identity, fct_identity_resolution_quality, dim_customers, dim_products, dim_plans, dim_date,
         int_orders, fct_orders, fct_order_lines, fct_revenue, revenue_daily, fct_subscriptions, term_roots,
-        fct_marketing_spend,
+        fct_marketing_spend, customer_bitmaps,
     )
 }
 # Marts that many metrics read and that need a shuffle to build.
 STORED_MARTS = frozenset(
-    {"int_customer_identity", "dim_customers", "int_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions", "term_roots"}
+    {"int_customer_identity", "dim_customers", "int_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions", "term_roots", "customer_bitmaps"}
 )
