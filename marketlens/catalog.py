@@ -362,6 +362,7 @@ def _files() -> dict[str, Query]:
         "mart_increment": lambda wh: present(increments.mart_increment(wh, *STEPS)),
         "mart_increment_customers": lambda wh: present(increments.mart_increment_customers(wh, *STEPS)),
         "drip_feed_increment": lambda wh: present(drip.drip_feed_increment(wh, "subscriptions", *increment)),
+        "drip_feed_parity": lambda wh: drip.increment_parity(wh, *increment),
         "drip_feed_tickets": lambda wh: present(drip.drip_feed_increment(wh, "tickets", *increment)),
         "drip_feed_stream": _stream,
         "revenue_stream": _revenue_stream,

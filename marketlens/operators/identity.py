@@ -14,7 +14,7 @@ from marketlens import config
 from marketlens.functions import between_days, count_when, day, labelled, month_key, n, ratio, sum_when, usd
 from marketlens.functions.spines import side_by_side, unpivot_row
 from marketlens.operators.revenue import orders_with_account
-from marketlens.plans.marts import real_customers
+from marketlens.plans.marts import eligible_orders, real_customers
 from marketlens.plans.warehouse import Warehouse
 
 
@@ -156,7 +156,7 @@ def identity_quality(wh: Warehouse, as_of: str) -> DataFrame:
         ],
     )
     profiles = snap.stg("app_customers").agg(F.count(F.lit(1)).alias("canonical_profiles"))
-    ordered = snap.mart("fct_orders").select("customer_id").distinct()
+    ordered = eligible_orders(snap).select("customer_id").distinct()
     ids = ordered.join(alias_rollup(snap), "customer_id", "left").agg(
         F.count(F.lit(1)).alias("ordered_customers"),
         F.round(F.avg("aliases"), 3).alias("avg_source_ids_per_ordered_customer"),

