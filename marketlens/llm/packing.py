@@ -8,7 +8,9 @@ sum and the largest pieces first. A filling is dominated, and left out, where on
 exchanged for one left over that is as large together or larger and fits. A filling is used as often as the counts
 allow, and in other branches fewer times; fillings of the same length follow each other in their order,
 as their sequences can be exchanged. The branch-and-bound search
-starts from best-fit decreasing as the incumbent, follows the best filling first and prunes branches whose
+starts from the better of two incumbents, best-fit decreasing and completion from the small side: pieces beyond a cut
+are packed among themselves, and of the others the largest is joined by the smallest ones and then by the pair that wastes least,
+so that sequences hold as many pieces as they can; the cut is sought among quantiles. The search follows the best filling first and prunes branches whose
 waste already costs a sequence more than the incumbent may. It runs twice: with the first ``FIRST`` fillings of the
 highest sum for a better incumbent, then with all of them. It ends at the lower bound, when all is searched (the
 plan is then optimal) or after looking at ``NODES`` fillings each time; the best plan found is used.
@@ -24,9 +26,9 @@ packed each. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -40,7 +42,8 @@ from marketlens.llm.common import ship, stored
 from marketlens.llm.shingles import text_slices
 
 LIMIT, END_ID = 2048, 0
-NODES, FIRST, OPEN = 20_000, 3, 50
+NODES, FIRST, OPEN = 10_000, 3, 50
+CUTS = 24
 
 Pattern = list[tuple[int, int]]  # (length, how many)
 
@@ -86,6 +89,72 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, Pattern]]:
     return plan
 
 
+def _best_pair(lengths: list[int], free: Callable[[int], int], room: int) -> tuple[int, ...]:
+    """The two free pieces that fill the room best, the more unequal of equals; otherwise the largest one that fits."""
+    i, j, best = 0, bisect_right(lengths, room) - 1, (room + 1,)
+    top = j
+    while i <= j:
+        a, b = lengths[i], lengths[j]
+        if not free(a):
+            i += 1
+        elif not free(b) or a + b > room:
+            j -= 1
+        elif i == j and free(a) < 2:
+            break
+        else:
+            if room - a - b < best[0]:
+                best = (room - a - b, a, b)
+            if not best[0]:
+                break
+            i += 1
+    if len(best) > 1:
+        return best[1:]
+    return next(((lengths[k],) for k in range(top, -1, -1) if free(lengths[k])), ())
+
+
+def small_side(counts: dict[int, int], limit: int, cut: int) -> list[tuple[int, Pattern]]:
+    """Pieces beyond the cut by best fit; then the largest one left, the smallest ones, and the best pair last."""
+    plan = best_fit({x: n for x, n in counts.items() if x > cut}, limit)
+    left = dict(sorted((x, n) for x, n in counts.items() if x <= cut))
+    lengths = list(left)
+    while lengths:
+        own, room, i = {lengths[-1]: 1}, limit - lengths[-1], 0
+        free = lambda x: left[x] - own.get(x, 0)  # noqa: B023, E731
+        while True:
+            while i < len(lengths) and not free(lengths[i]):
+                i += 1
+            if i == len(lengths) or lengths[i] > room:
+                break
+            for x in (lengths[i],) if 3 * lengths[i] <= room else _best_pair(lengths, free, room):
+                own[x] = own.get(x, 0) + 1
+                room -= x
+        step = _use(left, sorted(own.items(), reverse=True))
+        for x, _ in step[1]:
+            if x not in left:
+                del lengths[bisect_left(lengths, x)]
+        plan.append(step)
+    return plan
+
+
+def _incumbent(counts: dict[int, int], limit: int, least: int) -> list[tuple[int, Pattern]]:
+    """The best plan of best fit and of the small side at several cuts, the best cut's neighbours among them."""
+    size = lambda plan: sum(t for t, _ in plan)
+    best = best_fit(counts, limit)
+    if size(best) == least:
+        return best
+    lengths, ends = sorted(counts), []
+    for x in lengths:
+        ends.append(counts[x] + (ends[-1] if ends else 0))
+    at = lambda share: lengths[bisect_left(ends, share * ends[-1])]
+    tried = {}
+    for shares in ([k / CUTS for k in range(1, CUTS + 1)], None):
+        if shares is None:  # between the neighbours of the best so far
+            middle = min(tried, key=lambda share: size(tried[share]))
+            shares = [middle + k / (4 * CUTS) for k in (-3, -2, -1, 1, 2, 3) if 0 < middle + k / (4 * CUTS) <= 1]
+        tried.update({share: small_side(counts, limit, at(share)) for share in shares})
+    return min([best, *tried.values()], key=size)
+
+
 def _use(left: dict[int, int], pattern: Pattern) -> tuple[int, Pattern]:
     times = min(left[length] // c for length, c in pattern)
     for length, c in pattern:
@@ -215,8 +284,9 @@ def _highest(left: dict[int, int], limit: int, waste: int, last: Pattern | None)
 def bin_completion(counts: dict[int, int], limit: int, nodes: int = NODES) -> list[tuple[int, Pattern]]:
     """The best plan found: (times, pattern) until all pieces are used."""
     counts = {x: n for x, n in counts.items() if n}
-    best = best_fit(counts, limit)
-    least, fewest = lower_bound(counts, limit), sum(t for t, _ in best)
+    least = lower_bound(counts, limit)
+    best = _incumbent(counts, limit, least)
+    fewest = sum(t for t, _ in best)
     total = sum(x * n for x, n in counts.items())
     spare = lambda waste: (fewest - 1) * limit - total - waste  # noqa: E731  what may be wasted yet by a plan with fewer sequences
     left, plan, used, waste = dict(counts), [], 0, 0

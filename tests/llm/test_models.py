@@ -337,3 +337,29 @@ def test_op8_ties_between_languages():
     texts = ["same text"] * 2
     best, score, _, _ = language_id.fit(texts, ["zz", "aa"]).scorer()(["same text", "other"])
     assert best.tolist() == [0, 0] and np.allclose(score, 0.5)  # the first name of equals
+
+
+@pytest.mark.parametrize(("low", "high", "n", "most"), [(500, 1000, 4000, 1530), (300, 1100, 50_000, 17_480)])
+def test_packing_of_many_lengths_beats_best_fit(low, high, n, most):
+    random.seed(0)
+    counts = Counter(random.randint(low, high) for _ in range(n))
+    plan = packing.bin_completion(counts, 2048, nodes=300)
+    used = Counter()
+    for times, pattern in plan:
+        assert sum(x * c for x, c in pattern) <= 2048
+        used.update({x: times * c for x, c in pattern})
+    assert used == counts
+    assert sum(t for t, _ in plan) <= most < sum(t for t, _ in packing.best_fit(counts, 2048))
+
+
+def test_small_side_packs_every_piece_once():
+    rng = random.Random(12)
+    for _ in range(200):
+        limit = rng.choice([10, 31, 100])
+        counts = Counter(rng.randint(1, limit) for _ in range(rng.randint(1, 40)))
+        plan = packing.small_side(counts, limit, rng.randint(0, limit))
+        used = Counter()
+        for times, pattern in plan:
+            assert sum(x * c for x, c in pattern) <= limit
+            used.update({x: times * c for x, c in pattern})
+        assert used == counts
