@@ -145,12 +145,13 @@ def constraint_violations(
             F.lit(number).alias("constraint"), key.alias("key"), F.lit(child).cast("long").alias("child"), F.lit(1 - child).cast("long").alias("parent"))
 
     for number, (name, key) in enumerate(unique.items()):
-        given.setdefault(name, []).append(side(name, number, F.concat_ws("|", *[_text(c) for c in key]), 1))
+        whole = F.col(key[0]).cast("string") if len(key) == 1 else F.concat_ws("|", *[_text(c) for c in key])
+        given.setdefault(name, []).append(side(name, number, whole, 1))
     for number, (child, column, parent, key) in enumerate(relationships, len(unique)):
         for name, c, is_child in ((child, column, 1), (parent, key, 0)):
-            text = F.col(c).cast("string")
-            given.setdefault(name, []).append(F.when(text.isNotNull(), side(name, number, text, is_child)))
-    rows = _union([table(name).select(F.inline(F.array_compact(F.array(*sides)))) for name, sides in given.items()])
+            given.setdefault(name, []).append(side(name, number, F.col(c).cast("string"), is_child))
+    rows = _union([table(name).select(F.inline(F.array(*sides))) for name, sides in given.items()])
+    rows = rows.filter((F.col("constraint") < len(unique)) | F.col("key").isNotNull())
     keys = rows.groupBy("constraint", "key").agg(F.sum("child").alias("child"), F.sum("parent").alias("parent"))
     once = (F.col("child") != 1).cast("long")
     orphaned = F.when(F.col("parent") == 0, F.col("child")).otherwise(0)
