@@ -641,14 +641,15 @@ def metric_replay(wh: Warehouse) -> DataFrame:
 
 def drift_check(wh: Warehouse, tolerance: float = config.USD_TOLERANCE) -> DataFrame:
     """Net-revenue cases whose value moves when refunds are keyed to the order date."""
-    daily = net_by_order_day(wh).groupBy("activity_date").agg(F.sum("amount").alias("amount"))
+    moved = net_by_order_day(wh).groupBy("activity_date").agg(F.sum("amount").cast("decimal(28,2)").alias("amount"))
+    both = wh.mart("revenue_daily").unionByName(moved.withColumn("measure_name", F.lit("net_by_order_day")))
     cases = _case_table(wh).filter(F.col("measure_name") == "net_revenue")
-    changed = window_totals(cases, daily.withColumn("measure_name", F.lit("net_revenue")))
-    before = window_totals(cases, wh.mart("revenue_daily")).select("case_name", F.col("value").alias("expected"))
-    delta = F.round(F.col("changed") - F.col("expected"), 2)
+    asked = cases.withColumn("measure_name", F.explode(F.array(F.lit("net_revenue"), F.lit("net_by_order_day"))))
+    value = lambda measure: F.max(F.when(F.col("measure_name") == measure, F.col("value")))
+    totals = window_totals(asked, both).groupBy("case_name").agg(
+        value("net_revenue").alias("expected"), value("net_by_order_day").alias("changed"))
     return (
-        before.join(changed.select("case_name", F.col("value").alias("changed")), "case_name")
-        .withColumn("delta", delta)
+        totals.withColumn("delta", F.round(F.col("changed") - F.col("expected"), 2))
         .filter(F.abs("delta") > tolerance)
         .select("case_name", "expected", "changed", "delta")
     )
