@@ -3,8 +3,10 @@
 Texts with the same set form a class and travel as one row. Minimum hashes of a class are
 grouped in bands; the number of rows a band has, and of bands, follow from the recall asked
 for at the threshold. Classes are shuffled on the hashes of their bands, and those that
-meet in a band form candidate groups. Every pair of a group that can reach the threshold is then
-verified on the full sets, so candidates beyond the bands' cost nothing but time.
+meet in a band form candidate groups, whose pairs are verified on the full sets. Groups that hang together are
+compared as one, each set travelling once, where they fit one block or where that takes at most twice the pairs that the
+bands propose, as among near copies. Where they hang together by shared passages only, each band's group is
+compared by itself, and a pair that meets in several is taken in the first.
 
 No group is held whole and no pair is written out. A group is dealt by the size of its sets (a
 pair's sizes differ by at most the threshold's factor) and then by hash into blocks of bounded
@@ -36,6 +38,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 MOST_HASHES = 160
 BLOCK_SHINGLES, BLOCK_ROWS = 400_000, 1_000
 BROADCAST_CLASSES = 500_000
+BROADCAST_NUMBERS = 4_000_000
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -84,8 +87,9 @@ def _sets(n_words: int):
                     continue
                 offsets = np.concatenate((at[:-1][some], at[-1:])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                    names=["cid", "grams"])
+                    [batch.column("row").take(pa.array(some)), batch.column("groups").take(pa.array(some)),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
+                    names=["cid", "groups", "grams"])
 
     return run
 
@@ -93,33 +97,55 @@ def _sets(n_words: int):
 def _compare(threshold: float):
     """Links between two blocks: per class the rows it is linked with and the smallest class reached within the blocks."""
 
-    def links(x: dict, y: dict | None) -> tuple[list, list, list]:
-        left, right = x, y or x
-        counts = np.zeros((len(left["cid"]), len(right["cid"])), np.float32)
-        words, places = np.unique(np.concatenate([*left["grams"], *(y["grams"] if y else [])]), return_inverse=True)
-        rows = [np.repeat(np.arange(len(s["cid"])), [len(g) for g in s["grams"]]) for s in ((left, right) if y else (left,))]
-        cols = np.split(places, [len(rows[0])]) if y else [places]
-        if y:
-            shared = (np.bincount(cols[0], minlength=len(words)) > 0) & (np.bincount(cols[1], minlength=len(words)) > 0)
+    def common(left: list, right: list | None) -> np.ndarray:
+        """How many values each list on the left shares with each on the right, or with each other on the left."""
+        sides = (left,) if right is None else (left, right)
+        counts = np.zeros((len(left), len(sides[-1])), np.float32)
+        values, places = np.unique(np.concatenate([*left, *(right or [])]), return_inverse=True)
+        rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sides]
+        cols = [places] if right is None else np.split(places, [len(rows[0])])
+        if right is None:
+            shared = np.bincount(places, minlength=len(values)) > 1
         else:
-            shared = np.bincount(cols[0], minlength=len(words)) > 1
+            shared = (np.bincount(cols[0], minlength=len(values)) > 0) & (np.bincount(cols[1], minlength=len(values)) > 0)
         number = np.cumsum(shared) - 1
         cells = [(r[k], number[c[k]]) for r, c in zip(rows, cols, strict=True) for k in [shared[c]]]
         width = 2048
         by_col = [(r[o], c[o]) for r, c in cells for o in [np.argsort(c, kind="stable")]]
         for at in range(0, int(shared.sum()), width):
             parts = []
-            for (r, c), s in zip(by_col, (left, right), strict=False):
+            for (r, c), s in zip(by_col, sides, strict=True):
                 i, j = np.searchsorted(c, (at, at + width))
-                m = np.zeros((len(s["cid"]), width), np.float32)
+                m = np.zeros((len(s), width), np.float32)
                 m[r[i:j], c[i:j] - at] = 1
                 parts.append(m)
             counts += parts[0] @ parts[-1].T
+        return counts
+
+    def some(side: dict, rows: np.ndarray) -> dict:
+        return {k: v[rows] if isinstance(v, np.ndarray) else [v[i] for i in rows] for k, v in side.items()}
+
+    def links(x: dict, y: dict | None, part: int) -> tuple[list, list, list]:
+        taken = None
+        earlier = [[g[g < part] for g in s["groups"]] for s in ((x, y) if y else (x,))]
+        if sum(map(len, earlier[0])) and sum(map(len, earlier[-1])):  # pairs that meet in an earlier group were taken there
+            taken = common(earlier[0], earlier[1] if y else None) > 0
+            free = ~taken
+            if not y:
+                np.fill_diagonal(free, False)
+            i, j = np.flatnonzero(free.any(1)), np.flatnonzero(free.any(0))
+            taken, x, y = taken[np.ix_(i, j)], some(x, i), some(y, j) if y else None
+        left, right = x, y or x
+        if not len(left["cid"]) or not len(right["cid"]):
+            return [], [], []
+        counts = common(left["grams"], y["grams"] if y else None)
         both = np.array([len(g) for g in left["grams"]])[:, None] + np.array([len(g) for g in right["grams"]])[None, :]
         linked = counts >= threshold * (both - counts) - 1e-6
         if not y:
             np.fill_diagonal(linked, False)
         linked &= left["cid"][:, None] != right["cid"][None, :]
+        if taken is not None:
+            linked &= ~taken
         top = np.iinfo(np.int64).max
         lab_l, lab_r = left["cid"].copy(), right["cid"].copy()
         while True:
@@ -139,15 +165,19 @@ def _compare(threshold: float):
         cid = rows.column("cid").to_numpy()
         if not len(cid):
             return None
-        grams = rows.column("grams").combine_chunks()
-        flat, at = grams.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
-        return {"cid": cid, "size": rows.column("size").to_numpy(), "grams": [flat[at[i] : at[i + 1]] for i in range(len(cid))]}
+
+        def lists(name: str) -> list[np.ndarray]:
+            values = rows.column(name).combine_chunks()
+            flat, at = values.flatten().to_numpy(), np.concatenate(([0], np.cumsum(values.value_lengths().to_numpy())))
+            return [flat[at[i] : at[i + 1]] for i in range(len(cid))]
+
+        return {"cid": cid, "size": rows.column("size").to_numpy(), "grams": lists("grams"), "groups": lists("groups")}
 
     def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
         left, right = block(table, 0), block(table, 1)
         if not left or (right is None and not table.column("own")[0].as_py()):
             return
-        cid, n, root = links(left, right)
+        cid, n, root = links(left, right, table.column("part")[0].as_py())
         if len(cid):
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n.astype(np.int64)), pa.array(root)], names=["cid", "links", "root"])
 
@@ -169,27 +199,60 @@ def _compare(threshold: float):
     return run
 
 
+def _meetings(heads: DataFrame) -> DataFrame:
+    """(cid, h, v) of the classes that share a band's hash with another; v is the smallest of them."""
+    met = heads.groupBy("h").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    return stored(heads.join(met, "h").select("cid", "h", "v"), "meetings")
+
+
+def _parts(members: DataFrame, meetings: DataFrame, n_bands: int) -> DataFrame:
+    """(cid, n, size, part, groups): the parts within which classes (cid, n, size, root) are compared.
+
+    A component that fits one block, or has at most twice as many pairs as its bands propose, is one part. Any other has a part for
+    each group of a band, one for groups of the same members; ``groups`` lists those of a class, at most one per band.
+    """
+    pairs = lambda n: F.col(n).cast("double") * (F.col(n) - 1) / 2
+    groups = meetings.groupBy("h").agg(
+        F.min("v").alias("cid"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"))
+    ids = members.select("cid", "root")
+    proposed = groups.join(ids, "cid").groupBy("root").agg(F.sum(pairs("c")).alias("proposed"))
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("grams")).filter(
+        (F.col("k") > BLOCK_ROWS) | (F.col("grams") > BLOCK_SHINGLES))
+    # a pair meets in n_bands groups at most, so the sum divided by them is at most the number of different pairs
+    loose = stored(large.join(proposed, "root").filter(pairs("k") > 2 * F.col("proposed") / n_bands).select("root"), "loose-components")
+    none = F.array().cast("array<bigint>")
+    if loose.isEmpty():
+        return members.select("cid", "n", "size", F.xxhash64(F.lit("component"), "root").alias("part"), none.alias("groups"))
+    loose = broadcast_if_small(loose, BROADCAST_CLASSES)
+    apart = stored(members.join(loose, "root", "left_semi").select("cid", "n", "size"), "loose-classes")
+    whole = members.join(loose, "root", "left_anti").select("cid", "n", "size", F.xxhash64(F.lit("component"), "root").alias("part"), none.alias("groups"))
+    chosen = groups.join(apart.select("cid"), "cid", "left_semi").groupBy("c", "x", "y").agg(F.min("h").alias("h"))
+    found = stored(meetings.join(chosen.select("h"), "h", "left_semi").select("cid", F.col("h").alias("part")), "loose-groups")
+    lists = found.groupBy("cid").agg(F.sort_array(F.collect_list("part")).alias("groups"))
+    return whole.unionByName(found.join(apart, "cid").join(lists, "cid").select("cid", "n", "size", "part", "groups"))
+
+
 def _block_pairs(members: DataFrame, threshold: float) -> DataFrame:
     """A row for each pair of blocks that a class takes part in: (pair, side, own)."""
     level = F.floor(F.log("n") / (math.log(1 / threshold) + 1e-9)).cast("int")
     members = members.withColumn("level", level)
-    cells = members.groupBy("root", "level").agg(
+    cells = members.groupBy("part", "level").agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
-    near = lambda by, name: cells.select("root", (F.col("level") + by).alias("level"), F.col("blocks").alias(name))
-    cells = cells.join(near(1, "below"), ["root", "level"], "left").join(near(-1, "above"), ["root", "level"], "left")
-    cells = broadcast_if_small(stored(cells, "cells"), BROADCAST_CLASSES)  # a large group is not gathered by its root
-    m = members.join(cells, ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    near = lambda by, name: cells.select("part", (F.col("level") + by).alias("level"), F.col("blocks").alias(name))
+    cells = cells.join(near(1, "below"), ["part", "level"], "left").join(near(-1, "above"), ["part", "level"], "left")
+    cells = broadcast_if_small(stored(cells, "cells"), BROADCAST_CLASSES)  # a large group is not gathered by its number
+    m = members.join(cells, ["part", "level"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     upto = lambda n: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
 
     def pair(low_level, low, high_level, high, side, own):
-        return F.struct(F.xxhash64("root", low_level, low, high_level, high).alias("pair"), side.alias("side"), own.alias("own"))
+        return F.struct(F.xxhash64("part", low_level, low, high_level, high).alias("pair"), side.alias("side"), own.alias("own"))
 
     own = F.transform(upto("blocks"), lambda j: pair(
         F.col("level"), F.least("block", j), F.col("level"), F.greatest("block", j),
         F.when(j < F.col("block"), 1).otherwise(0), j == F.col("block")))
     above = F.transform(upto("above"), lambda j: pair(F.col("level"), F.col("block"), F.col("level") + 1, j, F.lit(0), F.lit(False)))
     below = F.transform(upto("below"), lambda j: pair(F.col("level") - 1, j, F.col("level"), F.col("block"), F.lit(1), F.lit(False)))
-    return m.select("cid", "size", F.explode(F.concat(own, above, below)).alias("p")).select("cid", "size", "p.*")
+    return m.select("cid", "size", "part", F.explode(F.concat(own, above, below)).alias("p")).select("cid", "size", "part", "p.*")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS,
@@ -215,15 +278,17 @@ def _joined(numbered: DataFrame, doc_id: str, text: str, n_words: int = WORDS, t
         F.min("row").alias("cid"), F.count(F.lit(1)).alias("size"), F.min(first).alias("first")), "classes")
 
     heads = rows.join(classes.select(F.col("cid").alias("row")), "row").select(F.col("row").alias("cid"), F.explode("bands").alias("h"))
-    met = heads.groupBy("h").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    candidates = components(heads.join(met, "h").select(F.col("cid").alias("u"), "v"))
-
-    members = classes.join(candidates.withColumnRenamed("node", "cid"), "cid")
-    pairs = stored(_block_pairs(members, threshold), "block-pairs")
-    wanted = broadcast_if_small(stored(pairs.select(F.col("cid").alias("row")).distinct(), "candidates"), BROADCAST_CLASSES)
-    texts = given.select("row", "text").join(wanted, "row", "left_semi")  # the one row that its class has its number from
-    sets = texts.mapInArrow(_sets(n_words), "cid bigint, grams array<bigint>")
-    work = sets.join(broadcast_if_small(pairs, BROADCAST_CLASSES), "cid").select("pair", "side", "own", "cid", "size", "grams")
+    meetings = _meetings(heads)
+    candidates = components(meetings.select(F.col("cid").alias("u"), "v"))
+
+    members = classes.join(candidates.withColumnRenamed("node", "cid"), "cid").select("cid", "n", "size", "root")
+    parts = stored(_parts(members, meetings, n_bands), "parts")
+    pairs = stored(_block_pairs(parts, threshold), "block-pairs")
+    wanted = stored(parts.select(F.col("cid").alias("row"), "groups").dropDuplicates(["row"]), "candidates")
+    numbers = wanted.agg(F.sum(F.size("groups") + 2)).first()[0] or 0
+    texts = given.select("row", "text").join(F.broadcast(wanted) if numbers <= BROADCAST_NUMBERS else wanted, "row")  # the one row of each class
+    sets = texts.mapInArrow(_sets(n_words), "cid bigint, groups array<bigint>, grams array<bigint>")
+    work = sets.join(broadcast_if_small(pairs, BROADCAST_CLASSES), "cid").select("pair", "side", "own", "part", "cid", "size", "groups", "grams")
     found = stored(work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(threshold), "cid bigint, links bigint, root bigint"), "links")
 
     linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")

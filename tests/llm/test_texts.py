@@ -1,5 +1,6 @@
 """Decontamination, near copies and secrets against plain Python."""
 
+import itertools
 import random
 
 import brute
@@ -97,6 +98,48 @@ def test_op2_edge_cases(spark, documents):
     assert ngram_join.join(documents([])).collect() == []
 
 
+def boilerplate(seed, n, of=20, take=10, size=30):
+    """Texts of shared passages in any order: each hangs together with all others, though few are alike."""
+    rng = random.Random(seed)
+    passages = [passage(rng, size) for _ in range(of)]
+    return [(i, " ".join(rng.sample(passages, take))) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [40, 1000])
+def test_op2_loose_components_by_bands(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    docs = boilerplate(6, 200, of=12)
+    rng = random.Random(7)
+    for i in range(60):  # near copies of some, of some of these again, and an equal set
+        words = rng.choice(docs)[1].split()
+        words[rng.randrange(len(words))] = f"changed{i}"
+        docs.append((300 + i, " ".join(words)))
+    docs += [(500, docs[0][1]), (None, docs[250][1])]
+    plain = [(i if i is not None else 10_000, t) for i, t in docs]  # a null id is the last
+    want = brute.near_copies(plain)
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.join(documents(docs)).drop("row").collect()}
+    assert got.pop(None)[0] == want.pop(10_000)[0]
+    assert got == want
+
+
+def test_op2_compares_what_the_bands_propose(spark, documents, monkeypatch):
+    seen = {}
+    meetings, blocks = ngram_join._meetings, ngram_join._block_pairs
+    monkeypatch.setattr(ngram_join, "_meetings", lambda heads: seen.setdefault("meetings", meetings(heads)))
+    monkeypatch.setattr(ngram_join, "_block_pairs", lambda parts, threshold: seen.setdefault("pairs", blocks(parts, threshold)))
+    assert ngram_join.join(documents(boilerplate(8, 2000))).count() == 2000
+    met = {}
+    for r in seen["meetings"].collect():
+        met.setdefault(r["h"], []).append(r["cid"])
+    proposed = {(min(a, b), max(a, b)) for group in met.values() for a, b in itertools.combinations(group, 2)}
+    compared = {}
+    for r in seen["pairs"].collect():
+        compared.setdefault((r["pair"], r["own"]), [0, 0])[r["side"]] += 1
+    n = sum(a * b + (a * (a - 1) // 2 if own else 0) for (_, own), (a, b) in compared.items())
+    assert proposed and n <= 2 * len(proposed)
+    assert 20 * n < 2000 * 1999 // 2  # what the component as a whole would take
+
+
 def test_op2_fetches_a_set_once_per_class(spark, documents, monkeypatch):
     real = ngram_join._compare
 
