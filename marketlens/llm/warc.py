@@ -7,9 +7,14 @@ A task writes archives of about ``ARCHIVE_BYTES`` of payload into the shared fol
 attempt, and reports them; the list of reported archives is written down, so what a lost or
 repeated attempt leaves behind is never read.
 
-The reader takes an archive from front to back: it inflates member by member as bytes arrive, parses the header,
-follows Content-Length through the block without holding it, and checks the block's and the payload's digests and the end of
-the record. A wrong digest, length or end raises an error.
+The reader takes an archive from front to back: it inflates member by member, at most ``CHUNK`` bytes at once, parses the
+header, follows Content-Length through the block, of which it holds the payload only, and checks the block's and the payload's
+digests and the end of the record. A wrong digest, length or end raises an error.
+
+Archives of other writers are read as well (``archives_in`` lists a folder's): records of any type, of which responses,
+resources and conversions have a payload; SHA-1 digests are checked where a record names them, others are not, and a missing
+one is taken of the payload. Payload bytes are counted; a revisit's are known only where its record tells them. An archive has
+one record per gzip member. The folder must be one that pyarrow opens on every worker; another raises at once.
 
 Defined results: a null html is an empty payload; a null url has no target; of equal payloads all rows with the largest id
 are responses, and all are where no id is known; rows with a null id are written and come back with a null id.
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +42,8 @@ CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BROADCAST_DIGESTS = 500_000
+PAYLOADS = ("response", "resource", "conversion")
+END = b"\r\n\r\n"
 
 
 def _digest(data: bytes) -> str:
@@ -43,9 +51,13 @@ def _digest(data: bytes) -> str:
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
     if folder.startswith("file:/") and not folder.startswith("file:///"):
         folder = "file:///" + folder[len("file:/") :]
-    return fs.FileSystem.from_uri(folder)
+    try:
+        return fs.FileSystem.from_uri(folder)
+    except (pa.ArrowInvalid, OSError) as error:
+        raise ValueError(f"archives cannot be kept in {folder}: pyarrow opens no such file system here ({error})") from error
 
 
 def record(page_id: object, url: str | None, payload: bytes, kind: str, refers_to: object = None) -> bytes:
@@ -95,37 +107,45 @@ def _written(folder: str, archive_bytes: int):
     return run
 
 
+def _agrees(named: str | None, data: hashlib._Hash) -> bool:
+    """Whether a digest that a record names is the data's; algorithms other than SHA-1 in base32 are not checked."""
+    kind, _, value = (named or "").partition(":")
+    return kind.lower() != "sha1" or len(value) != 32 or value.upper() == base64.b32encode(data.digest()).decode()
+
+
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload or None) of each record of an archive given as a stream of bytes."""
     for head, parts in _members(chunks):
-        block, payload, size = hashlib.sha1(), hashlib.sha1(), int(head["content-length"])
-        kept, seen, front = [], 0, b"" if head["warc-type"] == "response" else None
-        rest = b""
+        name, kind, size = head.get("warc-record-id", "a record"), head.get("warc-type", ""), int(head["content-length"])
+        has_payload = kind in PAYLOADS
+        http = kind == "response" and head.get("content-type", "application/http").startswith("application/http")
+        block, payload = hashlib.sha1(), hashlib.sha1()
+        kept, seen, front, rest = [], 0, b"" if http else None, b""
         for data in parts:
-            inside, rest_now = data[: size - seen], data[size - seen :]
-            seen += len(inside)
-            rest += rest_now
+            inside, after = data[: size - seen], data[size - seen :]
+            seen, rest = seen + len(inside), rest + after
+            if len(rest) > len(END):
+                break
             block.update(inside)
             if front is not None:  # the payload begins after the HTTP header
                 front += inside
-                if (i := front.find(b"\r\n\r\n")) >= 0:
-                    inside, front = front[i + 4 :], None
-                else:
+                if (i := front.find(END)) < 0:
                     continue
-            elif head["warc-type"] != "response":
-                continue
-            payload.update(inside)
-            kept.append(inside)
-        if seen != size or rest != b"\r\n\r\n":
-            raise ValueError(f"{head['warc-record-id']}: the record does not end where its length says")
-        if head["warc-block-digest"] != "sha1:" + base64.b32encode(block.digest()).decode():
-            raise ValueError(f"{head['warc-record-id']}: the block differs from its digest")
-        if head["warc-type"] == "response":
-            if head["warc-payload-digest"] != "sha1:" + base64.b32encode(payload.digest()).decode():
-                raise ValueError(f"{head['warc-record-id']}: the payload differs from its digest")
-            yield head, b"".join(kept)
-        else:
+                inside, front = front[i + len(END) :], None
+            if has_payload:
+                payload.update(inside)
+                kept.append(inside)
+        if seen != size or rest != END:
+            raise ValueError(f"{name}: the record does not end where its length says")
+        if not _agrees(head.get("warc-block-digest"), block):
+            raise ValueError(f"{name}: the block differs from its digest")
+        if not has_payload:
             yield head, None
+            continue
+        if "warc-truncated" not in head and not _agrees(head.get("warc-payload-digest"), payload):
+            raise ValueError(f"{name}: the payload differs from its digest")
+        head.setdefault("warc-payload-digest", "sha1:" + base64.b32encode(payload.digest()).decode())
+        yield head, b"".join(kept)
 
 
 def _members(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
@@ -134,13 +154,16 @@ def _members(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], Iterator
 
     def inflated() -> Iterator[bytes]:
         nonlocal waiting
-        z = zlib.decompressobj(31)
+        z, full = zlib.decompressobj(31), False
         while not z.eof:
-            data = waiting or next(chunks, b"")
-            if not data:
-                raise ValueError("the archive ends within a record")
-            waiting = b""
-            yield z.decompress(data)
+            data = z.unconsumed_tail
+            if not data and not full:
+                data, waiting = waiting or next(chunks, b""), b""
+                if not data:
+                    raise ValueError("the archive ends within a record")
+            out = z.decompress(data, CHUNK)
+            full = len(out) == CHUNK
+            yield out
         waiting = z.unused_data
 
     while True:
@@ -152,8 +175,12 @@ def _members(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], Iterator
             if more is None:
                 raise ValueError("a record without the end of its header")
             front += more
-        first, *lines = front[:i].decode("utf-8", "surrogatepass").split("\r\n")
-        if not first.startswith("WARC/1."):
+        try:
+            text = front[:i].decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            text = front[:i].decode("latin-1")
+        first, *lines = re.sub(r"\r\n[ \t]+", " ", text).split("\r\n")
+        if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
         head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
@@ -164,22 +191,30 @@ def _members(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], Iterator
         yield head, body()
 
 
+def _page(name: str | None) -> str | None:
+    """The page id of a record's name, or what stands between the brackets of another writer's."""
+    return name.strip("<>").removeprefix("urn:x-page:") or None if name else None
+
+
 def _read(folder: str, payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
-        page = lambda urn: urn[len("<urn:x-page:") : -1] or None if urn else None
         for batch in batches:
             for name, expected in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 with store.open_input_stream(f"{root}/{name}", compression=None) as file:
                     rows, held, seen = [], 0, 0
                     for head, payload in records(iter(lambda f=file: f.read(CHUNK), b"")):
-                        rows.append((page(head["warc-record-id"]), int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"),
-                                     head["warc-type"], page(head.get("warc-refers-to")), head.get("warc-target-uri"), payload if payloads else None))
+                        told = head.get("x-payload-length")
+                        size = len(payload) if payload is not None else int(told) if told is not None else None
+                        digest = head.get("warc-payload-digest")
+                        rows.append((
+                            _page(head.get("warc-record-id")), size, digest and digest.removeprefix("sha1:"), head.get("warc-type"),
+                            _page(head.get("warc-refers-to")), head.get("warc-target-uri"), payload if payloads else None))
                         seen, held = seen + 1, held + (len(payload or b"") if payloads else 100)
                         if held > 8 << 20:
                             yield _batch(rows)
                             rows, held = [], 0
-                    if seen != expected:
+                    if expected is not None and seen != expected:
                         raise ValueError(f"{name} holds {seen} records, not {expected}")
                     if rows:
                         yield _batch(rows)
@@ -199,6 +234,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html",
           least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write every page as a record below ``folder``; (archive, records) of what was written."""
+    _open(folder)
     ship(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
     given = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -211,8 +247,15 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     return stored(typed.mapInArrow(_written(folder, archive_bytes), "archive string, records bigint"), "archives")
 
 
+def archives_in(spark: SparkSession, folder: str, names: str = "*.warc.gz") -> DataFrame:
+    """(archive, records) of the archives that lie in a folder; how many records each holds is not known."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path")  # without the contents
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.lit(None).cast("bigint").alias("records"))
+
+
 def read(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to, target, payload) of every record, ids as text."""
+    _open(folder)
     ship(spark)
     many = max(1, min(archives.count(), 10_000))
     return archives.repartition(many).mapInArrow(_read(folder, payloads), _FIELDS)
