@@ -1,5 +1,6 @@
 """Embeddings, URL rules and WARC archives against plain Python."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -84,6 +85,22 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
 
 
+def test_components_by_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_NODES", 0)
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(7, 1000 + i) for i in range(300)]
+    links = {i: set() for e in edges for i in e}
+    for u, v in edges:
+        links[u].add(v)
+        links[v].add(u)
+    want = brute.roots(links, links)
+    least = {}
+    for i in links:
+        least[want[i]] = min(i, least.get(want[i], i))
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {i: least[want[i]] for i in links if links[i] - {i}}
+
+
 PAGE = "page_id bigint, url string, html string, host string, part int"
 
 
@@ -165,6 +182,43 @@ def test_op6_payloads_and_damage(spark):
             list(warc.records(iter([zlib.compress(bad, wbits=31)])))
 
 
+def foreign(kind, block, *lines, version="WARC/1.0"):
+    head = "".join(f"{x}\r\n" for x in (f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *lines))
+    return gzip.compress(f"{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n")
+
+
+def test_op6_reads_archives_of_other_writers(spark, tmp_path):
+    body = b"<html>\r\n\r\n" + b"z" * (3 << 20)  # inflates to many times a chunk
+    page = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + body
+    parts = [
+        foreign("warcinfo", b"software: x\r\n", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.0\r\n\r\n", "WARC-Record-ID: <urn:uuid:2>"),
+        foreign("response", page, "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://a/", "Content-Type: application/http;", " msgtype=response"),
+        foreign("response", b"20240101\r\n\r\nA 1.2.3.4", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: text/dns", "WARC-Block-Digest: md5:abc"),
+        foreign("resource", b"plain", "WARC-Record-ID: <urn:uuid:5>", "WARC-Payload-Digest: sha1:" + warc._digest(b"plain").lower(), version="WARC/1.1"),
+        foreign("revisit", b"", "WARC-Record-ID: <urn:uuid:6>", "WARC-Refers-To: <urn:uuid:3>"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"no archive")
+    folder = tmp_path.as_uri()
+    got = warc.read(spark, warc.archives_in(spark, folder), folder, payloads=True).collect()
+    assert sorted((r["id"], r["record_type"], r["payload_bytes"], r["payload_digest"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in got) == [
+        ("urn:uuid:1", "warcinfo", None, None, None, None), ("urn:uuid:2", "request", None, None, None, None),
+        ("urn:uuid:3", "response", len(body), warc._digest(body), None, body),
+        ("urn:uuid:4", "response", 21, warc._digest(b"20240101\r\n\r\nA 1.2.3.4"), None, b"20240101\r\n\r\nA 1.2.3.4"),
+        ("urn:uuid:5", "resource", 5, warc._digest(b"plain").lower(), None, b"plain"),
+        ("urn:uuid:6", "revisit", None, None, "urn:uuid:3", None),
+    ]
+    wrong = foreign("resource", b"plain", "WARC-Payload-Digest: sha1:" + warc._digest(b"other"))
+    with pytest.raises(ValueError, match="payload differs"):
+        list(warc.records(iter([wrong])))
+    whole = b"".join(parts)
+    assert [len(p or b"") for _, p in warc.records(iter([whole[i : i + 5] for i in range(0, len(whole), 5)]))] == [0, 0, len(body), 21, 5, 0]
+    with pytest.raises(ValueError, match="cannot be kept in nosuch"):
+        warc.read(spark, warc.archives_in(spark, folder), "nosuch://a/b")
+
+
 def test_op6_on_the_tables(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     got = {r["page_id"]: r["payload_bytes"] for r in entry.op6_warc(spark, small).collect()}
