@@ -14,7 +14,8 @@ It returns per class its number of links and one class it is connected with, nev
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component link with
 nothing and are a component of their own; vectors of different length never link; equal vectors are links of
-each other, also under a repeated id; null ids do not name a component unless nothing else does.
+each other, also under a repeated id; null ids do not name a component unless nothing else does, and
+only then such a row is kept.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     i, j = np.divmod(near, close.shape[1])
     for at in range(0, len(near), 100_000):
         a, b = i[at : at + 100_000], j[at : at + 100_000]
-        out[a, b] = (x[a] * y[b]).sum(1) >= threshold - 1e-15
+        out[a, b] = (x[a] * y[b]).sum(1) >= threshold
     return out
 
 
@@ -164,4 +165,4 @@ def join(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     component = F.when(F.col("vector").isNull(), F.col("id")).otherwise(F.col("head"))
     return out.select(
         F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        component.alias("component_id"), (F.col("id") == component).alias("kept"))
+        component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

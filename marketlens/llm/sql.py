@@ -55,7 +55,7 @@ links AS MATERIALIZED (
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
 roots AS (SELECT a AS vec_id, LEAST(a, MIN(b)) AS root FROM reach GROUP BY a),
 counts AS (SELECT a AS vec_id, COUNT(*) AS n FROM links GROUP BY a)
-SELECT vec_id, COALESCE(n, 0) AS n_links, COALESCE(root, vec_id) AS component_id, COALESCE(root, vec_id) = vec_id AS kept
+SELECT vec_id, COALESCE(n, 0) AS n_links, COALESCE(root, vec_id) AS component_id, COALESCE(root, vec_id) IS NOT DISTINCT FROM vec_id AS kept
 FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN roots USING (vec_id)
 """
 

@@ -3,7 +3,8 @@
 The key of a host is its labels in reverse, each with a dot behind it (``org.example.``), so a rule's host
 and all subdomains are the interval of keys that begin with the rule's key, and intervals nest or are disjoint.
 URLs are dealt into ranges of (key, a hash), which splits a host with very many URLs too; the bounds come from a
-bounded sample and decide nothing but the balance. A rule goes to every range its interval meets. Each
+bounded sample and decide nothing but the balance. Each range is a task of its own (its number is the
+partition, so no two ranges meet by chance of a hash). A rule goes to every range its interval meets. Each
 range is sorted by key, rules first, and swept once: the stack holds the active
 rules, those of the nested intervals around the current key; the longest whose path begins the
 URL's path decides.
@@ -89,10 +90,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, page_id: s
     urls = given.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)).alias("salt"))
     urls = urls.withColumn("key", host_key(F.col("host")))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = ranges * SAMPLE_PER_RANGE
-    share = min(1.0, wanted / max(urls.count(), 1))
-    sample = urls.filter(F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) < share * (1 << 30)).select("key", "salt").limit(2 * wanted).collect()
-    keys = sorted((r["key"], r["salt"]) for r in sample)
+    sample = urls.select("key", "salt").orderBy(F.xxhash64("salt"), "salt", "key").limit(ranges * SAMPLE_PER_RANGE)  # one job, no count
+    keys = sorted((r["key"], r["salt"]) for r in sample.collect())
     bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else []
 
     @F.pandas_udf("int")
@@ -107,6 +106,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, page_id: s
     none = F.lit(None)
     both = urls.select(range_of("key", "salt").alias("part"), "key", F.lit(True).alias("is_url"), "id", "host", "path", none.cast("string").alias("verdict")).unionByName(
         clean.select("part", "key", F.lit(False).alias("is_url"), none.cast(given.schema["id"].dataType).alias("id"), "host", "path", "verdict"))
-    swept = both.repartition(ranges, "part").sortWithinPartitions("part", "key", "is_url").mapInArrow(
+    swept = both.repartitionById(ranges, "part").sortWithinPartitions("part", "key", "is_url").mapInArrow(
         _judged(default), f"id {given.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
     return swept.withColumnRenamed("id", page_id)

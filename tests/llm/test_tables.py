@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import brute
 import numpy as np
@@ -54,8 +55,8 @@ def test_op3_links_and_components(spark, monkeypatch, cell, block):
 def test_op3_ties_nulls_and_empty(spark):
     v = [1.0, 2.0]
     df = spark.createDataFrame([(1, v, 0, 0, 0), (1, v, 0, 0, 0), (None, v, 0, 0, 0), (None, None, 0, 0, 0)], VECTOR)
-    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in embedding_join.join(df).collect())
-    assert got == [("1", 2, 1), ("1", 2, 1), ("None", 0, None), ("None", 2, 1)]
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embedding_join.join(df).collect())
+    assert got == [("1", 2, "1", True), ("1", 2, "1", True), ("None", 0, "None", True), ("None", 2, "1", False)]
     assert embedding_join.join(df.limit(0)).collect() == []
 
 
@@ -137,6 +138,22 @@ def test_op4_edge_cases(spark):
     assert url_rules.judge(df.limit(0), none).collect() == []
 
 
+def test_op4_ranges_are_tasks_of_even_size(spark):
+    """A host with a third of the pages is split, and no two ranges share a task."""
+    page = "CASE WHEN id % 3 = 0 THEN 'http://hot.org/' ELSE concat('http://h', id, '.com/') END"
+    df = spark.range(12_000).selectExpr("id AS page_id", f"{page} AS url")
+    rules = spark.createDataFrame([("org", "/", "block"), ("com", "/x", "allow")], "host string, path string, verdict string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = url_rules.judge(df, rules).selectExpr("spark_partition_id() AS task", "verdict").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = Counter(r["task"] for r in got)
+    assert len(got) == 12_000 and len(sizes) == 24 and max(sizes.values()) < 3 * 12_000 / 24
+    assert sum(r["verdict"] == "block" for r in got) == 4_000
+
+
 def test_op4_on_the_tables(spark, small):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     got = {r["page_id"]: tuple(r)[1:] for r in entry.op4_url_filters(spark, small).collect()}
