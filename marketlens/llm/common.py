@@ -69,9 +69,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def broadcast_if_small(df: DataFrame, rows: int, *texts: str, megabytes: int = 64) -> DataFrame:
-    """Ask for a broadcast only where the table, counted first, has at most so many rows and bytes in its text columns."""
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(0).cast("bigint"))
+def broadcast_if_small(df: DataFrame, rows: int, *sizes: str | Column, megabytes: int = 64) -> DataFrame:
+    """Ask for a broadcast only where the table, counted first, has at most so many rows and bytes.
+
+    ``sizes`` are what a row holds beside fixed values: names of text columns, or expressions of bytes.
+    """
+    each = [F.octet_length(c) if isinstance(c, str) else c for c in sizes]
+    size = sum((F.coalesce(c, F.lit(0)).cast("bigint") for c in each), F.lit(0).cast("bigint"))
     found = df.select(size.alias("size")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("size")).first()
     return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= megabytes << 20 else df
 

@@ -5,7 +5,8 @@ A window is ten consecutive words of an item; an item of fewer words, but not no
 window of its own. A hash of each window makes the set that is broadcast; every document
 slides windows of the lengths in use over its words, looks each hash up, and compares the
 words themselves where a hash is found. A broadcast is used for up to ``BROADCAST_WINDOWS``
-windows, counted first; a larger set is joined by a shuffle on the hashes, and the windows
+windows, four times as many item ids and ``BROADCAST_MEGABYTES`` of words, counted first (a word beyond ASCII has no
+longest length); a larger set is joined by a shuffle on the hashes, and the windows
 found are compared afterwards by the words of the documents that hold them. Either way only
 windows found leave a task, and a document gets one row before anything is shuffled.
 DataFrame functions only.
@@ -25,6 +26,7 @@ from marketlens.llm.common import ascii_lower, broadcast_if_small, stored
 
 WINDOW_WORDS = 10
 BROADCAST_WINDOWS = 200_000
+BROADCAST_MEGABYTES = 64
 BROADCAST_TEXTS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,12 +66,14 @@ def _covered(spans: Column) -> Column:
 
 def scan(docs: DataFrame, bench: DataFrame, doc_text: str = "text", item: str = "item_id",
          item_text: str = "text", size: int = WINDOW_WORDS, keep: tuple[str, ...] = ("doc_id",),
-         broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+         broadcast_windows: int = BROADCAST_WINDOWS, broadcast_megabytes: int = BROADCAST_MEGABYTES) -> DataFrame:
     """Per document: the columns ``keep``, n_words, n_hit, items (sorted as strings) and hits (start word, length)."""
     table = windows(bench, item, item_text, size)
-    small = table.select(F.size("items").alias("k")).limit(broadcast_windows + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")
+    letters = F.octet_length(F.array_join("window", " ")).cast("bigint")
+    small = table.select(F.size("items").alias("k"), letters.alias("bytes")).limit(broadcast_windows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes")
     ).first()
+    fits_memory = small["n"] <= broadcast_windows and (small["k"] or 0) <= 4 * broadcast_windows and (small["bytes"] or 0) <= broadcast_megabytes << 20
     lengths = [r[0] for r in table.select("length").distinct().collect()]  # at most ``size`` numbers
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), F.struct(*keep).alias("kept"),
@@ -88,7 +92,7 @@ def scan(docs: DataFrame, bench: DataFrame, doc_text: str = "text", item: str =
         fits = F.col("start") + F.col("length") - 1 <= F.col("n")
         return at.withColumn("hash", F.when(fits, F.xxhash64(here)))
 
-    if small["n"] <= broadcast_windows and (small["k"] or 0) <= 4 * broadcast_windows:
+    if fits_memory:
         t = F.broadcast(table.withColumnRenamed("hash", "h").withColumnRenamed("length", "len"))
         found = grid(base).join(t, (F.col("hash") == F.col("h")) & (F.col("length") == F.col("len"))
                                 & (here == F.col("window")), "left")
@@ -109,7 +113,7 @@ def scan(docs: DataFrame, bench: DataFrame, doc_text: str = "text", item: str =
         F.first("kept", ignorenulls=True).alias("kept"),
         F.max("n").alias("n"),
         F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "length"))).alias("hits"),
-        F.collect_list("items").alias("items"),
+        F.collect_set("items").alias("items"),  # a window hit again, or its neighbour of the same items, adds nothing
     )
     ids = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string")))
     return per.select(
@@ -135,7 +139,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     if remove == "documents":
         found = broadcast_if_small(found.select("hit_key"), BROADCAST_TEXTS)
         return boxed.join(found, F.col("key") == F.col("hit_key"), "left_anti").select("doc.*")
-    out = boxed.join(broadcast_if_small(found, BROADCAST_TEXTS), F.col("key") == F.col("hit_key"), "left")
+    out = boxed.join(broadcast_if_small(found, BROADCAST_TEXTS, 8 * F.size("hits")), F.col("key") == F.col("hit_key"), "left")
     rest = F.when(F.col("hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("hits")))
     return out.select(*[rest.alias(c) if c == text else F.col(f"doc.{c}").alias(c) for c in docs.columns])
 

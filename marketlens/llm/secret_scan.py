@@ -31,11 +31,11 @@ from marketlens.llm.common import broadcast_if_small, stored
 
 SCOPE = 200
 BROADCAST_TEXTS = 100_000
+SPAN_BYTES = 32
 MASK = "[SECRET]"
 #: Kinds in the order in which spans with the same start are listed. The first three are base spans.
 KINDS = ("assign", "access", "hex", "id", "secret", "endpoint")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 ID = r"(?<![A-Za-z0-9])(?=[A-Z0-9]{0,39}[0-9])(?=[A-Z0-9]{0,39}[A-Z])[A-Z0-9]{16,40}(?![A-Za-z0-9])"
 SECRET, CLASSES = r"[A-Za-z0-9+/]{32,}={0,2}", ("[0-9]", "[a-z]", "[A-Z]")
 ENDPOINT = r"(?:https?|wss?|amqps?|postgres|mysql|redis|mongodb)://[A-Za-z0-9.-]+(?::[0-9]+)?"
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> tuple[DataF
 def report(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", scope: int = SCOPE) -> DataFrame:
     """Per document: the columns ``keep``, counts of the base spans, their digest, all spans."""
     base, linked = scan(docs, text, scope)
-    linked = broadcast_if_small(stored(linked, "linked-parts"), BROADCAST_TEXTS)
+    linked = broadcast_if_small(stored(linked, "linked-parts"), BROADCAST_TEXTS, SPAN_BYTES * F.size("linked"))
     box = F.struct(*[F.col(f"doc.{c}").alias(c) for c in keep]).alias("kept")
     rows = base.select("key", box, "base").join(linked, "key", "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
@@ -127,7 +127,7 @@ def report(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
 def redact(docs: DataFrame, text: str = "text", mask: str = MASK, scope: int = SCOPE) -> DataFrame:
     """The documents with every reported span masked; spans that touch or overlap share one mask. Null stays null."""
     base, linked = scan(docs, text, scope)
-    linked = broadcast_if_small(stored(linked, "linked-parts"), BROADCAST_TEXTS)
+    linked = broadcast_if_small(stored(linked, "linked-parts"), BROADCAST_TEXTS, SPAN_BYTES * F.size("linked"))
     rows = base.join(linked, "key", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPANS))))
     zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<a:int,b:int>>").alias("kept"))

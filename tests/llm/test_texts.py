@@ -30,19 +30,37 @@ def test_op1_on_the_tables(spark, small):
         assert r["items_sha256"] == brute.sha256(",".join(items))
 
 
-@pytest.mark.parametrize("broadcast_windows", [1000, 0])
-def test_op1_edge_cases(spark, documents, broadcast_windows):
+@pytest.mark.parametrize(("broadcast_windows", "broadcast_megabytes"), [(1000, 1), (0, 1), (1000, 0)])
+def test_op1_edge_cases(spark, documents, broadcast_windows, broadcast_megabytes):
     rng = random.Random(1)
     a, b = passage(rng, 14), passage(rng, 12)
     bench = [(1, a), (2, a + " more"), (10, "Short one"), (3, None), (4, "..."), (None, b), (3, a)]
     docs = [(1, a.upper() + "!"), (2, f"x {a}, {a}"), (3, None), (4, ""), (5, "short, ONE; short one"), (6, b), (7, "y " * 30000 + b), (6, b), (None, a), (8, "clean text here")]
     want = brute.contamination(docs, bench)
-    out = decontamination.scan(documents(docs), spark.createDataFrame(bench, BENCH), broadcast_windows=broadcast_windows).collect()
+    out = decontamination.scan(
+        documents(docs), spark.createDataFrame(bench, BENCH), broadcast_windows=broadcast_windows, broadcast_megabytes=broadcast_megabytes).collect()
     assert len(out) == len(docs)
     for r in out:
         assert (r["n_words"], r["n_hit"], r["items"]) == want[r["doc_id"]], r["doc_id"]
 
 
+def test_op1_unspaced_words_are_broadcast_by_their_bytes(spark, documents):
+    long = " ".join("語" * 50_000 + str(i) for i in range(12))
+    docs, bench = documents([(1, long), (2, "語 1 2")]), spark.createDataFrame([(7, long)], BENCH)
+    asked = lambda df: "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    found = decontamination.scan(docs, bench, broadcast_megabytes=1)
+    assert asked(decontamination.scan(docs, bench)) and not asked(found)
+    assert sorted((r["n_words"], r["n_hit"], r["items"]) for r in found.collect()) == [(3, 0, []), (12, 12, ["7"])]
+
+
+def test_op1_a_common_passage_lists_its_items_once(spark, documents):
+    common = passage(random.Random(5), 10)
+    bench = spark.createDataFrame([(i, common) for i in range(300)], BENCH)
+    found = decontamination.scan(documents([(1, ". ".join([common] * 2000))]), bench).first()
+    assert (found["n_words"], found["n_hit"], len(found["hits"])) == (20_000, 20_000, 2_000)
+    assert found["items"] == sorted(str(i) for i in range(300))
+
+
 def test_op1_empty_tables(spark, documents):
     none = spark.createDataFrame([], BENCH)
     assert decontamination.scan(documents([]), none).collect() == []
