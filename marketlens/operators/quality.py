@@ -555,27 +555,26 @@ def _hash_sum(columns: Sequence[str]) -> Column:
 def table_fingerprint(wh: Warehouse) -> DataFrame:
     """Per table: columns, rows, key uniqueness and hashes of key, money, date and all columns.
 
-    The hashes add up map-side, one row per task. Uniqueness is a scan of its own over the
-    key columns, so that only they are shuffled.
+    The hashes add up map-side, one row per task. The keys of all tables are counted in one shuffle of their own
+    that only key columns enter.
     """
+    keys = {name: unique_keys()[name] for name in STAGING}
     parts = []
     for name in STAGING:
         df = wh.stg(name)
-        key = unique_keys()[name]
         money = [f.name for f in df.schema if isinstance(f.dataType, T.DecimalType)]
         dates = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
-        repeated = duplicates(df, key).agg(F.count(F.lit(1)).alias("n")).scalar()
-        sums = df.agg(
+        parts.append(df.agg(
             F.lit(name).alias("table_name"),
             F.lit(",".join(df.columns)).alias("columns"),
             F.count(F.lit(1)).alias("row_count"),
-            _hash_sum(key).alias("key_hash"),
+            _hash_sum(keys[name]).alias("key_hash"),
             _hash_sum(money).alias("money_hash"),
             _hash_sum(dates).alias("date_hash"),
             _hash_sum(df.columns).alias("content_hash"),
-        )
-        parts.append(sums.withColumn("key_is_unique", repeated == 0))
-    return _union(parts)
+        ))
+    repeated = _named(wh, constraint_violations(wh.stg, keys, ()), "table_name string", [(name,) for name in keys])
+    return _union(parts).join(repeated.withColumn("key_is_unique", F.col("violations") == 0).drop("violations"), "table_name")
 
 
 def fingerprint_diff(left: DataFrame, right: DataFrame) -> DataFrame:
