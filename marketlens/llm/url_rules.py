@@ -90,8 +90,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, page_id: s
     urls = given.select("id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.pmod(F.xxhash64("id", "url"), F.lit(1 << 30)).alias("salt"))
     urls = urls.withColumn("key", host_key(F.col("host")))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = urls.select("key", "salt").orderBy(F.xxhash64("salt"), "salt", "key").limit(ranges * SAMPLE_PER_RANGE)  # one job, no count
-    keys = sorted((r["key"], r["salt"]) for r in sample.collect())
+    wanted = ranges * SAMPLE_PER_RANGE
+    share = min(1.0, wanted / max(pages.count(), 1))  # the count reads no column
+    drawn = F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) < share * (1 << 30)
+    keys = sorted((r["key"], r["salt"]) for r in urls.filter(drawn).select("key", "salt").limit(2 * wanted).collect())
     bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else []
 
     @F.pandas_udf("int")
