@@ -141,12 +141,12 @@ class MappedSource:
     def _erp_supplier_shipments(self) -> DataFrame:
         weekly = (
             self.read("lineitem")
-            .select("l_partkey", "l_quantity", "l_shipdate")
+            .select("l_partkey", "l_quantity", day(F.date_trunc("week", "l_shipdate")).alias("expected_date"))
             .join(
                 self.read("part").select("p_partkey", self._category().alias("category")),
                 F.col("l_partkey") == F.col("p_partkey"),
             )
-            .groupBy("category", day(F.date_trunc("week", "l_shipdate")).alias("expected_date"))
+            .groupBy("category", "expected_date")
             .agg(F.sum(F.col("l_quantity").cast("long")).alias("units_expected"))
             .withColumn("slot", self._supplier_index())
         )
