@@ -383,7 +383,8 @@ MARTS = {
         fct_marketing_spend, customer_bitmaps,
     )
 }
-# Marts that many metrics read and that need a shuffle to build.
+# Marts that many metrics read and that need a shuffle to build. Order lines with their orders and products are not
+# among them: stored whole, all their columns go through both joins, while a reader sends only its dates and columns.
 STORED_MARTS = frozenset(
-    {"int_customer_identity", "dim_customers", "int_orders", "fct_order_lines", "revenue_daily", "fct_subscriptions", "term_roots", "customer_bitmaps"}
+    {"int_customer_identity", "dim_customers", "int_orders", "revenue_daily", "fct_subscriptions", "term_roots", "customer_bitmaps"}
 )

@@ -25,7 +25,6 @@ _CLUSTERED = {
     "stg_order_lines": "order_date",
     "stg_revenue_recognition": "recognition_date",
     "int_orders": "order_date",
-    "fct_order_lines": "order_date",
 }
 _OPEN: dict[tuple[str, str], Warehouse] = {}
 _OPENED = count()  # each opening stores its tables in a folder of its own
