@@ -105,7 +105,8 @@ def differing_leaves(left: HashTree, right: HashTree) -> DataFrame:
 def _ranges(leaves: DataFrame) -> Column | None:
     """The differing leaves as at most ``MOST_RANGES`` ranges of the stored order; None if there is no leaf.
 
-    Only what is read depends on the ranges: neighbours are joined where there are more.
+    Only what is read depends on the ranges: neighbours are joined where there are more, and where nothing lies
+    between them. A row is held against the ranges of its own table alone.
     """
     per_table = leaves.groupBy("table_name").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).collect()  # a row per table
     if not per_table:
@@ -114,9 +115,16 @@ def _ranges(leaves: DataFrame) -> Column | None:
     cells = leaves.join(F.broadcast(leaves.sparkSession.createDataFrame(per_table).select("table_name", "low", "high")), "table_name")
     width = F.ceil((F.col("high") - F.col("low") + 1) / F.lit(share))
     ranges = cells.groupBy("table_name", F.floor((F.col("node") - F.col("low")) / width).alias("cell")).agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    merged: dict[str, list[list[int]]] = {}
+    for r in ranges.orderBy("table_name", "low").collect():  # at most MOST_RANGES, or one per table
+        mine = merged.setdefault(r["table_name"], [])
+        if mine and mine[-1][1] + 1 == r["low"]:
+            mine[-1][1] = r["high"]
+        else:
+            mine.append([r["low"], r["high"]])
     parts = [
-        (F.col("table_name") == r["table_name"]) & (F.col("leaf") >= r["low"]) & (F.col("leaf") <= r["high"])
-        for r in ranges.collect()  # at most MOST_RANGES, or one per table
+        (F.col("table_name") == name) & reduce(Column.__or__, [(F.col("leaf") >= low) & (F.col("leaf") <= high) for low, high in mine])
+        for name, mine in merged.items()
     ]
     return reduce(Column.__or__, parts)
 

@@ -80,3 +80,16 @@ def test_only_differing_ranges_are_opened(spark):
     assert "OrEqual(leaf" in plan
     files = set(scanned.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
     assert scanned.count() < n / 500 and len(files) == 1
+
+
+def test_neighbouring_ranges_are_one(spark):
+    """Two tables that differ in all leaves are read as one range each, one with a gap as two."""
+    every = spark.range(4096).select(F.explode(F.array(F.lit("t"), F.lit("u"))).alias("table_name"), F.col("id").cast("int").alias("node"))
+    gap = spark.createDataFrame([("v", 3), ("v", 4), ("v", 900), ("v", 901)], "table_name string, node int")
+    leaves = every.unionByName(gap)
+    wanted = hashtree._ranges(leaves)
+    assert str(wanted).count("<=") == 4 and str(wanted).count(">=") == 4
+    rows = spark.range(4096).select(F.explode(F.array(*map(F.lit, "tuvw"))).alias("table_name"), F.col("id").cast("int").alias("leaf"))
+    got = {r["table_name"]: (r["n"], r["low"], r["high"]) for r in rows.filter(wanted).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n"), F.min("leaf").alias("low"), F.max("leaf").alias("high")).collect()}
+    assert got == {"t": (4096, 0, 4095), "u": (4096, 0, 4095), "v": (4, 3, 901)}
