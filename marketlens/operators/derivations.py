@@ -13,10 +13,11 @@ from marketlens.plans.warehouse import Warehouse
 
 def order_rollup_from_lines(wh: Warehouse) -> DataFrame:
     """Gross and net of every order that is sold by lines; one without any line has a gross of zero."""
+    lines = wh.stg("order_lines")  # before the orders, which add up the stored lines
     takes = wh.stg("orders").filter(F.col("subscription_id").isNull()).select("order_id", "take_rate")
     gross = F.coalesce(F.col("gross_amount"), F.lit(0).cast(MONEY))
     return (
-        takes.join(dv.gross_from_lines(wh.stg("order_lines")), "order_id", "left")
+        takes.join(dv.gross_from_lines(lines), "order_id", "left")
         .select(
             "order_id",
             gross.cast("double").alias("gross_amount"),

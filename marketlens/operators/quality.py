@@ -497,6 +497,7 @@ def row_conservation(wh: Warehouse, orders: DataFrame, lines: DataFrame) -> Data
     Lines are counted per order on both sides before they meet, so a hot order key is one row.
     """
     key = id_number("order_id").alias("key")
+    order_lines = wh.stg("order_lines")
     kept = wh.mart("int_orders").select(key, F.col("subscription_id").isNotNull().alias("subscription"))
     fate = (
         orders.select(F.col("o_orderkey").alias("key"))
@@ -511,7 +512,7 @@ def row_conservation(wh: Warehouse, orders: DataFrame, lines: DataFrame) -> Data
         )
     )
     given = lines.groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("given"))
-    staged = wh.stg("order_lines").groupBy(key).agg(F.count(F.lit(1)).alias("staged"))
+    staged = order_lines.groupBy(key).agg(F.count(F.lit(1)).alias("staged"))
     found = F.coalesce("staged", F.lit(0).cast("long"))
 
     def counted(what: str, how_many: Column) -> Column:

@@ -28,7 +28,7 @@ def eligible_order_ids(wh: Warehouse) -> DataFrame:
 
 def revenue_tables(wh: Warehouse) -> dict[str, DataFrame]:
     """The four revenue tables, restricted to eligible orders."""
-    keep = wh.mart("fct_orders").select("order_id")
+    keep = eligible_orders(wh).select("order_id")
     return {
         name: wh.stg(name).join(keep, "order_id", "left_semi")
         for name in ("orders", "invoices", "revenue_recognition", "refunds")
@@ -226,8 +226,9 @@ def int_orders(wh: Warehouse) -> DataFrame:
 
 
 def account_orders(wh: Warehouse) -> DataFrame:
-    """``int_orders`` without the first-order flag: on a snapshot, which stores nothing, that spares the rollup."""
-    return wh.mart("int_orders").drop("is_first_order") if wh.store is not None else _orders_with_accounts(wh)
+    """``int_orders`` without the first-order flag: where that is not stored, only what is read of it is joined."""
+    stored = wh.stored("int_orders")
+    return _orders_with_accounts(wh) if stored is None else stored.drop("is_first_order")
 
 
 def eligible_orders(wh: Warehouse) -> DataFrame:
@@ -241,12 +242,12 @@ def fct_orders(wh: Warehouse) -> DataFrame:
 
 
 def fct_order_lines(wh: Warehouse) -> DataFrame:
+    lines = wh.stg("order_lines")  # before the orders, which add up the stored lines
     orders = wh.mart("fct_orders").select("order_id", "customer_id", "channel")
     products = wh.stg("products").select("sku", "category", "supplier_id", "unit_cost")
     cost = (F.col("quantity").cast("decimal(10,0)") * F.col("unit_cost")).cast("decimal(18,2)")
     return (
-        wh.stg("order_lines")
-        .join(orders, "order_id")
+        lines.join(orders, "order_id")
         .join(products, "sku", "left")
         .select(
             "order_line_id", "order_id", "customer_id", "channel", "order_date", "sku", "category", "supplier_id",

@@ -14,6 +14,12 @@ from marketlens.functions import MONEY, RATE
 _TYPES = {"money": MONEY, "rate": RATE, "date": "date"}
 
 STAGING: dict[str, tuple[str, str]] = {
+    # Lines come first: whoever reads all tables has them stored when orders add up their amounts.
+    "order_lines": (
+        "app_db__order_lines",
+        "order_line_id order_id sku quantity unit_price:money discount_pct:rate line_amount:money "
+        "order_date=created_at:date",
+    ),
     "app_customers": (
         "app_db__customers",
         "app_db_customer_id created_date=created_at:date segment account_type acquisition_channel",
@@ -36,11 +42,6 @@ STAGING: dict[str, tuple[str, str]] = {
         "order_id customer_id channel order_date:date gross_amount:money take_rate:rate net_amount:money "
         "promo_code subscription_id",
     ),
-    "order_lines": (
-        "app_db__order_lines",
-        "order_line_id order_id sku quantity unit_price:money discount_pct:rate line_amount:money "
-        "order_date=created_at:date",
-    ),
     "products": (
         "app_db__products",
         "sku product_name category supplier_id unit_cost:money list_price:money introduced_date=introduced_at:date",

@@ -60,7 +60,7 @@ class Warehouse:
         key = (spark.sparkContext.applicationId, folder)
         if key not in _OPEN:
             holder: list[Warehouse] = []
-            source = MappedSource(spark, folder, lambda name: holder[0].stg(name))
+            source = MappedSource(spark, folder, lambda name: holder[0].stg(name), lambda name: holder[0].stored(name))
             holder.append(cls(spark, source.table, store=TableStore(spark, f"{folder}#{next(_OPENED)}")))
             holder[0].source = source
             _OPEN[key] = holder[0]
@@ -94,6 +94,11 @@ class Warehouse:
             self._memo[name] = self.store.table(name, build, _CLUSTERED.get(name)) if keep else build()
         return self._memo[name]
 
+    def stored(self, name: str) -> DataFrame | None:
+        """A stored table if it is there by now, waiting for one that is being written; else None."""
+        with self._locks[name]:
+            return self._memo.get(name) if self.store is not None else None
+
     def raw(self, name: str) -> DataFrame:
         return self._raw(name)
 
@@ -116,7 +121,8 @@ class Warehouse:
         """
         with ThreadPoolExecutor(workers) as pool:
             jobs = [pool.submit(self.stg, name) for name in STAGING]
-            jobs += [pool.submit(self.mart, name) for name in sorted(STORED_MARTS)]
+            first = ("int_orders",)  # others read it where it is stored
+            jobs += [pool.submit(self.mart, name) for name in (*first, *sorted(STORED_MARTS.difference(first)))]
             for job in jobs:
                 job.result()
 

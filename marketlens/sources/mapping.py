@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from marketlens import config
 from marketlens.functions import MONEY, RATE, day, literal_table, money
 from marketlens.plans import derivations as dv
+from marketlens.plans.staging import stage
 from marketlens.plans.temporal import as_of_lookup, effective_intervals, within
 from marketlens.sources.registry import RAW_TABLES
 
@@ -59,12 +60,19 @@ def promo_for(order_key: Column, order_date: Column, channel: Column) -> Column:
 
 
 class MappedSource:
-    """Raw tables by name. ``staged`` hands back already staged (stored) tables."""
-
-    def __init__(self, spark: SparkSession, folder: str, staged: Callable[[str], DataFrame]):
+    """Raw tables by name. ``staged`` hands back already staged (stored) tables, ``stored`` one only if it is stored by now."""
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        staged: Callable[[str], DataFrame],
+        stored: Callable[[str], DataFrame | None] = lambda name: None,
+    ):
         self.spark = spark
         self.folder = folder
         self.staged = staged
+        self.stored = stored
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
@@ -215,14 +223,15 @@ class MappedSource:
         parts = self.read("part").select(
             "p_partkey", self._category().alias("category"), money("p_retailprice").alias("unit_price")
         )
+        # Orders come last: the lines of an order then lie in one task, where their amounts are added up.
         lines = (
             self.read("lineitem")
             .select(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                 "l_extendedprice", "l_shipdate",
             )
-            .join(self._consumer(), F.col("l_orderkey") == F.col("ok"))
             .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+            .join(self._consumer(), F.col("l_orderkey") == F.col("ok"))
         )
         quantity = F.col("l_quantity").cast("long")
         return (
@@ -244,8 +253,13 @@ class MappedSource:
             )
         )
 
+    def order_amount_lines(self) -> DataFrame:
+        """Order lines for the amounts of orders: as stored, or else as derived, where only the columns that are read are computed."""
+        stored = self.stored("stg_order_lines")
+        return stage("order_lines", self.table("app_db__order_lines")) if stored is None else stored
+
     def _app_db_orders(self) -> DataFrame:
-        rollup = dv.gross_from_lines(self.staged("order_lines"))
+        rollup = dv.gross_from_lines(self.order_amount_lines())
         marketplace = F.col("channel") == "marketplace"
         take = (F.lit("0.15").cast(RATE) + (F.col("ok") % 11).cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(RATE)
         legacy = (F.col("channel") == "d2c") & (F.col("order_date") < day(config.CHANNEL_RENAME))
