@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import revenue
 from marketlens.plans import marts
 from marketlens.plans.warehouse import Warehouse
-from marketlens.sources.store import scratch_folder
+from marketlens.sources.store import TableStore, scratch_folder
 
 URGENT, CONSUMER = "1-URGENT", "3-MEDIUM"
 
@@ -73,3 +73,18 @@ def test_amounts_of_orders_by_hand(spark, folder):
         assert [float(g) for g in got[f"ord_{key}"]] == [pytest.approx(gross, abs=0.005)]
         checked += gross > 0
     assert checked > 20 and ids.count(3) == 3
+
+
+def test_stored_tables_are_small(spark):
+    """Ids are digits that hardly repeat: packed by entropy, they take far less than their length."""
+    df = spark.range(20000).select(F.concat(F.lit("ord_"), (F.xxhash64("id") % 10**12).cast("string")).alias("order_id")).coalesce(1)
+    out = TableStore(spark, "test-stored-size").table("ids", lambda: df)
+    plain = scratch_folder(spark, "test-plain")
+    df.write.option("compression", "snappy").parquet(plain)
+
+    def size(path):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+    assert rows(out) == rows(df)
+    assert size(out.inputFiles()[0]) < 0.7 * size(plain)
