@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens import catalog
 from marketlens.operators import revenue
 from marketlens.plans import marts
 from marketlens.plans.warehouse import Warehouse
@@ -75,6 +76,13 @@ def test_amounts_of_orders_by_hand(spark, folder):
     assert checked > 20 and ids.count(3) == 3
 
 
+def test_increments_and_reconciliation_store_neither_lines_nor_wide_orders(spark, folder):
+    for name in ("mart_increment", "metric_reconcile"):
+        Warehouse.refresh(spark, folder)
+        assert catalog.queries()[name](spark, folder).count() > 0
+        assert not {"stg_order_lines", "int_orders"} & set(Warehouse.open(spark, folder).store._ready)
+
+
 def test_stored_tables_are_small(spark):
     """Ids are digits that hardly repeat: packed by entropy, they take far less than their length."""
     df = spark.range(20000).select(F.concat(F.lit("ord_"), (F.xxhash64("id") % 10**12).cast("string")).alias("order_id")).coalesce(1)
