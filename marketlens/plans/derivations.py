@@ -22,8 +22,8 @@ def line_amount(quantity: Column, unit_price: Column, discount_pct: Column) -> C
     return F.round(price, 2).cast(MONEY)
 
 
-def gross_from_lines(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("order_id").agg(F.sum("line_amount").cast(MONEY).alias("gross_amount"))
+def gross_from_lines(lines: DataFrame, order: str = "order_id") -> DataFrame:
+    return lines.groupBy(order).agg(F.sum("line_amount").cast(MONEY).alias("gross_amount"))
 
 
 def net_amount(gross: Column, take_rate: Column) -> Column:

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from marketlens import config
 from marketlens.functions import MONEY, RATE, day, literal_table, money
 from marketlens.plans import derivations as dv
-from marketlens.plans.staging import stage
 from marketlens.plans.temporal import as_of_lookup, effective_intervals, within
 from marketlens.sources.registry import RAW_TABLES
 
@@ -99,9 +98,14 @@ class MappedSource:
             order_channel().alias("channel"),
         )
 
+    def _consumer_orders(self) -> DataFrame:
+        return self.base_orders().filter(F.col("channel") != "business_subscription")
+
+    def _promo(self) -> Column:
+        return promo_for(F.col("ok"), F.col("order_date"), F.col("channel"))
+
     def _consumer(self) -> DataFrame:
-        o = self.base_orders().filter(F.col("channel") != "business_subscription")
-        return o.withColumn("promo_code", promo_for(F.col("ok"), F.col("order_date"), F.col("channel")))
+        return self._consumer_orders().withColumn("promo_code", self._promo())
 
     # -- catalog ---------------------------------------------------------------------
     def _category(self, part_type: str = "p_type") -> Column:
@@ -212,7 +216,8 @@ class MappedSource:
         )
 
     # -- orders and lines --------------------------------------------------------------
-    def _app_db_order_lines(self) -> DataFrame:
+    def _priced_lines(self) -> DataFrame:
+        """Lines of consumer orders with their order, part, whole quantity, discount and amount."""
         discount = F.coalesce(
             *[
                 F.when(F.col("promo_code") == p[0], F.lit(str(p[4])).cast(RATE))
@@ -233,44 +238,47 @@ class MappedSource:
             .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
             .join(self._consumer(), F.col("l_orderkey") == F.col("ok"))
         )
-        quantity = F.col("l_quantity").cast("long")
-        return (
-            lines.withColumn("discount_pct", discount)
-            .select(
-                F.concat_ws(
-                    "-",
-                    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                    (money("l_extendedprice") * 100).cast("long"),
-                    F.date_format("l_shipdate", "yyyyMMdd"),
-                ).alias("order_line_id"),
-                _id(ORDER, "ok").alias("order_id"),
-                _id("sku_", "l_partkey").alias("sku"),
-                quantity.alias("quantity"),
-                "unit_price",
-                "discount_pct",
-                dv.line_amount(quantity, F.col("unit_price"), F.col("discount_pct")).alias("line_amount"),
-                F.col("order_date").alias("created_at"),
-            )
+        lines = lines.withColumn("quantity", F.col("l_quantity").cast("long")).withColumn("discount_pct", discount)
+        amount = dv.line_amount(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))
+        return lines.withColumn("line_amount", amount)
+
+    def _app_db_order_lines(self) -> DataFrame:
+        return self._priced_lines().select(
+            F.concat_ws(
+                "-",
+                "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                (money("l_extendedprice") * 100).cast("long"),
+                F.date_format("l_shipdate", "yyyyMMdd"),
+            ).alias("order_line_id"),
+            _id(ORDER, "ok").alias("order_id"),
+            _id("sku_", "l_partkey").alias("sku"),
+            "quantity",
+            "unit_price",
+            "discount_pct",
+            "line_amount",
+            F.col("order_date").alias("created_at"),
         )
 
     def order_amount_lines(self) -> DataFrame:
-        """Order lines for the amounts of orders: as stored, or else as derived, where only the columns that are read are computed."""
+        """``(ok, line_amount)`` for the amounts of orders: from the stored lines, or else as derived, where only the columns that are read are computed."""
         stored = self.stored("stg_order_lines")
-        return stage("order_lines", self.table("app_db__order_lines")) if stored is None else stored
+        lines = self._priced_lines() if stored is None else stored.withColumn("ok", _key(ORDER, "order_id"))
+        return lines.select("ok", "line_amount")
 
     def _app_db_orders(self) -> DataFrame:
-        rollup = dv.gross_from_lines(self.order_amount_lines())
+        # Amounts are added up by the number by which the lines were joined, so they are not sent once more.
+        rollup = dv.gross_from_lines(self.order_amount_lines(), "ok")
         marketplace = F.col("channel") == "marketplace"
         take = (F.lit("0.15").cast(RATE) + (F.col("ok") % 11).cast("decimal(3,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(RATE)
         legacy = (F.col("channel") == "d2c") & (F.col("order_date") < day(config.CHANNEL_RENAME))
         consumer = (
-            self._consumer()
-            .withColumn("order_id", _id(ORDER, "ok"))
-            .join(rollup, "order_id", "left")
+            self._consumer_orders()
+            .join(rollup, "ok", "left")
+            .withColumn("promo_code", self._promo())
             .withColumn("gross_amount", F.coalesce("gross_amount", F.lit(0).cast(MONEY)))
             .withColumn("take_rate", F.when(marketplace, take))
             .select(
-                "order_id",
+                _id(ORDER, "ok").alias("order_id"),
                 _id(CUSTOMER, "k").alias("customer_id"),
                 F.when(legacy, F.lit(config.LEGACY_D2C_LABEL)).otherwise(F.col("channel")).alias("channel"),
                 "order_date",

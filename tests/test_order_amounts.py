@@ -76,6 +76,20 @@ def test_amounts_of_orders_by_hand(spark, folder):
     assert checked > 20 and ids.count(3) == 3
 
 
+def test_amounts_are_not_sent_once_more_to_be_added_up(spark, folder):
+    """Where nothing is small enough for a broadcast, lines lie by order once they are joined, and stay there."""
+    wh = Warehouse.refresh(spark, folder)
+    wh.stg("subscriptions")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = wh.source.table("app_db__orders")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(order_id" not in plan
+    assert plan.count("Exchange hashpartitioning(") == 5  # lines and parts by part, lines and orders by order, orders with their amounts
+
+
 def test_increments_and_reconciliation_store_neither_lines_nor_wide_orders(spark, folder):
     for name in ("mart_increment", "metric_reconcile"):
         Warehouse.refresh(spark, folder)
