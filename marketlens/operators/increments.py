@@ -1,9 +1,9 @@
 """Stored marts brought up to a later day by the signed changes alone.
 
 Nothing is rebuilt: a change of a table is a row of weight -1, +1 or both, which passes through the same
-semi-joins, legs and sums as the rows of a full build. For a join of two tables the change is that of the one
-against the other as it is now, and the other's change against the one as it was. Amounts are read for
-changed rows only; the unchanged side of a join gives its keys.
+joins, legs and sums as the rows of a full build. For a join of two tables the change is that of the one
+against the other as it is now, and the other's change against the one as it was. Where rows only ever arrive, a
+joined row shows from the later of both arrivals on; its changes over all days then come from one join.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens import config
-from marketlens.functions import literal_table, n
+from marketlens.functions import canonical_channel, day, literal_table, n
 from marketlens.functions.prefix import RunningTotals
 from marketlens.plans import marts
 from marketlens.plans.staging import STAGING
-from marketlens.plans.versions import FROM, OPEN, TO, WEIGHT, signed_changes, versions
+from marketlens.plans.versions import FROM, OPEN, TO, WEIGHT, change_columns, signed_changes, versions, versions_of
 from marketlens.plans.visibility import LATE_UPDATES, RAW_OF
 from marketlens.plans.warehouse import Warehouse
 from marketlens.sources.store import cut_lineage
@@ -25,22 +25,38 @@ DAILY = ("activity_date", "measure_name")
 
 
 # -- revenue per day ---------------------------------------------------------------------------------------
-def revenue_changes(wh: Warehouse, after: str, upto: str) -> DataFrame:
-    """Signed rows ``(activity_date, measure_name, amount, weight)`` of ``fct_revenue`` between two days."""
-    old, new = wh.as_of(after), wh.as_of(upto)
-    real = lambda df: df.filter(F.col("account_type") == "customer").select(F.col("app_db_customer_id").alias("customer_id"), *([WEIGHT] if WEIGHT in df.columns else []))
-    came = real(signed_changes(wh, "app_customers", after, upto))
-    orders = signed_changes(wh, "orders", after, upto).join(real(new.stg("app_customers")), "customer_id", "left_semi")
-    orders = orders.unionByName(old.stg("orders").join(came, "customer_id"))
-    moved = orders.select("order_id", WEIGHT)
-    keep = marts.eligible_order_ids(new)
+STEP = "step"
+
+
+def _real_orders(wh: Warehouse, upto: str) -> DataFrame:
+    """Orders of real customers with ``known_from``, the first day that shows both, for days until ``upto``."""
+    seen = lambda date: F.col(date) <= day(upto)
+    people = marts.real_customers(wh).filter(seen("created_date")).groupBy(F.col("app_db_customer_id").alias("customer_id"))
+    people = people.agg(F.min("created_date").alias("_since"))
+    return wh.stg("orders").filter(seen("order_date")).join(people, "customer_id").withColumn(
+        FROM, F.greatest("order_date", "_since")).drop("_since")
+
+
+def revenue_changes(wh: Warehouse, *days: str) -> DataFrame:
+    """Signed rows ``(step, weight, activity_date, measure_name, amount)`` of ``fct_revenue``: step n leads from day n - 1 to day n, from 0.
+
+    Orders and customers only arrive, so a row shows from the latest arrival of its own, its order's and its customer's on.
+    """
+    orders = _real_orders(wh, days[-1])
+    known = orders.groupBy("order_id").agg(F.min(FROM).alias("_known"))
+
+    def steps(df: DataFrame) -> DataFrame:
+        shown = [((F.col(FROM) <= day(d)) & (F.col(TO).isNull() | (F.col(TO) >= day(d)))).cast("int") for d in days]
+        weights = [F.struct(F.lit(i).alias(STEP), (shown[i] - shown[i - 1]).alias(WEIGHT)) for i in range(1, len(days))]
+        return df.select("*", F.inline(F.array(*weights))).filter(F.col(WEIGHT) != 0)
 
     def change(name: str) -> DataFrame:
-        fresh = signed_changes(wh, name, after, upto).join(keep, "order_id", "left_semi")
-        return fresh.unionByName(old.stg(name).join(moved, "order_id"))
+        _, arrival, _ = change_columns(name)
+        rows = wh.stg(name).filter(F.col(arrival) <= day(days[-1])).join(known, "order_id")
+        return steps(versions_of(rows, name).withColumn(FROM, F.greatest(FROM, "_known")))
 
-    orders = orders.withColumn("channel", marts.canonical_channel("channel"))
-    return marts.revenue_legs(orders, change("refunds"), change("invoices"), change("revenue_recognition"), WEIGHT)
+    orders = steps(orders.withColumn(TO, F.lit(None).cast("date")).withColumn("channel", canonical_channel("channel")))
+    return marts.revenue_legs(orders, change("refunds"), change("invoices"), change("revenue_recognition"), STEP, WEIGHT)
 
 
 def revenue_state(wh: Warehouse) -> DataFrame:
@@ -49,21 +65,34 @@ def revenue_state(wh: Warehouse) -> DataFrame:
         F.sum("amount").cast("decimal(28,2)").alias("amount"), F.count(F.lit(1)).alias("rows"))
 
 
-def apply_revenue(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """The state with signed rows added to it; a day of a measure that no row is left of goes."""
+def revenue_deltas(changes: DataFrame, *by: str) -> DataFrame:
+    """Signed rows added up per day and measure, and per ``by``."""
     weight = F.col(WEIGHT)
-    delta = changes.groupBy(*DAILY).agg(
+    return changes.groupBy(*by, *DAILY).agg(
         F.sum(F.col("amount") * weight).cast("decimal(28,2)").alias("amount"), F.sum(weight).cast("long").alias("rows"))
+
+
+def add_deltas(state: DataFrame, delta: DataFrame) -> DataFrame:
+    """The state with sums added to it; a day of a measure that no row is left of goes."""
     out = state.unionByName(delta).groupBy(*DAILY).agg(
         F.sum("amount").cast("decimal(28,2)").alias("amount"), F.sum("rows").cast("long").alias("rows"))
     return out.filter(F.col("rows") != 0)
 
 
+def apply_revenue(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """The state with signed rows added to it."""
+    return add_deltas(state, revenue_deltas(changes))
+
+
 def mart_increment(wh: Warehouse, *days: str) -> DataFrame:
-    """Revenue per day and measure as of the last day: stored as of the first, then brought from day to day."""
+    """Revenue per day and measure as of the last day: stored as of the first, then brought from day to day.
+
+    The changes of all steps come from one pass over the facts, added up per step.
+    """
     state = cut_lineage(revenue_state(wh.as_of(days[0])))
-    for after, upto in zip(days[:-1], days[1:], strict=True):
-        state = cut_lineage(apply_revenue(state, revenue_changes(wh, after, upto)))
+    deltas = cut_lineage(revenue_deltas(revenue_changes(wh, *days), STEP))
+    for step in range(1, len(days)):
+        state = cut_lineage(add_deltas(state, deltas.filter(F.col(STEP) == step).drop(STEP)))
     return state
 
 

@@ -51,10 +51,14 @@ def versions(wh: Warehouse, name: str, changed: tuple[str, str] | None = None) -
 
     ``changed`` keeps the rows that arrive or are updated after the first and up to the second day.
     """
+    df = wh.stg(name)
+    return versions_of(df.filter(_touched(name, *changed)) if changed else df, name)
+
+
+def versions_of(df: DataFrame, name: str) -> DataFrame:
+    """``versions`` of given rows of a staged table, which may carry more columns."""
     _, arrival, update = change_columns(name)
-    df = wh.stg(name).filter(F.col(arrival).isNotNull())
-    if changed:
-        df = df.filter(_touched(name, *changed))
+    df = df.filter(F.col(arrival).isNotNull())
     never = F.lit(None).cast("date")
     if update is None:
         return df.select("*", F.col(arrival).alias(FROM), never.alias(TO), F.lit(False).alias(OPEN))

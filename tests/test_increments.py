@@ -2,7 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -62,6 +62,42 @@ def test_revenue_from_changes_equals_a_full_build(request, which):
     assert rows(back) == rows(increments.revenue_state(w.as_of("1998-03-31")))
 
 
+def _small(spark):
+    """Repeated orders, customers later than their orders, orders later than what refers to them, null keys."""
+    put = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    ts = lambda text: None if text is None else datetime.fromisoformat(text)
+    people = [("a", "2000-01-01", "customer"), ("b", "2000-03-01", "customer"), ("c", "2000-01-01", "test"), ("d", None, "customer")]
+    orders = [("o1", "a", "d2c", "2000-01-05"), ("o2", "b", "d2c", "2000-01-06"), ("o3", "a", "business_subscription", "2000-02-10"), ("o3", "a", "business_subscription", "2000-02-10"),
+              ("o4", "c", "d2c", "2000-01-05"), ("o5", "d", "d2c", "2000-01-05"), (None, "a", "d2c", "2000-02-11"), ("o6", None, "d2c", "2000-02-11"), ("o7", "a", "d2c", None)]
+    ids = [*dict.fromkeys(o[0] for o in orders)]
+    early = ["2000-01-01", "2000-02-20", "2000-04-01"]
+    facts = [(f"f{i}", o, ts(early[i % 3]), 10.0 + i) for i, o in enumerate(ids * 3)]
+    tables = {
+        "app_db__customers": put([(k, ts(d), "consumer", t, "d2c") for k, d, t in people], "app_db_customer_id string, created_at timestamp_ntz, segment string, account_type string, acquisition_channel string"),
+        "app_db__orders": put([(*o[:3], ts(o[3]), 50.0, None, 50.0, None, None) for o in orders], "order_id string, customer_id string, channel string, order_date timestamp_ntz, gross_amount double, take_rate double, net_amount double, promo_code string, subscription_id string"),
+        "app_db__invoices": put([(f, o, d, d, d + timedelta(days=30) if i % 2 else None, a, False, "s") for i, (f, o, d, a) in enumerate(facts)], "invoice_id string, order_id string, billed_date timestamp_ntz, due_date timestamp_ntz, collected_date timestamp_ntz, amount double, is_bad_debt boolean, salesforce_customer_id string"),
+        "app_db__revenue_recognition": put([f[1:] for f in facts], "order_id string, recognition_date timestamp_ntz, amount double"),
+        "stripe__refunds": put([(*f, "s") for f in facts], "refund_id string, order_id string, refund_date timestamp_ntz, refund_amount double, stripe_customer_id string"),
+    }
+    return Warehouse.of(spark, tables)
+
+
+def test_one_pass_gives_the_changes_of_every_step(spark):
+    """Also where an order comes twice, or it or its customer later than an amount: no amount counts twice."""
+    w, days = _small(spark), ("1999-12-31", "2000-01-31", "2000-02-15", "2000-03-15", "2000-12-31")
+    changes = increments.revenue_changes(w, *days).localCheckpoint()
+    for step in range(1, len(days)):
+        state = increments.apply_revenue(increments.revenue_state(w.as_of(days[step - 1])), changes.filter(F.col(increments.STEP) == step))
+        assert rows(state) == rows(increments.revenue_state(w.as_of(days[step])))
+    assert rows(increments.mart_increment(w, *days)) == rows(increments.revenue_state(w.as_of(days[-1]))) != Counter()
+
+
+def test_facts_are_sent_once_for_all_steps(spark):
+    w, days = _small(spark), ("1999-12-31", "2000-01-31", "2000-02-15", "2000-03-15", "2000-12-31")
+    sent = [increments.revenue_changes(w, *d)._jdf.queryExecution().executedPlan().toString().count("Exchange ") for d in (days[:2], days)]
+    assert sent[0] == sent[1] > 0
+
+
 def test_a_sum_that_no_row_is_left_of_goes(spark):
     state = spark.createDataFrame([(date(2000, 1, 1), "gmv", Decimal("5.00"), 1), (date(2000, 1, 2), "gmv", Decimal("0.00"), 2)], "activity_date date, measure_name string, amount decimal(28,2), rows bigint")
     changes = spark.createDataFrame([(date(2000, 1, 1), "gmv", Decimal("5.00"), -1), (date(2000, 1, 3), "gmv", Decimal("7.50"), 1)], "activity_date date, measure_name string, amount decimal(18,2), weight int")
