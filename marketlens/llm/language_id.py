@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import broadcast_if_small, ship, stored
+from marketlens.llm.common import broadcast_if_small, ship, small_batches, stored
 
 PER_LANGUAGE, LONGEST, LANDMARKS, RIDGE = 300, 20_000, 240, 1e-2
 BATCH_TEXTS, BATCH_LETTERS = 64, 1 << 19
@@ -244,5 +244,7 @@ def drop_unknown(docs: DataFrame, model: Model | None, text: str = "text") -> Da
     found = predict(boxed, model or UNLEARNED, keep=("key",))
     strange = F.col("familiar") < FAMILIAR if model else F.lit(False)
     found = found.filter((F.col("lang_pred") == UNKNOWN) | strange).select("kept.key").distinct()
-    found = broadcast_if_small(stored(found.withColumnRenamed("key", "unknown"), "unknown-languages"), BROADCAST_TEXTS)
+    with small_batches(docs.sparkSession):
+        found = stored(found.withColumnRenamed("key", "unknown"), "unknown-languages")
+    found = broadcast_if_small(found, BROADCAST_TEXTS)
     return boxed.join(found, F.col("key") == F.col("unknown"), "left_anti").select("doc.*")

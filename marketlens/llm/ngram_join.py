@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import broadcast_if_small, ship, stored
+from marketlens.llm.common import broadcast_if_small, ship, small_batches, stored
 from marketlens.llm.components import components
 from marketlens.llm.shingles import mixed, shingle_sets, text_slices
 
@@ -271,8 +271,9 @@ def _joined(numbered: DataFrame, doc_id: str, text: str, n_words: int = WORDS, t
     n_bands, n_rows = bands(threshold, recall)
     given = numbered.select("row", F.col("doc")[doc_id].alias("doc_id"), F.col("doc")[text].alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    rows = stored(given.mapInArrow(
-        _signatures(n_words, n_bands, n_rows), f"row bigint, doc_id {kind}, a bigint, b bigint, n int, bands array<bigint>"), "signatures")
+    with small_batches(numbered.sparkSession):
+        rows = stored(given.mapInArrow(
+            _signatures(n_words, n_bands, n_rows), f"row bigint, doc_id {kind}, a bigint, b bigint, n int, bands array<bigint>"), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     classes = stored(rows.filter("n > 0").groupBy("a", "b", "n").agg(
         F.min("row").alias("cid"), F.count(F.lit(1)).alias("size"), F.min(first).alias("first")), "classes")
@@ -289,7 +290,8 @@ def _joined(numbered: DataFrame, doc_id: str, text: str, n_words: int = WORDS, t
     texts = given.select("row", "text").join(F.broadcast(wanted) if numbers <= BROADCAST_NUMBERS else wanted, "row")  # the one row of each class
     sets = texts.mapInArrow(_sets(n_words), "cid bigint, groups array<bigint>, grams array<bigint>")
     work = sets.join(broadcast_if_small(pairs, BROADCAST_CLASSES), "cid").select("pair", "side", "own", "part", "cid", "size", "groups", "grams")
-    found = stored(work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(threshold), "cid bigint, links bigint, root bigint"), "links")
+    with small_batches(numbered.sparkSession):
+        found = stored(work.repartition("pair").sortWithinPartitions("pair").mapInArrow(_compare(threshold), "cid bigint, links bigint, root bigint"), "links")
 
     linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "cid")
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm import bpe
-from marketlens.llm.common import ship, stored
+from marketlens.llm.common import ship, small_batches, stored
 from marketlens.llm.shingles import text_slices
 
 LIMIT, END_ID = 2048, 0
@@ -374,7 +374,8 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: int = END_
     given = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     piece = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = stored(given.mapInArrow(_tokenised(tokenizer, limit, end_id), f"{piece}, nth bigint, task int"), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = stored(given.mapInArrow(_tokenised(tokenizer, limit, end_id), f"{piece}, nth bigint, task int"), "pieces")
     per_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``limit`` rows
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

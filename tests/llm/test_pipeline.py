@@ -5,7 +5,7 @@ from collections import defaultdict
 import brute
 
 import corpus_pipeline
-from marketlens.llm import secret_scan
+from marketlens.llm import language_id, ngram_join, packing, secret_scan
 
 
 def test_pipeline_against_brute_force(spark, small):
@@ -69,3 +69,39 @@ def test_white_space_in_millions_passes(spark, documents, small):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, small)
     assert {r["doc_id"] for r in docs.collect()} == {1, 2, 3}
+
+
+def test_python_gets_small_batches(spark, documents, small, monkeypatch, tmp_path):
+    folder = str(tmp_path)
+
+    def noting(make, name):
+        def made(*args):
+            run = make(*args)
+
+            def noted(batches):
+                def seen():
+                    for batch in batches:
+                        with open(f"{folder}/{name}", "a") as out:
+                            out.write(f"{batch.nbytes}\n")
+                        yield batch
+
+                yield from run(seen())
+
+            return noted
+
+        return made
+
+    steps = [(language_id, "_predicted"), (ngram_join, "_signatures"), (ngram_join, "_sets"), (ngram_join, "_compare"), (packing, "_tokenised")]
+    for module, name in steps:
+        monkeypatch.setattr(module, name, noting(getattr(module, name), name))
+    body = lambda i: " ".join(f"word{i}x{j}" for j in range(350))
+    table = documents([(2 * i + k, body(i) + " more" * k) for i in range(1500) for k in range(2)])
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    kept = corpus_pipeline.drop_near_copies(spark, corpus_pipeline.identify_language(spark, table, small), small)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == set(range(0, 3000, 2))
+    assert {r["doc_id"] for r in corpus_pipeline.pack(spark, table, small).collect()} == set(range(3000))
+    for _, name in steps:
+        sizes = [int(n) for n in (tmp_path / name).read_text().split()]
+        assert max(sizes) < 3 << 20 and sum(sizes) > 6 << 20, name
+    assert spark.conf.get(key, None) == before
