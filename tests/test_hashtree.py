@@ -1,11 +1,14 @@
 """The hash tree names exactly the keys that differ and reads little else."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from marketlens.operators import hashtree
+from marketlens.sources.store import cut_lineage
 
 SCHEMA = "k1 string, k2 int, a string, b double, c date"
 
@@ -93,3 +96,44 @@ def test_neighbouring_ranges_are_one(spark):
     got = {r["table_name"]: (r["n"], r["low"], r["high"]) for r in rows.filter(wanted).groupBy("table_name").agg(
         F.count(F.lit(1)).alias("n"), F.min("leaf").alias("low"), F.max("leaf").alias("high")).collect()}
     assert got == {"t": (4096, 0, 4095), "u": (4096, 0, 4095), "v": (4, 3, 901)}
+
+
+def test_portions_give_what_one_pass_gives(spark):
+    """However few rows are opened at once, every key is found; no tree stores its rows for it."""
+    rng = random.Random(5)
+    rows, more = table(rng, 400), table(rng, 300)
+    left = {"t": rows, "u": more, "v": rows[:9], "same": more, "twice": [("d", 1, "x", 1.0, None)] * 3}
+    right = {"t": [(*r[:3], 7.0, None) if i % 3 else r for i, r in enumerate(rows)], "u": more[150:], "same": more, "w": rows[:7], "twice": [("d", 1, "x", 1.0, None), ("d", 1, "y", 1.0, None)]}
+    sides = trees(spark, left, right)
+    portions = hashtree._portions(*sides, hashtree.differing_leaves(*sides), 200)
+    assert 2 < len(portions) < 8 and not any("same" in spans for spans in portions)
+    assert {tuple(r) for r in hashtree.locate(*sides, 200).collect()} == by_hand(left, right)
+    assert not any(Path(tree.folder.removeprefix("file:"), "rows").exists() for tree in sides)
+    for tree in sides:
+        assert tree.rows().count() == sum(tree.nodes(0).toPandas()["n"])
+    assert {tuple(r) for r in hashtree.locate(*sides, 10**9).collect()} == by_hand(left, right)  # opened where the rows are stored
+
+
+def test_hashes_are_cut_into_pieces_without_loss(spark):
+    rng = random.Random(2)
+    given = [(rng.getrandbits(64) - 2**63, rng.getrandbits(64) - 2**63) for _ in range(200)] + [(-1, -1), (0, 0), (-(2**63), 2**63 - 1)]
+    for row, (a, b) in zip(spark.createDataFrame(given, "a long, b long").select(*hashtree._pieces()).collect(), given, strict=True):
+        assert all(0 <= p < 2**26 for p in row)
+        assert sum(p << at for p, at in zip(row, (0, 26, 52, 78, 104), strict=True)) == (a % 2**64) + (b % 2**64 << 64)
+
+
+def test_shuffles_of_stored_tables_go_at_once(spark):
+    """The shuffle files of a table that has been stored do not wait for the driver's garbage collector."""
+    folders = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting)
+    df = spark.range(10_000).repartition(5, "id")
+    kept = cut_lineage(df)
+    assert spark.conf.get(setting) == was
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert kept.count() == cut_lineage(df).count() == df.count() == df.count() == 10_000  # what comes later plans anew
