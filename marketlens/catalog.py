@@ -343,9 +343,9 @@ def _revenue_stream(wh: Warehouse) -> DataFrame:
     """Three loads of revenue events, late and repeated ones among them, through one stream checkpoint."""
     folder, s = scratch_folder(wh.spark, "revenue-stream"), revenue_stream
     log, target, checkpoint = f"{folder}/log", f"{folder}/slices", f"{folder}/checkpoint"
-    for load in s.loads(s.revenue_events(wh), "1999-06-30", "1999-09-30", "2000-12-31"):
-        s.append_events(load, log)
-        s.follow(wh.spark, log, target, checkpoint)
+    days = ("1999-06-30", "1999-09-30", "2000-12-31")
+    for load in s.loads(s.stored_events(wh, days[-1]), *days):
+        s.take_in(load, log, target, checkpoint)
     return present(s.fold(wh.spark, target, f"{folder}/folded").drop("batch"))
 
 

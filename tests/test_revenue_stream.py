@@ -58,3 +58,28 @@ def test_late_repeated_and_odd_events(spark):
         stream.follow(spark, f"{folder}/log", f"{folder}/slices", f"{folder}/checkpoint", files_per_batch=1000)
     got = {(r["activity_date"], r["measure_name"]): float(r["amount"]) for r in stream.newest(spark, f"{folder}/slices").collect()}
     assert got == {(at(0), "gmv"): 1, (at(9), "gmv"): 7, (at(5), "gmv"): 4, (at(200), "net"): -3, (at(201), "net"): 1}
+
+
+def test_a_long_load_is_taken_in_by_periods(spark):
+    """A load of two years holds no more state than two delays and one period, and gives the same sums."""
+    folder, first = scratch_folder(spark, "test-long-load"), date(1999, 1, 1)
+    rows = [(f"e{i}", first + timedelta(days=i * 7 % 730), "gmv", Decimal(i)) for i in range(7300)]
+    load = spark.createDataFrame([*rows, *rows[::3], ("n", None, "gmv", Decimal(1))], stream.EVENT).repartition(4)
+    parts = stream.periods(load, 1000)
+    assert len(parts) > 9 and sum(p.count() for p in parts) == load.count() and len(stream.periods(load)) == 1
+    ends = [p.agg(F.min("activity_date"), F.max("activity_date")).first() for p in parts]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+    held = []
+    follow, settings = stream.follow, {k: spark.conf.get(k, None) for k in (*stream._STATE, "spark.sql.shuffle.partitions")}
+    try:
+        stream.follow = lambda *a: held.append(max(s["numRowsTotal"] for p in follow(*a).recentProgress for s in p["stateOperators"]))
+        stream.take_in(load, f"{folder}/log", f"{folder}/slices", f"{folder}/checkpoint", most=2500)
+    finally:
+        stream.follow = follow
+    assert settings == {k: spark.conf.get(k, None) for k in settings}
+    assert len(held) == 4 and max(held) < 3200, held
+    want = Counter()
+    for _, d, _, v in rows:
+        want[d] += v
+    got = {r["activity_date"]: r["amount"] for r in stream.newest(spark, f"{folder}/slices").collect()}
+    assert got == want
